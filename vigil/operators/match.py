@@ -67,16 +67,20 @@ def _is_small(df: DataFrame, bound: int) -> bool:
 
 
 def contains_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str,
-                   small: bool | None = None) -> DataFrame:
+                   small: bool | None = None, dict_side: str = "needles") -> DataFrame:
     """All pairs ``hay ⋈ needles`` with ``hay_col`` containing ``needle_col``.
 
-    ``needles`` is the dictionary side; see the module notes for the two
-    strategies.  Needles must be non-empty."""
+    ``dict_side`` names the dictionary side (``"needles"`` or ``"hay"``); it is
+    the one broadcast when its checked size allows.  See the module notes for
+    the two strategies.  Needles must be non-empty."""
+    dict_df = needles if dict_side == "needles" else hay
     if small is None:
-        small = _is_small(needles, BROADCAST_TERMS)
+        small = _is_small(dict_df, BROADCAST_TERMS)
     cond = F.instr(F.col(hay_col), F.col(needle_col)) > 0
     if small:
-        return hay.join(F.broadcast(needles), cond, "inner")
+        if dict_side == "needles":
+            return hay.join(F.broadcast(needles), cond, "inner")
+        return needles.join(F.broadcast(hay), cond, "inner")
     n = needles.withColumn("_k", F.least(F.length(needle_col), F.lit(3))) \
         .withColumn("_g", F.substring(F.col(needle_col), 1, 3))
     grams = hay.select(hay_col).distinct().select(
@@ -108,14 +112,21 @@ def exact_match(q: DataFrame, terms: DataFrame) -> DataFrame:
 def keyword_match(q: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
     """M3: per column, a term containing the text (direction 0) beats a term
     contained in the text (direction 1); winner = (col_rank, direction, row_ord)."""
-    fwd = contains_pairs(terms, "term", q, "q", small=True if small is None else small) \
-        .withColumn("dir", F.lit(0))
+    fwd = contains_pairs(terms, "term", q, "q", small=small, dict_side="hay").withColumn("dir", F.lit(0))
     rev = contains_pairs(q, "q", terms, "term", small=small).withColumn("dir", F.lit(1))
     cols = ["q", "term", "col_rank", "row_ord", "dir"]
     p = fwd.select(*cols).unionByName(rev.select(*cols))
     return _best(p, [F.col("col_rank"), F.col("dir"), F.col("row_ord")], ["row_ord", "col_rank", "dir"])
 
 
+def whole_word(text: Column, term: Column) -> Column:
+    """``term`` occurs in ``text`` as a whole word: not preceded or followed by
+    a letter, digit or underscore of any script (Unicode word boundary; the
+    JDK's ``\\b`` differs between versions, so it is spelled out)."""
+    pat = F.concat(F.lit("(?<![\\p{L}\\p{N}_])\\Q"), term, F.lit("\\E(?![\\p{L}\\p{N}_])"))
+    return F.regexp(text, pat)
+
+
 def _single_char_ok(text: Column, term: Column) -> Column:
     """One-character terms must not be followed by a letter/digit at their
     first occurrence."""
@@ -225,7 +236,7 @@ def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: Da
                      F.col(rule_ord).alias("rule_ord")).where(F.length("kw") > 0).withColumn("klen", F.length("kw"))
     p = contains_pairs(q, "qt", r, "kw", small=small)
     in_scope = (F.col("scope") == "ALL") | F.col("qs").isNull() | (F.col("scope") == F.col("qs"))
-    boundary = F.expr(r"qt rlike concat('\\b\\Q', kw, '\\E\\b')")
+    boundary = whole_word(F.col("qt"), F.col("kw"))
     p = p.where(in_scope & ((F.col("klen") >= 2) | boundary))
     w = F.min_by(F.col("rule_ord"), F.struct(-F.col("klen"), F.col("rule_ord"))).alias("rule_ord")
     return p.groupBy("qt", "qs").agg(w)
@@ -250,7 +261,7 @@ def override_word(titles: DataFrame, title_col: str, terms: DataFrame, min_len:
     q = titles.select(F.lower(F.col(title_col)).alias("q")).where(F.col("q") != "").distinct()
     t = terms.where(F.col("tlen") >= min_len)
     p = contains_pairs(q, "q", t, "term")
-    p = p.where(F.expr(r"q rlike concat('\\b\\Q', term, '\\E\\b')"))
+    p = p.where(whole_word(F.col("q"), F.col("term")))
     return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"])
 
 
@@ -276,7 +287,7 @@ def suggest_category(names: DataFrame, name_col: str, cats: DataFrame, cat_col:
     c = cats.select(F.lower(F.col(cat_col)).alias("term"), F.col(cat_ord).alias("row_ord")) \
         .where(F.length("term") >= min_len).withColumn("tlen", F.length("term"))
     fwd = contains_pairs(q, "q", c, "term")
-    rev = contains_pairs(c, "term", q.withColumnRenamed("q", "q2"), "q2", small=True) \
+    rev = contains_pairs(c, "term", q.withColumnRenamed("q", "q2"), "q2", dict_side="hay") \
         .withColumnRenamed("q2", "q")
     cols = ["q", "term", "row_ord", "tlen"]
     p = fwd.select(*cols).unionByName(rev.select(*cols))
