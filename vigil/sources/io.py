@@ -2,13 +2,12 @@
 
 Readers always take an explicit schema where one is known (no inference pass
 over the data), and sinks never overwrite a path that is being read: a
-rewrite goes to a new version directory and a small pointer file names the
+rewrite goes to a new version directory and an append-only log names the
 current one.
 """
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 
@@ -41,7 +40,7 @@ def load_hub(spark: SparkSession, path: str, columns: list | None = None) -> Dat
     """IO2: hub scan keeping only the known columns that exist.
 
     The projection is pushed into the Parquet scan (``ReadSchema``)."""
-    df = load_parquet(spark, resolve_current(path))
+    df = load_parquet(spark, resolve_current(path, spark))
     keep = [c for c in (columns or UNIFIED_COLUMNS) if c in df.columns]
     return df.select(*keep)
 
@@ -97,35 +96,50 @@ def append(df: DataFrame, path: str, partition_by: list | None = None) -> int:
 
 
 # ---------------------------------------------------------- versioned tables
+#
+# A versioned table is a directory ``<path>/v=<version>/`` per write plus an
+# append-only log ``<path>/_log`` naming the versions.  The current version is
+# the greatest name in the log.  Everything goes through Spark's own I/O, so it
+# works on any file system the cluster uses (HDFS, object stores, local), and
+# a job may rewrite the very table it reads: the old version stays intact
+# until the log names the new one.
 
-_POINTER = "_CURRENT"
+_LOG = "_log"
 
 
-def resolve_current(path: str) -> str:
-    """Directory holding the current version of a versioned table, or ``path``
-    itself for a plain dataset."""
-    ptr = os.path.join(path, _POINTER)
-    if os.path.exists(ptr):
-        with open(ptr) as f:
-            return os.path.join(path, f.read().strip())
-    return path
+def _log_path(path: str) -> str:
+    return path.rstrip("/") + "/" + _LOG
+
+
+def resolve_current(path: str, spark: SparkSession | None = None) -> str:
+    """Directory of the current version of a versioned table, or ``path``
+    itself for a plain dataset (no log)."""
+    spark = spark or SparkSession.getActiveSession()
+    try:
+        row = spark.read.text(_log_path(path)).agg(F.max("value").alias("v")).first()
+    except AnalysisException:
+        return path
+    if row is None or row["v"] is None:
+        return path
+    return path.rstrip("/") + "/" + row["v"]
 
 
 def write_version(df: DataFrame, path: str, compression: str = "snappy") -> str:
-    """IO14/IO18: overwrite by writing a new version directory, then moving the
-    pointer.  The old version stays readable until the pointer moves, so a job
-    may rewrite the table it reads from."""
-    name = f"v={int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-    target = os.path.join(path, name)
+    """IO14/IO18: overwrite by writing a new version directory, then appending
+    its name to the log.  Version names sort by write time."""
+    spark = df.sparkSession
+    name = f"v={int(time.time() * 1000):015d}-{uuid.uuid4().hex[:6]}"
+    target = path.rstrip("/") + "/" + name
     df.write.option("compression", compression).parquet(target)
-    os.makedirs(path, exist_ok=True)
-    tmp = os.path.join(path, f".{_POINTER}.{uuid.uuid4().hex[:6]}")
-    with open(tmp, "w") as f:
-        f.write(name)
-    os.replace(tmp, os.path.join(path, _POINTER))
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(_log_path(path))
     return target
 
 
+def read_current(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Scan the current version (IO1 semantics when nothing exists yet)."""
+    return load_parquet(spark, resolve_current(path, spark), schema)
+
+
 def clear_table(spark: SparkSession, path: str, schema: T.StructType = UNIFIED_SCHEMA) -> str:
     """IO18: empty the table by writing an empty version."""
     return write_version(spark.createDataFrame([], schema), path)
@@ -137,7 +151,7 @@ def export_csv_bom(df: DataFrame, path: str) -> None:
     The mark is prepended to the first header name; ``coalesce(1)`` keeps one
     part file (and so one mark).  This is an export of a display-sized view."""
     first = df.columns[0]
-    (df.withColumnRenamed(first, "﻿" + first).coalesce(1)
+    (df.withColumnRenamed(first, "\ufeff" + first).coalesce(1)
      .write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path))
 
 
