@@ -45,16 +45,24 @@ HAZARD_MATCH_COLUMNS = ["KOR_NM", "ENG_NM", "ABRV", "NCKNM", "TESTITM_NM"]
 # ------------------------------------------------------------------ inputs
 
 def prepare_terms(dictionary: DataFrame, cols: list, row_ord: str = "row_ord",
-                  min_len: int = 1, normalizer=normalize) -> DataFrame:
+                  min_len: int = 1, normalizer=normalize, dedupe: bool = True) -> DataFrame:
     """Unpivot dictionary columns to ``(term, col_rank, row_ord, tlen)``.
 
-    Null and empty names are dropped (null never matches)."""
+    Null and empty names are dropped (null never matches).  With ``dedupe``
+    each distinct term keeps only its smallest ``(col_rank, row_ord)``: every
+    strategy's match test and score depend on the term text alone and ties end
+    in ``(col_rank, row_ord)``, so the winner is unchanged while the join
+    shrinks to the distinct vocabulary."""
     present = [c for c in cols if c in dictionary.columns]
     parts = [dictionary.where(F.col(c).isNotNull())
              .select(normalizer(F.col(c)).alias("term"), F.lit(i).alias("col_rank"), F.col(row_ord).alias("row_ord"))
              for i, c in enumerate(present)]
     t = reduce(lambda a, b: a.unionByName(b), parts)
-    return t.where(F.length("term") >= F.lit(max(min_len, 1))).withColumn("tlen", F.length("term"))
+    t = t.where(F.length("term") >= F.lit(max(min_len, 1)))
+    if dedupe:
+        t = t.groupBy("term").agg(F.min(F.struct("col_rank", "row_ord")).alias("_m")) \
+            .select("term", "_m.col_rank", "_m.row_ord")
+    return t.withColumn("tlen", F.length("term"))
 
 
 def distinct_queries(texts: DataFrame, text_col: str, normalizer=normalize) -> DataFrame:
@@ -66,33 +74,113 @@ def _is_small(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def _dict_size(df: DataFrame, bound: int) -> int:
+    """Rows of a dictionary, counted up to ``bound + 1`` (a bounded check)."""
+    return df.limit(bound + 1).count()
+
+
+# Up to this many dictionary terms, texts are tested against every term of a
+# broadcast copy (one ``instr`` per pair, no shuffle); above it the q-gram
+# index join does less work per text character.
+NESTED_LOOP_TERMS = 4_000
+
+
+GRAM = 3
+# Rows of the text side used to estimate gram frequencies (statistics only;
+# the join result is exact whatever gram a term is indexed by).
+GRAM_STATS_ROWS = 20_000
+
+
+def _distinct_grams(c: Column, k: int = GRAM) -> Column:
+    """Distinct k-grams of a text (array; one in-row hash set, no shuffle)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))),
+                                        lambda i: F.substring(c, i, k)))
+
+
+def _rarest_gram(needles: DataFrame, needle_col: str, hay: DataFrame, hay_col: str) -> DataFrame:
+    """Each needle (length >= GRAM) indexed by its rarest gram, rarity measured
+    on the first ``GRAM_STATS_ROWS`` rows of the text side."""
+    stats = hay.limit(GRAM_STATS_ROWS).select(F.explode(_distinct_grams(F.col(hay_col))).alias("_g")) \
+        .groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    ex = needles.select(F.col(needle_col).alias("_n")).distinct() \
+        .select("_n", F.explode(_distinct_grams(F.col("_n"))).alias("_g"))
+    pick = ex.join(stats, on="_g", how="left") \
+        .groupBy("_n").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), F.col("_g"))).alias("_g"))
+    return needles.join(pick, needles[needle_col] == pick["_n"]).drop("_n")
+
+
 def contains_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str,
                    small: bool | None = None, dict_side: str = "needles") -> DataFrame:
     """All pairs ``hay ⋈ needles`` with ``hay_col`` containing ``needle_col``.
 
     ``dict_side`` names the dictionary side (``"needles"`` or ``"hay"``); it is
-    the one broadcast when its checked size allows.  See the module notes for
-    the two strategies.  Needles must be non-empty."""
+    the one broadcast when its checked size allows.
+
+    Texts as hay (``dict_side="needles"``), dictionaries up to
+    ``NESTED_LOOP_TERMS``: broadcast nested loop with ``instr``.  Larger
+    dictionaries: gram index join.  Needles of
+    length >= 3 are indexed by their rarest 3-gram; every text row explodes its
+    *distinct* 3-grams and joins on the gram (a hash join, broadcast when the
+    dictionary is small), and ``instr`` verifies the few candidates.  Exact,
+    since a contained needle's grams all occur in the text.  Needles shorter
+    than 3 characters are checked directly against a broadcast copy.
+
+    Dictionary as hay (``dict_side="hay"``): the dictionary is broadcast and
+    each text is tested against it (the texts are the short needles)."""
     dict_df = needles if dict_side == "needles" else hay
-    if small is None:
-        small = _is_small(dict_df, BROADCAST_TERMS)
+    n_dict = _dict_size(dict_df, BROADCAST_TERMS) if small is None else (0 if small else BROADCAST_TERMS + 1)
+    small = n_dict <= BROADCAST_TERMS
     cond = F.instr(F.col(hay_col), F.col(needle_col)) > 0
-    if small:
-        if dict_side == "needles":
-            return hay.join(F.broadcast(needles), cond, "inner")
-        return needles.join(F.broadcast(hay), cond, "inner")
-    n = needles.withColumn("_k", F.least(F.length(needle_col), F.lit(3))) \
-        .withColumn("_g", F.substring(F.col(needle_col), 1, 3))
-    grams = hay.select(hay_col).distinct().select(
-        hay_col,
-        F.explode(F.array_distinct(F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay_col) - k + 1, F.lit(0))),
-                        lambda i, k=k: F.struct(F.substring(F.col(hay_col), i, k).alias("g"), F.lit(k).alias("k")))
-            for k in (1, 2, 3)])))).alias("_gk"))
-    grams = grams.where(F.col("_gk.g") != "").select(hay_col, F.col("_gk.g").alias("_g"), F.col("_gk.k").alias("_k"))
-    cand = grams.join(n, on=["_g", "_k"], how="inner").drop("_g", "_k")
-    cand = cand.where(F.instr(F.col(hay_col), F.col(needle_col)) > 0)
-    return hay.join(cand, on=hay_col, how="inner")
+    if dict_side == "hay":
+        if small:
+            return needles.join(F.broadcast(hay), cond, "inner")
+        long_q = needles.where(F.length(needle_col) >= GRAM).withColumn("_g", F.substring(needle_col, 1, GRAM))
+        return _gram_join(hay, hay_col, long_q, needle_col, broadcast=False,
+                          short=needles.where(F.length(needle_col) < GRAM))
+    if n_dict <= NESTED_LOOP_TERMS:
+        return hay.join(F.broadcast(needles), cond, "inner")
+    long_n = needles.where(F.length(needle_col) >= GRAM)
+    short_n = needles.where(F.length(needle_col) < GRAM)
+    idx = _rarest_gram(long_n, needle_col, hay, hay_col)
+    return _gram_join(hay, hay_col, idx, needle_col, broadcast=small, short=short_n)
+
+
+def _gram_join(hay: DataFrame, hay_col: str, idx: DataFrame, needle_col: str, broadcast: bool,
+               short: DataFrame) -> DataFrame:
+    cond = F.instr(F.col(hay_col), F.col(needle_col)) > 0
+    g = hay.withColumn("_g", F.explode(_distinct_grams(F.col(hay_col))))
+    right = F.broadcast(idx) if broadcast else idx
+    long_pairs = g.join(right, on="_g", how="inner").where(cond).drop("_g")
+    short_pairs = hay.join(F.broadcast(short), cond, "inner")
+    return long_pairs.unionByName(short_pairs)
+
+
+def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, small: bool | None = None) -> DataFrame:
+    """Pairs where a single-token needle occurs in the text as a whole word.
+
+    Tokens are maximal runs of letters, digits and underscore (any script); a
+    single-token needle is a whole word of the text exactly when it equals one
+    of the text's tokens, so this is an equi-join on distinct tokens."""
+    if small is None:
+        small = _is_small(needles, BROADCAST_TERMS)
+    tok = hay.withColumn("_t", F.explode(F.array_distinct(F.regexp_extract_all(F.col(hay_col),
+                                                                               F.lit(r"[\p{L}\p{N}_]+"), 0))))
+    right = F.broadcast(needles) if small else needles
+    return tok.join(right, tok["_t"] == right[needle_col], "inner").drop("_t")
+
+
+SINGLE_TOKEN = r"^[\p{L}\p{N}_]+$"
+
+
+def word_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
+    """Pairs where the needle occurs as a whole word (Unicode boundaries):
+    token equi-join for single-token needles, contains + boundary regex for
+    the rest."""
+    single = needles.where(F.col(needle_col).rlike(SINGLE_TOKEN))
+    multi = needles.where(~F.col(needle_col).rlike(SINGLE_TOKEN))
+    a = token_pairs(hay, hay_col, single, needle_col)
+    b = contains_pairs(hay, hay_col, multi, needle_col).where(whole_word(F.col(hay_col), F.col(needle_col)))
+    return a.unionByName(b)
 
 
 def _best(pairs: DataFrame, order: list, keep: list, by: str = "q") -> DataFrame:
@@ -234,10 +322,10 @@ def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: Da
     q = texts.select(F.lower(F.col(text_col)).alias("qt"), src.alias("qs")).where(F.col("qt").isNotNull()).distinct()
     r = rules.select(F.lower(F.col(keyword_col)).alias("kw"), F.col(scope_col).alias("scope"),
                      F.col(rule_ord).alias("rule_ord")).where(F.length("kw") > 0).withColumn("klen", F.length("kw"))
-    p = contains_pairs(q, "qt", r, "kw", small=small)
     in_scope = (F.col("scope") == "ALL") | F.col("qs").isNull() | (F.col("scope") == F.col("qs"))
-    boundary = whole_word(F.col("qt"), F.col("kw"))
-    p = p.where(in_scope & ((F.col("klen") >= 2) | boundary))
+    sub = contains_pairs(q, "qt", r.where(F.col("klen") >= 2), "kw", small=small)
+    word = word_pairs(q, "qt", r.where(F.col("klen") < 2), "kw")
+    p = sub.unionByName(word).where(in_scope)
     w = F.min_by(F.col("rule_ord"), F.struct(-F.col("klen"), F.col("rule_ord"))).alias("rule_ord")
     return p.groupBy("qt", "qs").agg(w)
 
@@ -260,8 +348,7 @@ def override_word(titles: DataFrame, title_col: str, terms: DataFrame, min_len:
     candidates by ``contains``, verified by a per-pair word-boundary regex."""
     q = titles.select(F.lower(F.col(title_col)).alias("q")).where(F.col("q") != "").distinct()
     t = terms.where(F.col("tlen") >= min_len)
-    p = contains_pairs(q, "q", t, "term")
-    p = p.where(whole_word(F.col("q"), F.col("term")))
+    p = word_pairs(q, "q", t, "term")
     return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"])
 
 
