@@ -74,38 +74,43 @@ def _is_small(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+_SIZE_MEMO: dict = {}
+
+
 def _dict_size(df: DataFrame, bound: int) -> int:
-    """Rows of a dictionary, counted up to ``bound + 1`` (a bounded check)."""
-    return df.limit(bound + 1).count()
+    """Rows of a dictionary, counted up to ``bound + 1`` (a bounded check),
+    remembered per logical plan so cascades count each dictionary once."""
+    key = (df.semanticHash(), bound)
+    if key not in _SIZE_MEMO:
+        _SIZE_MEMO[key] = df.limit(bound + 1).count()
+    return _SIZE_MEMO[key]
 
 
 # Up to this many dictionary terms, texts are tested against every term of a
 # broadcast copy (one ``instr`` per pair, no shuffle); above it the q-gram
 # index join does less work per text character.
-NESTED_LOOP_TERMS = 4_000
+NESTED_LOOP_TERMS = 64
 
 
 GRAM = 3
-# Rows of the text side used to estimate gram frequencies (statistics only;
-# the join result is exact whatever gram a term is indexed by).
-GRAM_STATS_ROWS = 20_000
 
 
 def _distinct_grams(c: Column, k: int = GRAM) -> Column:
-    """Distinct k-grams of a text (array; one in-row hash set, no shuffle)."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))),
-                                        lambda i: F.substring(c, i, k)))
+    """Distinct k-grams of a text (array, one regex pass with a look-ahead
+    capture, then an in-row hash set; no shuffle).  Texts shorter than k give
+    none."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
 
 
-def _rarest_gram(needles: DataFrame, needle_col: str, hay: DataFrame, hay_col: str) -> DataFrame:
-    """Each needle (length >= GRAM) indexed by its rarest gram, rarity measured
-    on the first ``GRAM_STATS_ROWS`` rows of the text side."""
-    stats = hay.limit(GRAM_STATS_ROWS).select(F.explode(_distinct_grams(F.col(hay_col))).alias("_g")) \
-        .groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+def _rarest_gram(needles: DataFrame, needle_col: str) -> DataFrame:
+    """Each needle (length >= GRAM) indexed by its rarest gram, rarity taken
+    from the dictionary's own gram frequencies (a gram shared by many terms is
+    usually common in text too).  Any choice keeps the join exact; the rarest
+    one keeps the candidate list short.  No pass over the texts is needed."""
     ex = needles.select(F.col(needle_col).alias("_n")).distinct() \
         .select("_n", F.explode(_distinct_grams(F.col("_n"))).alias("_g"))
-    pick = ex.join(stats, on="_g", how="left") \
-        .groupBy("_n").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), F.col("_g"))).alias("_g"))
+    stats = ex.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    pick = ex.join(stats, on="_g").groupBy("_n").agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g"))
     return needles.join(pick, needles[needle_col] == pick["_n"]).drop("_n")
 
 
@@ -141,7 +146,7 @@ def contains_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col:
         return hay.join(F.broadcast(needles), cond, "inner")
     long_n = needles.where(F.length(needle_col) >= GRAM)
     short_n = needles.where(F.length(needle_col) < GRAM)
-    idx = _rarest_gram(long_n, needle_col, hay, hay_col)
+    idx = _rarest_gram(long_n, needle_col)
     return _gram_join(hay, hay_col, idx, needle_col, broadcast=small, short=short_n)
 
 
