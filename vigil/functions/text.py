@@ -6,19 +6,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space stripped at both ends (Python str.strip set).
-_WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u0085\\u001c-\\u001f]"
-_EDGE_WS = f"^{_WS}+|{_WS}+$"
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Unicode white space stripped at both ends (the Python str.strip
+# set), for ``btrim`` (linear from both ends, no regex).
+WS_CHARS = ("\t\n\u000b\u000c\r \u001c\u001d\u001e\u001f\u0085\u00a0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200b)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c) -> Column:
     """Strip leading/trailing white space of every kind (tab, newline, NBSP...);
-    ``trim`` would strip blanks only."""
-    return F.regexp_replace(_c(c), _EDGE_WS, "")
+    plain ``trim`` strips blanks only."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def normalize(c) -> Column:

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import normalize, strip_pattern
+from vigil.functions.text import normalize, strip_pattern, strip_ws
 
 # Largest dictionary (rows of unpivoted terms) that is broadcast.  Checked by
 # counting the dictionary, which is a dimension table.
@@ -77,6 +77,15 @@ def _is_small(df: DataFrame, bound: int) -> bool:
 _SIZE_MEMO: dict = {}
 
 
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Give per-row heavy work enough tasks: when the input has fewer
+    partitions than the cluster's default parallelism (e.g. one large file
+    with one row group), redistribute it round-robin; otherwise leave the
+    input's own split untouched (no shuffle at scale)."""
+    n = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _dict_size(df: DataFrame, bound: int) -> int:
     """Rows of a dictionary, counted up to ``bound + 1`` (a bounded check),
     remembered per logical plan so cascades count each dictionary once."""
@@ -142,6 +151,7 @@ def contains_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col:
         long_q = needles.where(F.length(needle_col) >= GRAM).withColumn("_g", F.substring(needle_col, 1, GRAM))
         return _gram_join(hay, hay_col, long_q, needle_col, broadcast=False,
                           short=needles.where(F.length(needle_col) < GRAM))
+    hay = spread(hay)
     if n_dict <= NESTED_LOOP_TERMS:
         return hay.join(F.broadcast(needles), cond, "inner")
     long_n = needles.where(F.length(needle_col) >= GRAM)
@@ -168,7 +178,7 @@ def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: st
     of the text's tokens, so this is an equi-join on distinct tokens."""
     if small is None:
         small = _is_small(needles, BROADCAST_TERMS)
-    tok = hay.withColumn("_t", F.explode(F.array_distinct(F.regexp_extract_all(F.col(hay_col),
+    tok = spread(hay).withColumn("_t", F.explode(F.array_distinct(F.regexp_extract_all(F.col(hay_col),
                                                                                F.lit(r"[\p{L}\p{N}_]+"), 0))))
     right = F.broadcast(needles) if small else needles
     return tok.join(right, tok["_t"] == right[needle_col], "inner").drop("_t")
@@ -196,20 +206,24 @@ def _best(pairs: DataFrame, order: list, keep: list, by: str = "q") -> DataFrame
 
 # ------------------------------------------------------------------ strategies
 
-def exact_match(q: DataFrame, terms: DataFrame) -> DataFrame:
-    """M2: term equals the text; winner = (col_rank, row_ord).  Equi-join."""
+def exact_match(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
+    """M2: term equals the text; winner = (col_rank, row_ord).  Equi-join.
+
+    Every strategy takes texts as column ``q`` and returns one winner per
+    ``key`` (``q`` itself for deduplicated short texts, or a row id such as a
+    document id for long texts, which are then never shuffled)."""
     p = q.join(terms, q["q"] == terms["term"], "inner")
-    return _best(p, [F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank"])
+    return _best(p, [F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank"], key)
 
 
-def keyword_match(q: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
+def keyword_match(q: DataFrame, terms: DataFrame, small: bool | None = None, key: str = "q") -> DataFrame:
     """M3: per column, a term containing the text (direction 0) beats a term
     contained in the text (direction 1); winner = (col_rank, direction, row_ord)."""
     fwd = contains_pairs(terms, "term", q, "q", small=small, dict_side="hay").withColumn("dir", F.lit(0))
     rev = contains_pairs(q, "q", terms, "term", small=small).withColumn("dir", F.lit(1))
-    cols = ["q", "term", "col_rank", "row_ord", "dir"]
+    cols = list(dict.fromkeys([key, "q", "term", "col_rank", "row_ord", "dir"]))
     p = fwd.select(*cols).unionByName(rev.select(*cols))
-    return _best(p, [F.col("col_rank"), F.col("dir"), F.col("row_ord")], ["row_ord", "col_rank", "dir"])
+    return _best(p, [F.col("col_rank"), F.col("dir"), F.col("row_ord")], ["row_ord", "col_rank", "dir"], key)
 
 
 def whole_word(text: Column, term: Column) -> Column:
@@ -228,12 +242,12 @@ def _single_char_ok(text: Column, term: Column) -> Column:
     return (F.length(term) > 1) | (nxt == "") | ~nxt.rlike(r"^[\p{L}\p{N}]")
 
 
-def sentence_scan(q: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
+def sentence_scan(q: DataFrame, terms: DataFrame, small: bool | None = None, key: str = "q") -> DataFrame:
     """M4: longest term contained in the text (one-character terms need a
     non-alphanumeric next character); winner = (-tlen, col_rank, row_ord)."""
     p = contains_pairs(q, "q", terms, "term", small=small)
     p = p.where(_single_char_ok(F.col("q"), F.col("term")))
-    return _best(p, [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"])
+    return _best(p, [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"], key)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -243,7 +257,7 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(m == 0, F.lit(100.0)).otherwise(100.0 * (1.0 - F.levenshtein(a, b) / m))
 
 
-def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "q") -> DataFrame:
     """M5: best similarity >= threshold; winner = (-score, col_rank, row_ord).
 
     Blocking is exact: ``score >= t`` implies the lengths satisfy
@@ -256,22 +270,22 @@ def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_TH
         lo = F.greatest(F.ceil(F.col("tlen") * t / 100.0), F.lit(1)).cast("int")
         hi = F.floor(F.col("tlen") * 100.0 / t).cast("int")
     tt = terms.withColumn("qlen", F.explode(F.sequence(lo, hi)))
-    qq = q.withColumn("qlen", F.length("q"))
+    qq = q.withColumn("qlen", F.length("q"))  # texts longer than any band never join
     p = qq.join(tt, on="qlen", how="inner").withColumn("score", similarity(F.col("q"), F.col("term")))
     p = p.where(F.col("score") >= F.lit(t))
-    return _best(p, [-F.col("score"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "score"])
+    return _best(p, [-F.col("score"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "score"], key)
 
 
-def cascade(q: DataFrame, stages: list) -> DataFrame:
+def cascade(q: DataFrame, stages: list, key: str = "q") -> DataFrame:
     """M7/M9: first stage with a hit wins.  ``stages`` = [(name, fn)], each
-    ``fn(q_df) -> (q, row_ord, ...)``.  Texts matched by a stage are removed
-    (anti join) before the next stage runs."""
+    ``fn(q_df) -> (key, row_ord, ...)``.  Texts matched by a stage are removed
+    (anti join on ``key``) before the next stage runs."""
     out = None
     rest = q
     for name, fn in stages:
-        hit = fn(rest).select("q", "row_ord").withColumn("stage", F.lit(name))
+        hit = fn(rest).select(key, "row_ord").withColumn("stage", F.lit(name))
         out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select("q"), on="q", how="left_anti")
+        rest = rest.join(hit.select(key), on=key, how="left_anti")
     return out
 
 
@@ -305,26 +319,32 @@ def hazard_cascade(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY
 
 
 def hazard_extract(q: DataFrame, terms: DataFrame, enable_fuzzy: bool = True,
-                   threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+                   threshold: float = SIMILARITY_THRESHOLD, key: str = "q") -> DataFrame:
     """M8: sentence scan, then (optionally) fuzzy."""
-    st = [("scan", lambda d: sentence_scan(d, terms))]
+    st = [("scan", lambda d: sentence_scan(d, terms, key=key))]
     if enable_fuzzy:
-        st.append(("fuzzy", lambda d: fuzzy_match(d, terms, threshold)))
-    return cascade(q, st)
+        st.append(("fuzzy", lambda d: fuzzy_match(d, terms, threshold, key=key)))
+    return cascade(q, st, key)
 
 
 # ------------------------------------------------------------------ rules (M6)
 
 def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: DataFrame,
               keyword_col: str = "keyword", scope_col: str = "source", rule_ord: str = "rule_ord",
-              small: bool | None = None) -> DataFrame:
+              small: bool | None = None, key: str | None = None) -> DataFrame:
     """M6: rules in scope (scope 'ALL' or the text's source); keywords shorter
-    than 2 characters need word boundaries, longer ones are substrings; all
-    case-insensitive.  Longest keyword wins, ties -> earliest rule.
+    than 2 characters must stand as whole words, longer ones are substrings;
+    all case-insensitive.  Longest keyword wins, ties -> earliest rule.
 
-    Returns ``(q_text, q_source, rule_ord)`` per distinct (lowered text, source)."""
+    Without ``key``: one result per distinct (lowered text, source), columns
+    ``(qt, qs, rule_ord)``.  With ``key`` (a row id, for long texts): one per
+    key, columns ``(key, rule_ord)``; texts are then never deduplicated or
+    shuffled."""
     src = F.col(source_col) if source_col else F.lit(None).cast("string")
-    q = texts.select(F.lower(F.col(text_col)).alias("qt"), src.alias("qs")).where(F.col("qt").isNotNull()).distinct()
+    q = texts.select(*([F.col(key)] if key else []), F.lower(F.col(text_col)).alias("qt"), src.alias("qs")) \
+        .where(F.col("qt").isNotNull())
+    if not key:
+        q = q.distinct()
     r = rules.select(F.lower(F.col(keyword_col)).alias("kw"), F.col(scope_col).alias("scope"),
                      F.col(rule_ord).alias("rule_ord")).where(F.length("kw") > 0).withColumn("klen", F.length("kw"))
     in_scope = (F.col("scope") == "ALL") | F.col("qs").isNull() | (F.col("scope") == F.col("qs"))
@@ -332,7 +352,7 @@ def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: Da
     word = word_pairs(q, "qt", r.where(F.col("klen") < 2), "kw")
     p = sub.unionByName(word).where(in_scope)
     w = F.min_by(F.col("rule_ord"), F.struct(-F.col("klen"), F.col("rule_ord"))).alias("rule_ord")
-    return p.groupBy("qt", "qs").agg(w)
+    return p.groupBy(*([key] if key else ["qt", "qs"])).agg(w)
 
 
 # ------------------------------------------------------------------ M12-M15
@@ -374,7 +394,7 @@ def suggest_category(names: DataFrame, name_col: str, cats: DataFrame, cat_col:
     token-set similarity above ``token_threshold``.  Returns
     ``(q, cat_ord, how)``; substring pairs come from the contains join, token
     pairs from an equi-join on shared tokens."""
-    q = names.select(F.lower(strip_pattern(F.col(name_col), r"^\s+|\s+$")).alias("q")) \
+    q = names.select(F.lower(strip_ws(F.col(name_col))).alias("q")) \
         .where(F.length("q") >= min_len).distinct()
     c = cats.select(F.lower(F.col(cat_col)).alias("term"), F.col(cat_ord).alias("row_ord")) \
         .where(F.length("term") >= min_len).withColumn("tlen", F.length("term"))

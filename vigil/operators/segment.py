@@ -81,20 +81,30 @@ def nearest_preceding(df: DataFrame, key: str, order_col: str, tie_col: str, is_
     return out.withColumn(out_col, F.coalesce(F.col("_in"), F.col("_prev"))).drop("_b", "_h", "_ho", "_in", "_prev")
 
 
-def line_neighbors(lines: DataFrame, is_anchor: Column, doc: str = "doc", pos: str = "pos",
-                   text: str = "line") -> DataFrame:
+def line_neighbors(df: DataFrame, doc_col: str, text_col: str, is_anchor, sep: str = r"\r?\n") -> DataFrame:
     """Around the first anchor line of each document: the line above it
-    (product), the lines below it joined (description) and all lines but the
-    anchor joined (full text).  One aggregation per document, linear in its
-    lines."""
-    t = lines.withColumn("_a", is_anchor)
-    anchor = t.where(F.col("_a")).groupBy(doc).agg(F.min(pos).alias("_ap"))
-    j = t.join(anchor, on=doc, how="inner")
-    return j.groupBy(doc).agg(
-        F.min("_ap").alias("anchor_pos"),
-        F.max(F.when(F.col(pos) == F.col("_ap"), F.col(text))).alias("anchor"),
-        F.max(F.when(F.col(pos) == F.col("_ap") - 1, F.col(text))).alias("above"),
-        ordered_join(F.when((F.col(pos) > F.col("_ap")) & (F.col(text) != ""), F.col(text)), F.col(pos)).alias("below"),
-        ordered_join(F.when((F.col(pos) != F.col("_ap")) & (F.col(text) != ""), F.col(text)), F.col(pos))
-        .alias("full_text"),
+    (product), the non-empty lines below it joined (description) and all
+    non-empty lines but the anchor joined (full text).
+
+    Runs inside each row on the document's line array (``is_anchor(line,
+    pos)`` -> Column), so no line is exploded or shuffled; documents without
+    an anchor give no row."""
+    arr = F.transform(F.split(F.col(text_col), sep), lambda x: strip_ws(x))
+    hits = F.filter(F.transform("_l", lambda x, i: F.when(is_anchor(x, i), i)), lambda v: v.isNotNull())
+    from vigil.operators.match import spread
+    t = spread(df).select(F.col(doc_col).alias("doc"), arr.alias("_l")).withColumn("_ap", F.try_element_at(hits, F.lit(1))) \
+        .where(F.col("_ap").isNotNull())
+    ap = F.col("_ap")
+
+    def keep(pred):
+        return F.array_join(F.filter(F.transform("_l", lambda x, i: F.when(pred(x, i) & (x != ""), x)),
+                                     lambda v: v.isNotNull()), "\n")
+
+    return t.select(
+        "doc",
+        ap.alias("anchor_pos"),
+        F.try_element_at("_l", ap + 1).alias("anchor"),
+        F.when(ap > 0, F.try_element_at("_l", ap)).alias("above"),
+        keep(lambda x, i: i > ap).alias("below"),
+        keep(lambda x, i: i != ap).alias("full_text"),
     )

@@ -107,21 +107,22 @@ def cascade_hazard(spark, sf):
 @query
 def sentence_scan(spark, sf):
     """M4: longest dictionary term inside each whole document."""
-    d = T(spark, sf, "documents").select("doc_id", "text")
-    q = MT.distinct_queries(d, "text")
-    m = MT.sentence_scan(q, hazard_terms(spark, sf))
-    return MT.attach(d, "text", m).select("doc_id", "row_ord", "col_rank", "tlen")
+    d = T(spark, sf, "documents")
+    q = d.select("doc_id", normalize(F.col("text")).alias("q"))
+    m = MT.sentence_scan(q.where(F.col("q") != ""), hazard_terms(spark, sf), key="doc_id")
+    return d.select("doc_id").join(m, on="doc_id", how="left").select("doc_id", "row_ord", "col_rank", "tlen")
 
 
 @query
 def hazard_extract(spark, sf):
     """M8: sentence scan then fuzzy over English documents; KOR, else ENG,
     else test-item name of the winning row."""
-    d = T(spark, sf, "documents").where(F.col("lang") == "en").select("doc_id", "text")
-    q = MT.distinct_queries(d, "text")
-    m = MT.hazard_extract(q, hazard_terms(spark, sf))
+    d = T(spark, sf, "documents").where(F.col("lang") == "en")
+    q = d.select("doc_id", normalize(F.col("text")).alias("q")).where(F.col("q") != "")
+    m = MT.hazard_extract(q, hazard_terms(spark, sf), key="doc_id")
     names = hazard_dict(spark, sf).select("row_ord", F.coalesce("KOR_NM", "ENG_NM", "TESTITM_NM").alias("hazard"))
-    return MT.attach(d, "text", m).join(names, on="row_ord", how="left").select("doc_id", "stage", "hazard")
+    return d.select("doc_id").join(m, on="doc_id", how="left").join(names, on="row_ord", how="left") \
+        .select("doc_id", "stage", "hazard")
 
 
 def rules(spark, sf):
@@ -137,9 +138,7 @@ def rule_scan(spark, sf):
     """M6 + F14: scoped keyword rules over whole documents; longest keyword
     wins, ties -> earliest rule."""
     d = T(spark, sf, "documents").select("doc_id", "text", "source")
-    m = MT.rule_scan(d, "text", "source", rules(spark, sf))
-    j = d.join(m, (F.lower(d.text) == m.qt) & (d.source == m.qs), "inner")
-    return j.select("doc_id", "rule_ord")
+    return MT.rule_scan(d, "text", "source", rules(spark, sf), key="doc_id").select("doc_id", "rule_ord")
 
 
 def _title_lines(spark, sf):

@@ -45,9 +45,8 @@ def nearest_header(spark, sf):
 def line_neighbors(spark, sf):
     """Around the first short line of each document: the line above, the
     lines below and all lines but the anchor."""
-    lines = S.to_lines(T(spark, sf, "documents"), "doc_id", "text")
-    anchor = (F.length("line") < 60) & (F.col("pos") > 0) & (F.col("line") != "")
-    return S.line_neighbors(lines, anchor)
+    return S.line_neighbors(T(spark, sf, "documents"), "doc_id", "text",
+                            lambda line, pos: (F.length(line) < 60) & (pos > 0) & (line != ""))
 
 
 # ===================================================================== HTML
