@@ -276,17 +276,36 @@ def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_TH
     return _best(p, [-F.col("score"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "score"], key)
 
 
-def cascade(q: DataFrame, stages: list, key: str = "q") -> DataFrame:
-    """M7/M9: first stage with a hit wins.  ``stages`` = [(name, fn)], each
-    ``fn(q_df) -> (key, row_ord, ...)``.  Texts matched by a stage are removed
-    (anti join on ``key``) before the next stage runs."""
-    out = None
-    rest = q
-    for name, fn in stages:
-        hit = fn(rest).select(key, "row_ord").withColumn("stage", F.lit(name))
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select(key), on=key, how="left_anti")
-    return out
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: reliable checkpoint into the session's shared checkpoint
+    folder (``spark.checkpoint.dir``).  Used for the small per-stage results of
+    cascades, whose plans would otherwise nest every earlier stage."""
+    from vigil.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def cascade(q: DataFrame, stages: list, key: str = "q", materialize_input: bool = True) -> DataFrame:
+    """M7/M9: the first stage with a hit wins.  ``stages`` = [(name, fn)],
+    each ``fn(q_df) -> (key, row_ord, ...)`` with one winner per key.
+
+    Every stage runs on the whole input and the union of their winners is
+    reduced per key by ``min_by`` over the stage rank.  This equals the
+    sequential early-exit cascade (a stage's winner for one text never
+    depends on the other texts) but needs no chain of anti-joins: the plan is
+    linear in the number of stages and there is one final shuffle.
+
+    When ``materialize_input`` (distinct short texts, e.g. the product types
+    of a notice table) the input is checkpointed first, so chained lookups do
+    not repeat their whole upstream plan inside every stage.  Long texts
+    keyed by a row id pass ``False`` and are read again instead."""
+    src = materialize(q) if materialize_input else q
+    parts = [fn(src).select(key, "row_ord").withColumns({"stage": F.lit(name), "_rank": F.lit(i)})
+             for i, (name, fn) in enumerate(stages)]
+    u = reduce(lambda a, b: a.unionByName(b), parts)
+    return u.groupBy(key).agg(F.min_by(F.struct("row_ord", "stage"), F.col("_rank")).alias("_w")) \
+        .select(key, "_w.row_ord", "_w.stage")
 
 
 def attach(rows: DataFrame, text_col: str, matches: DataFrame, normalizer=normalize) -> DataFrame:
@@ -324,7 +343,7 @@ def hazard_extract(q: DataFrame, terms: DataFrame, enable_fuzzy: bool = True,
     st = [("scan", lambda d: sentence_scan(d, terms, key=key))]
     if enable_fuzzy:
         st.append(("fuzzy", lambda d: fuzzy_match(d, terms, threshold, key=key)))
-    return cascade(q, st, key)
+    return cascade(q, st, key, materialize_input=(key == "q"))
 
 
 # ------------------------------------------------------------------ rules (M6)

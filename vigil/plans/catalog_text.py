@@ -23,12 +23,12 @@ from vigil.sources import io as IO
 @query
 def block_segment(spark, sf):
     """W4 + A16 + F12: conversations as record streams: system turns are
-    headers, user turns open records, short assistant turns are date lines
+    headers, user turns open records, short assistant turns (< 200 characters) are date lines
     (last wins), other assistant turns are content."""
     c = T(spark, sf, "conversations")
     lines = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"),
                      X.strip_ws(F.col("text")).alias("line"), "role")
-    is_date = (F.col("role") == "assistant") & (F.length("line") < 60)
+    is_date = (F.col("role") == "assistant") & (F.length("line") < 200)
     return S.segment_blocks(lines, F.col("role") == "system", F.col("role") == "user", is_date, F.col("pos"))
 
 

@@ -21,7 +21,7 @@ ORACLE["block_segment"] = """
 WITH l AS (SELECT conv_id AS doc, turn AS pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line, role
            FROM conversations),
 k AS (SELECT *, CASE WHEN role = 'system' THEN 'header' WHEN role = 'user' THEN 'code'
-                     WHEN role = 'assistant' AND length(line) < 60 THEN 'date' ELSE 'content' END AS kind
+                     WHEN role = 'assistant' AND length(line) < 200 THEN 'date' ELSE 'content' END AS kind
       FROM l WHERE line IS NOT NULL AND line <> ''),
 b AS (SELECT *,
         CAST(sum(CASE WHEN kind IN ('header', 'code') THEN 1 ELSE 0 END)
@@ -155,3 +155,17 @@ SELECT DISTINCT event_type AS data_source, 'U-' || user_id AS source_detail,
        strftime(CAST(ts AS DATE), '%Y-%m-%d') AS registration_date
 FROM events
 """
+
+ORACLE["map_rasff"] = """
+WITH r AS (
+  SELECT CASE WHEN o_orderstatus = 'P' THEN 'not a date' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date,
+         CAST(o_orderkey AS VARCHAR) AS reference, n_name AS origin,
+         o_orderpriority || ' in ' || c_name AS subject, c_mktsegment AS category
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT COALESCE(strftime(CAST(try_strptime(date, '%d/%m/%Y') AS DATE), '%Y-%m-%d'), '') AS registration_date,
+       'RASFF' AS data_source, reference AS source_detail, category AS product_type,
+       '' AS top_level_product_type, '' AS upper_product_type, subject AS product_name, origin AS origin_country,
+       'EU Member States' AS notifying_country, 'Uncategorized' AS hazard_class_l, 'Uncategorized' AS hazard_class_m,
+       subject AS hazard_item, '' AS full_text, false AS analyzable, false AS interest_item
+FROM r
+"""
