@@ -16,6 +16,7 @@ from vigil.schema import UNIFIED_SCHEMA, enforce_schema
 from vigil.session import checkpoint_dir
 from vigil.sources import html as H
 from vigil.sources import io as IO
+from vigil.streaming.hub_stream import start_hub_stream
 
 
 # ===================================================================== ordered text
@@ -189,12 +190,5 @@ def stream_append(spark, sf):
     e.write.partitionBy("day").parquet(landing)
     sch = T_.StructType(T(spark, sf, "events").schema.fields + [T_.StructField("day", T_.DateType())])
     src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 16).parquet(landing)
-
-    def upsert(batch, _batch_id):
-        current = IO.load_parquet(spark, hub, UNIFIED_SCHEMA)
-        IO.append(M.hub_append(_event_notices(batch), current, dedup_batch=True), hub)
-
-    q = (src.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    start_hub_stream(spark, src, _event_notices, hub, ckpt).awaitTermination()
     return spark.read.parquet(hub).select("data_source", "source_detail", "registration_date")
