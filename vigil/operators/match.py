@@ -270,6 +270,8 @@ def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_TH
         lo = F.greatest(F.ceil(F.col("tlen") * t / 100.0), F.lit(1)).cast("int")
         hi = F.floor(F.col("tlen") * 100.0 / t).cast("int")
     tt = terms.withColumn("qlen", F.explode(F.sequence(lo, hi)))
+    if _dict_size(terms, BROADCAST_TERMS) <= BROADCAST_TERMS:
+        tt = F.broadcast(tt)  # bounded dictionary: the texts are not shuffled
     qq = q.withColumn("qlen", F.length("q"))  # texts longer than any band never join
     p = qq.join(tt, on="qlen", how="inner").withColumn("score", similarity(F.col("q"), F.col("term")))
     p = p.where(F.col("score") >= F.lit(t))

@@ -177,7 +177,7 @@ def map_i0490(raw: DataFrame, refs: References, order_col: str | None = None) ->
         (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("_ord"),
     )
     d = first_per_key(d, ["source_detail"], "_ord")
-    d = hazard_from_text(d, "source_detail", "full_text", refs, "MFDS", raw_fallback=F.col("full_text"))
+    d = MT.materialize(hazard_from_text(d, "source_detail", "full_text", refs, "MFDS", raw_fallback=F.col("full_text")))
     return enforce_schema(_classes(product_lookup(d, "product_type", refs), refs))
 
 
@@ -198,7 +198,7 @@ def map_i2810(raw: DataFrame, refs: References) -> DataFrame:
         F.col("DETECT_TITL").alias("_detect"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    d = hazard_from_text(d, "_row", "full_text", refs, "MFDS", raw_fallback=F.col("_detect"))
+    d = MT.materialize(hazard_from_text(d, "_row", "full_text", refs, "MFDS", raw_fallback=F.col("_detect")))
     return enforce_schema(_classes(d, refs))
 
 
@@ -233,8 +233,8 @@ def map_impfood(raw: DataFrame, refs: References) -> DataFrame:
         F.lit(KOREA).alias("notifying_country"),
         F.col("reason").alias("full_text"),
     )
-    d = hazard_from_text(d, "source_detail", "full_text", refs, "ImpFood", raw_fallback=F.col("full_text"),
-                         use_rules=False)
+    d = MT.materialize(hazard_from_text(d, "source_detail", "full_text", refs, "ImpFood",
+                                        raw_fallback=F.col("full_text"), use_rules=False))
     return enforce_schema(_classes(product_lookup(d, "product_type", refs), refs))
 
 
@@ -264,7 +264,7 @@ def map_fda(blocks: DataFrame, refs: References, overrides: DataFrame | None = N
     for c in ["Manual_Hazard_Item", "Manual_Class_M", "Manual_Class_L", "Manual_Product_Type"]:
         if c not in d.columns:
             d = d.withColumn(c, F.lit(None).cast("string"))
-    d = hazard_from_text(d, "_row", "full_text", refs, "FDA", raw_fallback=F.lit(""))
+    d = MT.materialize(hazard_from_text(d, "_row", "full_text", refs, "FDA", raw_fallback=F.lit("")))
     manual = F.nullif(F.col("Manual_Hazard_Item"), F.lit(""))
     both = F.col("Manual_Class_M").isNotNull() & F.col("Manual_Class_L").isNotNull()
     d = d.withColumns({
