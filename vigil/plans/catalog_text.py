@@ -191,4 +191,4 @@ def stream_append(spark, sf):
     sch = T_.StructType(T(spark, sf, "events").schema.fields + [T_.StructField("day", T_.DateType())])
     src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 16).parquet(landing)
     start_hub_stream(spark, src, _event_notices, hub, ckpt).awaitTermination()
-    return spark.read.parquet(hub).select("data_source", "source_detail", "registration_date")
+    return IO.load_parquet(spark, hub, UNIFIED_SCHEMA).select("data_source", "source_detail", "registration_date")

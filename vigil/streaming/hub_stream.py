@@ -20,17 +20,25 @@ from vigil.sources import io as IO
 
 def start_hub_stream(spark: SparkSession, stream: DataFrame, to_notices: Callable[[DataFrame], DataFrame],
                      hub_path: str, checkpoint_path: str, keys: list | None = None, dedup_batch: bool = True,
-                     available_now: bool = True, processing_time: str | None = None):
+                     available_now: bool = True, processing_time: str | None = None,
+                     partition_by: list | None = None):
     """Start the streaming append; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything landed so far and stops (batch-like
     scheduling, any job runner); otherwise ``processing_time`` (e.g. '1 hour')
-    keeps it running."""
+    keeps it running.
+
+    The hub is written partitioned by ``partition_by`` (default: the
+    registration date, which is part of the key).  The anti join then carries
+    an equality on the partition column, so dynamic partition pruning reads
+    only the hub partitions of the dates present in the micro-batch instead of
+    every hub key on every append."""
     k = keys or HUB_KEYS
+    parts = ["registration_date"] if partition_by is None else partition_by
 
     def upsert(batch: DataFrame, _batch_id: int) -> None:
         current = IO.load_parquet(spark, hub_path, UNIFIED_SCHEMA)
-        IO.append(hub_append(to_notices(batch), current, k, dedup_batch=dedup_batch), hub_path)
+        IO.append(hub_append(to_notices(batch), current, k, dedup_batch=dedup_batch), hub_path, parts or None)
 
     w = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 hour")
