@@ -100,7 +100,7 @@ def test_missing_path_is_empty(spark, tmp_dir):
 
 def test_csv_bom_export_and_reads(spark, tmp_dir):
     out = os.path.join(tmp_dir, "export")
-    IO.export_csv_bom(spark.createDataFrame([("가", 1)], "`등록일자` string, n int"), out)
+    IO.export_csv_bom(spark.createDataFrame([("가", 1)], "`등록일자` string, n int"), out, single_file=True)
     part = [f for f in os.listdir(out) if f.startswith("part-")][0]
     data = open(os.path.join(out, part), "rb").read()
     assert data.startswith(b"\xef\xbb\xbf")
@@ -123,3 +123,11 @@ def test_envelope_pages(spark, tmp_dir):
     from pyspark.sql import types as T
     rows = IO.read_envelope(spark, p, "I2620", T.StructType([T.StructField("PRDTNM", T.StringType())])).collect()
     assert sorted(r["PRDTNM"] for r in rows) == ["a", "b"]
+
+
+def test_csv_bom_every_part(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "export_parts")
+    IO.export_csv_bom(spark.range(100).repartition(3).selectExpr("id AS `번호`"), out)
+    parts = [f for f in os.listdir(out) if f.startswith("part-")]
+    assert len(parts) == 3
+    assert all(open(os.path.join(out, f), "rb").read().startswith(b"\xef\xbb\xbf") for f in parts)

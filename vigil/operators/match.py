@@ -70,10 +70,6 @@ def distinct_queries(texts: DataFrame, text_col: str, normalizer=normalize) -> D
     return texts.select(normalizer(F.col(text_col)).alias("q")).where(F.col("q") != "").distinct()
 
 
-def _is_small(df: DataFrame, bound: int) -> bool:
-    return df.limit(bound + 1).count() <= bound
-
-
 _SIZE_MEMO: dict = {}
 
 
@@ -177,7 +173,7 @@ def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: st
     single-token needle is a whole word of the text exactly when it equals one
     of the text's tokens, so this is an equi-join on distinct tokens."""
     if small is None:
-        small = _is_small(needles, BROADCAST_TERMS)
+        small = _dict_size(needles, BROADCAST_TERMS) <= BROADCAST_TERMS
     tok = spread(hay).withColumn("_t", F.explode(F.array_distinct(F.regexp_extract_all(F.col(hay_col),
                                                                                F.lit(r"[\p{L}\p{N}_]+"), 0))))
     right = F.broadcast(needles) if small else needles

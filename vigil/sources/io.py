@@ -145,14 +145,19 @@ def clear_table(spark: SparkSession, path: str, schema: T.StructType = UNIFIED_S
     return write_version(spark.createDataFrame([], schema), path)
 
 
-def export_csv_bom(df: DataFrame, path: str) -> None:
-    """IO16: one CSV file for spreadsheets, UTF-8 with a byte-order mark.
-
-    The mark is prepended to the first header name; ``coalesce(1)`` keeps one
-    part file (and so one mark).  This is an export of a display-sized view."""
+def export_csv_bom(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """IO16: CSV for spreadsheets, UTF-8 with a byte-order mark.
+
+    The mark is prepended to the first header name, and Spark writes the
+    header into every part file, so every part file starts with the mark and
+    opens correctly on its own.  ``single_file=True`` (the dashboard download
+    of a display-capped view) coalesces to one part; large exports keep their
+    partitioning and are written in parallel."""
     first = df.columns[0]
-    (df.withColumnRenamed(first, "\ufeff" + first).coalesce(1)
-     .write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path))
+    out = df.withColumnRenamed(first, "\ufeff" + first)
+    if single_file:
+        out = out.coalesce(1)
+    out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def run_report(spark: SparkSession, source: str, n_rows: int, run_id: str | None = None) -> DataFrame:
