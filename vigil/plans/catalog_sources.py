@@ -61,7 +61,7 @@ def map_i0490(spark, sf):
                    F.concat(F.lit("doc "), F.col("doc_id")).alias("PRDTNM"), F.col("lang").alias("PRDLST_CD_NM"),
                    F.col("text").alias("RTRVLPRVNS"), F.col("doc_id").cast("string").alias("RTRVLDSUSE_SEQ"),
                    F.col("doc_id").alias("ord"))
-    return MP.map_i0490(raw, references(spark, sf), order_col="ord")
+    return MP.map_i0490(raw, references(spark, sf), order_col="ord", long_texts=True)
 
 
 @query
@@ -73,7 +73,7 @@ def map_i2810(spark, sf):
                    F.col("source").alias("DETECT_TITL"),
                    F.concat(F.lit("원산지: "), F.col("lang"), F.lit(" "), F.col("text")).alias("BDT"),
                    F.col("doc_id").cast("string").alias("NTCTXT_NO"))
-    return MP.map_i2810(raw, references(spark, sf))
+    return MP.map_i2810(raw, references(spark, sf), long_texts=True)
 
 
 @query

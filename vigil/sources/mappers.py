@@ -47,6 +47,18 @@ class References:
     similarity: float = MT.SIMILARITY_THRESHOLD
     long_text: int = MT.LONG_TEXT_THRESHOLD
 
+    def product_terms(self) -> DataFrame:
+        """Unpivoted, deduplicated product vocabulary, checkpointed once and
+        shared by every lookup of a run (a small leaf in each plan)."""
+        if not hasattr(self, "_pt"):
+            self._pt = MT.materialize(MT.prepare_terms(self.products, MT.PRODUCT_MATCH_COLUMNS))
+        return self._pt
+
+    def hazard_terms(self) -> DataFrame:
+        if not hasattr(self, "_ht"):
+            self._ht = MT.materialize(MT.prepare_terms(self.hazards, MT.HAZARD_MATCH_COLUMNS))
+        return self._ht
+
 
 def _opt(df: DataFrame, c: str) -> Column:
     return F.col(c) if c in df.columns else F.lit(None).cast("string")
@@ -62,7 +74,7 @@ def product_lookup(df: DataFrame, type_col: str, refs: References) -> DataFrame:
     row's stored names are used."""
     p = refs.products
     q = MT.distinct_queries(df, type_col)
-    terms = MT.prepare_terms(p, MT.PRODUCT_MATCH_COLUMNS)
+    terms = refs.product_terms()
     m = MT.product_cascade(q, terms, refs.similarity)
     names = first_per_key(p.select(F.col("PRDLST_CD").alias("_c"), F.coalesce("KOR_NM", "ENG_NM").alias("_nm"),
                                    F.col("row_ord").alias("_o")).where(F.col("_c").isNotNull()), ["_c"], "_o") \
@@ -83,7 +95,7 @@ def hazard_lookup(df: DataFrame, item_col: str, refs: References, fallback_to_it
     """M9 + M10: class M/L and flags for a hazard item; unmatched items keep
     the raw item as middle class (option), flags false."""
     q = MT.distinct_queries(df, item_col)
-    terms = MT.prepare_terms(refs.hazards, MT.HAZARD_MATCH_COLUMNS)
+    terms = refs.hazard_terms()
     m = MT.hazard_cascade(q, terms, refs.similarity, refs.long_text)
     h = refs.hazards.select("row_ord", "M_KOR_NM", "L_KOR_NM", "ANALYZABLE", "INTEREST_ITEM")
     info = m.join(h, on="row_ord").select("q", "M_KOR_NM", "L_KOR_NM", "ANALYZABLE", "INTEREST_ITEM")
@@ -99,16 +111,24 @@ def hazard_lookup(df: DataFrame, item_col: str, refs: References, fallback_to_it
 
 
 def hazard_from_text(df: DataFrame, id_col: str, text_col: str, refs: References, source: str,
-                     raw_fallback: Column | None = None, use_rules: bool = True) -> DataFrame:
+                     raw_fallback: Column | None = None, use_rules: bool = True,
+                     long_texts: bool = False) -> DataFrame:
     """M6 + M8 + M11: hazard item from free text.
 
     Keyword rules in scope for ``source`` win (item and, when both given, the
     classes); else the dictionary scan (+ fuzzy) gives KOR, else ENG, else the
     test-item name; else ``raw_fallback``.  Adds ``hazard_item``,
-    ``rule_class_m``, ``rule_class_l``.  Texts are keyed by ``id_col`` so long
-    texts are never deduplicated or shuffled."""
-    t = df.select(F.col(id_col).alias("_id"), X.normalize(F.col(text_col)).alias("q"), F.lit(source).alias("_src"),
+    ``rule_class_m``, ``rule_class_l``.
+
+    Short texts (recall reasons, card reasons) repeat a lot: they are matched
+    once per distinct text.  With ``long_texts`` (whole documents) they are
+    keyed by ``id_col`` instead, so they are never deduplicated or shuffled."""
+    key = id_col if long_texts else text_col
+    t = df.select(F.col(key).alias("_id"), X.normalize(F.col(text_col)).alias("q"), F.lit(source).alias("_src"),
                   F.col(text_col).alias("_raw")).where(F.col("q") != "")
+    if not long_texts:
+        t = t.distinct()
+    id_col = key
     out = df
     if use_rules and refs.rules is not None:
         rr = refs.rules
@@ -119,7 +139,7 @@ def hazard_from_text(df: DataFrame, id_col: str, text_col: str, refs: References
     else:
         out = out.withColumns({"_ri": F.lit(None).cast("string"), "_rm": F.lit(None).cast("string"),
                                "_rl": F.lit(None).cast("string")})
-    terms = MT.prepare_terms(refs.hazards, MT.HAZARD_MATCH_COLUMNS)
+    terms = refs.hazard_terms()
     ex = MT.hazard_extract(t.select("_id", "q"), terms, True, refs.similarity, key="_id")
     names = refs.hazards.select("row_ord", F.coalesce("KOR_NM", "ENG_NM", "TESTITM_NM").alias("_xi"))
     ex = ex.join(names, on="row_ord").select("_id", "_xi")
@@ -163,7 +183,7 @@ def map_i2620(raw: DataFrame, refs: References, order_col: str | None = None) ->
     return enforce_schema(_classes(product_lookup(d, "product_type", refs), refs))
 
 
-def map_i0490(raw: DataFrame, refs: References, order_col: str | None = None) -> DataFrame:
+def map_i0490(raw: DataFrame, refs: References, order_col: str | None = None, long_texts: bool = False) -> DataFrame:
     """Recalls; hazard from the reason text (rules, then dictionary scan,
     else the reason itself); first row per source detail."""
     d = raw.select(
@@ -177,11 +197,12 @@ def map_i0490(raw: DataFrame, refs: References, order_col: str | None = None) ->
         (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("_ord"),
     )
     d = first_per_key(d, ["source_detail"], "_ord")
-    d = MT.materialize(hazard_from_text(d, "source_detail", "full_text", refs, "MFDS", raw_fallback=F.col("full_text")))
+    d = MT.materialize(hazard_from_text(d, "source_detail", "full_text", refs, "MFDS", raw_fallback=F.col("full_text"),
+                                        long_texts=long_texts))
     return enforce_schema(_classes(product_lookup(d, "product_type", refs), refs))
 
 
-def map_i2810(raw: DataFrame, refs: References) -> DataFrame:
+def map_i2810(raw: DataFrame, refs: References, long_texts: bool = False) -> DataFrame:
     """Overseas recalls; text = detected title + body, origin from the body,
     fixed product columns."""
     d = raw.select(
@@ -198,7 +219,8 @@ def map_i2810(raw: DataFrame, refs: References) -> DataFrame:
         F.col("DETECT_TITL").alias("_detect"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    d = MT.materialize(hazard_from_text(d, "_row", "full_text", refs, "MFDS", raw_fallback=F.col("_detect")))
+    d = MT.materialize(hazard_from_text(d, "_row", "full_text", refs, "MFDS", raw_fallback=F.col("_detect"),
+                                        long_texts=long_texts))
     return enforce_schema(_classes(d, refs))
 
 
@@ -264,7 +286,7 @@ def map_fda(blocks: DataFrame, refs: References, overrides: DataFrame | None = N
     for c in ["Manual_Hazard_Item", "Manual_Class_M", "Manual_Class_L", "Manual_Product_Type"]:
         if c not in d.columns:
             d = d.withColumn(c, F.lit(None).cast("string"))
-    d = MT.materialize(hazard_from_text(d, "_row", "full_text", refs, "FDA", raw_fallback=F.lit("")))
+    d = MT.materialize(hazard_from_text(d, "_row", "full_text", refs, "FDA", raw_fallback=F.lit(""), long_texts=True))
     manual = F.nullif(F.col("Manual_Hazard_Item"), F.lit(""))
     both = F.col("Manual_Class_M").isNotNull() & F.col("Manual_Class_L").isNotNull()
     d = d.withColumns({
