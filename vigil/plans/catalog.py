@@ -86,7 +86,7 @@ def facets(spark, sf):
 def recent_days(spark, sf):
     """orders within 30 days before a fixed as-of date."""
     o = T(spark, sf, "orders")
-    o = Q.filter_recent(o, F.to_date("o_orderdate"), 30, "1998-08-02")
+    o = Q.filter_recent(o, F.col("o_orderdate"), 30, "1998-08-02")  # raw column: the bound reaches the scan
     return o.select("o_orderkey", F.to_date("o_orderdate").alias("order_date"))
 
 
