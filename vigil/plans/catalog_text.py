@@ -192,3 +192,28 @@ def stream_append(spark, sf):
     src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 16).parquet(landing)
     start_hub_stream(spark, src, _event_notices, hub, ckpt).awaitTermination()
     return IO.load_parquet(spark, hub, UNIFIED_SCHEMA).select("data_source", "source_detail", "registration_date")
+
+
+@query
+def run_log(spark, sf):
+    """IO13 + IO17: row counts returned by two appends (observed while
+    writing, no second scan), as run-report rows."""
+    o = T(spark, sf, "orders")
+    path = _scratch(spark, "runlog")
+    early = o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
+    late = o.where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
+    reports = [IO.run_report(spark, "orders", IO.append(df, path), run_id=rid)
+               for rid, df in (("r1", early), ("r2", late))]
+    return reports[0].unionByName(reports[1]).select("run_id", "source", "n_rows")
+
+
+@query
+def capped_listing(spark, sf):
+    """L3: display listing capped at 5,000 rows in key order, with the
+    'limited' flag telling whether more rows exist (only cap + 1 rows are
+    pulled for the test)."""
+    from vigil.operators.metrics import capped
+    li = T(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
+    rows, limited = capped(li.select("l_orderkey", "l_linenumber", "l_quantity"), 5000,
+                           ["l_orderkey", "l_linenumber"])
+    return rows.withColumn("limited", F.lit(limited))

@@ -169,3 +169,15 @@ SELECT COALESCE(strftime(CAST(try_strptime(date, '%d/%m/%Y') AS DATE), '%Y-%m-%d
        subject AS hazard_item, '' AS full_text, false AS analyzable, false AS interest_item
 FROM r
 """
+
+ORACLE["run_log"] = """
+SELECT 'r1' AS run_id, 'orders' AS source, count(*) AS n_rows FROM orders WHERE o_orderdate < DATE '1995-01-01'
+UNION ALL
+SELECT 'r2', 'orders', count(*) FROM orders WHERE o_orderdate >= DATE '1995-01-01'
+"""
+
+ORACLE["capped_listing"] = """
+SELECT l_orderkey, l_linenumber, l_quantity,
+       (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') > 5000 AS limited
+FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber LIMIT 5000
+"""
