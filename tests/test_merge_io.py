@@ -131,3 +131,15 @@ def test_csv_bom_every_part(spark, tmp_dir):
     parts = [f for f in os.listdir(out) if f.startswith("part-")]
     assert len(parts) == 3
     assert all(open(os.path.join(out, f), "rb").read().startswith(b"\xef\xbb\xbf") for f in parts)
+
+
+def test_cp949_csv(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "cp949.csv")
+    with open(p, "wb") as f:
+        f.write("Alert_No,IsCollect\n99-01,true\n수입-02,no\n".encode("cp949"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        rows = IO.read_csv_strings(spark, p, encoding="x-windows-949").collect()
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    assert [(r["Alert_No"], r["IsCollect"]) for r in rows] == [("99-01", "true"), ("수입-02", "no")]
