@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.text import parse_date_multi
 
 # Default critical-hazard keywords (regex alternation, '.' is any char).
 RISK_KEYWORDS = ["salmonella", "listeria", "e.coli", "metal", "glass"]
@@ -157,9 +156,8 @@ def facet_values(df: DataFrame, col: str) -> DataFrame:
 def capped(df: DataFrame, cap: int = 5000, order_cols: list | None = None):
     """L3: display cap.  Returns ``(rows_df, limited)`` where ``limited`` tells
     whether more than ``cap`` rows exist (only ``cap + 1`` rows are pulled)."""
+    limited = df.limit(cap + 1).count() > cap  # existence probe: no sort needed
     d = df.orderBy(*order_cols) if order_cols else df
-    probe = d.limit(cap + 1)
-    limited = probe.count() > cap
     return d.limit(cap), limited
 
 

@@ -16,7 +16,7 @@ from vigil.operators import audit as A
 from vigil.operators import lookup as L
 from vigil.operators import merge as M
 from vigil.operators import metrics as Q
-from vigil.schema import UNIFIED_COLUMNS, enforce_schema, rename_columns, schema_diff
+from vigil.schema import enforce_schema, rename_columns, schema_diff
 
 
 def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
