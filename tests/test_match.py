@@ -128,8 +128,13 @@ def test_containment_strategies_agree_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(MT, "NESTED_LOOP_TERMS", 0)
     MT._SIZE_MEMO.clear()
     got_gram = sorted(tuple(r) for r in MT.contains_pairs(h, "q", n, "term").select("q", "term").collect())
+    monkeypatch.setattr(MT, "BROADCAST_TERMS", 5)
+    MT._SIZE_MEMO.clear()
+    got_shuffled = sorted(set(tuple(r) for r in MT.contains_pairs(h, "q", n, "term").select("q", "term").collect()))
+    MT._SIZE_MEMO.clear()
     assert got_loop == expected
     assert got_gram == expected
+    assert got_shuffled == expected
 
 
 def test_whole_word_pairs_unicode(spark):

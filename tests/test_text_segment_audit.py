@@ -90,3 +90,21 @@ def test_audit_planted_gaps(spark):
     assert mp[("hazard_item", "hazard_class_m")] == 2
     s = A.audit_summary(df).collect()[0]
     assert (s["total_rows"], s["n_sources"], s["sources"], s["verdict"]) == (4, 3, "FDA,MFDS,RASFF", "fail")
+
+
+def test_salted_top_k_with_hot_group_and_sequential_ids(spark):
+    import random as _r
+    from vigil.operators.match import top_k_per_group
+    from vigil.operators.order import sequential_ids
+    rnd = _r.Random(11)
+    rows = [("hot" if i % 3 == 0 else f"g{i % 7}", rnd.randint(0, 10_000), f"n{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "grp string, len long, name string")
+    got = {}
+    for r in top_k_per_group(df, ["grp"], ["len", "name"], 10).collect():
+        got.setdefault(r["grp"], []).append((r["len"], r["name"]))
+    for g in {r[0] for r in rows}:
+        exp = sorted((x[1], x[2]) for x in rows if x[0] == g)[:10]
+        assert sorted(got[g]) == exp
+    ids = sequential_ids(df.select("name"), "name", "seq", partitions=5).collect()
+    by_name = {r["name"]: r["seq"] for r in ids}
+    assert [by_name[n] for n in sorted(by_name)] == list(range(1, 3001))

@@ -162,7 +162,14 @@ def _gram_join(hay: DataFrame, hay_col: str, idx: DataFrame, needle_col: str, br
     g = hay.withColumn("_g", F.explode(_distinct_grams(F.col(hay_col))))
     right = F.broadcast(idx) if broadcast else idx
     long_pairs = g.join(right, on="_g", how="inner").where(cond).drop("_g")
-    short_pairs = hay.join(F.broadcast(short), cond, "inner")
+    if _dict_size(short, BROADCAST_TERMS) <= BROADCAST_TERMS:
+        short_pairs = hay.join(F.broadcast(short), cond, "inner")
+    else:
+        # Too many 1-2 character needles to broadcast: a needle of length k is
+        # contained exactly when it equals one of the text's k-grams.
+        sg = hay.withColumn("_g", F.explode(F.array_union(_distinct_grams(F.col(hay_col), 1),
+                                                          _distinct_grams(F.col(hay_col), 2))))
+        short_pairs = sg.join(short, sg["_g"] == short[needle_col], "inner").drop("_g")
     return long_pairs.unionByName(short_pairs)
 
 
