@@ -143,3 +143,19 @@ def test_cp949_csv(spark, tmp_dir):
     finally:
         spark.conf.unset("spark.sql.legacy.javaCharsets")
     assert [(r["Alert_No"], r["IsCollect"]) for r in rows] == [("99-01", "true"), ("수입-02", "no")]
+
+
+def test_hub_append_prunes_hub_partitions(spark, tmp_dir):
+    import contextlib
+    import io as _io
+    from vigil.schema import UNIFIED_SCHEMA
+    hub = os.path.join(tmp_dir, "phub")
+    rows = [(f"2024-01-0{d}", "FDA", f"A-{d}-{i}", None, None, None) for d in range(1, 6) for i in range(3)]
+    IO.append(_notices(spark, rows), hub, ["registration_date"])
+    batch = _notices(spark, [("2024-01-03", "FDA", "A-3-0", None, None, None), ("2024-01-03", "FDA", "new", None, None, None)])
+    out = M.hub_append(batch, IO.load_parquet(spark, hub, UNIFIED_SCHEMA))
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain("formatted")
+    assert "(registration_date#" in buf.getvalue() and "= 2024-01-03)]" in buf.getvalue()
+    assert [r["source_detail"] for r in out.collect()] == ["new"]

@@ -29,10 +29,9 @@ def start_hub_stream(spark: SparkSession, stream: DataFrame, to_notices: Callabl
     keeps it running.
 
     The hub is written partitioned by ``partition_by`` (default: the
-    registration date, which is part of the key).  The anti join then carries
-    an equality on the partition column, so dynamic partition pruning reads
-    only the hub partitions of the dates present in the micro-batch instead of
-    every hub key on every append."""
+    registration date, which is part of the key).  ``hub_append`` filters the
+    hub by the micro-batch's dates, so each append reads only those hub
+    partitions instead of every hub key."""
     k = keys or HUB_KEYS
     parts = ["registration_date"] if partition_by is None else partition_by
 
