@@ -7,12 +7,16 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, packing, sharding
+from vigil.llm import bpe, langid, packing, sharding, toxicity
 from vigil.llm.common import ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_languages")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -25,6 +29,10 @@ def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def _shipped(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +42,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op3_best_fit_packing, op6_virtual_slots, op7_forced_boundary_bpe)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_language_mixture, op3_best_fit_packing, op6_virtual_slots, op7_forced_boundary_bpe, op8_toxic_lexicon)}
 ORACLE: dict[str, str] = {}
