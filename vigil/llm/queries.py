@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, packing, sharding, toxicity
+from vigil.llm import bpe, langid, packing, setjoin, sharding, toxicity
 from vigil.llm.common import ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op8_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def _shipped(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +46,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_language_mixture, op3_best_fit_packing, op6_virtual_slots, op7_forced_boundary_bpe, op8_toxic_lexicon)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_language_mixture, op3_best_fit_packing, op6_virtual_slots, op7_forced_boundary_bpe, op8_toxic_lexicon, op10_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
