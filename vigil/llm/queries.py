@@ -7,12 +7,16 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, packing, setjoin, sharding, toxicity
+from vigil.llm import bpe, langid, packing, setjoin, sharding, suffix, toxicity
 from vigil.llm.common import ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_languages")
 
@@ -46,5 +50,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_language_mixture, op3_best_fit_packing, op6_virtual_slots, op7_forced_boundary_bpe, op8_toxic_lexicon, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_suffix_dedup, op2_language_mixture, op3_best_fit_packing, op6_virtual_slots, op7_forced_boundary_bpe, op8_toxic_lexicon, op10_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
