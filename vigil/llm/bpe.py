@@ -4,8 +4,8 @@ A text is split by the byte-level pre-tokenisation rule.  Inside a pre-token, tw
 neighbouring bytes that are adjacent in no vocabulary token can never end up in one
 token, so every such place is a certain cut.  The fragments between the cuts are merged
 independently and their ids concatenated, so a very long pre-token costs the sum of its
-fragments.  Pre-tokens and fragments repeat a lot; each Python worker remembers the ids
-of a bounded number of them (the memory is emptied when full, results don't depend on it).
+fragments.  Pre-tokens repeat a lot; each Python worker remembers the ids
+of a bounded number of them (results don't depend on it).
 
 Defined cases: null or empty text gives no ids (decoded: empty text); a special token's
 string in the text becomes its id, as in the library; repeated rows are encoded each;
@@ -20,6 +20,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,21 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import chunks, texts
 
-#: Entries a worker remembers before it starts anew.
-MEMORY = 700_000
+#: New pre-tokens after which a worker forgets those it hasn't met again.
+MEMORY = 300_000
 #: Bytes of text handled at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
-def _ranges(kind: str) -> str:
-    """Character-class body of all code points whose general category starts with ``kind``."""
+beyond_latin = re.compile("[^\x00-\xff]").search
+
+
+def _ranges(kind: str, end: int) -> str:
+    """Character-class body of the code points below ``end`` whose general category starts with ``kind``."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+    for c in range(end + 1):
+        inside = c < end and unicodedata.category(chr(c))[0] == kind
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -48,12 +52,22 @@ def _ranges(kind: str) -> str:
     return "".join(out)
 
 
+def _rule(end: int) -> re.Pattern:
+    letter, number = _ranges("L", end), _ranges("N", end)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+"
+                      f"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+
+
 @functools.cache
 def pretoken_pattern() -> re.Pattern:
     """The byte-level pre-tokenisation rule, with letters, numbers and white space spelled out."""
-    letter, number = _ranges("L"), _ranges("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+"
-                      f"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+    return _rule(sys.maxunicode + 1)
+
+
+@functools.cache
+def latin_pattern() -> re.Pattern:
+    """The same for texts of code points below 256, whose small classes are faster to test."""
+    return _rule(256)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,16 +78,20 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Memory(dict):
-    """Remembers ``make(key)`` for up to ``limit`` keys."""
+    """Remembers ``make(key)``; when ``limit`` keys are new, those not met since the last time go."""
 
     def __init__(self, make, limit: int = MEMORY):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -85,72 +103,81 @@ class ByteBPE:
             spec = json.load(f)
         letters = _byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
-        vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.ids = {raw(t): i for t, i in vocab.items() if t not in self.special}
-        self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merges = {(raw(a), raw(b)): n for n, (a, b) in enumerate(pairs)}
-        self.adjacent = frozenset(p for t in self.ids for p in zip(t, t[1:]))
-        self.fragments = _Memory(self._merge, MEMORY // 4)
+        ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.bytes_of = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.byte_ids = [ids[bytes([b])] for b in range(256)]
+        pairs = [[raw(x) for x in (m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        #: id of the left << 20 | id of the right -> rank; rank -> id of both
+        self.merges = {ids[a] << 20 | ids[b]: n for n, (a, b) in enumerate(pairs)}
+        self.merged = [ids[a + b] for a, b in pairs]
+        self.ids = ids
+        self.adjacent = frozenset(p for t in ids for p in zip(t, t[1:]))
         self.pretokens = _Memory(self._pretoken)
-        self.find = pretoken_pattern().findall
         self.parts = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
 
     def cuts(self, data: bytes) -> list[bytes]:
         """``data`` split wherever no vocabulary token can span."""
+        if self.adjacent.issuperset(zip(data, data[1:])):
+            return [data]
         places = [i for i, p in enumerate(zip(data, data[1:]), 1) if p not in self.adjacent]
-        return [data[a:b] for a, b in zip([0, *places], [*places, len(data)])] if places else [data]
+        return [data[a:b] for a, b in zip([0, *places], [*places, len(data)])]
 
     def _pretoken(self, piece: str) -> bytes:
-        return b"".join([self.fragments[f] for f in self.cuts(piece.encode())])
-
-    def _merge(self, data: bytes) -> bytes:
-        parts = [data[i:i + 1] for i in range(len(data))]
-        parts = self._merge_short(parts) if len(parts) <= 40 else self._merge_long(parts)
-        return np.array([self.ids[p] for p in parts], "<u4").tobytes()
-
-    def _merge_short(self, parts: list[bytes]) -> list[bytes]:
-        rank, none = self.merges.get, len(self.merges)
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        ids: list[int] = []
+        for fragment in self.cuts(piece.encode()):
+            parts = [self.byte_ids[b] for b in fragment]
+            ids += self._merge_short(parts) if len(parts) <= 40 else self._merge_long(parts)
+        return array("I", ids).tobytes()
+
+    def _merge_short(self, parts: list[int]) -> list[int]:
+        rank, merged, none = self.merges.get, self.merged, len(self.merged)
+        ranks = [rank(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            new = parts[i] = merged[best]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
+                ranks[i] = rank(new << 20 | parts[i + 1], none)
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = rank(parts[i - 1] << 20 | new, none)
         return parts
 
-    def _merge_long(self, parts: list[bytes]) -> list[bytes]:
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """Lowest merge first, leftmost among equals, by a heap over a linked list."""
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
+        heap: list[tuple[int, int]] = []
+
+        def rank(i: int) -> int | None:
+            return self.merges.get(parts[i] << 20 | parts[after[i]]) if after[i] < n else None
 
         def offer(i: int) -> None:
-            if 0 <= i and after[i] < n and (r := self.merges.get((parts[i], parts[after[i]]))) is not None:
-                heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
+            if i >= 0 and (r := rank(i)) is not None:
+                heapq.heappush(heap, (r, i))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if parts[i] is not a or after[i] >= n or parts[after[i]] is not b:
+            r, i = heapq.heappop(heap)
+            if parts[i] < 0 or rank(i) != r:
                 continue  # one of the two has been merged meanwhile
             j = after[i]
-            parts[i], parts[j], after[i] = a + b, None, after[j]
+            parts[i], parts[j], after[i] = self.merged[r], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             offer(before[i])
             offer(i)
-        return [p for p in parts if p is not None]
+        return [p for p in parts if p >= 0]
+
+    def find(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return (pretoken_pattern if beyond_latin(text) else latin_pattern)().findall(text)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if self.special and any(s in text for s in self.special):
-            return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else b"".join(map(self.pretokens.__getitem__, self.find(x))) for x in self.parts(text))
+            return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else b"".join(map(self.pretokens.__getitem__, self.find(x))) for x in self.parts(text))
         return b"".join(map(self.pretokens.__getitem__, self.find(text)))
 
     def decode(self, ids) -> str:
