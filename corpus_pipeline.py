@@ -1,8 +1,82 @@
-"""Corpus pipeline: filter, deduplicate and pack ``documents``."""
+"""Corpus pipeline over ``documents``: toxicity filter, language filter, near duplicates, repeated passages, packing.
 
-STAGES: list = []
+Each stage works on everything that the one before has kept; its result is written as
+Parquet into the shared checkpoint folder and read again.  All stages but the last return the columns of documents.
+
+* toxicity: rows predicted toxic go (operator 8).
+* language: rows without a letter, and rows of which no language makes up ``LEAST_SHARE``, go (operator 2).
+* near_duplicates: of the rows whose 5-word shingle sets reach a similarity of 0.8, directly or by
+  links, the one with the smallest id stays (operator 10); rows without words stay.
+* passages: bytes covered by a 100-byte string that occurs earlier are cut from the text, and
+  n_chars is counted anew; rows stay, also if nothing of their text is left (operator 1).
+* packing: every piece of what is left with its sequence and place (operator 3).
+
+SQL can't express the stages, so ORACLE_SQL is None and the tests hold each against brute force.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.llm import langid, packing, setjoin, suffix, toxicity
+from vigil.llm.common import ship, table
+from vigil.session import checkpoint_dir
+
+LEAST_SHARE = 0.4
+TOKENIZER = "byte_bpe_50k.json"
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = langid.identify(docs, docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    groups = setjoin.join(docs, 5, 80, 100)
+    others = groups.where("not doc_id <=> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = suffix.removed(docs, keep=rest).withColumnRenamed("kept_text", "text")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("language", keep_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("passages", cut_passages),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage."""
+    root = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.mode("errorifexists").parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

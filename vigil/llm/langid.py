@@ -140,7 +140,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str
                 [*keep, "lang_pred", "score", "n_languages"])
 
     df = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
     return df.mapInArrow(run, f"{schema}, lang_pred string, score double, n_languages int")
 
 

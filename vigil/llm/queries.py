@@ -7,10 +7,11 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, packing, setjoin, sharding, suffix, toxicity
+from vigil.llm import ann, bpe, covertree, langid, packing, setjoin, sharding, suffix, toxicity, unigram
 from vigil.llm.common import ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_viterbi_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,10 @@ def op8_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents"), 3, 90, 100)
 
@@ -50,5 +63,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_suffix_dedup, op2_language_mixture, op3_best_fit_packing, op6_virtual_slots, op7_forced_boundary_bpe, op8_toxic_lexicon, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: _shipped(f) for f in (
+    op1_suffix_dedup, op2_language_mixture, op3_best_fit_packing, op4_cover_tree_topk, op5_viterbi_token_count, op6_virtual_slots,
+    op7_forced_boundary_bpe, op8_toxic_lexicon, op9_learned_partitions, op10_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}

@@ -442,7 +442,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def removed(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns, n_bytes, n_removed, n_spans, kept (binary), spans of every row."""
+    """``keep`` columns (doc_id if None), n_bytes, n_removed, n_spans, kept (the bytes left) and kept_text
+    (their text, without characters that a cut has split) of every row."""
     keep = keep or ["doc_id"]
     ready, odd = prepared(docs)
     rows = ready.select(*keep, "doc", "key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
@@ -466,8 +467,8 @@ def removed(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = None)
                 pieces.append(raw[end:])
                 n.append(len(raw)), gone.append(sum(y - x for x, y in ranges)), spans.append(len(ranges)), kept.append(b"".join(pieces))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                [*keep, "n_bytes", "n_removed", "n_spans", "kept"])
+                [*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())],
+                [*keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")

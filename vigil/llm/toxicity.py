@@ -224,7 +224,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), values], [*keep, "features"])
 
     df = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
     return df.mapInArrow(run, f"{schema}, features array<double>")
 
 
