@@ -18,7 +18,8 @@ Scores are exact: products of whole numbers in double precision as long as no su
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part;
 equal vectors are ties, to the smaller id; equal ids are rows of their own; a query alone gets
-no row; vectors of other lengths than the most frequent are an error; extra columns are ignored.
+no row; vectors of different lengths are an error, and so is a
+score beyond 64 bits; extra columns are ignored.
 """
 
 from __future__ import annotations

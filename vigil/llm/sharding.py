@@ -66,7 +66,7 @@ def rebalance(owner: list[int], weights: list[int], shards: int, tolerance: floa
             load[s] += weights[i]
     for s in range(shards):  # what a shard holds beyond its share, largest slots that fit the surplus first
         for i in sorted((i for i, o in enumerate(owner) if o == s), key=lambda i: (-weights[i], i)):
-            if load[s] > goal * (1 + tolerance) and 0 < weights[i] <= load[s] - goal * (1 - tolerance):
+            if load[s] > goal and 0 < weights[i] <= load[s] - goal * (1 - tolerance):
                 homeless.append(i)
                 load[s] -= weights[i]
     for i in sorted(homeless, key=lambda i: (-weights[i], i)):
