@@ -45,10 +45,14 @@ MEMORY = 500_000
 #: Index entries that one segment of at most one element (two with deletions) is held to cost.
 SMALL_SEGMENT = 20
 #: Bits of a parity sketch.
-SKETCH = 4096
+SKETCH = 2048
 #: Index entries in a partition of the index.
 PART = 1_500_000
 BAND = 1.25
+#: Members in a block of sketches.
+BLOCK = 1024
+#: Rounds of comparisons with centres.
+STARS = 2
 U = np.uint64
 
 
@@ -278,18 +282,41 @@ def _sketched(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("member", "n", "text").mapInArrow(run, "member long, n long, text string, sketch binary")
 
 
-def _close(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of (a, b, na, nb, sa, sb) whose sketches differ in no more places than similar sets can."""
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
-            least = np.minimum(*(b.column(i).to_numpy() for i in (2, 3)))
-            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= least * (den - num) // num
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(near)), b.column(1).filter(pa.array(near))], ["a", "b"])
+def _close(mixed: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of different components in one bucket, a from outside its largest one, whose sketches differ in no
+    more places than similar sets can.
+
+    Members travel in blocks with their sketches, and blocks of a bucket are compared as matrices,
+    so neither a bucket of many members nor its pairs become rows."""
+    rows = mixed.join(members.select("member", "n", "sketch"), "member")
 
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy("bucket").count()
+        dealt = df.join(counts, "bucket").withColumn("_block", F.pmod(F.xxhash64("member", F.lit(3)), F.ceil(F.col("count") / BLOCK)))
+        return dealt.groupBy("bucket", "_block").agg(F.collect_list(F.struct("member", "comp", "n", "sketch")).alias(name)).drop("_block")
+
+    def unpacked(cell) -> tuple:
+        own = cell.values
+        member, comp, n = (own.field(i).to_numpy() for i in range(3))
+        return member, comp, n, np.frombuffer(b"".join(own.field(3).to_pylist()), np.uint64).reshape(len(member), -1)
+
+    def run(batches):
+        for batch in batches:
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for one, other in zip(*batch.columns):
+                (xm, xc, xn, xs), (ym, yc, yn, ys) = unpacked(one), unpacked(other)
+                for lo in range(0, len(xm), 32):
+                    part = slice(lo, lo + 32)
+                    least, most = np.minimum(xn[part, None], yn), np.maximum(xn[part, None], yn)
+                    may = (xc[part, None] != yc) & (den * least >= num * most)
+                    i, j = np.nonzero(may)
+                    far = np.bitwise_count(xs[part][i] ^ ys[j]).sum(1, dtype=np.int64)
+                    near = far <= least[i, j] * (den - num) // num
+                    x, y = xm[part][i[near]], ym[j[near]]
+                    a.append(np.maximum(x, y)), b.append(np.minimum(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return packed(rows.where("comp <> major"), "one").join(packed(rows, "other"), "bucket").select("one", "other").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -332,26 +359,30 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     own = texts.join(wanted.select("rep", "k1", "n"), "rep")
     members = cut(_sketched(own.select(F.col("k1").alias("member"), "n", "text"), k)) if _unique_ids(named) else cut(_sketched(_checked(own, k), k))
 
-    def sized(pairs: DataFrame, *more: str) -> DataFrame:
-        side = [members.select(F.col("member").alias(x), F.col("n").alias("n" + x), *([F.col("sketch").alias("s" + x)] if more else [])) for x in "ab"]
+    def sized(pairs: DataFrame) -> DataFrame:
+        side = [members.select(F.col("member").alias(x), F.col("n").alias("n" + x)) for x in "ab"]
         return pairs.join(side[0], "a").join(side[1], "b").where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
 
-    # first each member with the centre that most of its buckets have
-    centre = found.groupBy("bucket").agg(F.min("member").alias("b"))
-    stars = found.withColumnRenamed("member", "a").join(centre, "bucket").where("a <> b").groupBy("a", "b").count()
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
-    links = cut(_verified(sized(best), members, k, num, den))
-    comp = components(links)
+    # first each member with one centre: of each bucket the member that is in most company, of a member's
+    # buckets the centre that most of them have; then the same for what is not in a bucket's largest component
+    weight = cut(found.join(found.groupBy("bucket").count(), "bucket").groupBy("member").agg(F.sum("count").alias("weight")))
+    held = found.join(weight, "member")
+    links, comp = None, None
+    for _ in range(STARS):
+        centre = held.groupBy("bucket").agg(F.max_by("member", F.struct("weight", "member")).alias("b"))
+        stars = held.withColumnRenamed("member", "a").join(centre, "bucket").where("a <> b").groupBy("a", "b").count()
+        best = stars.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
+        more = _verified(sized(best), members, k, num, den)
+        links = cut(more if links is None else links.union(more))
+        comp = components(links)
+        placed = found.join(comp.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp"))
+        per = placed.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
+        mixed = cut(placed.join(per, "bucket").select("bucket", "member", "comp", "major"))
+        held = mixed.where("comp <> major").join(weight, "member")
 
     # then whatever a bucket still holds across components, from outside its largest component
-    placed = found.join(comp.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp"))
-    per = placed.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = cut(placed.join(per, "bucket").select("bucket", "member", "comp", "major"))
-    a = mixed.where("comp <> major").select("bucket", F.col("member").alias("a"), F.col("comp").alias("ca"))
-    b = mixed.select("bucket", F.col("member").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("major")).alias("main"))
-    across = a.join(b, "bucket").where("ca <> cb and (main or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    close = _close(sized(across, "sketch"), num, den)
-    more = cut(_verified(close, members, k, num, den))
+    close = _close(mixed, members, num, den)
+    more = cut(_verified(sized(close), members, k, num, den))
     comp = cut(components(links.union(more)))
 
     # classes to documents
