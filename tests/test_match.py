@@ -116,7 +116,7 @@ def _brute_contains(texts, terms):
     return sorted((t, n) for t in texts for n in terms if n in t)
 
 
-def test_containment_strategies_agree_with_brute_force(spark, monkeypatch):
+def test_containment_strategies_agree_with_brute_force(spark):
     rnd = random.Random(7)
     alpha = "abcde é"
     texts = sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 40))) for _ in range(200)} - {""})
@@ -124,17 +124,49 @@ def test_containment_strategies_agree_with_brute_force(spark, monkeypatch):
     h = spark.createDataFrame([(t,) for t in texts], "q string")
     n = spark.createDataFrame([(t,) for t in terms], "term string")
     expected = _brute_contains(texts, terms)
-    got_loop = sorted(tuple(r) for r in MT.contains_pairs(h, "q", n, "term").select("q", "term").collect())
-    monkeypatch.setattr(MT, "NESTED_LOOP_TERMS", 0)
-    MT._SIZE_MEMO.clear()
-    got_gram = sorted(tuple(r) for r in MT.contains_pairs(h, "q", n, "term").select("q", "term").collect())
-    monkeypatch.setattr(MT, "BROADCAST_TERMS", 5)
-    MT._SIZE_MEMO.clear()
-    got_shuffled = sorted(set(tuple(r) for r in MT.contains_pairs(h, "q", n, "term").select("q", "term").collect()))
-    MT._SIZE_MEMO.clear()
-    assert got_loop == expected
-    assert got_gram == expected
-    assert got_shuffled == expected
+    got = sorted(tuple(r) for r in MT.contains_pairs(h, "q", n, "term").select("q", "term").collect())
+    assert got == expected
+    # the dictionary searched for the texts, and rows identified by an id instead of the text
+    rev = sorted((r["q"], r["term"]) for r in MT.contains_pairs(h, "q", n, "term", dict_side="hay").collect())
+    assert rev == expected
+    ids = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "id long, q string")
+    keyed = sorted((r["id"], r["term"]) for r in MT.contains_pairs(ids, "q", n, "term", key="id").collect())
+    assert keyed == sorted((i, x) for i, t in enumerate(texts + texts) for x in terms if x in t)
+
+
+def test_similarity_agrees_with_brute_force(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 24)))
+    names = sorted({word().strip() or "a" for _ in range(150)})
+    texts = set()
+    for t in names:
+        own = list(t)
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randrange(len(own) + 1)
+            own[i:i + rnd.choice([0, 1])] = rnd.choice(["", "b", "c"])
+        texts.add("".join(own) or "x")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    terms = MT.prepare_terms(spark.createDataFrame([(t, i) for i, t in enumerate(names)], "n string, row_ord long"), ["n"],
+                             normalizer=lambda c: c)
+    q = spark.createDataFrame([(t,) for t in sorted(texts)], "q string")
+    for threshold in (80, 60, 90):
+        want = {}
+        for t in texts:
+            scored = [(-100.0 * (1.0 - edits(t, x) / max(len(t), len(x))), i) for i, x in enumerate(names)]
+            best = min(s for s in scored)
+            if -best[0] >= threshold:
+                want[t] = best[1]
+        got = [(r["q"], r["row_ord"]) for r in MT.fuzzy_match(q, terms, threshold).collect()]
+        assert sorted(got) == sorted(want.items()), threshold
 
 
 def test_whole_word_pairs_unicode(spark):

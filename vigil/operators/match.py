@@ -8,18 +8,14 @@ join producing candidate pairs followed by one ``groupBy(q)`` with ``min_by``
 over the strategy's ordering key (ties always end in ``row_ord``, the
 dictionary's file order).
 
-Joins on "contains" are not equi-joins.  Two physical strategies, chosen by
-the dictionary's checked row count:
-
-* small dictionary (<= ``BROADCAST_TERMS`` rows): broadcast it, the text side
-  stays partitioned as it is (BroadcastNestedLoopJoin, no shuffle);
-* larger dictionary: exact q-gram equi-join.  A contained term's first
-  ``min(3, len)`` characters are one of the text's substrings of that length,
-  so texts are exploded to their distinct 1/2/3-grams and joined on
-  ``(gram, len)`` with the terms' prefix gram, then ``contains`` verifies.
-  Shuffle hash join on grams; AQE splits hot grams.
-
-No strategy ever pairs everything with everything (no cartesian product).
+"Contains" is not an equi-join, so it is answered by one gram index join
+(``contains_pairs``): the searched side emits ``(id, gram)`` only, never its
+text, and meets the needles' rarest gram in an equi-join; the candidates are
+reduced to distinct ``(id, needle)``, the text is joined back once and
+``instr`` verifies.  Similarity is an equi-join on term pieces
+(``fuzzy_match``).  Nothing is counted, collected or forced to be broadcast
+while a plan is built: sizes known at run time decide how a join is executed,
+and no strategy depends on them.
 """
 
 from __future__ import annotations
@@ -31,10 +27,6 @@ from pyspark.sql import functions as F
 
 from vigil.functions.text import normalize, strip_pattern, strip_ws
 
-# Largest dictionary (rows of unpivoted terms) that is broadcast.  Checked by
-# counting the dictionary, which is a dimension table.
-BROADCAST_TERMS = 200_000
-
 # The reference's default thresholds.
 SIMILARITY_THRESHOLD = 80
 LONG_TEXT_THRESHOLD = 30
@@ -70,33 +62,6 @@ def distinct_queries(texts: DataFrame, text_col: str, normalizer=normalize) -> D
     return texts.select(normalizer(F.col(text_col)).alias("q")).where(F.col("q") != "").distinct()
 
 
-_SIZE_MEMO: dict = {}
-
-
-def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Give per-row heavy work enough tasks: when the input has fewer
-    partitions than the cluster's default parallelism (e.g. one large file
-    with one row group), redistribute it round-robin; otherwise leave the
-    input's own split untouched (no shuffle at scale)."""
-    n = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
-def _dict_size(df: DataFrame, bound: int) -> int:
-    """Rows of a dictionary, counted up to ``bound + 1`` (a bounded check),
-    remembered per logical plan so cascades count each dictionary once."""
-    key = (df.semanticHash(), bound)
-    if key not in _SIZE_MEMO:
-        _SIZE_MEMO[key] = df.limit(bound + 1).count()
-    return _SIZE_MEMO[key]
-
-
-# Up to this many dictionary terms, texts are tested against every term of a
-# broadcast copy (one ``instr`` per pair, no shuffle); above it the q-gram
-# index join does less work per text character.
-NESTED_LOOP_TERMS = 64
-
-
 GRAM = 3
 
 
@@ -107,97 +72,72 @@ def _distinct_grams(c: Column, k: int = GRAM) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
 
 
-def _rarest_gram(needles: DataFrame, needle_col: str) -> DataFrame:
-    """Each needle (length >= GRAM) indexed by its rarest gram, rarity taken
-    from the dictionary's own gram frequencies (a gram shared by many terms is
-    usually common in text too).  Any choice keeps the join exact; the rarest
-    one keeps the candidate list short.  No pass over the texts is needed."""
-    ex = needles.select(F.col(needle_col).alias("_n")).distinct() \
-        .select("_n", F.explode(_distinct_grams(F.col("_n"))).alias("_g"))
-    stats = ex.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    pick = ex.join(stats, on="_g").groupBy("_n").agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g"))
-    return needles.join(pick, needles[needle_col] == pick["_n"]).drop("_n")
+def _rarest_gram(needles: DataFrame, grams_in: DataFrame | None = None) -> DataFrame:
+    """``needles`` (``_n``, at least GRAM characters) with ``_g``, the rarest of
+    their grams: by the needles' own grams, or by those of ``grams_in``
+    (column ``_g``), where a gram that is missing there rules the needle out.
+    Any choice keeps the join exact; the rarest one keeps the candidates few."""
+    ex = needles.select("_n", F.explode(_distinct_grams(F.col("_n"))).alias("_g"))
+    stats = (ex if grams_in is None else grams_in).groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    counted = ex.join(stats, on="_g", how="inner" if grams_in is None else "left")
+    pick = counted.groupBy("_n").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), F.col("_g"))).alias("_g"),
+                                     F.count("_df").alias("_known"), F.count(F.lit(1)).alias("_all"))
+    return pick.where(F.col("_known") == F.col("_all")).select("_n", "_g")
 
 
 def contains_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str,
-                   small: bool | None = None, dict_side: str = "needles") -> DataFrame:
+                   key: str | None = None, dict_side: str = "needles") -> DataFrame:
     """All pairs ``hay ⋈ needles`` with ``hay_col`` containing ``needle_col``.
 
-    ``dict_side`` names the dictionary side (``"needles"`` or ``"hay"``); it is
-    the one broadcast when its checked size allows.
-
-    Texts as hay (``dict_side="needles"``), dictionaries up to
-    ``NESTED_LOOP_TERMS``: broadcast nested loop with ``instr``.  Larger
-    dictionaries: gram index join.  Needles of
-    length >= 3 are indexed by their rarest 3-gram; every text row explodes its
-    *distinct* 3-grams and joins on the gram (a hash join, broadcast when the
-    dictionary is small), and ``instr`` verifies the few candidates.  Exact,
-    since a contained needle's grams all occur in the text.  Needles shorter
-    than 3 characters are checked directly against a broadcast copy.
-
-    Dictionary as hay (``dict_side="hay"``): the dictionary is broadcast and
-    each text is tested against it (the texts are the short needles)."""
-    dict_df = needles if dict_side == "needles" else hay
-    n_dict = _dict_size(dict_df, BROADCAST_TERMS) if small is None else (0 if small else BROADCAST_TERMS + 1)
-    small = n_dict <= BROADCAST_TERMS
-    cond = F.instr(F.col(hay_col), F.col(needle_col)) > 0
-    if dict_side == "hay":
-        if small:
-            return needles.join(F.broadcast(hay), cond, "inner")
-        long_q = needles.where(F.length(needle_col) >= GRAM).withColumn("_g", F.substring(needle_col, 1, GRAM))
-        return _gram_join(hay, hay_col, long_q, needle_col, broadcast=False,
-                          short=needles.where(F.length(needle_col) < GRAM))
-    hay = spread(hay)
-    if n_dict <= NESTED_LOOP_TERMS:
-        return hay.join(F.broadcast(needles), cond, "inner")
-    long_n = needles.where(F.length(needle_col) >= GRAM)
-    short_n = needles.where(F.length(needle_col) < GRAM)
-    idx = _rarest_gram(long_n, needle_col)
-    return _gram_join(hay, hay_col, idx, needle_col, broadcast=small, short=short_n)
-
-
-def _gram_join(hay: DataFrame, hay_col: str, idx: DataFrame, needle_col: str, broadcast: bool,
-               short: DataFrame) -> DataFrame:
-    cond = F.instr(F.col(hay_col), F.col(needle_col)) > 0
-    g = hay.withColumn("_g", F.explode(_distinct_grams(F.col(hay_col))))
-    right = F.broadcast(idx) if broadcast else idx
-    long_pairs = g.join(right, on="_g", how="inner").where(cond).drop("_g")
-    if _dict_size(short, BROADCAST_TERMS) <= BROADCAST_TERMS:
-        short_pairs = hay.join(F.broadcast(short), cond, "inner")
-    else:
-        # Too many 1-2 character needles to broadcast: a needle of length k is
-        # contained exactly when it equals one of the text's k-grams.
-        sg = hay.withColumn("_g", F.explode(F.array_union(_distinct_grams(F.col(hay_col), 1),
-                                                          _distinct_grams(F.col(hay_col), 2))))
-        short_pairs = sg.join(short, sg["_g"] == short[needle_col], "inner").drop("_g")
-    return long_pairs.unionByName(short_pairs)
-
-
-def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, small: bool | None = None) -> DataFrame:
+    ``key`` identifies a hay row (default: the text itself); only its hash and
+    the grams are shuffled, and the rows join back once per candidate.  Needles
+    of at least 3 characters are indexed by their rarest 3-gram, shorter ones
+    are contained exactly when they equal one of the text's 1- or 2-grams.
+    ``dict_side`` says which side's grams measure rarity: the dictionary's.
+    Exact, since a contained needle's grams all occur in the text; two rows of
+    one hash only add candidates, which the texts decide."""
+    key = key or hay_col
+    hid = F.xxhash64(F.col(key)).alias("_h")
+    n = needles.select(F.col(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
+    grams = hay.select(hid, F.explode(_distinct_grams(F.col(hay_col))).alias("_g"))
+    long_n = _rarest_gram(n.where(F.length("_n") >= GRAM), grams if dict_side == "hay" else None)
+    short_n = n.where(F.length("_n") < GRAM).withColumn("_g", F.col("_n"))
+    short_grams = hay.select(hid, F.explode(F.array_union(_distinct_grams(F.col(hay_col), 1),
+                                                          _distinct_grams(F.col(hay_col), 2))).alias("_g"))
+    candidates = grams.join(long_n, on="_g").unionByName(short_grams.join(short_n, on="_g")) \
+        .select("_h", "_n").distinct()
+    found = hay.withColumn("_h", hid).join(candidates, on="_h") \
+        .where(F.instr(F.col(hay_col), F.col("_n")) > 0).drop("_h")
+    return found.join(needles, found["_n"] == needles[needle_col]).drop("_n")
+
+
+def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, key: str | None = None) -> DataFrame:
     """Pairs where a single-token needle occurs in the text as a whole word.
 
     Tokens are maximal runs of letters, digits and underscore (any script); a
     single-token needle is a whole word of the text exactly when it equals one
-    of the text's tokens, so this is an equi-join on distinct tokens."""
-    if small is None:
-        small = _dict_size(needles, BROADCAST_TERMS) <= BROADCAST_TERMS
-    tok = spread(hay).withColumn("_t", F.explode(F.array_distinct(F.regexp_extract_all(F.col(hay_col),
-                                                                               F.lit(r"[\p{L}\p{N}_]+"), 0))))
-    right = F.broadcast(needles) if small else needles
-    return tok.join(right, tok["_t"] == right[needle_col], "inner").drop("_t")
+    of the text's tokens, so this is an equi-join on distinct tokens.  The text
+    is joined back by its key's hash and tested, so only tokens are shuffled."""
+    key = key or hay_col
+    hid = F.xxhash64(F.col(key)).alias("_h")
+    tokens = F.array_distinct(F.regexp_extract_all(F.col(hay_col), F.lit(r"[\p{L}\p{N}_]+"), 0))
+    n = needles.select(F.col(needle_col).alias("_n")).distinct()
+    candidates = hay.select(hid, F.explode(tokens).alias("_n")).join(n, on="_n").select("_h", "_n").distinct()
+    found = hay.withColumn("_h", hid).join(candidates, on="_h").where(F.array_contains(tokens, F.col("_n"))).drop("_h")
+    return found.join(needles, found["_n"] == needles[needle_col]).drop("_n")
 
 
 SINGLE_TOKEN = r"^[\p{L}\p{N}_]+$"
 
 
-def word_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
+def word_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, key: str | None = None) -> DataFrame:
     """Pairs where the needle occurs as a whole word (Unicode boundaries):
     token equi-join for single-token needles, contains + boundary regex for
     the rest."""
     single = needles.where(F.col(needle_col).rlike(SINGLE_TOKEN))
     multi = needles.where(~F.col(needle_col).rlike(SINGLE_TOKEN))
-    a = token_pairs(hay, hay_col, single, needle_col)
-    b = contains_pairs(hay, hay_col, multi, needle_col).where(whole_word(F.col(hay_col), F.col(needle_col)))
+    a = token_pairs(hay, hay_col, single, needle_col, key)
+    b = contains_pairs(hay, hay_col, multi, needle_col, key).where(whole_word(F.col(hay_col), F.col(needle_col)))
     return a.unionByName(b)
 
 
@@ -219,11 +159,11 @@ def exact_match(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     return _best(p, [F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank"], key)
 
 
-def keyword_match(q: DataFrame, terms: DataFrame, small: bool | None = None, key: str = "q") -> DataFrame:
+def keyword_match(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     """M3: per column, a term containing the text (direction 0) beats a term
     contained in the text (direction 1); winner = (col_rank, direction, row_ord)."""
-    fwd = contains_pairs(terms, "term", q, "q", small=small, dict_side="hay").withColumn("dir", F.lit(0))
-    rev = contains_pairs(q, "q", terms, "term", small=small).withColumn("dir", F.lit(1))
+    fwd = contains_pairs(terms, "term", q, "q", dict_side="hay").withColumn("dir", F.lit(0))
+    rev = contains_pairs(q, "q", terms, "term", key).withColumn("dir", F.lit(1))
     cols = list(dict.fromkeys([key, "q", "term", "col_rank", "row_ord", "dir"]))
     p = fwd.select(*cols).unionByName(rev.select(*cols))
     return _best(p, [F.col("col_rank"), F.col("dir"), F.col("row_ord")], ["row_ord", "col_rank", "dir"], key)
@@ -245,10 +185,10 @@ def _single_char_ok(text: Column, term: Column) -> Column:
     return (F.length(term) > 1) | (nxt == "") | ~nxt.rlike(r"^[\p{L}\p{N}]")
 
 
-def sentence_scan(q: DataFrame, terms: DataFrame, small: bool | None = None, key: str = "q") -> DataFrame:
+def sentence_scan(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     """M4: longest term contained in the text (one-character terms need a
     non-alphanumeric next character); winner = (-tlen, col_rank, row_ord)."""
-    p = contains_pairs(q, "q", terms, "term", small=small)
+    p = contains_pairs(q, "q", terms, "term", key)
     p = p.where(_single_char_ok(F.col("q"), F.col("term")))
     return _best(p, [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"], key)
 
@@ -261,23 +201,45 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "q") -> DataFrame:
-    """M5: best similarity >= threshold; winner = (-score, col_rank, row_ord).
-
-    Blocking is exact: ``score >= t`` implies the lengths satisfy
-    ``ceil(L*t/100) <= l <= floor(L*100/t)``, so each term is exploded over
-    the admissible text lengths and joined on length (an equi-join)."""
+    """M5: best similarity >= threshold (over 0); winner = (-score, col_rank, row_ord).
+
+    Exact segment equi-join.  ``score >= t`` bounds the text's length to a band
+    around the term's length L and the edits to ``k = floor(L (100 - t) / t)``.
+    Cut into ``k + 1`` pieces, a term keeps one piece unedited, which the text
+    has at most as far away as the edits before and after it allow.  Texts
+    emit these substrings for the lengths the dictionary has in their band,
+    terms their pieces; candidates are distinct ``(text, term)`` and the bounded
+    ``levenshtein`` decides."""
     t = float(threshold)
     if t <= 0:
-        lo, hi = F.lit(1), F.length("term") * 1000
-    else:
-        lo = F.greatest(F.ceil(F.col("tlen") * t / 100.0), F.lit(1)).cast("int")
-        hi = F.floor(F.col("tlen") * 100.0 / t).cast("int")
-    tt = terms.withColumn("qlen", F.explode(F.sequence(lo, hi)))
-    if _dict_size(terms, BROADCAST_TERMS) <= BROADCAST_TERMS:
-        tt = F.broadcast(tt)  # bounded dictionary: the texts are not shuffled
-    qq = q.withColumn("qlen", F.length("q"))  # texts longer than any band never join
-    p = qq.join(tt, on="qlen", how="inner").withColumn("score", similarity(F.col("q"), F.col("term")))
-    p = p.where(F.col("score") >= F.lit(t))
+        raise ValueError("the threshold must be over 0")
+    slack = (100.0 - t) / t
+    k_of = F.floor(F.col("tlen") * slack + 1e-9).cast("int")
+
+    def cut(df: DataFrame) -> DataFrame:
+        """Pieces of a length: number ``pi``, start ``ps`` (from 0) and length ``pl``; the last ones take the rest."""
+        rest = (F.col("k") + 1) - F.pmod(F.col("tlen"), F.col("k") + 1)
+        return df.withColumn("k", k_of).withColumn("pi", F.explode(F.sequence(F.lit(0), F.col("k")))) \
+            .withColumn("_b", F.floor(F.col("tlen") / (F.col("k") + 1)).cast("int")) \
+            .withColumn("ps", F.col("pi") * F.col("_b") + F.greatest(F.lit(0), F.col("pi") - rest)) \
+            .withColumn("pl", F.col("_b") + F.when(F.col("pi") >= rest, 1).otherwise(0)).drop("_b")
+
+    names = terms.select("term", F.col("tlen").cast("int").alias("tlen")).distinct()
+    pieces = cut(names).select("tlen", "pi", F.substring("term", F.col("ps") + 1, F.col("pl")).alias("piece"), "term")
+    lo = F.greatest(F.ceil(F.col("tlen") * t / 100.0 - 1e-9), F.lit(1)).cast("int")
+    hi = F.floor(F.col("tlen") * 100.0 / t + 1e-9).cast("int")
+    lengths = cut(names.select("tlen").distinct().withColumn("qlen", F.explode(F.sequence(lo, hi))))
+    texts = q.select("q").distinct().withColumn("qlen", F.length("q")).join(lengths, on="qlen")
+    d = F.col("qlen") - F.col("tlen")
+    left = F.greatest(F.lit(0), F.col("ps") - F.col("pi"), F.col("ps") + d - (F.col("k") - F.col("pi")))
+    right = F.least(F.col("qlen") - F.col("pl"), F.col("ps") + F.col("pi"), F.col("ps") + d + (F.col("k") - F.col("pi")))
+    places = F.when(left <= right, F.sequence(left, right))
+    parts = texts.withColumn("at", F.explode(places)).select("q", "tlen", "pi", F.substring("q", F.col("at") + 1, F.col("pl")).alias("piece"))
+    near = parts.distinct().join(pieces, on=["tlen", "pi", "piece"]).select("q", "term", "tlen").distinct()
+    scored = near.withColumn("_m", F.greatest(F.length("q"), F.col("tlen"))) \
+        .withColumn("_e", F.expr(f"levenshtein(q, term, cast(floor(_m * {100.0 - t} / 100 + 1e-9) as int))")).where("_e >= 0") \
+        .withColumn("score", 100.0 * (1.0 - F.col("_e") / F.col("_m"))).where(F.col("score") >= F.lit(t)).drop("tlen", "_m", "_e")
+    p = q.join(scored, on="q").join(terms, on="term")
     return _best(p, [-F.col("score"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "score"], key)
 
 
@@ -295,22 +257,25 @@ def cascade(q: DataFrame, stages: list, key: str = "q", materialize_input: bool
     """M7/M9: the first stage with a hit wins.  ``stages`` = [(name, fn)],
     each ``fn(q_df) -> (key, row_ord, ...)`` with one winner per key.
 
-    Every stage runs on the whole input and the union of their winners is
-    reduced per key by ``min_by`` over the stage rank.  This equals the
-    sequential early-exit cascade (a stage's winner for one text never
-    depends on the other texts) but needs no chain of anti-joins: the plan is
-    linear in the number of stages and there is one final shuffle.
-
-    When ``materialize_input`` (distinct short texts, e.g. the product types
-    of a notice table) the input is checkpointed first, so chained lookups do
-    not repeat their whole upstream plan inside every stage.  Long texts
-    keyed by a row id pass ``False`` and are read again instead."""
-    src = materialize(q) if materialize_input else q
-    parts = [fn(src).select(key, "row_ord").withColumns({"stage": F.lit(name), "_rank": F.lit(i)})
-             for i, (name, fn) in enumerate(stages)]
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    return u.groupBy(key).agg(F.min_by(F.struct("row_ord", "stage"), F.col("_rank")).alias("_w")) \
-        .select(key, "_w.row_ord", "_w.stage")
+    With ``materialize_input`` (distinct short texts, e.g. the product types of
+    a notice table) the texts are checkpointed, and so is each stage's result;
+    the next stage sees only the texts that no stage has matched.  This keeps
+    the dearest stage last and smallest.  Long texts keyed by a row id pass
+    ``False``: their stages run on the whole input, whose texts are read and
+    not written, and the first stage's winner is taken per key."""
+    if not materialize_input:
+        parts = [fn(q).select(key, "row_ord").withColumns({"stage": F.lit(name), "_rank": F.lit(i)})
+                 for i, (name, fn) in enumerate(stages)]
+        u = reduce(lambda a, b: a.unionByName(b), parts)
+        return u.groupBy(key).agg(F.min_by(F.struct("row_ord", "stage"), F.col("_rank")).alias("_w")) \
+            .select(key, "_w.row_ord", "_w.stage")
+    rest, found = materialize(q), []
+    for i, (name, fn) in enumerate(stages):
+        hits = materialize(fn(rest).select(key, "row_ord").withColumn("stage", F.lit(name)))
+        found.append(hits)
+        if i + 1 < len(stages):
+            rest = rest.join(hits.select(key), on=key, how="left_anti")
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def attach(rows: DataFrame, text_col: str, matches: DataFrame, normalizer=normalize) -> DataFrame:
@@ -355,7 +320,7 @@ def hazard_extract(q: DataFrame, terms: DataFrame, enable_fuzzy: bool = True,
 
 def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: DataFrame,
               keyword_col: str = "keyword", scope_col: str = "source", rule_ord: str = "rule_ord",
-              small: bool | None = None, key: str | None = None) -> DataFrame:
+              key: str | None = None) -> DataFrame:
     """M6: rules in scope (scope 'ALL' or the text's source); keywords shorter
     than 2 characters must stand as whole words, longer ones are substrings;
     all case-insensitive.  Longest keyword wins, ties -> earliest rule.
@@ -372,8 +337,8 @@ def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: Da
     r = rules.select(F.lower(F.col(keyword_col)).alias("kw"), F.col(scope_col).alias("scope"),
                      F.col(rule_ord).alias("rule_ord")).where(F.length("kw") > 0).withColumn("klen", F.length("kw"))
     in_scope = (F.col("scope") == "ALL") | F.col("qs").isNull() | (F.col("scope") == F.col("qs"))
-    sub = contains_pairs(q, "qt", r.where(F.col("klen") >= 2), "kw", small=small)
-    word = word_pairs(q, "qt", r.where(F.col("klen") < 2), "kw")
+    sub = contains_pairs(q, "qt", r.where(F.col("klen") >= 2), "kw", key)
+    word = word_pairs(q, "qt", r.where(F.col("klen") < 2), "kw", key)
     p = sub.unionByName(word).where(in_scope)
     w = F.min_by(F.col("rule_ord"), F.struct(-F.col("klen"), F.col("rule_ord"))).alias("rule_ord")
     return p.groupBy(*([key] if key else ["qt", "qs"])).agg(w)
