@@ -53,7 +53,7 @@ def test_i0490_rules_and_scan(spark, refs):
 
 
 def test_i2810_rasff_impfood(spark, refs):
-    raw = spark.createDataFrame([("20240301", "Cheese", "Lead", "원산지: 프랑스, 수입 금지", "N-1"),
+    raw = spark.createDataFrame([("20240301", "Cheese", "Lead", "-지역: 프랑스 - 수입 금지", "N-1"),
                                  ("bad", "Tea", "", "no origin", "")],
                                 "CRET_DTM string, TITL string, DETECT_TITL string, BDT string, NTCTXT_NO string")
     r = {x["source_detail"]: x for x in MP.map_i2810(raw, refs).collect()}

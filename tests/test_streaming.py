@@ -38,3 +38,17 @@ def test_stream_append_idempotent(spark, tmp_dir):
     assert keys == [("FDA", "A-1", "2024-01-01"), ("FDA", "A-2", "2024-01-02"), ("RASFF", "R-9", "2024-01-03")]
     assert _run(spark, landing, hub, os.path.join(tmp_dir, "ck1")).count() == 3   # same checkpoint: nothing new
     assert _run(spark, landing, hub, os.path.join(tmp_dir, "ck2")).count() == 3   # lost checkpoint: replay adds 0
+
+
+def test_replay_with_empty_and_unparsable_dates(spark, tmp_dir):
+    landing, hub = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "hub")
+    os.makedirs(landing)
+    for i, rows in enumerate([[("", "FDA", "A-1"), ("not a date", "FDA", "A-1")], [("", "FDA", "A-1"), ("2024-13-45", "FDA", "B")]]):
+        with open(os.path.join(landing, f"f{i}.json"), "w") as f:
+            for d, s, r in rows:
+                f.write(f'{{"day": "{d}", "src": "{s}", "ref": "{r}"}}\n')
+        with open(os.path.join(landing, f"n{i}.json"), "w") as f:
+            f.write('{"src": "FDA", "ref": "A-7"}\n')
+    for ck in ("ck1", "ck1", "ck2", "ck3"):
+        got = _run(spark, landing, hub, os.path.join(tmp_dir, ck)).select("source_detail", "registration_date").collect()
+        assert sorted(map(tuple, got)) == [("A-1", ""), ("A-7", ""), ("B", "")]

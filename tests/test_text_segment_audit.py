@@ -19,12 +19,12 @@ def test_normalize_and_dates(spark):
 
 
 def test_codes_origin_suffix(spark):
-    df = spark.createDataFrame([("16 R - - 01 Fish, frozen", "원산지 : 베트남, 냉동", "국내식품 부적합-12345x"),
-                                ("no code", "제조국：China", "x-UNKNOWN"), ("", "none", "plain")], "a string, b string, c string")
+    df = spark.createDataFrame([("16 R - - 01 Fish, frozen", "회수 -지역: 베트남 북부 - 제품: 어류", "국내식품 부적합-12345x"),
+                                ("no code", "지역 : China, frozen", "x-UNKNOWN"), ("", "none", "plain")], "a string, b string, c string")
     r = df.select(X.product_code("a").alias("code"), X.origin_from_text("b").alias("o"),
                   X.strip_id_suffix("c").alias("s")).collect()
     assert [x["code"] for x in r] == ["16 R - - 01", "", ""]
-    assert [x["o"] for x in r] == ["베트남", "China", "Overseas"]
+    assert [x["o"] for x in r] == ["베트남 북부", "China", "Overseas"]
     assert [x["s"] for x in r] == ["국내식품 부적합", "x", "plain"]
 
 
@@ -57,7 +57,7 @@ def test_line_neighbors(spark):
     df = spark.createDataFrame([(1, "a long first line here\nProduct X\nDate Published: 1/2/2024\n\nd1\nd2")],
                                "id int, text string")
     r = S.line_neighbors(df, "id", "text", lambda l, i: l.contains("Date Published")).collect()[0]
-    assert (r["above"], r["below"], r["anchor_pos"]) == ("Product X", "d1\nd2", 2)
+    assert (r["above"], r["below"], r["anchor_pos"]) == ("Product X", "d1 d2", 2)
 
 
 def test_html_lines_links_tables(spark):
@@ -108,3 +108,36 @@ def test_salted_top_k_with_hot_group_and_sequential_ids(spark):
     ids = sequential_ids(df.select("name"), "name", "seq", partitions=5).collect()
     by_name = {r["name"]: r["seq"] for r in ids}
     assert [by_name[n] for n in sorted(by_name)] == list(range(1, 3001))
+
+
+def test_origin_rules(spark):
+    """The text after the label up to a dash or the end; then the word after label and colon or dash; blanks give the default."""
+    rows = ["-지역: 중국 - 제품: 차", "지역: United States", "지역:   - 제품", "지역-일본어", "지역 : 일본, 수입", "원산지: 중국", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = [r["o"] for r in df.orderBy("i").select(X.origin_from_text("t").alias("o")).collect()]
+    assert got == ["중국", "United States", "Overseas", "일본어", "일본", "Overseas", "Overseas", "Overseas"]
+
+
+def test_name_after_code_takes_what_follows(spark):
+    df = spark.createDataFrame([("x 16 R - - 01 - Fish 16 R - - 01, cut", "16 R - - 01"), ("16 R - - 01", "16 R - - 01")], "l string, c string")
+    got = [r["n"] for r in df.select(X.name_after_code("l", "c", F.lit("first content line")).alias("n")).collect()]
+    assert got == ["Fish 16 R - - 01, cut", "first content line"]
+
+
+def test_sequential_ids_of_many_unsorted_wide_rows(spark):
+    from vigil.operators.order import sequential_ids
+
+    n = 2_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.concat(F.lit("x" * 40), F.col("id")).alias("wide"))
+    got = sequential_ids(df, "k", partitions=16)
+    bad = got.where("seq <> k + 1 or length(wide) < 41").count()
+    assert bad == 0 and got.count() == n
+
+
+def test_sequential_ids_with_ties_and_nulls(spark):
+    from vigil.operators.order import sequential_ids
+
+    df = spark.createDataFrame([(v,) for v in ["b", None, "a", "b", None, "c"]], "k string")
+    got = sequential_ids(df, "k", partitions=3).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(1, 7)) and [r["k"] for r in got] == [None, None, "a", "b", "b", "c"]
+    assert sequential_ids(df.where("k = 'z'"), "k").collect() == []

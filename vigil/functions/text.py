@@ -110,23 +110,24 @@ def industry_of(code) -> Column:
 
 
 def name_after_code(line, code, fallback) -> Column:
-    """Line minus its code, leading blanks/dashes/commas removed; when the
-    rest is shorter than 2 characters use ``fallback``."""
-    rest = F.regexp_replace(F.replace(_c(line), _c(code), F.lit("")), r"^[\s\-,]+", "")
-    rest = strip_ws(rest)
+    """What follows the code in its line, leading blanks/dashes/commas
+    removed; when the rest is shorter than 2 characters use ``fallback`` (the
+    first content line)."""
+    after = F.substring(_c(line), F.instr(_c(line), _c(code)) + F.length(_c(code)), F.length(_c(line)))
+    rest = strip_ws(F.regexp_replace(after, r"^[\s\-,]+", ""))
     return F.when(F.length(rest) < 2, _c(fallback)).otherwise(rest)
 
 
-# Origin patterns tried in order, and the default.
-ORIGIN_PATTERNS = [r"원산지\s*[:：]\s*([^\s,()]+)", r"제조국\s*[:：]\s*([^\s,()]+)"]
+# Origin patterns (the "지역" label) tried in order, and the default.
+ORIGIN_PATTERNS = [r"[-]?지역:\s*([가-힣a-zA-Z\s]+?)(?:\s*[-]|$)", r"지역\s*[:\-]\s*([가-힣a-zA-Z]+)"]
 ORIGIN_DEFAULT = "Overseas"
 
 
 def origin_from_text(c, patterns=None, default: str = ORIGIN_DEFAULT) -> Column:
-    """First non-empty capture of the patterns in order, else ``default``."""
-    pats = patterns or ORIGIN_PATTERNS
-    caps = [F.nullif(F.regexp_extract(_c(c), p, 1), F.lit("")) for p in pats]
-    return F.coalesce(*caps, F.lit(default))
+    """Stripped capture of the first pattern that matches; ``default`` when
+    none does or only blanks are captured."""
+    caps = [F.nullif(F.regexp_extract(_c(c), "(?U)" + p, 1), F.lit("")) for p in patterns or ORIGIN_PATTERNS]
+    return F.coalesce(F.nullif(strip_ws(F.coalesce(*caps)), F.lit("")), F.lit(default))
 
 
 ALERT_NO_RE = r"^\d+-\d+$"

@@ -91,11 +91,12 @@ def bidi_fill(df: DataFrame, code_col: str, name_col: str, dim: DataFrame, dim_c
 
 
 def priority_type(df: DataFrame, industry_col: str, manual_col: str, code_map: DataFrame, map_code: str,
-                  map_name: str, out_col: str = "product_type", other: str = "기타") -> DataFrame:
+                  map_name: str, map_order: str, out_col: str = "product_type", other: str = "기타") -> DataFrame:
     """Product type by priority: industry code map -> manual value (non
-    blank) -> ``other(FDA Code xx)`` when an industry code exists -> ``other``."""
-    m = code_map.select(F.col(map_code).cast("string").alias("_mc"), F.col(map_name).alias("_mn")) \
-        .dropDuplicates(["_mc"])
+    blank) -> ``other(FDA Code xx)`` when an industry code exists -> ``other``.
+    A code listed twice takes its last name in ``map_order``."""
+    m = code_dict(code_map.withColumn(map_code, F.col(map_code).cast("string")), map_code, map_name, map_order, "last") \
+        .select(F.col("_code").alias("_mc"), F.col("_name").alias("_mn"))
     j = df.join(m, df[industry_col].cast("string") == m["_mc"], "left")
     manual = F.nullif(strip_ws(F.col(manual_col)), F.lit(""))
     ind = F.nullif(F.col(industry_col).cast("string"), F.lit(""))
@@ -121,19 +122,22 @@ def country_standardize(df: DataFrame, raw_col: str, countries: DataFrame, en_co
         .drop("_key", "_k", "_v1", "_k2", "_v2")
 
 
-def country_by_prefix(df: DataFrame, raw_col: str, countries: DataFrame, ko_col: str, order_col: str,
+def country_by_prefix(df: DataFrame, raw_col: str, countries: DataFrame, ko_col: str, en_col: str, order_col: str,
                       out_col: str = "country", default: str = "Overseas") -> DataFrame:
-    """Exact Korean name, else the first country whose name starts with the
-    raw value's first 2 characters, else the raw value (``default`` if blank).
+    """English name of the country whose Korean name equals the raw value,
+    else of the first country whose Korean name starts with the raw value's
+    first 2 characters (1, if it has no more), else the raw value (``default``
+    if blank).  A Korean name listed twice keeps its first place and its last
+    English name.
 
-    The prefix step is an equi-join on ``substring(name, 1, 2)`` with
+    The prefix step is an equi-join on the 1- or 2-character prefix with
     ``min_by`` over file order, so it never scans all country pairs."""
     raw = strip_ws(F.col(raw_col))
-    ex = first_per_key(countries.select(F.col(ko_col).alias("_e"), F.col(order_col).alias("_o")), ["_e"], "_o") \
-        .drop("_o")
-    pre = countries.where(F.length(ko_col) >= 2).groupBy(F.substring(ko_col, 1, 2).alias("_p")) \
-        .agg(F.min_by(F.col(ko_col), F.col(order_col)).alias("_pv"))
-    j = df.withColumn("_raw", raw).join(ex, F.col("_raw") == ex["_e"], "left") \
-        .join(pre, (F.length("_raw") >= 2) & (F.substring("_raw", 1, 2) == pre["_p"]), "left")
-    val = F.coalesce(F.col("_e"), F.col("_pv"), F.nullif(F.col("_raw"), F.lit("")), F.lit(default))
-    return j.withColumn(out_col, val).drop("_raw", "_e", "_p", "_pv")
+    ko = countries.where(F.col(ko_col).isNotNull()).groupBy(F.col(ko_col).alias("_e")).agg(
+        F.max_by(F.col(en_col), F.col(order_col)).alias("_ev"), F.min(order_col).alias("_o"))
+    pre = ko.withColumn("_p", F.explode(F.array_distinct(F.array(F.substring("_e", 1, 1), F.substring("_e", 1, 2))))) \
+        .groupBy("_p").agg(F.min_by("_ev", "_o").alias("_pv"))
+    j = df.withColumn("_raw", raw).join(ko.drop("_o"), F.col("_raw") == F.col("_e"), "left") \
+        .join(pre, F.nullif(F.substring("_raw", 1, 2), F.lit("")) == pre["_p"], "left")
+    val = F.coalesce(F.col("_ev"), F.col("_pv"), F.nullif(F.col("_raw"), F.lit("")), F.lit(default))
+    return j.withColumn(out_col, val).drop("_raw", "_e", "_ev", "_p", "_pv")

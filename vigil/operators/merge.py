@@ -47,33 +47,21 @@ def row_distinct(df: DataFrame, cols: list | None = None) -> DataFrame:
 
 # ------------------------------------------------------------------ J1, J2
 
-# Most distinct values of the pruning column (dates of one batch) turned into
-# a static partition filter; batches spanning more fall back to a semi join.
-MAX_PRUNE_VALUES = 1_000
-
-
 def hub_append(incoming: DataFrame, hub: DataFrame, keys: list | None = None,
-               dedup_batch: bool = False, prune_on: str | None = "registration_date") -> DataFrame:
+               dedup_batch: bool = False, partition_col: str | None = None) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``hub``.
 
     Keys are non-null after schema enforcement, so plain equality is exact.
-    With ``dedup_batch`` duplicates inside the batch are also removed.
-
-    Only hub rows whose ``prune_on`` value occurs in the batch can collide.
-    The batch's distinct values are read (a bounded, calendar-sized set:
-    at most ``MAX_PRUNE_VALUES``) and applied to the hub as an ``isin``
-    filter, which becomes a partition filter on a hub partitioned by that
-    column, so an append reads only the hub partitions of its own dates.
-    Larger batches restrict the hub with a semi join instead."""
+    With ``dedup_batch`` duplicates inside the batch are also removed.  Only
+    the key columns of the hub are read.  ``partition_col`` (a column of both
+    sides that the key decides, by which the hub is stored) restricts the hub
+    to the batch's partitions by a semi join, which prunes the scan at run
+    time; nothing is collected while the plan is built."""
     k = keys or HUB_KEYS
-    h = hub.select(*k)
-    if prune_on and prune_on in k:
-        vals = [r[0] for r in incoming.select(prune_on).distinct().limit(MAX_PRUNE_VALUES + 1).collect()]
-        if len(vals) <= MAX_PRUNE_VALUES:
-            h = h.where(F.col(prune_on).isin(vals))
-        else:
-            h = h.join(incoming.select(prune_on).distinct(), on=prune_on, how="left_semi")
-    new = incoming.join(h.distinct(), on=k, how="left_anti")
+    h = hub.select(*k, *([partition_col] if partition_col else []))
+    if partition_col:
+        h = h.join(incoming.select(partition_col).distinct(), on=partition_col, how="left_semi").drop(partition_col)
+    new = incoming.join(h, on=k, how="left_anti")
     return new.dropDuplicates(k) if dedup_batch else new
 
 

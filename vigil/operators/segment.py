@@ -34,7 +34,8 @@ def segment_blocks(lines: DataFrame, is_header: Column, is_code: Column, is_date
     * a code line opens a record (code test has priority over the date test);
     * a date line sets the record's date (last one wins) and is not content;
     * other non-empty lines are content of the open record;
-    * lines before the first code of a header section are dropped.
+    * lines before the first code of a header section are dropped, and so is
+      everything before the first header of a document.
 
     Returns ``(doc, block, header, opener, date, content, n_lines)``."""
     t = lines.where(F.col(text).isNotNull() & (F.col(text) != ""))
@@ -53,7 +54,7 @@ def segment_blocks(lines: DataFrame, is_header: Column, is_code: Column, is_date
         ordered_join(F.when(F.col("_kind") == "content", F.col(text)), F.col(pos)).alias("content"),
         F.count_if(F.col("_kind") == "content").alias("n_lines"),
     )
-    return g.where(F.col("_open_kind") == "code").drop("_open_kind")
+    return g.where((F.col("_open_kind") == "code") & F.col("header").isNotNull()).drop("_open_kind")
 
 
 def nearest_preceding(df: DataFrame, key: str, order_col: str, tie_col: str, is_header: Column,
@@ -81,24 +82,24 @@ def nearest_preceding(df: DataFrame, key: str, order_col: str, tie_col: str, is_
     return out.withColumn(out_col, F.coalesce(F.col("_in"), F.col("_prev"))).drop("_b", "_h", "_ho", "_in", "_prev")
 
 
-def line_neighbors(df: DataFrame, doc_col: str, text_col: str, is_anchor, sep: str = r"\r?\n") -> DataFrame:
+def line_neighbors(df: DataFrame, doc_col: str, text_col: str, is_anchor, sep: str = r"\r?\n",
+                   glue: str = " ") -> DataFrame:
     """Around the first anchor line of each document: the line above it
-    (product), the non-empty lines below it joined (description) and all
-    non-empty lines but the anchor joined (full text).
+    (product), the non-empty lines below it joined by ``glue`` (description)
+    and all non-empty lines but the anchor joined likewise (full text).
 
     Runs inside each row on the document's line array (``is_anchor(line,
     pos)`` -> Column), so no line is exploded or shuffled; documents without
     an anchor give no row."""
     arr = F.transform(F.split(F.col(text_col), sep), lambda x: strip_ws(x))
     hits = F.filter(F.transform("_l", lambda x, i: F.when(is_anchor(x, i), i)), lambda v: v.isNotNull())
-    from vigil.operators.match import spread
-    t = spread(df).select(F.col(doc_col).alias("doc"), arr.alias("_l")).withColumn("_ap", F.try_element_at(hits, F.lit(1))) \
+    t = df.select(F.col(doc_col).alias("doc"), arr.alias("_l")).withColumn("_ap", F.try_element_at(hits, F.lit(1))) \
         .where(F.col("_ap").isNotNull())
     ap = F.col("_ap")
 
     def keep(pred):
         return F.array_join(F.filter(F.transform("_l", lambda x, i: F.when(pred(x, i) & (x != ""), x)),
-                                     lambda v: v.isNotNull()), "\n")
+                                     lambda v: v.isNotNull()), glue)
 
     return t.select(
         "doc",

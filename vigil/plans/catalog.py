@@ -381,10 +381,10 @@ def bidi_fill(spark, sf):
 def priority_type(spark, sf):
     """J13 + S7: product type by code map, then manual value, then fallback."""
     p = T(spark, sf, "part")
-    cmap = p.where(F.col("p_size") <= 20).groupBy("p_size").agg(F.min("p_type").alias("type_name"))
+    cmap = p.where(F.col("p_size") <= 20).select("p_size", F.col("p_type").alias("type_name"), F.col("p_partkey").alias("ord"))
     rows = p.select("p_partkey", F.col("p_size").cast("string").alias("industry"),
                     F.when(F.col("p_retailprice") > 1500, F.col("p_brand")).otherwise(F.lit(" ")).alias("manual"))
-    out = L.priority_type(rows, "industry", "manual", cmap, "p_size", "type_name")
+    out = L.priority_type(rows, "industry", "manual", cmap, "p_size", "type_name", "ord")
     return out.select("p_partkey", "product_type")
 
 
@@ -415,8 +415,8 @@ def country_norm(spark, sf):
 
 @query
 def country_prefix(spark, sf):
-    """Korean-name country: exact, else first name sharing the first two
-    characters, else raw / default."""
+    """English name by Korean name: exact, else the first sharing the first
+    two characters (or the only one), else raw / default."""
     c = T(spark, sf, "customer")
     n = T(spark, sf, "nation")
     r = T(spark, sf, "region")
@@ -424,9 +424,10 @@ def country_prefix(spark, sf):
         "c_custkey",
         F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.col("r_name"), F.lit("_"), F.col("n_nationkey")))
         .when(F.col("c_mktsegment") == "MACHINERY", F.substring("r_name", 1, 3))
+        .when(F.col("c_mktsegment") == "FURNITURE", F.substring("r_name", 1, 1))
         .when(F.col("c_mktsegment") == "BUILDING", F.lit(""))
         .otherwise(F.lit("ZZ top")).alias("raw"))
-    out = L.country_by_prefix(raw, "raw", _countries(spark, sf), "ko", "ord")
+    out = L.country_by_prefix(raw, "raw", _countries(spark, sf), "ko", "en", "ord")
     return out.select("c_custkey", "country")
 
 

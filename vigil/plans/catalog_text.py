@@ -102,10 +102,12 @@ def origin_extract(spark, sf):
     c = T(spark, sf, "customer")
     n = T(spark, sf, "nation")
     seg = F.col("c_mktsegment")
-    txt = (F.when(seg == "HOUSEHOLD", F.concat(F.lit("제품 원산지: "), F.col("n_name"), F.lit(", 수입")))
-           .when(seg == "MACHINERY", F.concat(F.lit("제조국 : "), F.col("n_name")))
-           .when(seg == "BUILDING", F.concat(F.lit("원산지："), F.col("n_name"), F.lit("(bulk)")))
-           .otherwise(F.lit("no origin given")))
+    name = F.initcap("n_name")
+    txt = (F.when(seg == "HOUSEHOLD", F.concat(F.lit("회수 -지역: "), name, F.lit(" - 제품: 과자")))
+           .when(seg == "MACHINERY", F.concat(F.lit("제품 과자 지역 : "), name, F.lit(", 수입")))
+           .when(seg == "BUILDING", F.concat(F.lit("지역:  "), name))
+           .when(seg == "FURNITURE", F.lit("지역:   - 제품: 과자"))
+           .otherwise(F.concat(F.lit("원산지: "), name)))
     j = c.join(n, c.c_nationkey == n.n_nationkey)
     return j.select("c_custkey", X.origin_from_text(txt).alias("origin"))
 

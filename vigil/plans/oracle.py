@@ -274,7 +274,7 @@ FROM r LEFT JOIN nation a ON r.code = a.n_nationkey LEFT JOIN nation b ON r.name
 """
 
 ORACLE["priority_type"] = """
-WITH m AS (SELECT CAST(p_size AS VARCHAR) AS mc, min(p_type) AS mn FROM part WHERE p_size <= 20 GROUP BY p_size)
+WITH m AS (SELECT CAST(p_size AS VARCHAR) AS mc, arg_max(p_type, p_partkey) AS mn FROM part WHERE p_size <= 20 GROUP BY p_size)
 SELECT p_partkey,
        COALESCE(m.mn, CASE WHEN p_retailprice > 1500 THEN NULLIF(trim(p_brand), '') END,
                 '기타(FDA Code ' || CAST(p_size AS VARCHAR) || ')') AS product_type
@@ -304,12 +304,14 @@ raw AS (
   SELECT c_custkey,
          CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN r_name || '_' || n_nationkey
               WHEN c_mktsegment = 'MACHINERY' THEN substr(r_name, 1, 3)
+              WHEN c_mktsegment = 'FURNITURE' THEN substr(r_name, 1, 1)
               WHEN c_mktsegment = 'BUILDING' THEN '' ELSE 'ZZ top' END AS raw
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-ex AS (SELECT DISTINCT ko AS e FROM c),
-pre AS (SELECT substr(ko, 1, 2) AS p, arg_min(ko, ord) AS pv FROM c WHERE length(ko) >= 2 GROUP BY 1)
-SELECT c_custkey, COALESCE(ex.e, pre.pv, NULLIF(raw, ''), 'Overseas') AS country
-FROM raw LEFT JOIN ex ON raw = ex.e LEFT JOIN pre ON length(raw) >= 2 AND substr(raw, 1, 2) = pre.p
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey,
+       COALESCE((SELECT arg_max(en, ord) FROM c WHERE ko = raw),
+                CASE WHEN raw <> '' THEN (SELECT arg_min(en, ord) FROM c WHERE starts_with(ko, substr(raw, 1, 2))) END,
+                NULLIF(raw, ''), 'Overseas') AS country
+FROM raw
 """
 
 # ------------------------------------------------------------------ audit

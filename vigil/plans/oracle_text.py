@@ -34,7 +34,7 @@ g AS (SELECT doc, block, arg_min(kind, pos) AS open_kind, arg_min(line, pos) AS
              COALESCE(string_agg(CASE WHEN kind = 'content' THEN line END, chr(10) ORDER BY pos), '') AS content,
              count_if(kind = 'content') AS n_lines
       FROM b GROUP BY doc, block)
-SELECT doc, block, opener, header, date, content, n_lines FROM g WHERE open_kind = 'code'
+SELECT doc, block, opener, header, date, content, n_lines FROM g WHERE open_kind = 'code' AND header IS NOT NULL
 """
 
 ORACLE["nearest_header"] = """
@@ -53,8 +53,8 @@ a AS (SELECT doc, min(pos) AS ap FROM l WHERE length(line) < 60 AND pos > 0 AND
 SELECT l.doc, min(a.ap) AS anchor_pos,
        max(CASE WHEN l.pos = a.ap THEN line END) AS anchor,
        max(CASE WHEN l.pos = a.ap - 1 THEN line END) AS above,
-       COALESCE(string_agg(CASE WHEN l.pos > a.ap AND line <> '' THEN line END, chr(10) ORDER BY l.pos), '') AS below,
-       COALESCE(string_agg(CASE WHEN l.pos <> a.ap AND line <> '' THEN line END, chr(10) ORDER BY l.pos), '')
+       COALESCE(string_agg(CASE WHEN l.pos > a.ap AND line <> '' THEN line END, ' ' ORDER BY l.pos), '') AS below,
+       COALESCE(string_agg(CASE WHEN l.pos <> a.ap AND line <> '' THEN line END, ' ' ORDER BY l.pos), '')
          AS full_text
 FROM l JOIN a ON l.doc = a.doc GROUP BY l.doc
 """
@@ -124,16 +124,24 @@ p AS (SELECT o_orderkey, raw,
 SELECT o_orderkey, raw, parsed, parsed IS NULL AS rejected FROM p
 """
 
+# From the rules: the text between the "지역:" label and a dash or the end (letters and blanks only), else the
+# word after "지역" and a colon or dash; blanks alone give the default.
 ORACLE["origin_extract"] = """
-WITH t AS (
-  SELECT c_custkey,
-         CASE c_mktsegment WHEN 'HOUSEHOLD' THEN '제품 원산지: ' || n_name || ', 수입'
-              WHEN 'MACHINERY' THEN '제조국 : ' || n_name
-              WHEN 'BUILDING' THEN '원산지：' || n_name || '(bulk)' ELSE 'no origin given' END AS t
-  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+WITH n AS (SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '),
+                  lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM nation),
+t AS (
+  SELECT c_custkey, c_mktsegment AS seg, name,
+         CASE c_mktsegment WHEN 'HOUSEHOLD' THEN '회수 -지역: ' || name || ' - 제품: 과자'
+              WHEN 'MACHINERY' THEN '제품 과자 지역 : ' || name || ', 수입'
+              WHEN 'BUILDING' THEN '지역:  ' || name WHEN 'FURNITURE' THEN '지역:   - 제품: 과자'
+              ELSE '원산지: ' || name END AS t
+  FROM customer JOIN n ON c_nationkey = n_nationkey)
 SELECT c_custkey,
-       COALESCE(NULLIF(regexp_extract(t, '원산지\\s*[:：]\\s*([^\\s,()]+)', 1), ''),
-                NULLIF(regexp_extract(t, '제조국\\s*[:：]\\s*([^\\s,()]+)', 1), ''), 'Overseas') AS origin
+       CASE WHEN regexp_matches(t, '지역:\\s*[가-힣a-zA-Z\\s]+(-|$)')
+            THEN COALESCE(NULLIF(trim(regexp_extract(t, '지역:\\s*([가-힣a-zA-Z\\s]+?)(?:\\s*-|$)', 1)), ''), 'Overseas')
+            WHEN regexp_matches(t, '지역\\s*[:-]\\s*[가-힣a-zA-Z]')
+            THEN regexp_extract(t, '지역\\s*[:-]\\s*([가-힣a-zA-Z]+)', 1)
+            ELSE 'Overseas' END AS origin
 FROM t
 """
 

@@ -11,33 +11,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vigil.operators.match import materialize
 from vigil.operators.merge import HUB_KEYS, hub_append
 from vigil.schema import UNIFIED_SCHEMA
 from vigil.sources import io as IO
 
 
+PARTITION = "registration_day"
+NO_DATE = "none"
+
+
+def registration_day(c: str = "registration_date") -> Column:
+    """Partition value of a registration date: the day, or ``NO_DATE`` for anything that is no ISO date.
+
+    Kept apart from ``registration_date``, which stays in the files as it is,
+    so an empty or unparsable date is never turned into a null partition."""
+    return F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col(c)).otherwise(F.lit(NO_DATE))
+
+
 def start_hub_stream(spark: SparkSession, stream: DataFrame, to_notices: Callable[[DataFrame], DataFrame],
                      hub_path: str, checkpoint_path: str, keys: list | None = None, dedup_batch: bool = True,
-                     available_now: bool = True, processing_time: str | None = None,
-                     partition_by: list | None = None):
+                     available_now: bool = True, processing_time: str | None = None):
     """Start the streaming append; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything landed so far and stops (batch-like
     scheduling, any job runner); otherwise ``processing_time`` (e.g. '1 hour')
     keeps it running.
 
-    The hub is written partitioned by ``partition_by`` (default: the
-    registration date, which is part of the key).  ``hub_append`` filters the
-    hub by the micro-batch's dates, so each append reads only those hub
-    partitions instead of every hub key."""
+    The hub is stored by ``registration_day``.  A micro-batch is mapped once
+    (checkpointed into the shared folder), then its days restrict the hub
+    partitions that the anti-join reads."""
     k = keys or HUB_KEYS
-    parts = ["registration_date"] if partition_by is None else partition_by
+    hub_schema = T.StructType([*UNIFIED_SCHEMA.fields, T.StructField(PARTITION, T.StringType())])
 
     def upsert(batch: DataFrame, _batch_id: int) -> None:
-        current = IO.load_parquet(spark, hub_path, UNIFIED_SCHEMA)
-        IO.append(hub_append(to_notices(batch), current, k, dedup_batch=dedup_batch), hub_path, parts or None)
+        notices = materialize(to_notices(batch).na.fill("", k).withColumn(PARTITION, registration_day()))
+        current = IO.load_parquet(batch.sparkSession, hub_path, hub_schema).na.fill("", k)
+        IO.append(hub_append(notices, current, k, dedup_batch, PARTITION), hub_path, [PARTITION])
 
     w = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 hour")
