@@ -28,14 +28,16 @@ def product_terms(spark, sf):
 
 
 def hazard_dict(spark, sf):
-    b = T(spark, sf, "benchmark")
-    w = F.split(F.col("text"), " ")
-    return b.select(F.concat_ws(" ", F.try_element_at(w, F.lit(1)), F.try_element_at(w, F.lit(2))).alias("KOR_NM"),
-                    F.try_element_at(w, F.lit(3)).alias("ENG_NM"),
-                    F.substring(F.try_element_at(w, F.lit(4)), 1, 1).alias("ABRV"),
-                    F.lit(None).cast("string").alias("NCKNM"),
-                    F.try_element_at(w, F.lit(5)).alias("TESTITM_NM"),
-                    F.col("item_id").alias("row_ord"))
+    """Every five words of the passages are one dictionary row."""
+    b = T(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    g = b.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.expr("(size(w) - 1) div 5").cast("int"))).alias("g"))
+
+    def word(k):
+        return F.try_element_at("w", F.col("g") * 5 + k)
+
+    return g.select(F.concat_ws(" ", word(1), word(2)).alias("KOR_NM"), word(3).alias("ENG_NM"),
+                    F.substring(word(4), 1, 1).alias("ABRV"), F.lit(None).cast("string").alias("NCKNM"),
+                    word(5).alias("TESTITM_NM"), (F.col("item_id") * 1000 + F.col("g")).alias("row_ord"))
 
 
 def hazard_terms(spark, sf):
@@ -44,7 +46,7 @@ def hazard_terms(spark, sf):
 
 def _typo(c):
     """A name with its third character removed."""
-    return F.concat(F.substring(c, 1, 2), F.substring(c, 4, 1000))
+    return F.concat(F.substring(c, 1, 2), F.substring(c, 4, 1 << 30))
 
 
 def product_texts(spark, sf):
@@ -115,9 +117,9 @@ def sentence_scan(spark, sf):
 
 @query
 def hazard_extract(spark, sf):
-    """M8: sentence scan then fuzzy over English documents; KOR, else ENG,
-    else test-item name of the winning row."""
-    d = T(spark, sf, "documents").where(F.col("lang") == "en")
+    """M8: sentence scan then fuzzy over whole documents; KOR, else ENG, else
+    test-item name of the winning row."""
+    d = T(spark, sf, "documents")
     q = d.select("doc_id", normalize(F.col("text")).alias("q")).where(F.col("q") != "")
     m = MT.hazard_extract(q, hazard_terms(spark, sf), key="doc_id")
     names = hazard_dict(spark, sf).select("row_ord", F.coalesce("KOR_NM", "ENG_NM", "TESTITM_NM").alias("hazard"))
@@ -126,11 +128,11 @@ def hazard_extract(spark, sf):
 
 
 def rules(spark, sf):
-    b = T(spark, sf, "benchmark")
-    kw = F.lower(F.try_element_at(F.split(F.col("text"), " "), F.lit(3)))
-    return b.select(kw.alias("keyword"), F.concat(F.lit("item_"), F.col("item_id")).alias("TESTITM_NM"),
+    h = hazard_dict(spark, sf)
+    kw = F.lower("ENG_NM")
+    return h.select(kw.alias("keyword"), F.concat(F.lit("item_"), F.col("row_ord")).alias("TESTITM_NM"),
                     F.when(kw < "m", F.lit("ALL")).otherwise(F.lit("src3")).alias("source"),
-                    F.col("item_id").alias("rule_ord")).where(F.length("keyword") >= 2)
+                    F.col("row_ord").alias("rule_ord")).where(F.length("keyword") >= 2)
 
 
 @query
@@ -141,9 +143,8 @@ def rule_scan(spark, sf):
     return MT.rule_scan(d, "text", "source", rules(spark, sf), key="doc_id").select("doc_id", "rule_ord")
 
 
-def _title_lines(spark, sf):
-    d = T(spark, sf, "documents").where(F.col("lang") == "en")
-    return d.select("doc_id", F.try_element_at(F.split(F.col("text"), "\n"), F.lit(1)).alias("title"))
+def _titles(spark, sf):
+    return T(spark, sf, "documents").select("doc_id", F.col("text").alias("title"))
 
 
 def word_dict(spark, sf):
@@ -161,7 +162,7 @@ BOILERPLATE = r"^(is|the|and|of|a)\s+"
 def dict_override(spark, sf):
     """M12 + S14 + F13: boilerplate stripped from titles, longest English term
     (>= 3 characters) contained; KOR, else ENG name."""
-    t = _title_lines(spark, sf)
+    t = _titles(spark, sf)
     wd = word_dict(spark, sf)
     terms = MT.prepare_terms(wd, ["ENG_NM"], min_len=3)
     m = MT.override_hazard(t, "title", terms, BOILERPLATE, min_len=3)
@@ -173,7 +174,7 @@ def dict_override(spark, sf):
 @query
 def word_override(spark, sf):
     """Longest English term (>= 4) found as a whole word; KOR name."""
-    t = _title_lines(spark, sf)
+    t = _titles(spark, sf)
     wd = word_dict(spark, sf)
     terms = MT.prepare_terms(wd, ["ENG_NM"], min_len=4)
     m = MT.override_word(t, "title", terms, min_len=4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text as X
 from vigil.operators import segment as S
-from vigil.plans.catalog import T, _code_tree, query
+from vigil.plans.catalog import T, _code_tree, _countries, query
 from vigil.plans.catalog_match import hazard_dict, rules
 from vigil.sources import mappers as MP
 
@@ -24,7 +24,7 @@ def references(spark, sf) -> MP.References:
     r = rules(spark, sf)
     rl = r.select("*", F.when(F.col("keyword") < "m", F.lit("RULE-M")).alias("M_KOR_NM"),
                   F.when(F.col("keyword") < "m", F.lit("RULE-L")).alias("L_KOR_NM"))
-    return MP.References(products=tree, hazards=hz, rules=rl)
+    return MP.References(products=tree, hazards=hz, rules=rl, countries=_countries(spark, sf))
 
 
 def _customer_orders(spark, sf):
@@ -71,7 +71,7 @@ def map_i2810(spark, sf):
     raw = d.select(F.date_format("day", "yyyyMMdd").alias("CRET_DTM"),
                    F.try_element_at(F.split("text", "\n"), F.lit(1)).alias("TITL"),
                    F.col("source").alias("DETECT_TITL"),
-                   F.concat(F.lit("원산지: "), F.col("lang"), F.lit(" "), F.col("text")).alias("BDT"),
+                   F.concat(F.lit("-지역: "), F.col("lang"), F.lit(" - "), F.col("text")).alias("BDT"),
                    F.col("doc_id").cast("string").alias("NTCTXT_NO"))
     return MP.map_i2810(raw, references(spark, sf), long_texts=True)
 

@@ -102,10 +102,12 @@ SELECT qa.q, m.stage, COALESCE(pd.M_KOR_NM, qa.q) AS class_m, pd.L_KOR_NM AS cla
 FROM qa LEFT JOIN m ON qa.q = m.q LEFT JOIN pd ON m.row_ord = pd.row_ord"""
 
 _HD = """
-hd AS (SELECT concat_ws(' ', string_split(text, ' ')[1], string_split(text, ' ')[2]) AS KOR_NM,
-              string_split(text, ' ')[3] AS ENG_NM, substr(string_split(text, ' ')[4], 1, 1) AS ABRV,
-              CAST(NULL AS VARCHAR) AS NCKNM, string_split(text, ' ')[5] AS TESTITM_NM, item_id AS row_ord
-       FROM benchmark)
+hw AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+hg AS (SELECT item_id, w, unnest(range(0, (len(w) - 1) // 5 + 1)) AS g FROM hw),
+hd AS (SELECT concat_ws(' ', w[5 * g + 1], w[5 * g + 2]) AS KOR_NM, w[5 * g + 3] AS ENG_NM,
+              substr(w[5 * g + 4], 1, 1) AS ABRV, CAST(NULL AS VARCHAR) AS NCKNM, w[5 * g + 5] AS TESTITM_NM,
+              item_id * 1000 + g AS row_ord
+       FROM hg)
 """
 _HT = f"""
 ht0 AS (SELECT {NORM('KOR_NM')} AS term, 0 AS col_rank, row_ord FROM hd WHERE KOR_NM IS NOT NULL
@@ -122,7 +124,7 @@ m AS ({scan_sql('q', 'ht')})
 SELECT dq.doc_id, m.row_ord, m.col_rank, m.tlen FROM dq LEFT JOIN m ON dq.q = m.q"""
 
 ORACLE["hazard_extract"] = f"""WITH {_HD}, {_HT},
-dq AS (SELECT doc_id, {NORM('text')} AS q FROM documents WHERE lang = 'en'),
+dq AS (SELECT doc_id, {NORM('text')} AS q FROM documents),
 q AS (SELECT DISTINCT q FROM dq WHERE q <> ''),
 s AS ({scan_sql('q', 'ht')}),
 q2 AS (SELECT q FROM q WHERE q NOT IN (SELECT q FROM s)),
@@ -131,10 +133,10 @@ m AS (SELECT q, row_ord, 'scan' AS stage FROM s UNION ALL SELECT q, row_ord, 'fu
 SELECT dq.doc_id, m.stage, COALESCE(hd.KOR_NM, hd.ENG_NM, hd.TESTITM_NM) AS hazard
 FROM dq LEFT JOIN m ON dq.q = m.q LEFT JOIN hd ON m.row_ord = hd.row_ord"""
 
-ORACLE["rule_scan"] = """
-WITH r0 AS (SELECT lower(string_split(text, ' ')[3]) AS keyword, item_id AS rule_ord FROM benchmark),
-r AS (SELECT keyword, CASE WHEN keyword < 'm' THEN 'ALL' ELSE 'src3' END AS scope, rule_ord
-      FROM r0 WHERE length(keyword) >= 2)
+ORACLE["rule_scan"] = f"""
+WITH {_HD},
+r AS (SELECT lower(ENG_NM) AS keyword, CASE WHEN lower(ENG_NM) < 'm' THEN 'ALL' ELSE 'src3' END AS scope,
+             row_ord AS rule_ord FROM hd WHERE length(ENG_NM) >= 2)
 SELECT d.doc_id, arg_min(r.rule_ord, struct_pack(a := -length(r.keyword), b := r.rule_ord)) AS rule_ord
 FROM documents d JOIN r ON (r.scope = 'ALL' OR r.scope = d.source) AND instr(lower(d.text), r.keyword) > 0
 GROUP BY d.doc_id
@@ -146,7 +148,7 @@ wd0 AS (SELECT item_id, unnest(string_split(text, ' ')) AS w,
 wd AS (SELECT upper(regexp_replace(lower(w), '[^a-z]', '', 'g')) AS KOR_NM,
               regexp_replace(lower(w), '[^a-z]', '', 'g') AS ENG_NM, item_id * 1000 + pos AS row_ord
        FROM wd0 WHERE regexp_replace(lower(w), '[^a-z]', '', 'g') <> ''),
-ti AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents WHERE lang = 'en')
+ti AS (SELECT doc_id, text AS title FROM documents)
 """
 ORACLE["dict_override"] = f"""WITH {_WD},
 t AS (SELECT ENG_NM AS term, row_ord, length(ENG_NM) AS tlen FROM wd WHERE length(ENG_NM) >= 3),
@@ -160,9 +162,9 @@ ORACLE["word_override"] = f"""WITH {_WD},
 t AS (SELECT ENG_NM AS term, row_ord, length(ENG_NM) AS tlen FROM wd WHERE length(ENG_NM) >= 4),
 tq AS (SELECT doc_id, lower(title) AS q FROM ti),
 q AS (SELECT DISTINCT q FROM tq WHERE q <> ''),
+k AS (SELECT DISTINCT q, unnest(string_split_regex(q, '[^\\pL\\pN_]+')) AS tok FROM q),
 m AS (SELECT q, arg_min(row_ord, struct_pack(a := -tlen, b := row_ord)) AS row_ord
-      FROM q JOIN t ON instr(q, term) > 0 AND regexp_matches(q, '(^|[^\\pL\\pN_])' || term || '([^\\pL\\pN_]|$)')
-      GROUP BY q)
+      FROM k JOIN t ON k.tok = t.term GROUP BY q)
 SELECT tq.doc_id, wd.KOR_NM AS name FROM tq JOIN m ON tq.q = m.q JOIN wd ON m.row_ord = wd.row_ord
 """
 

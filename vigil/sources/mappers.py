@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text as X
 from vigil.operators import match as MT
+from vigil.operators.lookup import country_standardize
 from vigil.operators.merge import first_per_key
 from vigil.schema import enforce_schema
 
@@ -40,10 +41,11 @@ class References:
     (+ optional HTRK_PRDLST_NM, GR_NM, HRNK_PRDLST_NM, PRDLST_CL_NM), row_ord.
     ``hazards``: KOR_NM, ENG_NM, ABRV, NCKNM, TESTITM_NM, M_KOR_NM, L_KOR_NM,
     ANALYZABLE, INTEREST_ITEM, row_ord.  ``rules``: keyword, TESTITM_NM,
-    M_KOR_NM, L_KOR_NM, source, rule_ord."""
+    M_KOR_NM, L_KOR_NM, source, rule_ord.  ``countries``: en, ko, ord."""
     products: DataFrame
     hazards: DataFrame
     rules: DataFrame | None = None
+    countries: DataFrame | None = None
     similarity: float = MT.SIMILARITY_THRESHOLD
     long_text: int = MT.LONG_TEXT_THRESHOLD
 
@@ -166,6 +168,12 @@ def _classes(df: DataFrame, refs: References) -> DataFrame:
 
 # ------------------------------------------------------------------ mappers
 
+def _order(raw: DataFrame, order_col: str | None) -> Column:
+    """What "first row" goes by: the file order where there is one, else the
+    rows' own values, so the choice is the same in every run."""
+    return (F.col(order_col) if order_col else F.struct(*raw.columns)).alias("_ord")
+
+
 def map_i2620(raw: DataFrame, refs: References, order_col: str | None = None) -> DataFrame:
     """P5: domestic non-conformance rows (CRET_DTM 'YYYY.MM.DD', PRDTNM,
     PRDLST_CD_NM, TEST_ITMNM, RTRVLDSUSE_SEQ); first row per source detail."""
@@ -177,7 +185,7 @@ def map_i2620(raw: DataFrame, refs: References, order_col: str | None = None) ->
         F.col("PRDTNM").alias("product_name"),
         F.lit(KOREA).alias("origin_country"), F.lit(KOREA).alias("notifying_country"),
         F.col("TEST_ITMNM").alias("hazard_item"),
-        (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("_ord"),
+        _order(raw, order_col),
     ).withColumns({"rule_class_m": F.lit(None).cast("string"), "rule_class_l": F.lit(None).cast("string")})
     d = first_per_key(d, ["source_detail"], "_ord")
     return enforce_schema(_classes(product_lookup(d, "product_type", refs), refs))
@@ -194,7 +202,7 @@ def map_i0490(raw: DataFrame, refs: References, order_col: str | None = None, lo
         F.col("PRDTNM").alias("product_name"),
         F.lit(KOREA).alias("origin_country"), F.lit(KOREA).alias("notifying_country"),
         F.col("RTRVLPRVNS").alias("full_text"),
-        (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("_ord"),
+        _order(raw, order_col),
     )
     d = first_per_key(d, ["source_detail"], "_ord")
     d = MT.materialize(hazard_from_text(d, "source_detail", "full_text", refs, "MFDS", raw_fallback=F.col("full_text"),
@@ -217,8 +225,7 @@ def map_i2810(raw: DataFrame, refs: References, long_texts: bool = False) -> Dat
         F.lit(KOREA).alias("notifying_country"),
         X.join_texts(F.col("DETECT_TITL"), F.col("BDT")).alias("full_text"),
         F.col("DETECT_TITL").alias("_detect"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
+    ).withColumn("_row", F.md5(F.concat_ws("\u0001", "source_detail", "full_text")))
     d = MT.materialize(hazard_from_text(d, "_row", "full_text", refs, "MFDS", raw_fallback=F.col("_detect"),
                                         long_texts=long_texts))
     return enforce_schema(_classes(d, refs))
@@ -261,23 +268,33 @@ def map_impfood(raw: DataFrame, refs: References) -> DataFrame:
 
 
 def map_fda(blocks: DataFrame, refs: References, overrides: DataFrame | None = None,
-            alert_col: str = "alert_no", force: bool = False, target_date: str | None = None) -> DataFrame:
-    """P10 + F12 + T3: segmented alert blocks (``segment_blocks`` output plus
-    the alert number) -> notices.
+            alert_col: str = "alert_no", force: bool = False, target_date: str | None = None,
+            block_col: str = "block") -> DataFrame:
+    """P10 + F12 + T3 + J14: segmented alert blocks (``segment_blocks`` output
+    plus the alert number) -> notices.
 
     Product code from the opening line (else its first token) and the name
-    after it; hazard by manual override, then FDA-scoped rules, then the
-    dictionary scan; product type manual override else the code; date
-    'M/D/YYYY' -> ISO.  Blocks without a parsable date are dropped; unless
-    ``force``, only blocks dated ``target_date`` are kept."""
+    after it (the first content line when nothing is left); the full text is
+    the product line and the content, and both are searched for hazards: by
+    manual override, then FDA-scoped rules, then the dictionary scan; product
+    type manual override else the code; country standardised; date 'M/D/YYYY'
+    -> ISO.  Blocks without a parsable date are dropped; unless ``force``, only
+    blocks dated ``target_date`` are kept.  A block is identified by alert
+    number and block number."""
     b = blocks.withColumn("_code", X.product_code(F.col("opener")))
+    if refs.countries is not None:
+        b = country_standardize(b, "header", refs.countries, "en", "ko", "ord", "_country")
+    else:
+        b = b.withColumn("_country", F.col("header"))
     code = F.when(F.col("_code") != "", F.col("_code")).otherwise(F.split(F.col("opener"), " ").getItem(0))
-    name = F.when(F.col("_code") != "", X.name_after_code(F.col("opener"), F.col("_code"), F.col("opener"))) \
+    first_line = F.coalesce(F.nullif(F.split("content", "\n").getItem(0), F.lit("")), F.col("opener"))
+    name = F.when(F.col("_code") != "", X.name_after_code(F.col("opener"), F.col("_code"), first_line)) \
         .otherwise(F.col("opener"))
     reg = F.try_to_date(F.col("date").cast("string"), "M/d/yyyy")
-    d = b.select(F.col(alert_col), F.col("header").alias("origin_country"), code.alias("_p_code"),
-                 name.alias("product_name"), reg.alias("_reg"), F.col("content").alias("full_text"),
-                 F.monotonically_increasing_id().alias("_row"))
+    full = F.concat_ws("\n", F.col("opener"), F.nullif(F.col("content"), F.lit("")))
+    row = F.concat_ws("\u0001", F.col(alert_col).cast("string"), F.col(block_col).cast("string"))
+    d = b.select(F.col(alert_col), F.col("_country").alias("origin_country"), code.alias("_p_code"),
+                 name.alias("product_name"), reg.alias("_reg"), full.alias("full_text"), row.alias("_row"))
     d = d.where(F.col("_reg").isNotNull())
     if not force and target_date is not None:
         d = d.where(F.col("_reg") == F.lit(target_date).cast("date"))
