@@ -23,17 +23,11 @@ def test_entry_runs(spark):
     assert df.columns == ["origin_country", "n"] and df.count() > 0
 
 
-# Composite per-source mappers: every operator inside them has its own oracle
-# query; the mappers themselves are checked on reference-shaped fixtures in
-# test_mappers.py (rows-only at the driver).
-ROWS_ONLY = {"map_i2620", "map_i0490", "map_i2810", "map_impfood", "map_fda"}
-
-
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - set(E.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) == set(QUERIES) & set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns
@@ -42,11 +36,3 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(dcols)
     assert canon(rows, cols) == canon(cur.fetchall(), dcols)
-
-
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only_queries_run(spark, name):
-    df = E.queries()[name](spark, SF)
-    from vigil.schema import UNIFIED_COLUMNS
-    assert df.columns == UNIFIED_COLUMNS
-    df.count()

@@ -1,6 +1,7 @@
 """Per-source mappers on reference-shaped raw rows and mock dictionaries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.schema import UNIFIED_COLUMNS
 from vigil.sources import mappers as MP
@@ -76,13 +77,18 @@ def test_i2810_rasff_impfood(spark, refs):
 
 def test_fda_blocks(spark, refs):
     blocks = spark.createDataFrame([
-        ("CHINA", "16 R - - 01 - Shrimp, frozen", "1/5/2024", "broken glass found", "99-01"),
-        ("PERU", "16 X - - 02 Fish", "2/7/2024", "aflatoxin detected", "99-02"),
-        ("PERU", "no code line", None, "text", "99-03")],
-        "header string, opener string, date string, content string, alert_no string")
+        ("CHINA", "16 R - - 01 - Shrimp, frozen", "1/5/2024", "broken glass found", "99-01", 1),
+        ("PERU", "16 X - - 02 Fish", "2/7/2024", "aflatoxin detected", "99-02", 1),
+        ("PERU", "16 X - - 02", "2/7/2024", "first line\nmore", "99-02", 2),
+        ("PERU", "no code line", None, "text", "99-03", 1)],
+        "header string, opener string, date string, content string, alert_no string, block long")
     ov = spark.createDataFrame([("99-02", None, "Manual type")], "alert_no string, Manual_Hazard_Item string, "
                                                                  "Manual_Product_Type string")
-    out = {r["source_detail"]: r for r in MP.map_fda(blocks, refs, ov, force=True).collect()}
+    full = MP.map_fda(blocks, refs, ov, force=True).collect()
+    bare = [r for r in full if r["full_text"] == "16 X - - 02\nfirst line\nmore"]
+    assert [r["product_name"] for r in bare] == ["first line"]   # nothing after the code: the first content line
+    out = {r["source_detail"]: r for r in full if r not in bare}
+    assert out["FDA Import Alert_99-01"]["full_text"] == "16 R - - 01 - Shrimp, frozen\nbroken glass found"
     assert set(out) == {"FDA Import Alert_99-01", "FDA Import Alert_99-02"}
     a = out["FDA Import Alert_99-01"]
     assert (a["product_type"], a["product_name"], a["hazard_item"], a["registration_date"], a["origin_country"]) == \
@@ -90,6 +96,28 @@ def test_fda_blocks(spark, refs):
     b = out["FDA Import Alert_99-02"]
     assert (b["product_type"], b["hazard_item"], b["hazard_class_m"]) == ("Manual type", "아플라톡신", "곰팡이독소")
     only = MP.map_fda(blocks, refs, force=False, target_date="2024-02-07").collect()
-    assert [r["source_detail"] for r in only] == ["FDA Import Alert_99-02"]
+    assert {r["source_detail"] for r in only} == {"FDA Import Alert_99-02"} and len(only) == 2
+    refs.countries = spark.createDataFrame([("China", "중국", 0), ("Peru", "페루", 1)], "en string, ko string, ord int")
+    try:
+        assert {r["origin_country"] for r in MP.map_fda(blocks, refs, ov, force=True).collect()} == {"China", "Peru"}
+    finally:
+        refs.countries = None
     assert list(MP.map_source("RASFF", spark.createDataFrame([], "date string, reference string, origin string, "
                                                                  "subject string, category string")).columns) == UNIFIED_COLUMNS
+
+
+def test_registered_source_is_mapped_onto_the_unified_table(spark):
+    MP.register_source("Own", lambda raw, refs: raw.select(F.col("d").alias("registration_date"), F.lit("Own").alias("data_source")))
+    try:
+        out = MP.map_source("Own", spark.createDataFrame([("2024.1.5",), ("?",)], "d string"))
+        assert out.columns == UNIFIED_COLUMNS and sorted(r["registration_date"] for r in out.collect()) == ["", "2024-01-05"]
+    finally:
+        del MP.SOURCES["Own"]
+
+
+def test_i2810_rows_of_one_number_stay_apart(spark, refs):
+    raw = spark.createDataFrame([("20240301", "A", "Lead", "-지역: 중국", ""), ("20240301", "B", "Mold", "-지역: 일본", ""),
+                                 ("20240301", "B", "Mold", "-지역: 일본", "")],
+                                "CRET_DTM string, TITL string, DETECT_TITL string, BDT string, NTCTXT_NO string")
+    got = sorted((r["product_name"], r["origin_country"]) for r in MP.map_i2810(raw, refs).collect())
+    assert got == [("A", "중국"), ("B", "일본"), ("B", "일본")]

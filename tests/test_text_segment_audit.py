@@ -63,16 +63,17 @@ def test_line_neighbors(spark):
 def test_html_lines_links_tables(spark):
     html = ('<html lang="en"><head><title>T &amp; U</title><script>var a="</p>";</script></head><body>'
             '<h1>Head</h1><p>One <b>bold</b></p><!-- c --><ul><li><a href="/x">X</a></li></ul>'
-            '<table><tr><td><a href="/a/1">99-01</a></td><td>Type</td><td>1/2/2024</td><td>Title</td></tr>'
-            '<tr><td>Alert 16-02</td><td>2/3/2024</td><td>Other</td></tr></table></body></html>')
+            '<table><tr><td><a href="/a/importalert_1">99-01</a></td><td>Type</td><td>1/2/2024</td><td>Title</td></tr>'
+            '<tr><td><a href="importalert_2">Alert</a> 16-02</td><td>2/3/2024</td><td>Other</td></tr>'
+            '<tr><td>no link 17-03</td><td>2/3/2024</td><td>Other</td></tr></table></body></html>')
     pages = spark.createDataFrame([(1, "https://h.example.org/p", html)], "page_id int, url string, html string")
     lines = [(r["kind"], r["line"]) for r in H.html_lines(pages, "page_id", "html").orderBy("pos").collect()]
     assert lines[:3] == [("text", "T & U"), ("heading", "Head"), ("text", "One bold")]
     links = H.html_links(pages, "page_id", "html", "url").orderBy("link_pos").collect()
-    assert [r["url"] for r in links] == ["https://h.example.org/x", "https://h.example.org/a/1"]
+    assert [r["url"] for r in links] == ["https://h.example.org/x", "https://h.example.org/a/importalert_1", "https://h.example.org/importalert_2"]
     rows = H.table_rows(pages, "page_id", "html").orderBy("row_pos").collect()
     assert [(r["alert_no"], r["type"], r["date"], r["title"]) for r in rows] == [
-        ("99-01", "Type", "1/2/2024", "Title"), ("16-02", None, "2/3/2024", "Other")]
+        ("99-01", "Type", "1/2/2024", "Title"), ("16-02", "Unknown", "2/3/2024", "Other")]
 
 
 def test_audit_planted_gaps(spark):
@@ -89,7 +90,12 @@ def test_audit_planted_gaps(spark):
     assert mp[("product_type", "upper_product_type")] == 1
     assert mp[("hazard_item", "hazard_class_m")] == 2
     s = A.audit_summary(df).collect()[0]
-    assert (s["total_rows"], s["n_sources"], s["sources"], s["verdict"]) == (4, 3, "FDA,MFDS,RASFF", "fail")
+    assert (s["total_rows"], s["n_sources"], s["verdict"]) == (4, 3, "fail")
+    assert {(r["source"], r["n_rows"]) for r in A.audit_sources(df).collect()} == {("FDA", 2), ("RASFF", 1), ("MFDS", 1)}
+    from vigil.schema import enforce_schema
+    assert A.audit_summary(enforce_schema(df)).collect()[0]["verdict"] == "ok"
+    kinds = {r["column_name"]: (r["kind"], r["present"]) for r in A.audit_schema(df.withColumn("more", F.lit(1))).collect()}
+    assert kinds["more"] == ("extra", 4) and kinds["full_text"] == ("missing", 0) and kinds["hazard_class_m"] == ("order", 2)
 
 
 def test_salted_top_k_with_hot_group_and_sequential_ids(spark):

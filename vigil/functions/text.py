@@ -184,15 +184,6 @@ def record_id(source, ref) -> Column:
     return F.when(r.isNotNull(), F.sha2(F.concat(_c(source).cast("string"), F.lit("::"), r), 256))
 
 
-def absolute_url(c, base: str) -> Column:
-    """Relative -> absolute URL."""
-    u = _c(c)
-    b = base.rstrip("/")
-    return (F.when(u.startswith("http"), u)
-            .when(u.startswith("/"), F.concat(F.lit(b), u))
-            .otherwise(F.concat(F.lit(b + "/"), u)))
-
-
 def split_int_pair(c, sep: str = "-"):
     """``a-b`` -> (int a, int b); malformed parts -> null."""
     parts = F.split(_c(c), sep)
@@ -205,3 +196,11 @@ def split_int_pair(c, sep: str = "-"):
 def starts_alnum(c) -> Column:
     """First character is a letter or digit (any script)."""
     return _c(c).rlike(r"^[\p{L}\p{N}]")
+
+
+def split_rejects(df, raw_col: str, value: Column, out_col: str):
+    """F16: (rows whose raw value could be read, rejects), both with ``out_col``;
+    an empty raw value is no reject."""
+    parsed = df.withColumn(out_col, value)
+    bad = F.col(out_col).isNull() & (F.coalesce(strip_ws(F.col(raw_col)), F.lit("")) != "")
+    return parsed.where(~bad), parsed.where(bad)

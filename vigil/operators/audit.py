@@ -7,10 +7,12 @@ the number of checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.schema import BOOL_COLUMNS, UNIFIED_COLUMNS, schema_diff
+from vigil.schema import BOOL_COLUMNS, UNIFIED_COLUMNS
 
 # Raw -> derived pairs checked for mapping failures.
 MAPPING_PAIRS = [
@@ -82,33 +84,52 @@ def audit_mapping(df: DataFrame, pairs: list | None = None) -> DataFrame:
 
 def audit_summary(df: DataFrame, source_col: str = "data_source", expected: list | None = None) -> DataFrame:
     """A9 + A13 + A14: one row ``(total_rows, expected_columns, actual_columns,
-    n_sources, sources, schema_ok, verdict)``; verdict is ``ok`` when the schema
-    matches and the table has rows."""
+    n_sources, schema_ok, verdict)``; verdict is ``ok`` when the schema matches
+    and the table has rows.  The sources themselves are ``audit_sources``."""
     exp = expected or UNIFIED_COLUMNS
     schema_ok = list(df.columns) == list(exp)
-    has_src = source_col in df.columns
-    src = F.col(source_col) if has_src else F.lit(None).cast("string")
-    out = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_distinct(src).alias("n_sources"),
-        F.array_sort(F.collect_set(src)).alias("sources"),
-    )
+    src = F.col(source_col) if source_col in df.columns else F.lit(None).cast("string")
+    out = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct(src).alias("n_sources"))
     return out.select(
         "total_rows",
         F.lit(len(exp)).alias("expected_columns"),
         F.lit(len(df.columns)).alias("actual_columns"),
         "n_sources",
-        F.array_join("sources", ",").alias("sources"),
         F.lit(schema_ok).alias("schema_ok"),
         F.when(F.lit(schema_ok) & (F.col("total_rows") > 0), F.lit("ok")).otherwise(F.lit("fail")).alias("verdict"),
     )
 
 
-def full_audit(spark: SparkSession, df: DataFrame) -> dict:
-    """All audit outputs as DataFrames."""
-    return {
-        "schema": schema_diff(spark, df),
-        "missing": audit_missing(df),
-        "mapping": audit_mapping(df),
-        "summary": audit_summary(df),
-    }
+def audit_sources(df: DataFrame, source_col: str = "data_source") -> DataFrame:
+    """Every source with its rows."""
+    return df.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def audit_schema(df: DataFrame, expected: list | None = None) -> DataFrame:
+    """Schema conformance and use of every column in one pass over the
+    rows: ``(column_name, kind, position, present)``.
+
+    kind is ``missing`` (expected, absent), ``extra`` (present, unexpected),
+    ``order`` (expected, at another place among the expected ones) or ``ok``;
+    ``present`` counts the rows that have a value there."""
+    exp, act = expected or UNIFIED_COLUMNS, df.columns
+    common_e, common_a = [c for c in exp if c in act], [c for c in act if c in exp]
+    moved = {c for c, d in zip(common_a, common_e) if c != d}
+    rows = [(c, "missing" if c not in act else "order" if c in moved else "ok", i) for i, c in enumerate(exp)]
+    rows += [(c, "extra", i) for i, c in enumerate(act) if c not in exp]
+    one = df.agg(*[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(act)])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.lit(i).alias("position"),
+                      (F.col(f"c{act.index(c)}") if c in act else F.lit(0).cast("long")).alias("present")) for c, kind, i in rows]
+    return one.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
+def full_audit(df: DataFrame) -> DataFrame:
+    """All audit outputs as rows ``(part, name, value, status)``."""
+    text = lambda c: F.col(c).cast("string")
+    parts = [
+        audit_schema(df).select(F.lit("schema").alias("part"), F.col("column_name").alias("name"), text("present").alias("value"), F.col("kind").alias("status")),
+        audit_missing(df).select(F.lit("missing"), "column_name", text("missing"), "status"),
+        audit_mapping(df).select(F.lit("mapping"), F.concat_ws(">", "raw_col", "derived_col"), text("failures"), "status"),
+        audit_summary(df).select(F.lit("summary"), F.lit("rows"), text("total_rows"), "verdict"),
+    ]
+    return reduce(lambda a, b: a.union(b), parts)

@@ -121,6 +121,20 @@ def change_detect(new: DataFrame, old: DataFrame, key: str, date_col: str,
     return out.drop(*drop)
 
 
+def work_list(changes: DataFrame, date_col: str, flag_col: str = "Is_New_Or_Updated", collect_col: str = "IsCollect") -> DataFrame:
+    """What of ``change_detect``'s result needs detail work: new or updated
+    and collectable (an unset flag collects), with ``Last_Updated_Date``."""
+    return changes.where(F.col(flag_col) & F.coalesce(F.col(collect_col), F.lit(True))).withColumn("Last_Updated_Date", F.col(date_col))
+
+
+def update_report(rows: DataFrame, key: str, changed_col: str, first: int = 5) -> DataFrame:
+    """One row ``(n_changed, first_keys)``: how many rows an update has
+    changed, and its ``first`` smallest keys (the limit is the feature)."""
+    changed = rows.where(F.col(changed_col))
+    keys = changed.select(key).orderBy(key).limit(first).agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("first_keys"))
+    return changed.agg(F.count(F.lit(1)).alias("n_changed")).select("n_changed", keys.scalar().alias("first_keys"))
+
+
 # ------------------------------------------------------------------ J9, J10
 
 def patch_non_null(base: DataFrame, patch: DataFrame, key: str, cols: list | None = None) -> DataFrame:
@@ -221,3 +235,13 @@ def crud_merge(current: DataFrame, changes: DataFrame, key: str, cols: list,
 def content_key(*cols) -> Column:
     """Deterministic key for a manually inserted row (SHA-256 of content)."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+
+
+def manual_rows(rows: DataFrame, category_col: str, master: DataFrame, code_col: str, codes: dict, content: list,
+                key_col: str = "row_key") -> DataFrame:
+    """Rows put in by hand, ready for ``crud_merge``: the codes of the
+    chosen category (``codes``: master column -> new column), a key from the
+    content, pinned and in use.  Unknown categories leave the codes null."""
+    m = master.select(F.col(code_col).alias("_cat"), *[F.col(a).alias(b) for a, b in codes.items()]).dropDuplicates(["_cat"])
+    return rows.join(m, rows[category_col] == m["_cat"], "left").drop("_cat").withColumns({
+        key_col: content_key(*content), "IS_MANUAL_FIXED": F.lit(True), "USE_YN": F.lit("Y")})

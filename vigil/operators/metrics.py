@@ -79,6 +79,11 @@ def facet_filter(df: DataFrame, selections: list) -> DataFrame:
     return df
 
 
+def rows_of(df: DataFrame, col: str, value, columns: list) -> DataFrame:
+    """all rows of one chosen value, selected columns (pushed to the scan)."""
+    return df.where(F.col(col) == F.lit(value)).select(*columns)
+
+
 def flag_filter(df: DataFrame, flag_col: str, only_flagged: bool) -> DataFrame:
     """show-only-flagged toggle (null flag counts as false)."""
     return df.where(F.coalesce(F.col(flag_col), F.lit(False))) if only_flagged else df
@@ -141,10 +146,9 @@ def daily_counts(df: DataFrame, date_expr) -> DataFrame:
 def class_share(df: DataFrame, col: str) -> DataFrame:
     """Count and percent of total per class, empties removed.
 
-    The total is a window over the (small) grouped result, not over raw rows."""
+    The total is a scalar subquery, so the classes stay distributed."""
     vc = value_counts(df, col, drop_empty=True)
-    tot = F.sum("n").over(Window.partitionBy())
-    return vc.withColumn("pct", F.round(F.col("n") * 100.0 / tot, 2))
+    return vc.withColumn("pct", F.round(F.col("n") * 100.0 / vc.agg(F.sum("n")).scalar(), 2))
 
 
 def facet_values(df: DataFrame, col: str) -> DataFrame:

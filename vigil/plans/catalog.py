@@ -16,7 +16,7 @@ from vigil.operators import audit as A
 from vigil.operators import lookup as L
 from vigil.operators import merge as M
 from vigil.operators import metrics as Q
-from vigil.schema import enforce_schema, rename_columns, schema_diff
+from vigil.schema import enforce_schema, rename_columns
 
 
 def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -126,8 +126,8 @@ def schema_enforce(spark, sf):
 
 @query
 def schema_check(spark, sf):
-    """A12 + U6: schema conformance of the mapped events before enforcement."""
-    return schema_diff(spark, _events_as_notices(spark, sf))
+    """A12 + U6: schema conformance and filled rows of every column of the mapped events before enforcement."""
+    return A.audit_schema(_events_as_notices(spark, sf))
 
 
 @query

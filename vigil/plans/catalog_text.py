@@ -64,12 +64,6 @@ def html_links(spark, sf):
     return H.html_links(T(spark, sf, "pages"), "page_id", "html", "url")
 
 
-@query
-def html_meta(spark, sf):
-    """Title, language, list flags, link count, description (<= 500)."""
-    return H.page_meta(T(spark, sf, "pages"), "page_id", "html")
-
-
 # ===================================================================== scalar parsing
 
 @query
@@ -163,15 +157,13 @@ def hub_load(spark, sf):
 
 @query
 def versioned_rewrite(spark, sf):
-    """IO14 + J7: a master table rewritten from itself through versions."""
+    """IO14 + J7: a master table whose next state is computed from itself and written beside it."""
     s = T(spark, sf, "supplier")
     path = _scratch(spark, "master")
-    IO.write_version(s.withColumn("IS_MANUAL_FIXED", F.col("s_acctbal") < 0), path)
-    cur = IO.read_current(spark, path)
+    cur = spark.read.parquet(IO.rewrite(s.withColumn("IS_MANUAL_FIXED", F.col("s_acctbal") < 0), path + "/1"))
     new = s.select("s_suppkey", F.upper("s_name").alias("s_name"), "s_nationkey",
                    (F.col("s_acctbal") + 1).alias("s_acctbal"), F.lit(False).alias("IS_MANUAL_FIXED"))
-    IO.write_version(M.pinned_merge(new, cur, "s_suppkey"), path)
-    return IO.read_current(spark, path).select("s_suppkey", "s_name", "s_acctbal", "IS_MANUAL_FIXED")
+    return spark.read.parquet(IO.rewrite(M.pinned_merge(new, cur, "s_suppkey"), path + "/2")).select("s_suppkey", "s_name", "s_acctbal", "IS_MANUAL_FIXED")
 
 
 # ===================================================================== incremental

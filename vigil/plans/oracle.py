@@ -87,16 +87,19 @@ SELECT {u15(registration_date=ymd('ts'), data_source='event_type', source_detail
 FROM events
 """
 
-ORACLE["schema_check"] = """
-SELECT * FROM (VALUES
-  ('missing', 'product_type', 3), ('missing', 'top_level_product_type', 4),
-  ('missing', 'upper_product_type', 5), ('missing', 'origin_country', 7),
-  ('missing', 'notifying_country', 8), ('missing', 'hazard_class_l', 9),
-  ('missing', 'hazard_class_m', 10), ('missing', 'full_text', 12),
-  ('missing', 'interest_item', 14), ('extra', 'user_id', 6)
-) AS t(kind, column_name, position)
-WHERE EXISTS (SELECT 1 FROM events)
-"""
+def _schema_check_sql() -> str:
+    """By the rule: expected columns in order are missing or ok, others are extra; rows with a value counted."""
+    given = dict(registration_date="CAST(ts AS DATE)", data_source="event_type", source_detail="'EV-' || event_id",
+                 product_name="props", hazard_item="CASE WHEN event_type = 'error' THEN props END", analyzable="value > 50", user_id="user_id")
+    parts = []
+    for i, c in enumerate(UNIFIED_COLUMNS):
+        e = f"count({given[c]})" if c in given else "count(NULL)"
+        parts.append(f"SELECT '{c}' AS column_name, '{'ok' if c in given else 'missing'}' AS kind, {i} AS position, {e} AS present FROM events")
+    parts.append("SELECT 'user_id', 'extra', 6, count(user_id) FROM events")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["schema_check"] = _schema_check_sql()
 
 ORACLE["export_view"] = """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS "등록일자",
@@ -372,11 +375,28 @@ ORACLE["audit_mapping"] = _audit_mapping_sql()
 ORACLE["audit_summary"] = f"""
 WITH {_DOC_NOTICES}
 SELECT count(*) AS total_rows, 15 AS expected_columns, {len(_DOC_COLS)} AS actual_columns,
-       count(DISTINCT data_source) AS n_sources,
-       array_to_string(list_sort(list_distinct(list(data_source))), ',') AS sources,
-       false AS schema_ok, 'fail' AS verdict
+       count(DISTINCT data_source) AS n_sources, false AS schema_ok, 'fail' AS verdict
 FROM d
 """
+ORACLE["audit_sources"] = f"WITH {_DOC_NOTICES} SELECT data_source AS source, count(*) AS n_rows FROM d WHERE data_source IS NOT NULL GROUP BY 1"
+
+
+def _full_audit_sql() -> str:
+    parts = []
+    for i, c in enumerate(UNIFIED_COLUMNS):
+        present = f"count({c})" if c in _DOC_COLS else "count(NULL)"
+        common = [x for x in _DOC_COLS if x in UNIFIED_COLUMNS]
+        place = [x for x in UNIFIED_COLUMNS if x in _DOC_COLS]
+        kind = "missing" if c not in _DOC_COLS else "ok" if common.index(c) == place.index(c) else "order"
+        parts.append(f"SELECT 'schema' AS part, '{c}' AS name, CAST({present} AS VARCHAR) AS value, '{kind}' AS status FROM d")
+    parts += [f"SELECT 'schema', '{c}', CAST(count({c}) AS VARCHAR), 'extra' FROM d" for c in _DOC_COLS if c not in UNIFIED_COLUMNS]
+    parts.append(f"SELECT 'missing', column_name, CAST(missing AS VARCHAR), status FROM ({ORACLE['audit_missing']})")
+    parts.append(f"SELECT 'mapping', raw_col || '>' || derived_col, CAST(failures AS VARCHAR), status FROM ({ORACLE['audit_mapping']})")
+    parts.append("SELECT 'summary', 'rows', CAST(count(*) AS VARCHAR), 'fail' FROM d")
+    return f"WITH {_DOC_NOTICES}\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["full_audit"] = _full_audit_sql()
 
 # ------------------------------------------------------------------ funnel / flags
 

@@ -89,18 +89,6 @@ SELECT page_id, link_pos, href,
 FROM l
 """
 
-ORACLE["html_meta"] = f"""
-SELECT page_id,
-       {STRIP(DECODE("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title,
-       regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1) AS lang,
-       regexp_matches(html, '(?i)red\\s*list') AS has_red_list,
-       regexp_matches(html, '(?i)<nav\\b') AS has_nav,
-       CAST(len(regexp_extract_all(html, '(?i)<a\\s', 0)) AS INTEGER) AS n_links,
-       substr({STRIP(DECODE("regexp_replace(regexp_extract(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), '<[^>]*>', '', 'g')"))},
-              1, 500) AS description
-FROM pages
-"""
-
 ORACLE["date_formats"] = """
 WITH r AS (
   SELECT o_orderkey, o_orderpriority AS fmt, o_orderstatus,

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import absolute_url, strip_ws
+from vigil.functions.text import alert_number, strip_ws
 
 # Block-level tags that end a line, and decoded entities (in order).
 BLOCK_TAGS = "br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|nav|article|section|header|footer|title|dt|dd"
@@ -71,52 +71,102 @@ def html_links(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> Da
     return t.select("page_id", "link_pos", href.alias("href"), absu.alias("url"), txt.alias("text"))
 
 
-def page_meta(pages: DataFrame, id_col: str, html_col: str, desc_len: int = 500) -> DataFrame:
-    """Page-level fields from its text: title, language, list flags and a
-    description cut to ``desc_len`` characters."""
-    h = F.col(html_col)
-    title = strip_ws(decode_entities(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    first_p = F.regexp_extract(h, r"(?is)<p\b[^>]*>(.*?)</p>", 1)
-    desc = F.substring(strip_ws(decode_entities(F.regexp_replace(first_p, "<[^>]*>", ""))), 1, desc_len)
+# What an alert page is searched for.
+CHARGE_RE = r"(?i)(OASIS charge code:[^\n]*)"
+DESCRIPTION_RE = r"(?is)Product Description:\s*\n*(.*?)(?:\n\n|\n[A-Z]|$)"
+NOT_GIVEN = "N/A"
+# Tags of which the first with text after the description's header is the description.
+_BLOCK = "div|p|ul|ol|table|span|pre|blockquote|h4|h5|dl"
+
+
+def plain_text(html) -> Column:
+    """Non-empty lines of a page, stripped and joined by line breaks."""
+    lines = F.transform(F.split(html_text(html), "\n"), lambda x: strip_ws(F.regexp_replace(x, HEADING_MARK, "")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def page_meta(pages: DataFrame, id_col: str, html_col: str, fallback_len: int = 500) -> DataFrame:
+    """Fields of an alert page: the charge code line, which lists it names,
+    and the product description, i.e. the first block with text after its h3
+    header, whole; only where that header is missing, the text after the words
+    themselves, which the rule cuts at ``fallback_len`` characters."""
+    h, text = F.col(html_col), plain_text(F.col(html_col))
+    after = F.regexp_extract(h, r"(?is)<h3\b[^>]*>[^<]*Product Description[^<]*</h3>(.*)", 1)
+    blocks = F.regexp_extract_all(after, F.lit(rf"(?is)<(?:{_BLOCK})\b[^>]*>(.*?)</(?:{_BLOCK})>"), 1)
+    stripped = F.transform(blocks, lambda b: strip_ws(decode_entities(F.regexp_replace(b, "<[^>]*>", ""))))
+    headed = F.try_element_at(F.filter(stripped, lambda x: x != ""), F.lit(1))
+    has_header = h.rlike(r"(?is)<h3\b[^>]*>[^<]*Product Description[^<]*</h3>")
+    loose = F.when(text.rlike(r"(?is)Product Description:"), F.substring(strip_ws(F.regexp_extract(text, DESCRIPTION_RE, 1)), 1, fallback_len))
+    charge = F.nullif(strip_ws(F.regexp_extract(text, CHARGE_RE, 1)), F.lit(""))
     return pages.select(
         F.col(id_col).alias("page_id"),
-        title.alias("title"),
-        F.regexp_extract(h, r"(?i)<html[^>]*\blang=\"([^\"]*)\"", 1).alias("lang"),
-        h.rlike(r"(?i)red\s*list").alias("has_red_list"),
-        h.rlike(r"(?i)<nav\b").alias("has_nav"),
-        F.size(F.regexp_extract_all(h, F.lit(r"(?i)<a\s"), 0)).alias("n_links"),
-        desc.alias("description"),
+        F.coalesce(charge, F.lit(NOT_GIVEN)).alias("charge_code_line"),
+        F.coalesce(F.when(has_header, headed).otherwise(loose), F.lit(NOT_GIVEN)).alias("product_description"),
+        *[text.rlike(rf"(?i){color}\s*list").alias(f"has_{color}_list") for color in ("red", "yellow", "green")],
     )
 
 
+def titled_fields(pages: DataFrame, id_col: str, html_col: str, titles: dict, item_re: str = r"(?is)<li\b[^>]*>(.*?)</li>") -> DataFrame:
+    """IO10: listing cards.  Each item (``item_re``) of a page is a row; its
+    fields are the texts of the elements whose ``title`` attribute is the given
+    one (``titles``: column -> title), null where there is none."""
+    items = pages.select(F.col(id_col).alias("page_id"),
+                         F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(item_re), 1)).alias("card", "item"))
+
+    def field(title: str) -> Column:
+        found = F.regexp_extract_all(F.col("item"), F.lit(rf'(?is)<[a-z0-9]+\b[^>]*?\btitle=["\']{title}["\'][^>]*>([^<]*)<'), 1)
+        return strip_ws(decode_entities(F.try_element_at(found, F.lit(1))))
+
+    return items.select("page_id", "card", *[field(t).alias(c) for c, t in titles.items()])
+
+
 TR_RE = r"(?is)<tr\b[^>]*>(.*?)</tr>"
 TD_RE = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"
 
 
-def table_rows(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """IO9: index-table rows -> alert fields.  Per ``<tr>``: cells; with 4+
-    cells (no, type, date, title), with 3 (no, date, title), else the title is
-    the link text or the last cell.  The alert number is the link text when it
-    looks like ``NN-NN``, else the first ``N-N`` in the first cell (S10)."""
+def row_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """IO9: every table row as ``(page_id, row_pos, tr, cells)``, cells as texts."""
     rows = pages.select(F.col(id_col).alias("page_id"),
                         F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(TR_RE), 1)).alias("row_pos", "tr"))
     cells = F.transform(F.regexp_extract_all(F.col("tr"), F.lit(TD_RE), 1),
                         lambda x: strip_ws(decode_entities(F.regexp_replace(x, "<[^>]*>", ""))))
-    link_txt = strip_ws(F.regexp_extract(F.col("tr"), r"(?is)<a\b[^>]*>(.*?)</a>", 1))
-    r = rows.select("page_id", "row_pos", cells.alias("cells"), link_txt.alias("link_text"))
-    n = F.size("cells")
-    first = F.try_element_at("cells", F.lit(1))
-    found = F.nullif(F.regexp_extract(first, r"(\d+-\d+)", 1), F.lit(""))
-    alert = F.when(F.col("link_text").rlike(r"^\d+-\d+$"), F.col("link_text")).otherwise(found)
+    return rows.withColumn("cells", cells).where(F.size("cells") > 0)
+
+
+# What marks an alert link, and the value of a field that is not there.
+ALERT_LINK = "importalert_"
+UNKNOWN = "Unknown"
+
+
+def table_rows(pages: DataFrame, id_col: str, html_col: str, link_mark: str = ALERT_LINK) -> DataFrame:
+    """IO9 + S10: index-table rows with an alert link -> alert fields.
+
+    With 4 or more cells: number, type, date, title; with 3: number, date,
+    title; else the link's text is the title unless it is the number.  A title
+    that is still unknown is the last of several cells.  The number is the
+    link's text when it looks like ``NN-NN``, else the first ``N-N`` of the
+    first cell, else the link's text."""
+    r = row_cells(pages, id_col, html_col)
+    link = F.regexp_extract_all(F.col("tr"), F.lit(rf"""(?is)<a\s[^>]*?href="[^"]*{link_mark}[^"]*"[^>]*>(.*?)</a>"""), 1)
+    r = r.withColumn("link_text", strip_ws(decode_entities(F.regexp_replace(F.try_element_at(link, F.lit(1)), "<[^>]*>", "")))) \
+        .where(F.col("link_text").isNotNull())
+    n, cell = F.size("cells"), lambda k: F.try_element_at("cells", F.lit(k))
+    number = F.coalesce(alert_number(cell(1), F.col("link_text")), F.col("link_text"))
+    title = (F.when(n >= 4, cell(4)).when(n == 3, cell(3))
+             .when(number != F.col("link_text"), F.col("link_text"))
+             .when(n > 1, F.try_element_at("cells", n)).otherwise(F.lit(UNKNOWN)))
     return r.select(
-        "page_id", "row_pos", alert.alias("alert_no"),
-        F.when(n >= 4, F.try_element_at("cells", F.lit(2))).alias("type"),
-        F.when(n >= 4, F.try_element_at("cells", F.lit(3))).when(n == 3, F.try_element_at("cells", F.lit(2)))
-        .alias("date"),
-        F.when(n >= 4, F.try_element_at("cells", F.lit(4))).when(n == 3, F.try_element_at("cells", F.lit(3)))
-        .otherwise(F.coalesce(F.nullif(F.col("link_text"), F.lit("")), F.try_element_at("cells", n)))
-        .alias("title"),
-    ).where(n > 0)
+        "page_id", "row_pos", number.alias("alert_no"),
+        F.when(n >= 4, cell(2)).otherwise(F.lit(UNKNOWN)).alias("type"),
+        F.when(n >= 4, cell(3)).when(n == 3, cell(2)).otherwise(F.lit(UNKNOWN)).alias("date"),
+        title.alias("title"),
+    )
 
 
-__all__ = ["html_lines", "html_links", "page_meta", "table_rows", "html_text", "absolute_url"]
+def listing_rows(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """IO10: listing rows (date, reference, origin, subject, category) that the
+    listing mapper takes; rows with fewer than five cells are skipped."""
+    c = lambda k: F.try_element_at("cells", F.lit(k))
+    return row_cells(pages, id_col, html_col).where(F.size("cells") >= 5).select(
+        "page_id", "row_pos", c(1).alias("date"), c(2).alias("reference"), c(3).alias("origin"),
+        c(4).alias("subject"), c(5).alias("category"))

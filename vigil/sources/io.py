@@ -2,13 +2,11 @@
 
 Readers always take an explicit schema where one is known (no inference pass
 over the data), and sinks never overwrite a path that is being read: a
-rewrite goes to a new version directory and an append-only log names the
-current one.
+rewrite goes to a new path.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -40,7 +38,7 @@ def load_hub(spark: SparkSession, path: str, columns: list | None = None) -> Dat
     """IO2: hub scan keeping only the known columns that exist.
 
     The projection is pushed into the Parquet scan (``ReadSchema``)."""
-    df = load_parquet(spark, resolve_current(path, spark))
+    df = load_parquet(spark, path)
     keep = [c for c in (columns or UNIFIED_COLUMNS) if c in df.columns]
     return df.select(*keep)
 
@@ -54,11 +52,13 @@ def read_tsv(spark: SparkSession, path: str, names: list, encoding: str = "UTF-8
     return df.fillna("")
 
 
-def read_csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """IO4/IO5/IO6: CSV with a header, every value a string (no inference).
-    A UTF-8 byte-order mark on the header is dropped by the reader."""
+    A UTF-8 byte-order mark on the header is dropped by the reader.  Large
+    files are split; ``multi_line`` (quoted values with line breaks) reads a
+    file as a whole and is only for where it is needed."""
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("encoding", encoding).option("multiLine", True).csv(path))
+            .option("encoding", encoding).option("multiLine", multi_line).csv(path))
 
 
 def explode_envelope(df: DataFrame, service: str) -> DataFrame:
@@ -95,54 +95,18 @@ def append(df: DataFrame, path: str, partition_by: list | None = None) -> int:
     return int(obs.get.get("n", 0))
 
 
-# ---------------------------------------------------------- versioned tables
-#
-# A versioned table is a directory ``<path>/v=<version>/`` per write plus an
-# append-only log ``<path>/_log`` naming the versions.  The current version is
-# the greatest name in the log.  Everything goes through Spark's own I/O, so it
-# works on any file system the cluster uses (HDFS, object stores, local), and
-# a job may rewrite the very table it reads: the old version stays intact
-# until the log names the new one.
-
-_LOG = "_log"
-
-
-def _log_path(path: str) -> str:
-    return path.rstrip("/") + "/" + _LOG
-
-
-def resolve_current(path: str, spark: SparkSession | None = None) -> str:
-    """Directory of the current version of a versioned table, or ``path``
-    itself for a plain dataset (no log)."""
-    spark = spark or SparkSession.getActiveSession()
-    try:
-        row = spark.read.text(_log_path(path)).agg(F.max("value").alias("v")).first()
-    except AnalysisException:
-        return path
-    if row is None or row["v"] is None:
-        return path
-    return path.rstrip("/") + "/" + row["v"]
-
-
-def write_version(df: DataFrame, path: str, compression: str = "snappy") -> str:
-    """IO14/IO18: overwrite by writing a new version directory, then appending
-    its name to the log.  Version names sort by write time."""
-    spark = df.sparkSession
-    name = f"v={int(time.time() * 1000):015d}-{uuid.uuid4().hex[:6]}"
-    target = path.rstrip("/") + "/" + name
-    df.write.option("compression", compression).parquet(target)
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(_log_path(path))
+def rewrite(df: DataFrame, target: str, compression: str = "snappy") -> str:
+    """IO14: write a table's next state to ``target``, a path of the caller's
+    choice that must not exist yet, so what is being read is never overwritten
+    and of two writers of one target the second fails.  Which path is current
+    is the caller's (or a catalogue table's) business."""
+    df.write.mode("errorifexists").option("compression", compression).parquet(target)
     return target
 
 
-def read_current(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Scan the current version (IO1 semantics when nothing exists yet)."""
-    return load_parquet(spark, resolve_current(path, spark), schema)
-
-
-def clear_table(spark: SparkSession, path: str, schema: T.StructType = UNIFIED_SCHEMA) -> str:
-    """IO18: empty the table by writing an empty version."""
-    return write_version(spark.createDataFrame([], schema), path)
+def clear_table(spark: SparkSession, target: str, schema: T.StructType = UNIFIED_SCHEMA) -> str:
+    """IO18: the empty next state of a table."""
+    return rewrite(spark.createDataFrame([], schema), target)
 
 
 def export_csv_bom(df: DataFrame, path: str, single_file: bool = False) -> None:
