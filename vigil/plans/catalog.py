@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text as X
 from vigil.operators import audit as A
+from vigil.operators import flags as FL
 from vigil.operators import lookup as L
 from vigil.operators import merge as M
 from vigil.operators import metrics as Q
@@ -510,14 +511,8 @@ def flag_rules(spark, sf):
                        (F.col("p_type") == "PROMO").alias("green"), (F.col("p_type") == "LARGE").alias("red"),
                        F.lit(False).alias("yellow"),
                        F.col("p_brand").alias("Manual_Hazard_Item"), F.col("p_type").alias("Manual_Product_Type"))
-    a, b = X.split_int_pair(F.col("alert_no"))
-    in_range = F.struct(a, b).between(F.struct(F.lit(10), F.lit(5)), F.struct(F.lit(20), F.lit(9)))
-    green_only = F.col("green") & ~F.col("red") & ~F.col("yellow")
-    flag = F.when(F.coalesce(in_range, F.lit(False)) | green_only, F.lit(False)).otherwise(F.lit(True))
-    out = rows.withColumn("IsCollect", flag)
-    keep = F.coalesce(F.col("IsCollect"), F.lit(True))
-    out = out.withColumn("Manual_Hazard_Item", F.when(keep, F.col("Manual_Hazard_Item"))) \
-        .withColumn("Manual_Product_Type", F.when(keep, F.col("Manual_Product_Type")))
+    off = FL.in_key_range(F.col("alert_no"), (10, 5), (20, 9)) | FL.green_only(F.col("green"), F.col("red"), F.col("yellow"))
+    out = FL.clear_where_off(rows.withColumn("IsCollect", ~off), "IsCollect", ["Manual_Hazard_Item", "Manual_Product_Type"])
     return out.select("p_partkey", "alert_no", "IsCollect", "Manual_Hazard_Item", "Manual_Product_Type")
 
 

@@ -14,6 +14,7 @@ from vigil.operators import match as MT
 from vigil.operators import merge as M
 from vigil.operators import metrics as Q
 from vigil.plans.catalog import T, _doc_notices, query
+from vigil.schema import DISPLAY_HEADERS, ensure_columns, enforce_schema, rename_columns, select_columns
 from vigil.session import checkpoint_dir
 from vigil.sources import html as H
 from vigil.sources import io as IO
@@ -72,10 +73,12 @@ def listing_notices(spark, sf):
 
 @query
 def industry_types(spark, sf):
-    """IO11 + J13: product type of every part's size read as an industry code, by the packaged map."""
-    p = T(spark, sf, "part").select("p_partkey", F.lpad(F.col("p_size").cast("string"), 2, "0").alias("industry"),
-                                    F.lit("").alias("manual"))
-    return L.priority_type(p, "industry", "manual", R.industry_codes(spark), "code", "kor", "ord").select("p_partkey", "product_type")
+    """IO11 + J13 + S7 + S8: product code and name out of a product line, the type by the packaged industry map."""
+    p = T(spark, sf, "part").select("p_partkey", F.lit("").alias("manual"), F.concat(
+        F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit(" A - B 07"), F.when(F.col("p_type") != "PROMO", F.concat(F.lit(" - , "), "p_name")).otherwise(F.lit(" -"))).alias("line"))
+    p = p.withColumn("code", X.product_code("line")).withColumn("industry", X.industry_of("code"))
+    out = L.priority_type(p, "industry", "manual", R.industry_codes(spark), "code", "kor", "ord")
+    return out.select("p_partkey", "code", X.name_after_code("line", "code", F.lit("first content line")).alias("name"), "product_type")
 
 
 @query
@@ -190,3 +193,33 @@ def audit_sources(spark, sf):
 def full_audit(spark, sf):
     """The audits' findings as one table."""
     return A.full_audit(_doc_notices(spark, sf))
+
+
+@query
+def monitored(spark, sf):
+    """only the rows whose flag is on."""
+    o = T(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice") > 200000).alias("IsCollect"))
+    return Q.flag_filter(o, "IsCollect", True)
+
+
+@query
+def default_columns(spark, sf):
+    """Columns that a master lacks, added with their defaults; the ones it has stay."""
+    s = T(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("USE_YN"))
+    return ensure_columns(s, {"IS_MANUAL_FIXED": False, "USE_YN": "Y", "note": ""})
+
+
+@query
+def header_view(spark, sf):
+    """P3 + P4: columns picked by their display headers, shown under them, and renamed back."""
+    n = enforce_schema(T(spark, sf, "nation").select(F.col("n_name").alias("origin_country"), F.col("n_name").alias("full_text")))
+    shown = rename_columns(select_columns(n, exclude_keywords=["분류", "품목", "여부"], header_map=DISPLAY_HEADERS, always_keep=["analyzable"]), DISPLAY_HEADERS)
+    back = rename_columns(shown, DISPLAY_HEADERS, inverse=True)
+    return back.select("origin_country", "full_text", F.lit(len(back.columns)).alias("n_columns"))
+
+
+@query
+def map_fda_dated(spark, sf):
+    """F12 + T3: only alert blocks of one date."""
+    from vigil.plans.catalog_sources import alert_blocks, references
+    return MP.map_fda(alert_blocks(spark, sf), references(spark, sf), target_date="2024-01-03")

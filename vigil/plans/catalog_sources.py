@@ -102,17 +102,18 @@ def map_impfood(spark, sf):
     return MP.map_impfood(raw, references(spark, sf))
 
 
-@query
-def map_fda(spark, sf):
-    """P10 + W4 + F12: conversations segmented into alert blocks (system =
-    country header, user = product line, short assistant = date line), then
-    mapped; blocks without a date are dropped."""
+def alert_blocks(spark, sf):
+    """Conversations as alert blocks: system = country header, user = product line, short assistant = date line."""
     c = T(spark, sf, "conversations")
     lines = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"),
                      X.strip_ws(F.col("text")).alias("line"), "role")
     is_date = (F.col("role") == "assistant") & (F.length("line") < 200)
     date_txt = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("pos").cast("int")), "M/d/yyyy")
     blocks = S.segment_blocks(lines, F.col("role") == "system", F.col("role") == "user", is_date, date_txt)
-    blocks = blocks.withColumn("alert_no", F.concat(F.col("doc").cast("string"), F.lit("-"),
-                                                    F.col("block").cast("string")))
-    return MP.map_fda(blocks, references(spark, sf), force=True)
+    return blocks.withColumn("alert_no", F.concat(F.col("doc").cast("string"), F.lit("-"), F.col("block").cast("string")))
+
+
+@query
+def map_fda(spark, sf):
+    """P10 + W4 + F12: alert blocks mapped; blocks without a date are dropped."""
+    return MP.map_fda(alert_blocks(spark, sf), references(spark, sf), force=True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import vigil.plans.oracle_sources  # noqa: F401  (map_fda)
 from vigil.plans.oracle import ORACLE, u15
 from vigil.plans.oracle_match import _WD
+from vigil.schema import DISPLAY_HEADERS, UNIFIED_COLUMNS
 from vigil.sources.reference_data import INDUSTRY_CODES, SEED_RULES
 
 
@@ -56,9 +58,11 @@ SELECT {u15(registration_date="strftime(CAST(try_strptime(date, '%d/%m/%Y') AS D
 FROM r
 """
 ORACLE["industry_types"] = f"""
-SELECT p_partkey, COALESCE((SELECT arg_max(kor, ord) FROM {values(INDUSTRY_CODES, 'code, eng, kor')} WHERE code = lpad(CAST(p_size AS VARCHAR), 2, '0')),
-                           '기타(FDA Code ' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ')') AS product_type
-FROM part
+WITH p AS (SELECT p_partkey, p_name, p_type, lpad(CAST(p_size AS VARCHAR), 2, '0') AS ind FROM part)
+SELECT p_partkey, ind || ' A - B 07' AS code,
+       CASE WHEN p_type <> 'PROMO' AND length(trim(p_name)) >= 2 THEN trim(p_name) ELSE 'first content line' END AS name,
+       COALESCE((SELECT arg_max(kor, ord) FROM {values(INDUSTRY_CODES, 'code, eng, kor')} WHERE code = ind), '기타(FDA Code ' || ind || ')') AS product_type
+FROM p
 """
 ORACLE["seed_rule_scan"] = f"""
 WITH r AS (SELECT * FROM {values(SEED_RULES, 'keyword, item, m, l, scope')}),
@@ -115,3 +119,8 @@ f AS (SELECT c_custkey, CASE WHEN n.code IS NOT NULL THEN n.code ELSE r.code END
 SELECT f.c_custkey, f.code, f.name, r_name AS class_l, upper(n_name) AS class_m
 FROM f LEFT JOIN nation ON f.name = n_name LEFT JOIN region ON n_regionkey = r_regionkey
 """
+ORACLE["monitored"] = "SELECT o_orderkey, true AS IsCollect FROM orders WHERE o_orderpriority <> '5-LOW' AND o_totalprice > 200000"
+ORACLE["default_columns"] = "SELECT s_suppkey, s_name AS USE_YN, false AS IS_MANUAL_FIXED, '' AS note FROM supplier"
+ORACLE["map_fda_dated"] = f"SELECT * FROM ({ORACLE['map_fda']}) WHERE registration_date = '2024-01-03'"
+_SHOWN = [c for c in UNIFIED_COLUMNS if not any(k in DISPLAY_HEADERS[c] for k in ("분류", "품목", "여부"))]
+ORACLE["header_view"] = f"SELECT n_name AS origin_country, n_name AS full_text, {len(set(_SHOWN) | {'analyzable'})} AS n_columns FROM nation"
