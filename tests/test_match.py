@@ -161,8 +161,12 @@ def test_similarity_agrees_with_brute_force(spark):
     for threshold in (80, 60, 90):
         want = {}
         for t in texts:
-            scored = [(-100.0 * (1.0 - edits(t, x) / max(len(t), len(x))), i) for i, x in enumerate(names)]
-            best = min(s for s in scored)
+            def score(x):
+                u, v = " ".join(sorted(t.split())), " ".join(sorted(x.split()))
+                words = 0.95 * (100.0 * (1.0 - edits(u, v) / max(len(u), len(v)))) if u and v else 0.0
+                return max(100.0 * (1.0 - edits(t, x) / max(len(t), len(x))), words)
+
+            best = min((-score(x), i) for i, x in enumerate(names))
             if -best[0] >= threshold:
                 want[t] = best[1]
         got = [(r["q"], r["row_ord"]) for r in MT.fuzzy_match(q, terms, threshold).collect()]
@@ -186,6 +190,20 @@ def test_fuzzy_scores(spark):
     assert res == {"salmn": (0, 83.3), "salmonnella": (1, 90.9), "pendimetalin": (2, 92.3)}
 
 
+def test_fuzzy_of_swapped_words(spark):
+    q = spark.createDataFrame([("frozen fish fillet",)], "q string")
+    terms = MT.prepare_terms(spark.createDataFrame([("fillet fish frozen", 0), ("frozen meat", 1)], "n string, row_ord long"), ["n"])
+    r = MT.fuzzy_match(q, terms, 80).collect()
+    assert [(x["row_ord"], x["score"]) for x in r] == [(0, 95.0)]
+
+
+def test_suggest_by_nearly_equal_tokens(spark):
+    names = spark.createDataFrame([("frozen fishs",), ("dried tea leaf",)], "name string")
+    cats = spark.createDataFrame([("fish frozen", 0), ("tea", 1), ("dryed leaf teas mix", 2)], "cat string, o long")
+    got = {r["q"]: (r["row_ord"], r["how"]) for r in MT.suggest_category(names, "name", cats, "cat", "o").collect()}
+    assert got == {"frozen fishs": (0, "token"), "dried tea leaf": (1, "substring")}
+
+
 def test_term_coverage_and_suggest(spark):
     names = spark.createDataFrame([("red ring",), ("ring",), ("blue bolt",)], "name string")
     terms = spark.createDataFrame([("ring",), ("bolt",), ("gear",)], "term string")

@@ -193,28 +193,27 @@ def sentence_scan(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     return _best(p, [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"], key)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Similarity 0-100: ``100 * (1 - levenshtein / max length)`` (declared
-    substitute for a third-party weighted ratio)."""
-    m = F.greatest(F.length(a), F.length(b))
-    return F.when(m == 0, F.lit(100.0)).otherwise(100.0 * (1.0 - F.levenshtein(a, b) / m))
+# Weight of the similarity of the sorted words against that of the text as it stands.
+TOKEN_WEIGHT = 0.95
 
 
-def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "q") -> DataFrame:
-    """M5: best similarity >= threshold (over 0); winner = (-score, col_rank, row_ord).
+def sorted_words(c: Column) -> Column:
+    """White-space tokens in order, joined by one space."""
+    return F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda x: x != "")), " ")
+
 
-    Exact segment equi-join.  ``score >= t`` bounds the text's length to a band
-    around the term's length L and the edits to ``k = floor(L (100 - t) / t)``.
-    Cut into ``k + 1`` pieces, a term keeps one piece unedited, which the text
+def _similar(texts: DataFrame, names: DataFrame, t: float, key: str) -> DataFrame:
+    """``(key, term, score)`` of all pairs of ``texts`` (key, s) and ``names``
+    (term, n) with ``100 (1 - levenshtein(s, n) / longer length) >= t``.
+
+    Exact segment equi-join.  The score bounds the text's length to a band
+    around the name's length L and the edits to ``k = floor(L (100 - t) / t)``.
+    Cut into ``k + 1`` pieces, a name keeps one piece unedited, which the text
     has at most as far away as the edits before and after it allow.  Texts
-    emit these substrings for the lengths the dictionary has in their band,
-    terms their pieces; candidates are distinct ``(text, term)`` and the bounded
-    ``levenshtein`` decides."""
-    t = float(threshold)
-    if t <= 0:
-        raise ValueError("the threshold must be over 0")
-    slack = (100.0 - t) / t
-    k_of = F.floor(F.col("tlen") * slack + 1e-9).cast("int")
+    emit these substrings for the lengths that the names have in their band,
+    names their pieces; the bounded ``levenshtein`` decides.  Texts outside
+    every band, such as whole documents, emit nothing."""
+    k_of = F.floor(F.col("tlen") * ((100.0 - t) / t) + 1e-9).cast("int")
 
     def cut(df: DataFrame) -> DataFrame:
         """Pieces of a length: number ``pi``, start ``ps`` (from 0) and length ``pl``; the last ones take the rest."""
@@ -224,23 +223,39 @@ def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_TH
             .withColumn("ps", F.col("pi") * F.col("_b") + F.greatest(F.lit(0), F.col("pi") - rest)) \
             .withColumn("pl", F.col("_b") + F.when(F.col("pi") >= rest, 1).otherwise(0)).drop("_b")
 
-    names = terms.select("term", F.col("tlen").cast("int").alias("tlen")).distinct()
-    pieces = cut(names).select("tlen", "pi", F.substring("term", F.col("ps") + 1, F.col("pl")).alias("piece"), "term")
+    names = names.select("term", "n", F.length("n").alias("tlen")).where("tlen > 0").distinct()
+    pieces = cut(names).select("tlen", "pi", F.substring("n", F.col("ps") + 1, F.col("pl")).alias("piece"), "term", "n")
     lo = F.greatest(F.ceil(F.col("tlen") * t / 100.0 - 1e-9), F.lit(1)).cast("int")
     hi = F.floor(F.col("tlen") * 100.0 / t + 1e-9).cast("int")
     lengths = cut(names.select("tlen").distinct().withColumn("qlen", F.explode(F.sequence(lo, hi))))
-    texts = q.select("q").distinct().withColumn("qlen", F.length("q")).join(lengths, on="qlen")
+    banded = texts.withColumn("qlen", F.length("s")).join(lengths, on="qlen")
     d = F.col("qlen") - F.col("tlen")
     left = F.greatest(F.lit(0), F.col("ps") - F.col("pi"), F.col("ps") + d - (F.col("k") - F.col("pi")))
     right = F.least(F.col("qlen") - F.col("pl"), F.col("ps") + F.col("pi"), F.col("ps") + d + (F.col("k") - F.col("pi")))
-    places = F.when(left <= right, F.sequence(left, right))
-    parts = texts.withColumn("at", F.explode(places)).select("q", "tlen", "pi", F.substring("q", F.col("at") + 1, F.col("pl")).alias("piece"))
-    near = parts.distinct().join(pieces, on=["tlen", "pi", "piece"]).select("q", "term", "tlen").distinct()
-    scored = near.withColumn("_m", F.greatest(F.length("q"), F.col("tlen"))) \
-        .withColumn("_e", F.expr(f"levenshtein(q, term, cast(floor(_m * {100.0 - t} / 100 + 1e-9) as int))")).where("_e >= 0") \
-        .withColumn("score", 100.0 * (1.0 - F.col("_e") / F.col("_m"))).where(F.col("score") >= F.lit(t)).drop("tlen", "_m", "_e")
-    p = q.join(scored, on="q").join(terms, on="term")
-    return _best(p, [-F.col("score"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "score"], key)
+    parts = banded.withColumn("at", F.explode(F.when(left <= right, F.sequence(left, right)))) \
+        .select(key, "s", "tlen", "pi", F.substring("s", F.col("at") + 1, F.col("pl")).alias("piece"))
+    near = parts.distinct().join(pieces, on=["tlen", "pi", "piece"]).select(key, "s", "term", "n").distinct()
+    return near.withColumn("_m", F.greatest(F.length("s"), F.length("n"))) \
+        .withColumn("_e", F.expr(f"levenshtein(s, n, cast(floor(_m * {100.0 - t} / 100 + 1e-9) as int))")).where("_e >= 0") \
+        .select(key, "term", (100.0 * (1.0 - F.col("_e") / F.col("_m"))).alias("score"))
+
+
+def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_THRESHOLD, key: str = "q") -> DataFrame:
+    """M5: best similarity >= threshold (over 0); winner = (-score, col_rank, row_ord).
+
+    The similarity is ``100 (1 - levenshtein / longer length)`` of the texts as
+    they stand or, if that is more, ``TOKEN_WEIGHT`` times that of their sorted
+    words (declared substitute for a third-party weighted ratio)."""
+    t = float(threshold)
+    if t <= 0:
+        raise ValueError("the threshold must be over 0")
+    scored = _similar(q.select(key, F.col("q").alias("s")), terms.select("term", F.col("term").alias("n")), t, key)
+    if t <= 100.0 * TOKEN_WEIGHT:
+        words = _similar(q.select(key, sorted_words(F.col("q")).alias("s")), terms.select("term", sorted_words(F.col("term")).alias("n")),
+                         t / TOKEN_WEIGHT - 1e-9, key)
+        scored = scored.unionByName(words.withColumn("score", TOKEN_WEIGHT * F.col("score")))
+    best = scored.where(F.col("score") >= F.lit(t)).groupBy(key, "term").agg(F.max("score").alias("score"))
+    return _best(best.join(terms, on="term"), [-F.col("score"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "score"], key)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -366,23 +381,14 @@ def override_word(titles: DataFrame, title_col: str, terms: DataFrame, min_len:
     return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"])
 
 
-def token_set_similarity(a: Column, b: Column) -> Column:
-    """Token-set similarity 0-100 on white-space tokens: shared tokens over
-    the larger token set (Jaccard-like, built-in array functions only)."""
-    ta = F.array_distinct(F.filter(F.split(a, r"\s+"), lambda x: x != ""))
-    tb = F.array_distinct(F.filter(F.split(b, r"\s+"), lambda x: x != ""))
-    inter = F.size(F.array_intersect(ta, tb))
-    m = F.greatest(F.size(ta), F.size(tb))
-    return F.when(m == 0, F.lit(0.0)).otherwise(F.round(100.0 * inter / m, 2))
-
-
 def suggest_category(names: DataFrame, name_col: str, cats: DataFrame, cat_col: str, cat_ord: str,
-                     min_len: int = 2, token_threshold: float = 60.0) -> DataFrame:
+                     min_len: int = 2, token_threshold: float = 60.0, near: float = 80.0) -> DataFrame:
     """For each name, the category related by substring (either way) with
     the smallest length difference (ties -> earliest category); else the best
-    token-set similarity above ``token_threshold``.  Returns
-    ``(q, cat_ord, how)``; substring pairs come from the contains join, token
-    pairs from an equi-join on shared tokens."""
+    token-set score above ``token_threshold``: tokens that have an equal or
+    nearly equal one (similarity >= ``near``) on the other side, over the larger
+    token set.  Returns ``(q, cat_ord, how)``; substring pairs come from the
+    contains join, token pairs from the segment join on tokens."""
     q = names.select(F.lower(strip_ws(F.col(name_col))).alias("q")) \
         .where(F.length("q") >= min_len).distinct()
     c = cats.select(F.lower(F.col(cat_col)).alias("term"), F.col(cat_ord).alias("row_ord")) \
@@ -395,11 +401,15 @@ def suggest_category(names: DataFrame, name_col: str, cats: DataFrame, cat_col:
     sub = _best(p.withColumn("d", F.abs(F.length("q") - F.col("tlen"))),
                 [F.col("d"), F.col("row_ord")], ["row_ord"]).withColumn("how", F.lit("substring"))
     rest = q.join(sub.select("q"), on="q", how="left_anti")
-    qt = rest.select("q", F.explode(F.array_distinct(F.split("q", r"\s+"))).alias("tok")).where(F.col("tok") != "")
-    ct = c.select("term", "row_ord", F.explode(F.array_distinct(F.split("term", r"\s+"))).alias("tok")) \
-        .where(F.col("tok") != "")
-    tp = qt.join(ct, on="tok").select("q", "term", "row_ord").distinct() \
-        .withColumn("score", token_set_similarity(F.col("q"), F.col("term"))) \
+    # tokens of both sides that are equal or nearly so, each name token matched once per category
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    qt = rest.select("q", F.size(words(F.col("q"))).alias("nq"), F.explode(words(F.col("q"))).alias("tok"))
+    ct = c.select("term", "row_ord", F.size(words(F.col("term"))).alias("nt"), F.explode(words(F.col("term"))).alias("ctok"))
+    close = _similar(qt.select("tok", F.col("tok").alias("s")).distinct(), ct.select(F.col("ctok").alias("term"), F.col("ctok").alias("n")), near, "tok")
+    pairs = qt.join(close.select("tok", F.col("term").alias("ctok")), "tok").join(ct, "ctok")
+    tp = pairs.groupBy("q", "term", "row_ord", "nq", "nt") \
+        .agg(F.least(F.count_distinct("tok"), F.count_distinct("ctok")).alias("shared")) \
+        .withColumn("score", F.round(100.0 * F.col("shared") / F.greatest("nq", "nt"), 2)) \
         .where(F.col("score") > token_threshold)
     tok = _best(tp, [-F.col("score"), F.col("row_ord")], ["row_ord"]).withColumn("how", F.lit("token"))
     return sub.unionByName(tok)

@@ -45,13 +45,23 @@ def keyword_sql(qset: str, terms: str = "pt") -> str:
                GROUP BY q"""
 
 
+def _sorted(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
 def fuzzy_sql(qset: str, terms: str = "pt", t: float = 80.0) -> str:
-    score = "100.0 * (1.0 - levenshtein(q, term) / greatest(length(q), length(term)))"
+    def score(a: str, b: str) -> str:
+        return f"(100.0 * (1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))))"
+
+    def band(a: str, b: str) -> str:
+        return f"length({a}) BETWEEN greatest(ceil(length({b}) * {t} / 100.0), 1) AND floor(length({b}) * 100.0 / {t})"
+
     return f"""SELECT q, arg_min(row_ord, o) AS row_ord, arg_min(col_rank, o) AS col_rank,
                       arg_min(score, o) AS score
                FROM (SELECT q, row_ord, col_rank, score, struct_pack(a := -score, b := col_rank, c := row_ord) AS o
-                     FROM (SELECT q, row_ord, col_rank, {score} AS score FROM {qset} JOIN {terms}
-                           ON length(q) BETWEEN greatest(ceil(tlen * {t} / 100.0), 1) AND floor(tlen * 100.0 / {t}))
+                     FROM (SELECT q, row_ord, col_rank, greatest({score('q', 'term')}, 0.95 * {score('sq', 'st')}) AS score
+                           FROM (SELECT q, {_sorted('q')} AS sq FROM {qset} WHERE length(q) <= (SELECT max(length(term)) * 2 FROM {terms}))
+                           JOIN (SELECT *, {_sorted('term')} AS st FROM {terms}) ON {band('q', 'term')} OR {band('sq', 'st')})
                      WHERE score >= {t})
                GROUP BY q"""
 
@@ -184,12 +194,12 @@ q AS (SELECT DISTINCT lower(regexp_replace(name, '^\\s+|\\s+$', '', 'g')) AS q F
 c AS (SELECT lower(cat) AS term, cat_ord AS row_ord, length(lower(cat)) AS tlen FROM cats WHERE length(lower(cat)) >= 2),
 sub AS (SELECT q, arg_min(row_ord, struct_pack(d := abs(length(q) - tlen), o := row_ord)) AS row_ord
         FROM q JOIN c ON instr(q, term) > 0 OR instr(term, q) > 0 GROUP BY q),
-tp AS (SELECT q, term, row_ord, {_toks('q')} AS ta, {_toks('term')} AS tb FROM q JOIN c ON true
-       WHERE q NOT IN (SELECT q FROM sub)),
-ts AS (SELECT q, row_ord,
-              CASE WHEN greatest(len(ta), len(tb)) = 0 THEN 0.0
-                   ELSE round(100.0 * len(list_intersect(ta, tb)) / greatest(len(ta), len(tb)), 2) END AS score
-       FROM tp),
+tq AS (SELECT q, unnest({_toks('q')}) AS a, len({_toks('q')}) AS nq FROM q WHERE q NOT IN (SELECT q FROM sub)),
+tc AS (SELECT term, row_ord, unnest({_toks('term')}) AS b, len({_toks('term')}) AS nt FROM c),
+ab AS (SELECT a, b FROM (SELECT DISTINCT a FROM tq) JOIN (SELECT DISTINCT b FROM tc)
+       ON a <> '' AND b <> '' AND 100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b))) >= 80),
+ts AS (SELECT q, row_ord, round(100.0 * least(count(DISTINCT tq.a), count(DISTINCT tc.b)) / greatest(nq, nt), 2) AS score
+       FROM tq JOIN ab ON tq.a = ab.a JOIN tc ON tc.b = ab.b GROUP BY q, term, row_ord, nq, nt),
 tok AS (SELECT q, arg_min(row_ord, struct_pack(s := -score, o := row_ord)) AS row_ord FROM ts WHERE score > 60
         GROUP BY q)
 SELECT q, row_ord AS cat_ord, 'substring' AS how FROM sub
