@@ -8,7 +8,7 @@ the same one) is decided by a suffix array with common-prefix values, built by i
    are grouped by the hash of that string, and a group can be sorted alone.  A stretch of
    neighbouring windows with one minimizer is an occurrence; its bytes are its context.
    Groups of one occurrence are done.  Occurrences with equal contexts (two independent 64-bit
-   hashes) are collapsed first: all but the earliest are repeats as a whole.  That makes a
+   hashes) are collapsed first, in each task and then by group: all but the earliest are repeats as a whole.  That makes a
    passage which a third of all documents share one string of the sort.
 2. Sort.  Groups with different contexts are laid out as texts of a bounded shard, and their
    suffixes are sorted by recursive induction (``induced_sort``): the leftmost suffixes
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, cut
+from vigil.llm.common import chunks, written
 
 WIDTH = 100
 GRAM = 32
@@ -115,7 +115,8 @@ def _hash_at(padded: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int)
 
 
 def find_occurrences(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, key, gram, context, start, last) of the stretches of every (doc, key, text)."""
+    """(doc, key, gram, context, stretch) of every (doc, key, text): a stretch's first window and how many follow
+    it (8 bits). A negative stretch is a mark: bytes from -1 - stretch to ``context`` occur earlier."""
     def run(batches):
         for b in chunks(batches, "text", CHUNK):
             raw = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
@@ -129,11 +130,21 @@ def find_occurrences(docs: DataFrame, width: int) -> DataFrame:
             of = np.searchsorted(ends, first, side="right")
             base = (ends - size)[of]
             doc, key = (b.column(c).to_numpy()[of] for c in ("doc", "key"))
-            gram = _hash_at(padded, at, np.full(len(at), GRAM), 1)
-            context = _hash_at(padded, first, last - first + width, 7)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(key), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array((first - base) << 8 | (last - first))],
-                ["doc", "key", "gram", "context", "stretch"])
+            gram = _hash_at(padded, at, np.full(len(at), GRAM), 1).view(np.int64)
+            context = _hash_at(padded, first, last - first + width, 7).view(np.int64)
+            start, windows = first - base, last - first
+            # of equal contexts in this chunk only the earliest goes on; the others are marks already
+            by = np.lexsort((start, key, doc, context, gram))
+            again = np.append(False, (gram[by][1:] == gram[by][:-1]) & (context[by][1:] == context[by][:-1]))
+            copies, once = np.sort(by[again]), by[~again]
+            if len(copies):
+                same = np.append(False, (of[copies][1:] == of[copies][:-1]) & (start[copies][1:] <= (start + windows)[copies][:-1] + width))
+                lo = np.flatnonzero(~same)
+                hi = np.append(lo[1:] - 1, len(copies) - 1)
+                ends_at = (start + windows)[copies][hi] + width
+                spread = (start[copies][lo] * 0x9E3779B1) ^ doc[copies][lo]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[copies][lo], key[copies][lo], spread, ends_at, -1 - start[copies][lo])], ["doc", "key", "gram", "context", "stretch"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (doc, key, gram, context, start << 8 | windows)], ["doc", "key", "gram", "context", "stretch"])
 
     return docs.select("doc", "key", "text").mapInArrow(run, "doc long, key long, gram long, context long, stretch long")
 
@@ -423,12 +434,16 @@ def repeats(docs: DataFrame, odd: bool, width: int = WIDTH) -> DataFrame:
     if odd:  # equal rows are one document
         rows = rows.dropDuplicates(["doc", "key"])
     within = Window.partitionBy("gram").orderBy("context", "doc", "key", "stretch")
-    found = (find_occurrences(rows, width)
-             .withColumn("_copy", F.coalesce(F.lag("context").over(within) == F.col("context"), F.lit(False)))
-             .withColumn("_more", F.lead("context").over(within).isNotNull() | F.lag("context").over(within).isNotNull()).where("_more"))
-    found = cut(found.select("doc", "key", "gram", "context", "stretch", "_copy"))
-    earlier = found.where("_copy").select("doc", "key", F.expr("shiftright(stretch, 8)").alias("lo"), F.expr(f"shiftright(stretch, 8) + (stretch & 255) + {width}").alias("hi"))
-    first = found.where("not _copy")
+    mark = F.col("stretch") < 0
+    copy = F.coalesce((F.lag("context").over(within) == F.col("context")) & (F.lag("stretch").over(within) >= 0) & ~mark, F.lit(False))
+    other = (F.lead("stretch").over(within) >= 0) | (F.lag("stretch").over(within) >= 0)
+    found = (find_occurrences(rows, width).withColumns({"_copy": copy, "_more": F.coalesce(other, F.lit(False))}).where(mark | F.col("_more"))
+             .select("doc", "key", F.when(~mark & ~F.col("_copy"), F.col("gram")).alias("gram"),
+                     F.when(mark, -1 - F.col("stretch")).otherwise(F.expr("shiftright(stretch, 8)")).alias("lo"),
+                     F.when(mark, F.col("context")).otherwise(F.expr(f"shiftright(stretch, 8) + (stretch & 255) + {width}")).alias("hi")))
+    found = written(found)
+    earlier = found.where("gram is null").select("doc", "key", "lo", "hi")
+    first = found.where("gram is not null").withColumn("stretch", F.expr(f"shiftleft(lo, 8) | (hi - lo - {width})"))
     several = first.groupBy("gram").count().where("count > 1").select("gram")
     wanted = first.join(several, "gram", "left_semi").select("doc", "key", "gram", "stretch")
     spread = _contexts(rows, wanted, width)
