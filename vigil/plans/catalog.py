@@ -518,8 +518,7 @@ def flag_rules(spark, sf):
 
 @query
 def seq_codes(spark, sf):
-    """Consecutive codes Z-1, Z-2, ... in row order (scalable numbering)."""
+    """Consecutive codes Z-1, Z-2, ... of wide rows in the order of a key that is spread over the file."""
     from vigil.operators.order import sequential_ids
-    p = T(spark, sf, "part").select("p_partkey", "p_name")
-    return sequential_ids(p, "p_partkey", "seq").select("p_partkey", F.concat(F.lit("Z-"), F.col("seq"))
-                                                        .alias("code"))
+    o = T(spark, sf, "orders").withColumn("row_key", F.reverse(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")))
+    return sequential_ids(o, "row_key", "seq").select("o_orderkey", "o_totalprice", F.concat(F.lit("Z-"), F.col("seq")).alias("code"))

@@ -3,8 +3,6 @@ smaller maintenance operators."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from vigil.functions import text as X
@@ -15,17 +13,13 @@ from vigil.operators import merge as M
 from vigil.operators import metrics as Q
 from vigil.plans.catalog import T, _doc_notices, query
 from vigil.schema import DISPLAY_HEADERS, ensure_columns, enforce_schema, rename_columns, select_columns
-from vigil.session import checkpoint_dir
+from vigil.session import scratch_path
 from vigil.sources import html as H
 from vigil.sources import io as IO
 from vigil.sources import mappers as MP
 from vigil.sources import reference_data as R
 
 
-def _scratch(spark, tag):
-    return checkpoint_dir(spark).rstrip("/") + f"/{tag}-{uuid.uuid4().hex[:10]}"
-
-
 def _alert_pages(spark, sf):
     """Pages with an alert index row, an alert text and listing cards of their own values around them."""
     p = T(spark, sf, "pages")
@@ -95,7 +89,7 @@ def seed_rule_scan(spark, sf):
 @query
 def country_master(spark, sf):
     """IO3: tab-separated country master, written and read by position; NA stays text."""
-    path = _scratch(spark, "countries")
+    path = scratch_path(spark, "countries")
     n = T(spark, sf, "nation")
     n.select(F.col("n_name").alias("English"), F.concat(F.lit("국가"), "n_nationkey").alias("Korean"),
              F.when(F.col("n_nationkey") % 2 == 0, F.lit("NA")).alias("ISO2")).write.option("sep", "\t").option("header", True).csv(path)
@@ -105,7 +99,7 @@ def country_master(spark, sf):
 @query
 def rules_load(spark, sf):
     """IO4 + IO5 + S18: a rules CSV, every value a string, then its flag as a boolean."""
-    path = _scratch(spark, "rules")
+    path = scratch_path(spark, "rules")
     p = T(spark, sf, "part")
     flag = F.when(F.col("p_size") < 10, F.lit("True")).when(F.col("p_size") < 20, F.lit("yes")).when(F.col("p_size") < 30, F.lit("0")) \
         .when(F.col("p_size") < 40, F.lit("no"))

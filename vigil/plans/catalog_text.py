@@ -3,8 +3,6 @@ JSON envelopes, sinks and the incremental (streaming) append."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -13,7 +11,7 @@ from vigil.operators import merge as M
 from vigil.operators import segment as S
 from vigil.plans.catalog import T, query
 from vigil.schema import UNIFIED_SCHEMA, enforce_schema
-from vigil.session import checkpoint_dir
+from vigil.session import scratch_path
 from vigil.sources import html as H
 from vigil.sources import io as IO
 from vigil.streaming.hub_stream import start_hub_stream
@@ -127,13 +125,10 @@ def json_envelope(spark, sf):
 
 # ===================================================================== sinks
 
-def _scratch(spark, tag):
-    return checkpoint_dir(spark).rstrip("/") + f"/{tag}-{uuid.uuid4().hex[:10]}"
-
 
 def _write_runs(spark, sf):
     o = T(spark, sf, "orders")
-    path = _scratch(spark, "runs")
+    path = scratch_path(spark, "runs")
     early = o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
     late = o.where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
     IO.append(early.withColumn("run_id", F.lit("r1")), path, ["run_id"])
@@ -159,7 +154,7 @@ def hub_load(spark, sf):
 def versioned_rewrite(spark, sf):
     """IO14 + J7: a master table whose next state is computed from itself and written beside it."""
     s = T(spark, sf, "supplier")
-    path = _scratch(spark, "master")
+    path = scratch_path(spark, "master")
     cur = spark.read.parquet(IO.rewrite(s.withColumn("IS_MANUAL_FIXED", F.col("s_acctbal") < 0), path + "/1"))
     new = s.select("s_suppkey", F.upper("s_name").alias("s_name"), "s_nationkey",
                    (F.col("s_acctbal") + 1).alias("s_acctbal"), F.lit(False).alias("IS_MANUAL_FIXED"))
@@ -178,7 +173,7 @@ def stream_append(spark, sf):
     """Landed event files -> Structured Streaming (available-now trigger)
     -> per micro-batch anti-join against the hub and append.  Re-running adds
     nothing; the result equals the batch ``distinct`` of the keys."""
-    base = _scratch(spark, "stream")
+    base = scratch_path(spark, "stream")
     landing, hub, ckpt = base + "/landing", base + "/hub", base + "/checkpoint"
     e = T(spark, sf, "events").withColumn("day", F.to_date("ts"))
     e.write.partitionBy("day").parquet(landing)
@@ -193,7 +188,7 @@ def run_log(spark, sf):
     """IO13 + IO17: row counts returned by two appends (observed while
     writing, no second scan), as run-report rows."""
     o = T(spark, sf, "orders")
-    path = _scratch(spark, "runlog")
+    path = scratch_path(spark, "runlog")
     early = o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
     late = o.where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
     reports = [IO.run_report(spark, "orders", IO.append(df, path), run_id=rid)

@@ -439,4 +439,6 @@ SELECT p_partkey, alert_no, IsCollect,
 FROM f
 """
 
-ORACLE["seq_codes"] = "SELECT p_partkey, 'Z-' || row_number() OVER (ORDER BY p_partkey) AS code FROM part"
+ORACLE["seq_codes"] = """
+SELECT o_orderkey, o_totalprice, 'Z-' || row_number() OVER (ORDER BY reverse(lpad(CAST(o_orderkey AS VARCHAR), 12, '0'))) AS code FROM orders
+"""
