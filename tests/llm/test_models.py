@@ -100,7 +100,26 @@ def test_toxicity_held_out(docs, shipped):
     assert np.mean([by[i].predicted == y for i, y in held]) > 0.98
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert by[9000].predicted == by[9001].predicted == by[9004].predicted == 0 and by[9002].predicted == 1 and by[None].predicted == 1
-    assert by[9003].score < by[9002].score
+    assert by[9003].score < by[9002].score and by[9003].predicted == 0
+
+
+def test_quotations_must_open_before_and_close_after():
+    words = 'a "x y" idiot b "q" c "so idiot he" z'.split()
+    assert [toxicity._quoted(words, i) for i, w in enumerate(words) if w == "idiot"] == [False, True]
+    assert toxicity._quoted(['"idiot"'], 0) and not toxicity._quoted(["idiot", "said"], 0)
+
+
+def test_copies_speak_once(docs):
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(900) for _ in range(200)]
+    rows = []
+    for i in range(200):
+        own = list(base)
+        own[rng.randrange(200)] = "z%d" % i
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join("v%d" % rng.randrange(9000) for _ in range(50))) for i in range(30)] + [(2000, None), (2001, "")]
+    kept = {r.doc_id for r in toxicity.distinct_texts(docs(rows)).collect()}
+    assert sum(i < 1000 for i in kept) <= 3 and {1000 + i for i in range(30)} <= kept
 
 
 def test_toxicity_without_labels(docs, shipped):

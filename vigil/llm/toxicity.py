@@ -11,7 +11,8 @@ reporting word near it make it a quotation, an address ("you") makes it abuse.
 regression on the counts gives the score.
 
 The lexicon and the regression are fitted on at most ``FIT_ROWS`` labelled rows (those with
-the smallest hash of the id); everything else covers every row and every word.
+the smallest hash of the id; for the lexicon, one of each group of copies); everything else
+covers every row and every word.
 
 Defined cases: null and empty texts have no hit and get the score of that; without labels of
 both kinds the lexicon is empty and the prior weights hold; labels that are null, or
@@ -22,7 +23,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ FIT_ROWS = 20_000
 #: Most terms a lexicon holds.
 TERMS = 5_000
 WINDOW = 6
+#: Minimum hashes of which copies share one.
+COPIES = 4
 CHUNK = 8 << 20
 MEMORY = 500_000
 THRESHOLD = 0.3
@@ -45,13 +48,14 @@ STEM = (4, 5, 6, 7)
 REPORTED = frozenset("said says quote quoted quotes wrote word words term called dit dites mot sagte sagt wort dijo dice palabra".split())
 ADDRESSED = frozenset("you your you're youre u ur du dich dir euch vous tu te toi usted ustedes vosotros".split())
 OPEN, CLOSE = "\"'“‘«„‹", "\"'”’»“›"
+_CLOSING = frozenset(CLOSE)
 #: Weights before any label is seen, which the fit is pulled to: intercept and the features below.
 PRIOR = np.array([-3.0, 2.0, 1.0, -0.3, 0.5, 0.5, 0.5])
 FEATURES = ("direct hits", "misspelled direct hits", "quoted hits", "hits near an address", "different terms", "hits in 100 words")
 
 
 def edits(term: str) -> int:
-    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
 
 class Lexicon:
@@ -65,13 +69,18 @@ class Lexicon:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        self.swappable = frozenset(w for w in words if edits(w))
+        self.long = min((len(w) - 2 for w in words if edits(w) == 2), default=1 << 30)
+        self.swappable = {w[:i] + w[i + 1] + w[i] + w[i + 2:]: w for w in sorted(words, reverse=True) if edits(w) for i in range(len(w) - 1)}
         # one edit leaves one half in its place (moved by one at most), two edits one third
-        head = {re.escape(w[:len(w) // 2]) for w in words if edits(w) == 1}
-        tail = {re.escape(w[len(w) // 2:]) for w in words if edits(w) == 1}
+        self.heads: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
+        for w in words:  # half -> lengths (bits) of the words it points to
+            if edits(w) == 1:
+                for halves, half in ((self.heads, w[:len(w) // 2]), (self.tails, w[len(w) // 2:])):
+                    halves[half] = halves.get(half, 0) | 7 << (len(w) - 1)
+        self.head_cuts, self.tail_cuts = sorted(set(map(len, self.heads))), sorted(set(map(len, self.tails)))
         third = {re.escape(x) for w in words if edits(w) == 2 for x in (w[:len(w) // 3], w[len(w) // 3:2 * len(w) // 3], w[2 * len(w) // 3:])}
-        rules = [f"^.?(?:{'|'.join(sorted(head))})", f"(?:{'|'.join(sorted(tail))}).?$"] * bool(head) + ["|".join(sorted(third))] * bool(third)
-        self.maybe = re.compile("|".join(rules)).search if rules else lambda w: None
+        self.third = re.compile("|".join(sorted(third))).search if third else lambda w: None
         self.sizes = range(min(map(len, self.swappable), default=0) - 2, max(map(len, self.swappable), default=-9) + 3)
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -82,35 +91,43 @@ class Lexicon:
             return max((s for s in self.stems if word.startswith(s)), key=len), 0
         if len(word) not in self.sizes:
             return None
-        for i in range(len(word) - 1):
-            if (swapped := word[:i] + word[i + 1] + word[i] + word[i + 2:]) in self.swappable:
-                return swapped, 1
-        return self._nearest(word) if self.maybe(word) else None
+        if word in self.swappable:
+            return self.swappable[word], 1
+        return self._nearest(word) if self._maybe(word) else None
+
+    def _maybe(self, word: str) -> bool:
+        n = len(word)
+        for k in self.head_cuts:
+            if (self.heads.get(word[:k], 0) | self.heads.get(word[1:k + 1], 0)) >> n & 1:
+                return True
+        for k in self.tail_cuts:
+            if (self.tails.get(word[n - k:], 0) | self.tails.get(word[n - 1 - k:n - 1], 0)) >> n & 1:
+                return True
+        return n >= self.long and self.third(word) is not None
 
     def _nearest(self, word: str) -> tuple[str, int] | None:
-        n, k = len(word), 2 if len(word) >= 6 else 1
+        n = len(word)
+        two = n >= self.long
         mask: dict[str, int] = {}
         for i, c in enumerate(word):
             mask[c] = mask.get(c, 0) | 1 << i
-        full, best = 1 << n, None
-        # state e, bit i: some way with e edits has read i letters of the word
-        stack = [(self.trie, tuple((1 << (e + 1)) - 1 & (full * 2 - 1) for e in range(k + 1)))]
+        full, room, best = 1 << n, (2 << n) - 1, None
+        # bit i of the e-th number: some way with e edits has read i letters of the word
+        stack = [(self.trie, 1, 3 & room, 7 & room if two else 0)]
         while stack:
-            node, state = stack.pop()
-            if "" in node and (e := next((e for e in range(k + 1) if state[e] & full), None)) is not None and e <= edits(node[""]):
-                best = min(best or (9, ""), (e, node[""]))
+            node, s0, s1, s2 = stack.pop()
+            if "" in node and (s0 | s1 | s2) & full:
+                e, term = 0 if s0 & full else 1 if s1 & full else 2, node[""]
+                if e <= edits(term) and (best is None or (e, term) < best):
+                    best = e, term
             for c, below in node.items():
-                if not c:
-                    continue
-                m, new, prev, prev_new = mask.get(c, 0), [], 0, 0
-                for e in range(k + 1):
-                    s = (state[e] & m) << 1
-                    if e:
-                        s |= prev | prev << 1 | prev_new << 1  # term letter extra, replaced, word letter extra
-                    prev, prev_new = state[e], s & (full * 2 - 1)
-                    new.append(prev_new)
-                if any(new):
-                    stack.append((below, tuple(new)))
+                if c:
+                    m = mask.get(c, 0)
+                    n0 = (s0 & m) << 1
+                    n1 = ((s1 & m) << 1 | s0 | s0 << 1 | n0 << 1) & room  # a letter extra in the term, another, extra in the word
+                    n2 = ((s2 & m) << 1 | s1 | s1 << 1 | n1 << 1) & room if two else 0
+                    if n0 or n1 or n2:
+                        stack.append((below, n0, n1, n2))
         return (best[1], best[0]) if best else None
 
 
@@ -133,11 +150,18 @@ class _Chunks(dict):
         return found
 
 
+def _closes(word: str) -> bool:
+    return word.rstrip(".,;:!?")[-1:] in _CLOSING
+
+
 def _quoted(words: list[str], i: int) -> bool:
-    """An opening mark at or before word i and a closing one at or after it, within the window."""
-    before = next((w for w in reversed(words[max(0, i - WINDOW):i + 1]) if w[0] in OPEN or w[-1] in CLOSE), "")
-    after = next((w for w in words[i:i + WINDOW + 1] if w.rstrip(".,;:!?")[-1:] in set(CLOSE) or w[0] in OPEN), "")
-    return bool(before and after and before[0] in OPEN and after.rstrip(".,;:!?")[-1:] in set(CLOSE))
+    """A quotation that opens at or before word i, within the window, is still open there and closes after it."""
+    open_ = False
+    for w in words[max(0, i - WINDOW):i]:
+        open_ = (open_ or w[0] in OPEN) and not (len(w) > 1 and _closes(w))
+    if not open_ and words[i][0] not in OPEN:
+        return False
+    return any(_closes(w) for w in words[i:i + WINDOW + 1])
 
 
 def features(text: str, memory: _Chunks) -> list[float]:
@@ -147,16 +171,18 @@ def features(text: str, memory: _Chunks) -> list[float]:
     if not at:
         return [0.0] * len(FEATURES)
     direct = fuzzy = quoted = addressed = 0
+    terms = set()
     for i in at:
-        near = words[max(0, i - WINDOW):i + WINDOW + 1]
         if _quoted(words, i) or not REPORTED.isdisjoint(words[max(0, i - WINDOW):i]):
             quoted += 1
-        elif found[i][1]:
+            continue
+        if found[i][1]:
             fuzzy += 1
         else:
             direct += 1
-        addressed += not ADDRESSED.isdisjoint(near)
-    return [*np.log1p([direct, fuzzy, quoted, addressed, len({found[i][0] for i in at if not found[i][1]}), 100 * (direct + fuzzy) / len(words)]).tolist()]
+            terms.add(found[i][0])
+        addressed += not ADDRESSED.isdisjoint(words[max(0, i - WINDOW):i + WINDOW + 1])
+    return [*np.log1p([direct, fuzzy, quoted, addressed, len(terms), 100 * (direct + fuzzy) / len(words)]).tolist()]
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 0.5) -> np.ndarray:
@@ -205,13 +231,38 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         words = counts.where("k like 'w%'").where(telling).orderBy(F.desc("toxic"), "k").limit(TERMS).toPandas()
     finally:
         counts.unpersist()
+    toxic_of = dict(zip(stems["stem"], stems["toxic"]))
     kept: list[str] = []
-    for s in sorted(stems["stem"], key=lambda s: (len(s), s)):  # the shortest telling beginnings
+    for s in sorted(toxic_of, key=lambda s: (len(s), s)):  # the shortest telling beginnings ...
         if not s.startswith(tuple(kept)):
+            # ... lengthened as long as nearly all of their documents still have them
+            while longer := [t for t in toxic_of if len(t) == len(s) + 1 and t.startswith(s) and toxic_of[t] >= 0.9 * toxic_of[s]]:
+                s = longer[0]
             kept.append(s)
     return Lexicon([k[1:] for k in words["k"] if not k[1:].startswith(tuple(kept))], kept)
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id`` of rows that share none of ``COPIES`` minimum hashes of their word pairs: one row of each
+    group of copies and near copies, so that a text which is there a thousand times speaks once."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in texts(b.column("text")):
+                words = np.array([zlib.crc32(w) for w in t.encode().lower().split()], np.uint64)
+                with np.errstate(over="ignore"):
+                    pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else words
+                    mixed = [pairs * np.uint64(0xD6E8FEB86659FD93 + 2 * k) ^ (pairs >> np.uint64(17 + k)) for k in range(COPIES)]
+                    out.append([int((m * np.uint64(0xC2B2AE3D27D4EB4F)).min().view(np.int64)) if len(m) else 0 for m in mixed])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([o[k] for o in out], pa.int64()) for k in range(COPIES))], ["doc_id", *(f"m{k}" for k in range(COPIES))])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hashes = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"m{k} long" for k in range(COPIES)))
+    for k in range(COPIES):
+        hashes = hashes.groupBy(f"m{k}").agg(F.min(F.struct("doc_id", *(f"m{j}" for j in range(COPIES) if j != k))).alias("s")).select("s.*", f"m{k}")
+    return hashes.select("doc_id").distinct()
+
+
 def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """``keep`` columns and the features (array<double>) of every row's text."""
     sent = docs.sparkSession.sparkContext.broadcast(([*lexicon.words], [*lexicon.stems]))
@@ -235,7 +286,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     chosen = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held)
               .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # FIT_ROWS small rows
-    lexicon = learn_lexicon(sample.select("text", "toxic"))
+    once = sample.join(F.broadcast(distinct_texts(sample)), "doc_id")  # at most as many ids
+    lexicon = learn_lexicon(once.select("text", "toxic"))
     fitted = with_features(sample.select("text", "toxic"), lexicon, ["toxic"]).toPandas() if lexicon.words or lexicon.stems else None
     weights = fit(np.array(fitted["features"].tolist()), fitted["toxic"].to_numpy(float)) if fitted is not None and len(fitted) else PRIOR
     logit = F.lit(float(weights[0]))
