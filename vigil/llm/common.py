@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -15,7 +13,7 @@ import vigil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.session import checkpoint_dir
+from vigil.session import checkpoint_dir, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+#: Rows of texts that go to a Python worker at once.
+BATCH = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Prepare a session for these operators: batches of few rows, as texts can be long (unless the session sets
+    its own), and this package on the executors' Python workers, once per application."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -55,18 +60,11 @@ def written(df: DataFrame) -> DataFrame:
 
     Takes less disk than a checkpoint; the table is deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def fold(doc_id, n: int):
     """``crc32(text of doc_id) mod n`` as used for held-out folds; null ids get null."""
     return F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % n
