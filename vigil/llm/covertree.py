@@ -38,6 +38,8 @@ CENTRES = 16
 #: Rows the pivots are chosen from (those with the smallest hash of the id).
 SAMPLE = 2048
 QUERIES, CANDIDATES = 1024, 4096
+#: Parts that the query blocks of one candidate block are dealt into.
+DEALS = 4
 #: Vectors under which a node is not divided further.
 LEAF = 48
 EXACT = float(1 << 53)
@@ -65,24 +67,30 @@ class Node:
     children: list["Node"] = field(default_factory=list)
 
 
-def cover_tree(x: np.ndarray, at: np.ndarray | None = None, centre: int | None = None) -> Node:
+def away_from(x: np.ndarray, norms: np.ndarray, at: np.ndarray, centre: int) -> np.ndarray:
+    """Distances of the rows ``at`` to one of them."""
+    return np.sqrt(np.maximum(norms[at] + norms[centre] - 2 * (x[at] @ x[centre]), 0))
+
+
+def cover_tree(x: np.ndarray, at: np.ndarray | None = None, centre: int | None = None, norms: np.ndarray | None = None) -> Node:
     """Cover tree of the rows ``at`` of x, the root's centre one of them."""
     at = np.arange(len(x)) if at is None else at
+    norms = (x ** 2).sum(1) if norms is None else norms
     centre = int(at[0]) if centre is None else centre
-    away = np.sqrt(((x[at] - x[centre]) ** 2).sum(1))
-    node = Node(x[centre], float(away.max(initial=0.0)), at, float(np.sqrt((x[centre] ** 2).sum())))
+    away = away_from(x, norms, at, centre)
+    node = Node(x[centre], float(away.max(initial=0.0)), at, float(np.sqrt(norms[centre])))
     if len(at) <= LEAF or node.radius == 0:
         return node
     # a net at half the radius: centres further apart than that, every vector within it
-    owner, near, heads = np.zeros(len(at), int), away, [centre]
-    while near.max() > node.radius / 2 and len(heads) <= len(at) // 4:
+    owner, near, heads, most = np.zeros(len(at), int), away, [centre], 2 * int(np.sqrt(len(at)))
+    while near.max() > node.radius / 2:
+        if len(heads) == most:
+            return node  # the vectors lie too evenly for nodes to be worth while
         heads.append(int(at[near.argmax()]))
-        d = np.sqrt(((x[at] - x[heads[-1]]) ** 2).sum(1))
+        d = away_from(x, norms, at, heads[-1])
         closer = d < near
         owner[closer], near = len(heads) - 1, np.minimum(near, d)
-    if len(heads) > len(at) // 4:
-        return node  # the vectors lie too evenly for nodes to be worth while
-    node.children = [cover_tree(x, at[owner == i], h) for i, h in enumerate(heads) if (owner == i).any()]
+    node.children = [cover_tree(x, at[owner == i], h, norms) for i, h in enumerate(heads) if (owner == i).any()]
     return node
 
 
@@ -102,8 +110,9 @@ class Search:
         self.bound = np.full(len(ids), -np.inf) if bounds is None else bounds.astype(float)
         self.found: list[list[tuple]] = [[] for _ in ids]
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        stack = [(self.tree, cover_tree(x))]
+    def add(self, ids: np.ndarray, x: np.ndarray, tree: Node) -> None:
+        """Search the candidates (ids, x) by their cover tree."""
+        stack = [(self.tree, tree)]
         while stack:
             q, c = stack.pop()
             ceiling = float(q.centre @ c.centre) + c.radius * q.norm + q.radius * c.norm + q.radius * c.radius
@@ -119,10 +128,10 @@ class Search:
 
     def _direct(self, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         scores = products(self.x[at], x)
-        for row, i in zip(scores, at):
+        hopeful = np.flatnonzero((scores >= self.bound[at][:, None]).any(1)) if scores.size else []
+        for r in hopeful:
+            i, row = at[r], scores[r]
             ok = (row >= self.bound[i]) & (ids != self.ids[i])
-            if not ok.any():
-                continue
             own, score = ids[ok], row[ok]
             pick = top(own, score, self.k)
             held = sorted(self.found[i] + [(-int(s), int(j)) for s, j in zip(score[pick], own[pick])])[:self.k]
@@ -183,19 +192,26 @@ def search(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
         def run(batches):
             for b in batches:
-                out = [[], [], [], [], []]
+                out, last, block = [[], [], [], [], []], None, None
                 for i in range(b.num_rows):
+                    name = b.column("c_pivot")[i].as_py(), b.column("c_block")[i].as_py()
+                    if name != last:  # pairs are sorted by candidate block, whose tree is built once
+                        cids, cx = unpack(b.column("c_rows")[i])
+                        last, block = name, (cids, cx, cover_tree(cx))
                     ids, q = unpack(b.column("q_rows")[i])
                     known = dict(b.column("bounds")[i].as_py() or [])
                     bounds = np.array([known.get(int(j), -np.inf) for j in ids], float)
                     s = Search(ids, q, k, bounds)
-                    s.add(*unpack(b.column("c_rows")[i]))
+                    s.add(*block)
                     got = s.rows()
                     for column, values in zip(out, ([b.column("q_pivot")[i].as_py()] * len(got[0]), [b.column("q_block")[i].as_py()] * len(got[0]), *got)):
                         column += values
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["q_pivot", "q_block", "query_id", "vec_id", "score"])
 
-        return full.select("q_pivot", "q_block", "q_rows", "c_rows", "bounds").mapInArrow(run, "q_pivot int, q_block int, query_id long, vec_id long, score long")
+        # a candidate block's pairs lie together, dealt by groups of query blocks
+        full = full.withColumn("_deal", F.pmod(F.xxhash64("q_pivot", "q_block"), F.lit(DEALS)))
+        full = full.repartition("c_pivot", "c_block", "_deal").sortWithinPartitions("c_pivot", "c_block")
+        return full.select("q_pivot", "q_block", "q_rows", "c_pivot", "c_block", "c_rows", "bounds").mapInArrow(run, "q_pivot int, q_block int, query_id long, vec_id long, score long")
 
     one = cut(walk(first, None))
     kth = one.groupBy("q_pivot", "q_block", "query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).withColumn("kth", F.when(F.col("n") >= k, F.col("kth")))
@@ -204,5 +220,5 @@ def search(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     size = qblocks.select("q_pivot", "q_block", F.size("q_rows").alias("size"))
     rest = (pairs.join(first, ["q_pivot", "q_block", "c_pivot", "c_block"], "left_anti").join(bounds.select("q_pivot", "q_block", "worst", "with"), ["q_pivot", "q_block"], "left")
             .join(size, ["q_pivot", "q_block"]).where("not coalesce(with = size and ceiling + abs(ceiling) * 1e-9 + 1e-6 < worst, false)").select("q_pivot", "q_block", "c_pivot", "c_block"))
-    found = one.union(walk(rest.repartition(F.col("c_pivot"), F.col("c_block"), F.col("q_pivot")), bounds)).select("query_id", "vec_id", "score")
+    found = one.union(walk(rest, bounds)).select("query_id", "vec_id", "score")
     return best(found, k)
