@@ -85,19 +85,24 @@ def _rarest_gram(needles: DataFrame, grams_in: DataFrame | None = None) -> DataF
     return pick.where(F.col("_known") == F.col("_all")).select("_n", "_g")
 
 
+def _row_id(key: str | None, text_col: str) -> Column:
+    """What stands for a row in a shuffle: its key, or two hashes of its text."""
+    own = F.col(key) if key and key != text_col else F.struct(F.xxhash64(text_col), F.hash(text_col))
+    return own.alias("_h")
+
+
 def contains_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str,
                    key: str | None = None, dict_side: str = "needles") -> DataFrame:
     """All pairs ``hay ⋈ needles`` with ``hay_col`` containing ``needle_col``.
 
-    ``key`` identifies a hay row (default: the text itself); only its hash and
-    the grams are shuffled, and the rows join back once per candidate.  Needles
+    ``key`` identifies a hay row (default: the text itself, by a hash); only it
+    and the grams are shuffled, and the rows join back once per candidate.  Needles
     of at least 3 characters are indexed by their rarest 3-gram, shorter ones
     are contained exactly when they equal one of the text's 1- or 2-grams.
     ``dict_side`` says which side's grams measure rarity: the dictionary's.
-    Exact, since a contained needle's grams all occur in the text; two rows of
-    one hash only add candidates, which the texts decide."""
-    key = key or hay_col
-    hid = F.xxhash64(F.col(key)).alias("_h")
+    Exact, since a contained needle's grams all occur in the text; rows of one
+    key or hash only add candidates, which the texts decide."""
+    hid = _row_id(key, hay_col)
     n = needles.select(F.col(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
     grams = hay.select(hid, F.explode(_distinct_grams(F.col(hay_col))).alias("_g"))
     long_n = _rarest_gram(n.where(F.length("_n") >= GRAM), grams if dict_side == "hay" else None)
@@ -116,14 +121,14 @@ def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: st
 
     Tokens are maximal runs of letters, digits and underscore (any script); a
     single-token needle is a whole word of the text exactly when it equals one
-    of the text's tokens, so this is an equi-join on distinct tokens.  The text
-    is joined back by its key's hash and tested, so only tokens are shuffled."""
-    key = key or hay_col
-    hid = F.xxhash64(F.col(key)).alias("_h")
+    of the text's tokens, so this is an equi-join on distinct tokens.  Only
+    tokens and the row's key are shuffled; ``key`` must identify a row
+    (default: the text itself, by 96 bits of hashes)."""
+    hid = _row_id(key, hay_col)
     tokens = F.array_distinct(F.regexp_extract_all(F.col(hay_col), F.lit(r"[\p{L}\p{N}_]+"), 0))
     n = needles.select(F.col(needle_col).alias("_n")).distinct()
     candidates = hay.select(hid, F.explode(tokens).alias("_n")).join(n, on="_n").select("_h", "_n").distinct()
-    found = hay.withColumn("_h", hid).join(candidates, on="_h").where(F.array_contains(tokens, F.col("_n"))).drop("_h")
+    found = hay.withColumn("_h", hid).join(candidates, on="_h").drop("_h")
     return found.join(needles, found["_n"] == needles[needle_col]).drop("_n")
 
 
@@ -362,23 +367,24 @@ def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: Da
 # ------------------------------------------------------------------ M12-M15
 
 def override_hazard(titles: DataFrame, title_col: str, terms: DataFrame, boilerplate: str,
-                    min_len: int = 3) -> DataFrame:
+                    min_len: int = 3, key: str | None = None) -> DataFrame:
     """Strip boilerplate from the title, then the longest term (>= min_len)
-    contained in it; ties -> earliest row.  Returns ``(q, row_ord)``."""
-    q = titles.select(F.lower(strip_pattern(F.col(title_col), boilerplate)).alias("q")) \
-        .where(F.col("q") != "").distinct()
+    contained in it; ties -> earliest row.  Returns ``(q, row_ord)`` of the
+    distinct titles, or ``(key, row_ord)`` of every row (long texts)."""
+    q = titles.select(*([key] if key else []), F.lower(strip_pattern(F.col(title_col), boilerplate)).alias("q")) \
+        .where(F.col("q") != "")
     t = terms.where(F.col("tlen") >= min_len)
-    p = contains_pairs(q, "q", t, "term")
-    return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"])
+    p = contains_pairs(q if key else q.distinct(), "q", t, "term", key)
+    return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"], key or "q")
 
 
-def override_word(titles: DataFrame, title_col: str, terms: DataFrame, min_len: int = 4) -> DataFrame:
-    """The longest term (>= min_len) found as a whole word (case-insensitive);
-    candidates by ``contains``, verified by a per-pair word-boundary regex."""
-    q = titles.select(F.lower(F.col(title_col)).alias("q")).where(F.col("q") != "").distinct()
+def override_word(titles: DataFrame, title_col: str, terms: DataFrame, min_len: int = 4, key: str | None = None) -> DataFrame:
+    """The longest term (>= min_len) found as a whole word
+    (case-insensitive); result as of ``override_hazard``."""
+    q = titles.select(*([key] if key else []), F.lower(F.col(title_col)).alias("q")).where(F.col("q") != "")
     t = terms.where(F.col("tlen") >= min_len)
-    p = word_pairs(q, "q", t, "term")
-    return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"])
+    p = word_pairs(q if key else q.distinct(), "q", t, "term", key)
+    return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"], key or "q")
 
 
 def suggest_category(names: DataFrame, name_col: str, cats: DataFrame, cat_col: str, cat_ord: str,

@@ -165,10 +165,9 @@ def dict_override(spark, sf):
     t = _titles(spark, sf)
     wd = word_dict(spark, sf)
     terms = MT.prepare_terms(wd, ["ENG_NM"], min_len=3)
-    m = MT.override_hazard(t, "title", terms, BOILERPLATE, min_len=3)
-    q = F.lower(F.regexp_replace(F.col("title"), "(?i)" + BOILERPLATE, ""))
+    m = MT.override_hazard(t, "title", terms, BOILERPLATE, min_len=3, key="doc_id")
     names = wd.select("row_ord", F.coalesce("KOR_NM", "ENG_NM").alias("name"))
-    return t.withColumn("q", q).join(m, on="q").join(names, on="row_ord").select("doc_id", "name")
+    return m.join(names, on="row_ord").select("doc_id", "name")
 
 
 @query
@@ -177,9 +176,9 @@ def word_override(spark, sf):
     t = _titles(spark, sf)
     wd = word_dict(spark, sf)
     terms = MT.prepare_terms(wd, ["ENG_NM"], min_len=4)
-    m = MT.override_word(t, "title", terms, min_len=4)
+    m = MT.override_word(t, "title", terms, min_len=4, key="doc_id")
     names = wd.select("row_ord", F.col("KOR_NM").alias("name"))
-    return t.withColumn("q", F.lower("title")).join(m, on="q").join(names, on="row_ord").select("doc_id", "name")
+    return m.join(names, on="row_ord").select("doc_id", "name")
 
 
 @query

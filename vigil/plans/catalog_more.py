@@ -159,8 +159,8 @@ def keep_manual(spark, sf):
     d = T(spark, sf, "documents").select("doc_id", F.col("text").alias("title"), F.when(F.col("source") == "src0", F.concat(F.lit("hand "), "lang")).alias("manual"))
     wd = word_dict(spark, sf)
     open_ = d.where(F.col("manual").isNull())
-    m = MT.override_word(open_, "title", MT.prepare_terms(wd, ["ENG_NM"], min_len=4), min_len=4)
-    auto = open_.withColumn("q", F.lower("title")).join(m, "q").join(wd.select("row_ord", "KOR_NM"), "row_ord").select("doc_id", F.col("KOR_NM").alias("auto"))
+    m = MT.override_word(open_, "title", MT.prepare_terms(wd, ["ENG_NM"], min_len=4), min_len=4, key="doc_id")
+    auto = m.join(wd.select("row_ord", "KOR_NM"), "row_ord").select("doc_id", F.col("KOR_NM").alias("auto"))
     return d.select("doc_id", "manual").join(auto, "doc_id", "left").select("doc_id", F.coalesce("manual", "auto").alias("name"))
 
 
