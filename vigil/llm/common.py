@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -55,6 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more (it does so when the driver's
+    garbage is collected, which may otherwise be long after a step)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared checkpoint folder and read again.
 

@@ -37,18 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, cut
+from vigil.llm.common import chunks, cut, sweep
 
 CHUNK = 4 << 20
 #: Words a worker remembers the hash of.
-MEMORY = 500_000
+MEMORY = 200_000
 #: Index entries that one segment of at most one element (two with deletions) is held to cost.
-SMALL_SEGMENT = 20
+SMALL_SEGMENT = 8
 #: Bits of a parity sketch.
 SKETCH = 2048
 #: Index entries in a partition of the index.
-PART = 1_500_000
+PART = 2_500_000
 BAND = 1.25
+#: Edges in a partition of the component steps.
+EDGES = 200_000
 #: Members in a block of sketches.
 BLOCK = 1024
 #: Rounds of comparisons with centres.
@@ -251,15 +253,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp): smallest node that each node of ``links`` (a, b) reaches, by alternating
     large-star and small-star steps; every step is an aggregation and a join."""
     edges = links.select("a", "b").where("a <> b")
-    state = None
+    state, parts = None, max(1, math.ceil(edges.count() / EDGES))
     while True:
+        edges = edges.coalesce(parts)  # few edges need few tasks and files
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts).distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").coalesce(parts)
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = cut(small)
+        small = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(parts).distinct()
+        edges = cut(small.coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -289,22 +292,25 @@ def _close(mixed: DataFrame, members: DataFrame, num: int, den: int) -> DataFram
     Members travel in blocks with their sketches, and blocks of a bucket are compared as matrices,
     so neither a bucket of many members nor its pairs become rows."""
     rows = mixed.join(members.select("member", "n", "sketch"), "member")
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy("bucket").count()
-        dealt = df.join(counts, "bucket").withColumn("_block", F.pmod(F.xxhash64("member", F.lit(3)), F.ceil(F.col("count") / BLOCK)))
-        return dealt.groupBy("bucket", "_block").agg(F.collect_list(F.struct("member", "comp", "n", "sketch")).alias(name)).drop("_block")
+    counts = mixed.groupBy("bucket").count()
+    dealt = rows.join(counts, "bucket").withColumn("_block", F.pmod(F.xxhash64("member", F.lit(3)), F.ceil(F.col("count") / BLOCK)))
+    packed = dealt.groupBy("bucket", "_block").agg(
+        F.collect_list(F.struct("member", "comp", "n", "sketch", (F.col("comp") != F.col("major")).alias("outside"))).alias("block"),
+        F.bool_or(F.col("comp") != F.col("major")).alias("some"))
 
     def unpacked(cell) -> tuple:
         own = cell.values
         member, comp, n = (own.field(i).to_numpy() for i in range(3))
-        return member, comp, n, np.frombuffer(b"".join(own.field(3).to_pylist()), np.uint64).reshape(len(member), -1)
+        sketch = np.frombuffer(b"".join(own.field(3).to_pylist()), np.uint64).reshape(len(member), -1)
+        return member, comp, n, sketch, own.field(4).to_numpy(zero_copy_only=False)
 
     def run(batches):
         for batch in batches:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for one, other in zip(*batch.columns):
-                (xm, xc, xn, xs), (ym, yc, yn, ys) = unpacked(one), unpacked(other)
+                *x, outside = unpacked(one)
+                xm, xc, xn, xs = (v[outside] for v in x)
+                ym, yc, yn, ys, _ = unpacked(other)
                 for lo in range(0, len(xm), 32):
                     part = slice(lo, lo + 32)
                     least, most = np.minimum(xn[part, None], yn), np.maximum(xn[part, None], yn)
@@ -312,11 +318,12 @@ def _close(mixed: DataFrame, members: DataFrame, num: int, den: int) -> DataFram
                     i, j = np.nonzero(may)
                     far = np.bitwise_count(xs[part][i] ^ ys[j]).sum(1, dtype=np.int64)
                     near = far <= least[i, j] * (den - num) // num
-                    x, y = xm[part][i[near]], ym[j[near]]
-                    a.append(np.maximum(x, y)), b.append(np.minimum(x, y))
+                    u, v = xm[part][i[near]], ym[j[near]]
+                    a.append(np.maximum(u, v)), b.append(np.minimum(u, v))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return packed(rows.where("comp <> major"), "one").join(packed(rows, "other"), "bucket").select("one", "other").mapInArrow(run, "a long, b long").distinct()
+    left, right = packed.where("some").select("bucket", F.col("block").alias("one")), packed.select("bucket", F.col("block").alias("other"))
+    return left.join(right, "bucket").select("one", "other").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -351,6 +358,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     classes = named.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     parts = max(1, math.ceil(2.5 * total * (den - num) / num / PART), math.ceil(2.5 * named.count() / PART))
     found = cut(buckets(docs, k, num, den, parts))
+    sweep(spark)
 
     # texts and sketches of the classes that are in a bucket, once
     wanted = found.select(F.col("member").alias("k1")).distinct().join(classes, "k1").where("rep is not null")
@@ -359,6 +367,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     own = texts.join(wanted.select("rep", "k1", "n"), "rep")
     members = cut(_sketched(own.select(F.col("k1").alias("member"), "n", "text"), k)) if _unique_ids(named) else cut(_sketched(_checked(own, k), k))
 
+    sweep(spark)
+
     def sized(pairs: DataFrame) -> DataFrame:
         side = [members.select(F.col("member").alias(x), F.col("n").alias("n" + x)) for x in "ab"]
         return pairs.join(side[0], "a").join(side[1], "b").where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
@@ -382,8 +392,10 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
 
     # then whatever a bucket still holds across components, from outside its largest component
     close = _close(mixed, members, num, den)
+    sweep(spark)
     more = cut(_verified(sized(close), members, k, num, den))
     comp = cut(components(links.union(more)))
+    sweep(spark)
 
     # classes to documents
     of = classes.join(comp.withColumnRenamed("node", "k1"), "k1", "left").select("k1", "k2", "rep", F.coalesce("comp", "k1").alias("comp"))

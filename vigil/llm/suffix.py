@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, written
+from vigil.llm.common import chunks, sweep, written
 
 WIDTH = 100
 GRAM = 32
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bytes of contexts that are sorted at once, unless one group is larger.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Tuples of a queue that stay in memory.
 BLOCK = 1 << 18
 U = np.uint64
@@ -430,6 +430,8 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def repeats(docs: DataFrame, odd: bool, width: int = WIDTH) -> DataFrame:
     """(doc, key, marks): the byte ranges of every document of ``prepared`` rows that occur earlier."""
+    if not GRAM < width < 256:
+        raise ValueError("the width must be between the gram's length and 255")
     rows = docs.select("doc", "key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if odd:  # equal rows are one document
         rows = rows.dropDuplicates(["doc", "key"])
@@ -442,6 +444,7 @@ def repeats(docs: DataFrame, odd: bool, width: int = WIDTH) -> DataFrame:
                      F.when(mark, -1 - F.col("stretch")).otherwise(F.expr("shiftright(stretch, 8)")).alias("lo"),
                      F.when(mark, F.col("context")).otherwise(F.expr(f"shiftright(stretch, 8) + (stretch & 255) + {width}")).alias("hi")))
     found = written(found)
+    sweep(docs.sparkSession)
     earlier = found.where("gram is null").select("doc", "key", "lo", "hi")
     first = found.where("gram is not null").withColumn("stretch", F.expr(f"shiftleft(lo, 8) | (hi - lo - {width})"))
     several = first.groupBy("gram").count().where("count > 1").select("gram")
