@@ -98,6 +98,12 @@ def test_packing(docs, library):
     assert n <= -(-total // 1024) + 2
 
 
+def test_packing_of_very_long_white_space(docs, library):
+    texts = [" " * 2_000_000, "a" + "\n" * 1_200_000 + "b<|endoftext|>  c", "short"]
+    rows = packing.pack_documents(docs(texts), PATH).collect()
+    check_packing(rows, dict(enumerate(texts)), library)
+
+
 def test_plan_places_every_item_once_and_is_best_fit():
     rng = random.Random(2)
     for _ in range(60):

@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.bpe import ByteBPE
+from vigil.llm.bpe import load
 from vigil.llm.common import chunks, cut, texts
 
 #: Bytes of text handled at once.
@@ -37,21 +37,32 @@ PARTS = 64
 @lru_cache(maxsize=2)
 def library(path: str) -> tiktoken.Encoding:
     """The vocabulary file (tokenizers JSON) in the fastest library that gives the same ids."""
-    model = ByteBPE(path)
+    model = load(path)
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=model.ids, special_tokens=model.special)
 
 
+def encode(path: str, text: str) -> bytes:
+    """Ids as little-endian 32-bit numbers. The library's regular expression gives up on white space of about a
+    million characters; operator 7's encoder takes such texts."""
+    try:
+        return library(path).encode_to_numpy(text, allowed_special="all").tobytes()
+    except ValueError:
+        model = load(path)
+        ids = model.encode(text)
+        model.pretokens.clear()  # pre-tokens that long are not kept
+        return ids
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids): token ids of each text with the end id, cut into pieces
     of ``capacity`` if longer (the first piece takes the rest). ``ids``: little-endian 32-bit."""
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        model = library(path)
         for b in chunks(batches, "text", CHUNK):
             rows, piece, start, length, ids = [], [], [], [], []
             for i, t in enumerate(texts(b.column("text"))):
-                data = model.encode_to_numpy(t, allowed_special="all").tobytes() + tail
+                data = encode(path, t) + tail
                 first = len(data) // 4 % capacity or capacity
                 bounds = [0, *range(4 * first, len(data) + 1, 4 * capacity)]
                 for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
