@@ -28,6 +28,17 @@ def test_language_accuracy_and_odd_rows(docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_text_with_a_letter_has_a_language(docs):
+    rng = random.Random(3)
+    rows = [(i, say(rng, lang, 30), lang) for i, lang in enumerate(list(WORDS) * 20)] + [(100 + i, "中文 你好 日本語 中文", "zh") for i in range(20)]
+    short = [(1000 + i, t, None) for i, t in enumerate(["a", "ok", "A.", "中文", "7 a 7", "z", "the", "de"])]
+    none = [(2000 + i, t, None) for i, t in enumerate([None, "", " ", "7.", "  --  "])]
+    by = {r.doc_id: r for r in langid.identify(docs(rows + short + none)).collect()}
+    assert all(by[i].lang_pred != "und" and by[i].score > 0 and by[i].n_languages > 0 for i, _, _ in short)
+    assert by[1003].lang_pred == "zh" and by[1006].lang_pred == "en"
+    assert all((by[i].lang_pred, by[i].score, by[i].n_languages) == ("und", 0.0, 0) for i, _, _ in none)
+
+
 def test_mixture_proportions():
     rng = random.Random(2)
     counts = []

@@ -45,6 +45,12 @@ def test_language_stage_drops_what_has_none(shipped, docs):
     assert sorted(r.doc_id for r in STAGE["language"](shipped, rows, SF).collect()) == list(range(30))
 
 
+def test_language_stage_keeps_short_texts(shipped, docs):
+    rng = random.Random(1)
+    rows = docs([(i, " ".join(rng.choice(["the", "and", "with", "from"]) for _ in range(20)), "en") for i in range(30)] + [(50 + i, t, None) for i, t in enumerate(["a", "ok", "A.", "中文", "..", None])])
+    assert sorted(r.doc_id for r in STAGE["language"](shipped, rows, SF).collect()) == [*range(30), 50, 51, 52, 53]
+
+
 def test_empty_tables_pass_every_stage(shipped, docs):
     for name in ("toxicity", "language", "near_duplicates", "passages", "packing"):
         assert STAGE[name](shipped, docs([]), SF).count() == 0

@@ -1,7 +1,7 @@
 """Operator 2: language identification as multilingual mixture inference.
 
 Model: for each language, smoothed frequencies of letter trigrams (lower-cased code points,
-everything that is no letter read as one space), hashed into ``BUCKETS`` numbers, counted
+everything that is no letter read as one space, a space at both ends), hashed into ``BUCKETS`` numbers, counted
 over all labelled rows.  A document's trigrams are a mixture of the languages' models:
 expectation-maximisation estimates the proportions, first over all languages; then the
 smallest language is dropped as long as the likelihood loses less than the penalty
@@ -44,8 +44,9 @@ def _letters() -> np.ndarray:
 
 def trigrams(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document number, bucket, count) of all texts, sorted by both, and which texts have a letter."""
-    size = np.array([len(t) for t in (x.lower() for x in found)], np.int64)
-    code = _letters()[np.frombuffer("".join(x.lower() for x in found).encode("utf-32-le", "surrogatepass"), "<u4")]
+    found = [f" {x.lower()} " for x in found]  # so one letter alone is a trigram
+    size = np.array([len(t) for t in found], np.int64)
+    code = _letters()[np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), "<u4")]
     doc = np.repeat(np.arange(len(found)), size)
     has = np.bincount(doc, weights=code != 32, minlength=len(found)) > 0
     if len(code) < 3:
