@@ -51,6 +51,28 @@ def test_suffix_dedup_of_odd_ids(docs):
     assert suffix.deduplicated(docs([])).collect() == []
 
 
+def test_hot_groups_are_split_by_their_windows(docs, monkeypatch):
+    rng = random.Random(6)
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(90, 160)))
+    passage = own() + own()
+    rows = [(i, own() + passage + own()) for i in range(80)] + [(1000 + i, t) for i, t in passages(rng, 40)]
+    rows += [(5000, rows[3][1]), (5001, "x" * 500 + passage), (5002, passage * 3), (5003, None)]
+    sorted_at_once = []
+    contexts = suffix._contexts
+
+    def seen(*args):
+        out = contexts(*args)
+        sorted_at_once.append({r.gram: r.n for r in out.where("windows > 0").groupBy("gram").agg({"bytes": "count"}).withColumnRenamed("count(bytes)", "n").collect()})
+        assert out.where("windows = 0").count() > 0
+        return out
+
+    monkeypatch.setattr(suffix, "HOT", 3000)
+    monkeypatch.setattr(suffix, "_contexts", seen)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicated(docs(rows)).collect()}
+    assert got == brute_repeats(rows)
+    assert len(sorted_at_once) == 1 and max(sorted_at_once[0].values()) <= 30  # 100 bytes at least each
+
+
 def test_cut_characters_are_dropped_from_the_text(docs):
     rng = random.Random(2)
     body = "".join(rng.choice("aé") for _ in range(200))

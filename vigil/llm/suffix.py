@@ -9,15 +9,19 @@ the same one) is decided by a suffix array with common-prefix values, built by i
    neighbouring windows with one minimizer is an occurrence; its bytes are its context.
    Groups of one occurrence are done.  Occurrences with equal contexts (two independent 64-bit
    hashes) are collapsed first, in each task and then by group: all but the earliest are repeats as a whole.  That makes a
-   passage which a third of all documents share one string of the sort.
+   passage which a third of all documents share one string of the sort.  A group that is
+   still larger than ``HOT`` bytes is split by its windows: equal windows (two independent 64-bit
+   hashes of the whole window) meet, those of one chunk of texts are collapsed before, and the
+   earliest of each comes first in Spark's external sort, so nothing of the group is held in memory.
 2. Sort.  Groups with different contexts are laid out as texts of a bounded shard, and their
    suffixes are sorted by recursive induction (``induced_sort``): the leftmost suffixes
    of each descent (LMS) are sorted through their named substrings, level by level; from them
    the larger and then the smaller types are induced, bucket by bucket.  The tuples wait in
    ``DiskQueues``: one queue for each first byte, filled in induction order and emptied in bucket
    order, which is a priority queue whose ties are first come, first served.  A queue keeps a
-   bounded block in memory and the rest in a temporary file, so a shard can be far larger
-   than the memory; each tuple carries its common-prefix value with the one before it.
+   bounded block in memory and the rest in a temporary file; each tuple carries its common-prefix
+   value with the one before it.  The text of a shard, the order of its LMS suffixes and the sorted
+   tuples are in memory; that is bounded, as a shard has ``HOT`` bytes at most.
 3. Mark.  Neighbours with a common prefix of ``width`` bytes or more hold equal windows; all
    but the earliest in the corpus are removed.  Marked windows are united by document.
 
@@ -44,6 +48,8 @@ GRAM = 32
 CHUNK = 1 << 20
 #: Bytes of contexts that are sorted at once, unless one group is larger.
 SHARD = 2 << 20
+#: Bytes of contexts from which a group is split by its windows, so no shard is larger.
+HOT = 2 * SHARD
 #: Tuples of a queue that stay in memory.
 BLOCK = 1 << 18
 U = np.uint64
@@ -366,7 +372,7 @@ def repeated_windows(contexts: list[bytes], windows: np.ndarray, order: np.ndarr
 
 
 def _sorted_marks(contexts: DataFrame, width: int) -> DataFrame:
-    """(doc, key, lo, hi) of repeated bytes from (gram, doc, key, start, windows, bytes), grouped by gram."""
+    """(doc, key, lo, hi) of repeated bytes from ``_contexts`` rows, sorted by gram, more and place."""
     def flush(rows):
         docs = sorted({(r[1], r[2]) for r in rows})
         rank = {d: i for i, d in enumerate(docs)}
@@ -385,37 +391,96 @@ def _sorted_marks(contexts: DataFrame, width: int) -> DataFrame:
             [pa.array([d for d, _ in who], pa.int64()), pa.array([k for _, k in who], pa.int64()), pa.array(place[first]), pa.array(place[last] + width)],
             ["doc", "key", "lo", "hi"])
 
+    def marked(doc, key, lo, hi):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, key, lo, hi)], ["doc", "key", "lo", "hi"])
+
     def run(batches):
-        rows, held = [], 0
+        rows, held, group, size, last = [], 0, [], 0, None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held >= SHARD and row[0] != rows[-1][0]:
-                    yield from flush(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[5])
-        if rows:
+            gram, more, doc, key, start, windows = (b.column(i).to_numpy() for i in range(6))
+            own = windows < 0
+            if own.any():
+                yield marked(doc[own], key[own], start[own], start[own] - windows[own])
+            own = np.flatnonzero(windows == 0)
+            if len(own):  # windows of a split group, the earliest of equal ones first
+                one, two = gram[own], more[own]
+                again = own[np.append((one[0], two[0]) == last, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))]
+                last = one[-1], two[-1]
+                yield marked(doc[again], key[again], start[again], start[again] + width)
+            rest = b.filter(pa.array(windows > 0)).drop_columns(["more"])
+            for row in zip(*(c.to_pylist() for c in rest.columns)):
+                if group and row[0] != group[-1][0]:
+                    if rows and held + size > SHARD:
+                        yield from flush(rows)
+                        rows, held = [], 0
+                    rows.extend(group)
+                    held, group, size = held + size, [], 0
+                group.append(row)
+                size += len(row[5])
+        if rows and held + size > SHARD:
             yield from flush(rows)
-
-    return contexts.select("gram", "doc", "key", "start", "windows", "bytes").mapInArrow(run, "doc long, key long, lo long, hi long")
+            rows = []
+        if rows or group:
+            yield from flush(rows + group)
+
+    return contexts.select("gram", "more", "doc", "key", "start", "windows", "bytes").mapInArrow(run, "doc long, key long, lo long, hi long")
+
+
+def _wanted(first: DataFrame, width: int) -> DataFrame:
+    """(doc, key, gram, stretch, hot) of the stretches (doc, key, gram, lo, hi) of groups of several; hot: the group is split."""
+    several = (first.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("size"))
+               .where("n > 1").select("gram", (F.col("size") > HOT).alias("hot")))
+    return first.join(several, "gram").select("doc", "key", "gram", F.expr(f"shiftleft(lo, 8) | (hi - lo - {width})").alias("stretch"), "hot")
+
+
+def _split(raw: list[bytes], doc: np.ndarray, key: np.ndarray, hot: list[tuple[int, int, int]], width: int) -> Iterator[tuple]:
+    """(hash, second hash, doc, key, start, 0) of the windows of (text, start, windows) stretches; of equal ones
+    the earliest, the others as marks (spread, 0, doc, key, start, -bytes)."""
+    text, at, n = (np.array(x, np.int64) for x in zip(*hot))
+    size = np.array([len(x) for x in raw], np.int64)
+    padded = np.append(np.frombuffer(b"".join(raw), np.uint8), np.zeros(8, np.uint8))
+    of = np.repeat(text, n)
+    start = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    place, whole = (np.cumsum(size) - size)[of] + start, np.full(len(start), width)
+    one, two = (_hash_at(padded, place, whole, seed).view(np.int64) for seed in (11, 23))
+    doc, key = doc[of], key[of]
+    by = np.lexsort((start, key, doc, two, one))
+    again = np.append(False, (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1]))
+    once, copies = by[~again], by[again]
+    yield one[once], two[once], doc[once], key[once], start[once], np.zeros(len(once), np.int64)
+    if len(copies):
+        copies = copies[np.argsort(place[copies])]
+        new = np.append(True, (of[copies][1:] != of[copies][:-1]) | (start[copies][1:] > start[copies][:-1] + width))
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:] - 1, len(copies) - 1)
+        lo, hi = copies[lo], copies[hi]
+        yield (start[lo] * 0x9E3779B1) ^ doc[lo], np.zeros(len(lo), np.int64), doc[lo], key[lo], start[lo], start[lo] - start[hi] - width
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The bytes of the wanted stretches: (gram, doc, key, start, windows, bytes)."""
-    listed = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "stretch")).alias("want"))
+    """(gram, more, doc, key, start, windows, bytes): the bytes of the wanted stretches, or ``_split`` rows without bytes."""
+    names = ["gram", "more", "doc", "key", "start", "windows", "bytes"]
+    listed = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "stretch", "hot")).alias("want"))
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for doc, key, text, want in zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("want")):
-                gram, stretch = (want.values.field(i).to_numpy() for i in range(2))
-                for g, at, n in zip(gram.tolist(), (stretch >> 8).tolist(), (stretch & 255).tolist()):
-                    rows.append((g, doc, key, at, n + 1, text[at:at + n + width]))
+        for b in chunks(batches, "text", CHUNK):
+            rows, split = [], []
+            raw = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
+            for i, (doc, key, text, want) in enumerate(zip(b.column("doc").to_pylist(), b.column("key").to_pylist(), raw, b.column("want"))):
+                gram, stretch, hot = (want.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                for g, at, n, h in zip(gram.tolist(), (stretch >> 8).tolist(), (stretch & 255).tolist(), hot.tolist()):
+                    if h:
+                        split.append((i, at, n + 1))
+                    else:
+                        rows.append((g, 0, doc, key, at, n + 1, text[at:at + n + width]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["gram", "doc", "key", "start", "windows", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+            if split:
+                for part in _split(raw, b.column("doc").to_numpy(), b.column("key").to_numpy(), split, width):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array([b""] * len(part[0]), pa.binary())], names)
 
     return (docs.select("doc", "key", "text").join(listed, ["doc", "key"]).select("doc", "key", "text", "want")
-            .mapInArrow(run, "gram long, doc long, key long, start long, windows long, bytes binary"))
+            .mapInArrow(run, "gram long, more long, doc long, key long, start long, windows long, bytes binary"))
 
 
 def prepared(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -446,11 +511,8 @@ def repeats(docs: DataFrame, odd: bool, width: int = WIDTH) -> DataFrame:
     found = written(found)
     sweep(docs.sparkSession)
     earlier = found.where("gram is null").select("doc", "key", "lo", "hi")
-    first = found.where("gram is not null").withColumn("stretch", F.expr(f"shiftleft(lo, 8) | (hi - lo - {width})"))
-    several = first.groupBy("gram").count().where("count > 1").select("gram")
-    wanted = first.join(several, "gram", "left_semi").select("doc", "key", "gram", "stretch")
-    spread = _contexts(rows, wanted, width)
-    marks = _sorted_marks(spread.repartition("gram").sortWithinPartitions("gram"), width)
+    spread = _contexts(rows, _wanted(found.where("gram is not null"), width), width)
+    marks = _sorted_marks(spread.repartition("gram").sortWithinPartitions("gram", "more", "doc", "key", "start"), width)
     return (earlier.union(marks).groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("marks")))
 
 
