@@ -133,6 +133,17 @@ def test_copies_speak_once(docs):
     assert sum(i < 1000 for i in kept) <= 3 and {1000 + i for i in range(30)} <= kept
 
 
+def test_every_telling_word_is_in_the_lexicon(shipped):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i * 7919 // 26 ** k % 26] for k in range(5))
+    words = sorted({word(i) for i in range(5600)})
+    toxic = " ".join(words)
+    rows = [(toxic, 1)] * 12 + [("it was 1 2 fine", 0)] * 60
+    lexicon = toxicity.learn_lexicon(shipped.createDataFrame(rows, "text string, toxic int"))
+    found = [w for w in words if w in lexicon.words or w.startswith(tuple(lexicon.stems))]
+    assert len(words) > 5000 and found == words
+
+
 def test_toxicity_without_labels(docs, shipped):
     empty = shipped.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in toxicity.score(docs(["idiot"]), empty).collect()] == [0]

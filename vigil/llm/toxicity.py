@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from vigil.llm.common import chunks, fold, texts
 
 FIT_ROWS = 20_000
-#: Most terms a lexicon holds.
-TERMS = 5_000
 WINDOW = 6
 #: Minimum hashes of which copies share one.
 COPIES = 4
@@ -227,16 +225,19 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         telling = F.expr(f"toxic >= {least} and toxic / {toxic} >= 20 * (clean + 0.5) / {clean} and "
                          f"2 * (toxic * ln(toxic / ((toxic + clean) * {share})) + clean * ln(greatest(clean, 1) / ((toxic + clean) * {1 - share}))) >= {EVIDENCE}")
         of = counts.where("k like 'c%'").groupBy(F.expr("substring_index(substring(k, 2), ' ', 1)").alias("stem")).agg(F.countDistinct("k").alias("forms"))
-        stems = counts.where("k like 's%'").where(telling).withColumn("stem", F.expr("substring(k, 2)")).join(of.where("forms >= 4"), "stem").orderBy(F.desc("toxic"), "stem").limit(TERMS).toPandas()
-        words = counts.where("k like 'w%'").where(telling).orderBy(F.desc("toxic"), "k").limit(TERMS).toPandas()
+        stems = counts.where("k like 's%'").where(telling).withColumn("stem", F.expr("substring(k, 2)")).join(of.where("forms >= 4"), "stem").orderBy(F.desc("toxic"), "stem").toPandas()
+        words = counts.where("k like 'w%'").where(telling).orderBy(F.desc("toxic"), "k").toPandas()
     finally:
         counts.unpersist()
     toxic_of = dict(zip(stems["stem"], stems["toxic"]))
+    longer_by: dict[str, list[str]] = {}
+    for t in toxic_of:
+        longer_by.setdefault(t[:-1], []).append(t)
     kept: list[str] = []
     for s in sorted(toxic_of, key=lambda s: (len(s), s)):  # the shortest telling beginnings ...
         if not s.startswith(tuple(kept)):
             # ... lengthened as long as nearly all of their documents still have them
-            while longer := [t for t in toxic_of if len(t) == len(s) + 1 and t.startswith(s) and toxic_of[t] >= 0.9 * toxic_of[s]]:
+            while longer := [t for t in longer_by.get(s, []) if toxic_of[t] >= 0.9 * toxic_of[s]]:
                 s = longer[0]
             kept.append(s)
     return Lexicon([k[1:] for k in words["k"] if not k[1:].startswith(tuple(kept))], kept)
