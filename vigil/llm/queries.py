@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import ann, bpe, covertree, langid, packing, setjoin, sharding, suffix, toxicity, unigram
+from vigil.llm import align, ann, bpe, covertree, langid, merkle, packing, setjoin, sharding, suffix, toxicity, unigram
 from vigil.llm.common import ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,6 +54,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.figures(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def _shipped(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +73,5 @@ def _shipped(query):
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_suffix_dedup, op2_language_mixture, op3_best_fit_packing, op4_cover_tree_topk, op5_viterbi_token_count, op6_virtual_slots,
-    op7_forced_boundary_bpe, op8_toxic_lexicon, op9_learned_partitions, op10_ngram_jaccard_join)}
+    op7_forced_boundary_bpe, op8_toxic_lexicon, op9_learned_partitions, op10_ngram_jaccard_join, op12_merkle_manifest, op13_token_alignment)}
 ORACLE: dict[str, str] = {}
