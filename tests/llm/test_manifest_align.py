@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vigil.llm import align, merkle
+from vigil.llm import align, merkle, queries
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -73,6 +73,16 @@ def test_manifest_equals_brute_force(shipped, monkeypatch, sizes, block):
     assert got == brute_manifest(rows)
 
 
+def test_manifest_query_equals_its_sql(shipped):
+    duckdb = pytest.importorskip("duckdb")
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    cur = con.execute(queries.ORACLE["op12_merkle_manifest"])
+    df = queries.QUERIES["op12_merkle_manifest"](shipped, sf)
+    assert df.columns == [d[0] for d in cur.description]
+    assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
+
+
 def test_manifest_of_odd_rows(shipped):
     rows = [(None, "x", "en", None, None), (None, None, None, "s", 3), (5, "", "en", "s", 0), (5, "", "en", "s", 0), (5, "other", "en", "s", None),
             (-3, "日本 😀" * 30000, "en", "s", -1), (7, "y", None, "t", 2)] + [(i, "z", "fr", "s", i) for i in range(60)]
