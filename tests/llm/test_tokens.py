@@ -53,8 +53,10 @@ def test_merging_by_heap_equals_merging_by_scan():
 
 
 def test_memory_forgets_without_changing_results():
-    memory = bpe._Memory(str.upper, limit=3)
-    assert [memory[c] for c in "abcdeabcde"] == list("ABCDEABCDE")
+    memory = bpe._Memory(str.upper, limit=700)
+    for c in "abcdeabcde" * 3:
+        assert memory[c] == c.upper() and len(memory) <= 3 and len(memory.older) <= 3
+    assert memory["x" * 1000] == "X" * 1000 and "x" * 1000 not in memory
 
 
 def test_round_trip_query(docs, library):
@@ -67,6 +69,12 @@ def test_round_trip_query(docs, library):
         assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_decimal_digest_by_steps():
+    ids = np.arange(25, dtype="<u4")
+    assert {bpe.decimal_digest(ids, step) for step in (1, 7, 25, 100)} == {hashlib.sha256(",".join(map(str, range(25))).encode()).hexdigest()}
+    assert bpe.decimal_digest(ids[:0]) == hashlib.sha256(b"").hexdigest()
+
+
 def check_packing(rows, texts, library, capacity=1024):
     by, seq = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -5,7 +5,7 @@ neighbouring bytes that are adjacent in no vocabulary token can never end up in
 token, so every such place is a certain cut.  The fragments between the cuts are merged
 independently and their ids concatenated, so a very long pre-token costs the sum of its
 fragments.  Pre-tokens repeat a lot; each Python worker remembers the ids
-of a bounded number of them (results don't depend on it).
+of some of them within a bound in bytes (results don't depend on it).
 
 Defined cases: null or empty text gives no ids (decoded: empty text); a special token's
 string in the text becomes its id, as in the library; repeated rows are encoded each;
@@ -15,6 +15,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import re
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import chunks, texts
 
-#: New pre-tokens after which a worker forgets those it hasn't met again.
-MEMORY = 300_000
+#: Bytes of new pre-tokens after which a worker forgets those it hasn't met again; so twice as much at most is held.
+MEMORY = 40 << 20
+#: Characters of the longest pre-token that is remembered.
+LONGEST = 200
 #: Bytes of text handled at once.
 CHUNK = 4 << 20
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -78,20 +81,24 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Memory(dict):
-    """Remembers ``make(key)``; when ``limit`` keys are new, those not met since the last time go."""
+    """Remembers ``make(key)`` of short keys; when ``limit`` bytes are new, those not met since the last time go."""
 
     def __init__(self, make, limit: int = MEMORY):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.older, self.size = make, limit, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(key) > LONGEST:
+            return self.make(key)
+        if self.size >= self.limit:
             self.older = dict(self)
             self.clear()
+            self.size = 0
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
+        self.size += 240 + 2 * len(key) + len(value)  # both objects and their place in the two tables
         return value
 
 
@@ -221,10 +228,29 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     return encoded.select(*[F.col(f"`{c}`") for c in keep], ids_col).mapInArrow(run, f"{schema}, `{out_col}` string")
 
 
+def decimal_digest(ids: np.ndarray, step: int = 1 << 20) -> str:
+    """SHA-256 of the decimal ids joined by commas, some at a time."""
+    digest = hashlib.sha256()
+    for lo in range(0, len(ids), step):
+        digest.update(("," if lo else "").encode() + ",".join(map(str, ids[lo:lo + step].tolist())).encode())
+    return digest.hexdigest()
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, digest of the decimal ids, digest of the decoded text."""
-    ids = encode(docs, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return decode(ids, path, out_col="decoded").select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, digest of the decimal ids, digest of the decoded text.
+
+    One pass in one Python node: texts come in once, digests go out."""
+    def run(batches):
+        model = load(path)
+        for b in chunks(batches, "text", CHUNK):
+            found = [model.encode(t) for t in texts(b.column("text"))]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            ids = np.frombuffer(b"".join(found), "<u4")
+            own = [ids[lo:hi] for lo, hi in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array([decimal_digest(i) for i in own], pa.string()),
+                 pa.array([hashlib.sha256(model.decode(i.tolist()).encode()).hexdigest() for i in own], pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
