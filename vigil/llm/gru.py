@@ -81,90 +81,125 @@ class Network:
         starts, else 1."""
         w, h, out, kept = self.w, start, np.empty((*given.shape, STATE), "f4"), []
         x = (w["embed"] @ w["into"] + w["into_bias"]).take(given, axis=0)
+        anew = keep.min(1) < 1
         for t in range(len(given)):
-            h = h * keep[t][:, None]
-            s = h @ w["state"] + w["state_bias"]
-            gates = np.tanh(0.5 * (x[t, :, :2 * STATE] + s[:, :2 * STATE]))
+            if anew[t]:
+                h = h * keep[t][:, None]
+            s = h @ w["state"]
+            s += w["state_bias"]
+            gates = x[t, :, :2 * STATE] + s[:, :2 * STATE]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
             gates *= 0.5
             gates += 0.5
             z, r = gates[:, :STATE], gates[:, STATE:]
-            new = np.tanh(x[t, :, 2 * STATE:] + r * s[:, 2 * STATE:])
+            new = r * s[:, 2 * STATE:]
+            new += x[t, :, 2 * STATE:]
+            np.tanh(new, out=new)
             kept.append((h, z, r, new, s[:, 2 * STATE:]))
-            h = new + z * (h - new)
-            out[t] = h
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
         return out, kept
 
     def _groups(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        kind = np.minimum(target // PER_CLASS, self.classes)
+        """Each target's class, and the rows of each of the network's classes."""
+        kind = np.minimum(target // PER_CLASS, self.classes).astype("u2")
         kind[target >= self.words] = self.classes
         order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        return kind, [(c, order[a:b]) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=self.classes + 1))])
+        return kind, [(c, order[a:b]) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:-1])) if b > a]
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each target's class and, within the network's classes, of the word."""
         w = self.w
         kind, groups = self._groups(target)
-        logits = states @ w["kind"] + w["kind_bias"]
-        out = logits[np.arange(len(target)), kind] - _log_sum(logits)
+        out = _log_softmax(states @ w["kind"] + w["kind_bias"], kind)
         for c, rows in groups:
-            logits = states[rows] @ w["word"][c] + w["word_bias"][c]
-            out[rows] += logits[np.arange(len(rows)), target[rows] - c * PER_CLASS] - _log_sum(logits)
+            out[rows] += _log_softmax(states[rows] @ w["word"][c] + w["word_bias"][c], target[rows] - c * PER_CLASS)
         return out
 
     def gradients(self, states: np.ndarray, kept: list, given: np.ndarray, target: np.ndarray, keep: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the valid targets' mean log loss over one window."""
         w, (steps, lanes) = self.w, given.shape
-        rows = np.flatnonzero(valid)
-        flat, wanted = states.reshape(-1, STATE)[rows], target.reshape(-1)[rows]
-        n = max(len(rows), 1)
+        flat, wanted, rows = states.reshape(-1, STATE), target.reshape(-1), None
+        if not valid.all():
+            rows = np.flatnonzero(valid)
+            flat, wanted = flat[rows], wanted[rows]
+        n = max(len(wanted), 1)
         kind, groups = self._groups(wanted)
-        logits = flat @ w["kind"] + w["kind_bias"]
-        d = np.exp(logits - _log_sum(logits)[:, None])
-        d[np.arange(len(rows)), kind] -= 1
-        d /= n
+        d = _softmax_gradient(flat @ w["kind"] + w["kind_bias"], kind, n)
         g = {"kind": flat.T @ d, "kind_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        dflat = d @ w["kind"].T
+        back = d @ w["kind"].T
         for c, own in groups:
             h = flat[own]
-            logits = h @ w["word"][c] + w["word_bias"][c]
-            d = np.exp(logits - _log_sum(logits)[:, None])
-            d[np.arange(len(own)), wanted[own] - c * PER_CLASS] -= 1
-            d /= n
+            d = _softmax_gradient(h @ w["word"][c] + w["word_bias"][c], wanted[own] - c * PER_CLASS, n)
             g["word"][c], g["word_bias"][c] = h.T @ d, d.sum(0)
-            dflat[own] += d @ w["word"][c].T
-        back = np.zeros((steps * lanes, STATE), "f4")
-        back[rows] = dflat
+            back[own] += d @ w["word"][c].T
+        if rows is not None:
+            whole = np.zeros((steps * lanes, STATE), back.dtype)
+            whole[rows] = back
+            back = whole
         back = back.reshape(steps, lanes, STATE)
-        dx, ds = np.empty((steps, lanes, 3 * STATE), "f4"), np.empty((steps, lanes, 3 * STATE), "f4")
-        dh = np.zeros((lanes, STATE), "f4")
+        dx, ds = np.empty((steps, lanes, 3 * STATE), back.dtype), np.empty((steps, lanes, 3 * STATE), back.dtype)
+        dh = np.zeros((lanes, STATE), back.dtype)
+        turned = np.ascontiguousarray(w["state"].T)
+        anew = keep.min(1) < 1
         for t in reversed(range(steps)):
             h, z, r, new, s = kept[t]
-            dh = dh + back[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dx[t, :, :STATE] = dh * (h - new) * z * (1 - z)
-            dx[t, :, STATE:2 * STATE] = dnew * s * r * (1 - r)
-            dx[t, :, 2 * STATE:] = dnew
-            ds[t] = dx[t]
-            ds[t, :, 2 * STATE:] *= r
-            dh = (dh * z + ds[t] @ w["state"].T) * keep[t][:, None]
+            dh += back[t]
+            left = dh * z  # what goes to the state before by itself
+            dnew = dh - left
+            dz = h - new
+            dz *= left
+            dz -= dz * z
+            dnew -= dnew * new * new
+            dr = dnew * r
+            ds[t, :, 2 * STATE:] = dr
+            dr *= s
+            dr *= 1 - r
+            dx[t, :, :STATE], dx[t, :, STATE:2 * STATE], dx[t, :, 2 * STATE:] = dz, dr, dnew
+            ds[t, :, :2 * STATE] = dx[t, :, :2 * STATE]
+            dh = ds[t] @ turned
+            dh += left
+            if anew[t]:
+                dh *= keep[t][:, None]
         dx, ds = dx.reshape(-1, 3 * STATE), ds.reshape(-1, 3 * STATE)
-        before = np.concatenate([k[0] for k in kept])
-        g["state"], g["state_bias"] = before.T @ ds, ds.sum(0)
+        g["state"], g["state_bias"] = np.concatenate([k[0] for k in kept]).T @ ds, ds.sum(0)
+        at = given.reshape(-1).astype("u2")
+        g["into"], g["into_bias"] = w["embed"][at].T @ dx, dx.sum(0)
         # words of the window, each with the sum over its places
-        at = given.reshape(-1)
         order = np.argsort(at, kind="stable")
-        some, first = np.unique(at[order], return_index=True)
-        sums = np.add.reduceat(dx[order], first)
-        g["into"], g["into_bias"] = w["embed"][some].T @ sums, dx.sum(0)
+        ordered = at[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][some] = sums @ w["into"].T
+        g["embed"][ordered[first]] = np.add.reduceat((dx @ w["into"].T)[order], first)
         return g
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(logits - top), its row sums and ``top``: one for all rows or, where a row would vanish, each row's own."""
+    top = logits.max()
+    e = np.exp(logits - top)
+    sums = e @ np.ones(e.shape[1], e.dtype)
+    if sums.min() < 1e-30:
+        top = logits.max(1, keepdims=True)
+        e = np.exp(logits - top)
+        sums, top = e.sum(1), top[:, 0]
+    return e, sums, top
+
+
+def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    _, sums, top = _exponents(logits)
+    return logits[np.arange(len(at)), at] - top - np.log(sums)
+
+
+def _softmax_gradient(logits: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of the ``n``-th part of the rows' log losses by their logits."""
+    e, sums, _ = _exponents(logits)
+    e *= (1 / (n * sums))[:, None]
+    e[np.arange(len(at)), at] -= 1 / n
+    return e
 
 
 # ------------------------------------------------------------------ lanes
@@ -191,7 +226,7 @@ def windows(lengths: np.ndarray, lanes: int, steps: int) -> Iterator[tuple[np.nd
     place = [np.concatenate([np.arange(starts[d], starts[d + 1]) for d in r]) for r in rows]
     of = [np.repeat(r, lengths[r]) for r in rows]
     base = np.concatenate([[0], np.cumsum(total)])[:-1]
-    place, of = np.concatenate(place), np.concatenate(of)
+    place, of = np.concatenate(place).astype("i4"), np.concatenate(of).astype("i4")
     t, longest = 0, int(total[0])
     while t < longest:
         active = int(np.searchsorted(-total, -t, side="left"))
@@ -246,6 +281,14 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return raw["h1"].copy(), raw["h2"].copy()
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _chunk_rows(batches):
     """A chunk's documents as numbers of its distinct words, then these words, as rows of one table."""
     task, number = TaskContext.get().partitionId(), 0
@@ -256,13 +299,8 @@ def _chunk_rows(batches):
         key, id_type = task << 32 | number, docs[0].column("doc_id").type
         number += 1
         n = len(words)
-        taught = np.zeros(n, "i8")
-        for b, seqs in zip(docs, sequences):
-            for seq, held in zip(seqs, b.column("held_out").to_pylist()):
-                if held is False:
-                    taught += np.bincount(seq, minlength=n) if len(seq) * 8 > n else 0
-                    if len(seq) * 8 <= n:
-                        np.add.at(taught, seq, 1)
+        teaching = [seq for b, seqs in zip(docs, sequences) for seq, held in zip(seqs, b.column("held_out").to_pylist()) if held is False]
+        taught = np.bincount(np.concatenate([np.empty(0, "i4"), *teaching]), minlength=n)
         kind = "<u2" if n <= 1 << 16 else "<u4"
         for b, seqs in zip(docs, sequences):
             k = b.num_rows
@@ -275,22 +313,19 @@ def _chunk_rows(batches):
             [pa.array(np.full(n, key)), pa.nulls(n, id_type), *[pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.binary())],
              pa.array(np.arange(n, dtype="i4")), pa.array(h1), pa.array(h2), pa.array(taught)], names)
 
-    docs, sequences, words, size = [], [], {}, 0
+    docs, sequences, words, size = [], [], _Numbers(), 0
     for b in chunks(batches, "text", CHUNK):
-        # numbers are given in the order of first occurrence
-        seqs = [np.array([words.setdefault(w, len(words)) for w in (*t.encode().translate(LOWER).split(), END)], "i4") for t in texts(b.column("text"))]
+        found = (t.encode().lower().split() for t in texts(b.column("text")))  # bytes: only A-Z change, only \x20 and \x09-\x0D split
+        seqs = [np.array([*map(words.__getitem__, ws), words[END]], "i4") for ws in found]
         docs.append(b.select(["doc_id", "held_out"])), sequences.append(seqs)
         size += b.column("text").nbytes
         if size >= CHUNK:
             yield from rows(docs, words)
-            docs, sequences, words, size = [], [], {}, 0
+            docs, sequences, words, size = [], [], _Numbers(), 0
     if docs:
         yield from rows(docs, words)
 
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 def _placed(total: int, distinct: int, rest: float, network_words: int):
     """A chunk's documents with their base score, the share of the other words, and their words as network numbers."""
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
@@ -350,7 +385,7 @@ def train(rows: DataFrame, network: Network) -> Network:
             if tokens:
                 flat = np.concatenate([own.w[k].reshape(-1) for k in shapes])
                 parts = range(0, len(flat), 4096)
-                yield pa.RecordBatch.from_arrays([pa.array([p for p in parts], pa.int32()), pa.array([float(tokens)] * len(parts)),
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([float(tokens)] * len(parts)),
                                                   pa.array([flat[p:p + 4096] for p in parts], pa.list_(pa.float32()))], ["part", "tokens", "weights"])
 
         part = rows.where(F.pmod(F.xxhash64("chunk", "doc_id", "n_tokens"), F.lit(ROUNDS)) == n).select("ids")
