@@ -25,13 +25,13 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import chunks, fold, sweep, texts, written
 
 #: Bytes of text of a chunk, whose words are numbered together.
-CHUNK = 24 << 20
+CHUNK = 16 << 20
 #: Tokens that run in lanes together.
 TOKENS = 4 << 20
 #: Words of the network; the bound of what is collected and sent to the tasks.
@@ -80,23 +80,27 @@ class Network:
         """States after each step (steps, lanes, STATE) and what the backward pass needs.  ``keep`` is 0 where a document
         starts, else 1."""
         w, h, out, kept = self.w, start, np.empty((*given.shape, STATE), "f4"), []
-        x = (w["embed"] @ w["into"] + w["into_bias"]).take(given, axis=0)
+        # a gate is 0.5 + 0.5 tanh of half its sum
+        bias = 0.5 * (w["into_bias"] + w["state_bias"])[:2 * STATE]
+        x_gates = (w["embed"] @ (0.5 * w["into"][:, :2 * STATE]) + bias).take(given, axis=0)
+        x_new = (w["embed"] @ w["into"][:, 2 * STATE:] + w["into_bias"][2 * STATE:]).take(given, axis=0)
+        by_gates, by_new = 0.5 * w["state"][:, :2 * STATE], np.ascontiguousarray(w["state"][:, 2 * STATE:])
         anew = keep.min(1) < 1
         for t in range(len(given)):
             if anew[t]:
                 h = h * keep[t][:, None]
-            s = h @ w["state"]
-            s += w["state_bias"]
-            gates = x[t, :, :2 * STATE] + s[:, :2 * STATE]
-            gates *= 0.5
+            gates = h @ by_gates
+            gates += x_gates[t]
             np.tanh(gates, out=gates)
             gates *= 0.5
             gates += 0.5
-            z, r = gates[:, :STATE], gates[:, STATE:]
-            new = r * s[:, 2 * STATE:]
-            new += x[t, :, 2 * STATE:]
+            z, r = np.ascontiguousarray(gates[:, :STATE]), np.ascontiguousarray(gates[:, STATE:])
+            s = h @ by_new
+            s += w["state_bias"][2 * STATE:]
+            new = r * s
+            new += x_new[t]
             np.tanh(new, out=new)
-            kept.append((h, z, r, new, s[:, 2 * STATE:]))
+            kept.append((h, z, r, new, s))
             h = np.subtract(h, new, out=out[t])
             h *= z
             h += new
@@ -223,10 +227,10 @@ def windows(lengths: np.ndarray, lanes: int, steps: int) -> Iterator[tuple[np.nd
     rows.sort(key=lambda r: -int(lengths[r].sum()))
     starts = np.concatenate([[0], np.cumsum(lengths)])
     total = np.array([lengths[r].sum() for r in rows])
-    place = [np.concatenate([np.arange(starts[d], starts[d + 1]) for d in r]) for r in rows]
-    of = [np.repeat(r, lengths[r]) for r in rows]
+    place = [np.concatenate([np.arange(starts[d], starts[d + 1], dtype="i4") for d in r]) for r in rows]
+    of = [np.repeat(np.array(r, "i4"), lengths[r]) for r in rows]
     base = np.concatenate([[0], np.cumsum(total)])[:-1]
-    place, of = np.concatenate(place).astype("i4"), np.concatenate(of).astype("i4")
+    place, of = np.concatenate(place), np.concatenate(of)
     t, longest = 0, int(total[0])
     while t < longest:
         active = int(np.searchsorted(-total, -t, side="left"))
@@ -263,10 +267,15 @@ def learn(network: Network, ids: np.ndarray, lengths: np.ndarray, memory: dict[s
         found = network.gradients(states, kept, given, ids[p], keep, valid.reshape(-1))
         weight = rate * math.sqrt(valid.sum() / (LANES * WINDOW))
         for k, g in found.items():
-            m = memory[k]
+            m, square = memory[k], g * g
+            square *= 0.01
             m *= 0.99
-            m += 0.01 * g * g
-            network.w[k] -= weight * g / (np.sqrt(m) + 1e-5)
+            m += square
+            np.sqrt(m, out=square)
+            square += 1e-5
+            g *= weight
+            g /= square
+            network.w[k] -= g
 
 
 # ------------------------------------------------------------------ corpus
@@ -277,7 +286,7 @@ _WORD = "at int, h1 long, h2 int, taught long"
 
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """96 bits of each word: they stand for it everywhere but in its chunk."""
-    raw = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=12).digest() for w in words), np.dtype([("h1", "<i8"), ("h2", "<i4")]))
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.dtype([("h1", "<i8"), ("h2", "<i4"), ("", "<i4")]))
     return raw["h1"].copy(), raw["h2"].copy()
 
 
