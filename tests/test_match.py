@@ -213,3 +213,52 @@ def test_term_coverage_and_suggest(spark):
     cats = spark.createDataFrame([("ring", 0), ("bolt blue", 1)], "cat string, o long")
     sug = {r["q"]: (r["row_ord"], r["how"]) for r in MT.suggest_category(names, "name", cats, "cat", "o").collect()}
     assert sug == {"red ring": (0, "substring"), "ring": (0, "substring"), "blue bolt": (1, "token")}
+
+
+def _first(pairs):
+    best = {}
+    for k, w in pairs:
+        best[k] = min(best.get(k, w), w)
+    return best
+
+
+def test_longest_term_agrees_with_brute_force(spark):
+    """Terms with and without spaces, at both ends of tokens, over several tokens, in long tokens and with scopes."""
+    rnd = random.Random(11)
+    alpha = "abc é\n"
+    texts = sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 60))) for _ in range(150)} | {"abcab" * 40, "a" * 70 + " b c", "  ", "a  b", ""})
+    terms = sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 9))) for _ in range(250)} | {" a", "b ", "a  b", " ", "abcab" * 14})
+    rows = [(i, t, rnd.choice(["s1", "s2", None])) for i, t in enumerate(texts + texts)]
+    dictionary = [(t, i % 7, i, rnd.choice(["ALL", "s1", "s2"])) for i, t in enumerate(terms + terms[:50])]
+    hay = spark.createDataFrame(rows, "id long, q string, src string")
+    n = spark.createDataFrame(dictionary, "term string, rank int, o long, scope string").withColumn("tlen", F.length("term"))
+    order, keep = [-F.col("tlen"), F.col("rank"), F.col("o")], ["o", "tlen"]
+    got = {r["id"]: r["o"] for r in MT.best_contained(hay, "q", n, "term", order, keep, ["id"], min_len=2).collect()}
+    want = _first((i, (-len(t), k, o)) for i, q, _ in rows for t, k, o, _ in dictionary if len(t) >= 2 and t in q)
+    assert got == {i: w[2] for i, w in want.items()}
+    scoped = {r["id"]: r["o"] for r in MT.best_contained(hay, "q", n, "term", order, keep, ["id"], ("src", "scope")).collect()}
+    want = _first((i, (-len(t), k, o)) for i, q, s in rows for t, k, o, c in dictionary if t in q and (c == "ALL" or s is None or c == s))
+    assert scoped == {i: w[2] for i, w in want.items()}
+
+
+def test_text_meets_no_term_twice(spark):
+    """What a text costs is its distinct tokens, not its terms: 2,000 places and 300 terms in every text, one row a token."""
+    tokens = [f"w{i}salmonella{i}" for i in range(20)]
+    vocabulary = spark.createDataFrame([(t,) for t in tokens], "_tok string")
+    terms = [f"{a}{b}" for a in "wsalmonel" for b in "salmonel"] + ["salmonella"]
+    n = spark.createDataFrame([(t, "ALL", (-len(t), i)) for i, t in enumerate(terms)], "_t string, _to string, _w struct<a:int,b:int>")
+    pairs = MT._token_pairs_by_gram(vocabulary, n)
+    assert pairs.count() == sum(t in k for t in terms for k in tokens)  # a pair once, whatever its places in the token
+    key = ["id"]
+    text = spark.createDataFrame([(i, " ".join(tokens * 100), None) for i in range(30)], "id long, _x string, _of string")
+    assert MT._in_tokens(text, n, key).count() == 30 * len(tokens)
+    assert MT._in_windows(text, n.where(F.col("_t").contains(" ")), key).count() == 0
+    spaced = spark.createDataFrame([("la0 w1", "ALL", (0, 0)), ("a1 w2sal", "ALL", (0, 1)), ("x1 w2sal", "ALL", (0, 2))], n.schema)
+    assert MT._in_windows(text.limit(1), spaced, key).count() == 100 + 100
+
+
+def test_one_character_terms_look_behind_their_first_place(spark):
+    q = spark.createDataFrame([("xa a",), ("a. ab",), ("납 검출",), ("납검출 납",), ("b",)], "q string")
+    terms = MT.prepare_terms(spark.createDataFrame([("a", 0), ("납", 1), ("b", 2)], "n string, row_ord long"), ["n"])
+    got = {r["q"]: r["row_ord"] for r in MT.sentence_scan(q, terms).collect()}
+    assert got == {"xa a": 0, "a. ab": 0, "납 검출": 1, "b": 2}

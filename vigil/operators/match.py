@@ -116,6 +116,104 @@ def contains_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col:
     return found.join(needles, found["_n"] == needles[needle_col]).drop("_n")
 
 
+# Characters of a token that is copied for each of its grams.
+SHORT_TOKEN = 64
+# How many characters beside a space a term and a text's window are joined by.
+BESIDE = 2
+
+
+def best_contained(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, order: list, keep: list, key: list,
+                   scope: tuple | None = None, min_len: int = 1) -> DataFrame:
+    """``(key, keep)``: for each text of ``hay`` the first by ``order`` of the ``needles`` that it contains.
+
+    No pair of a text and a needle is made unless the needle has a place in the text of its own, and most are not
+    made at all.  Cut at single spaces, a text is a list of tokens, and a needle without a space lies
+    inside one token.  So the distinct tokens of all texts are searched, once each, with ``contains_pairs``, only the first
+    needle of each token is kept, and a text takes the first of its tokens' needles: a join of one row per
+    distinct token.  A needle with ``j`` spaces lies in ``j + 1`` tokens in a row: its inner tokens are whole, its first part
+    ends a token and its last part starts one.  Windows of the text meet it by the inner tokens and up to ``BESIDE``
+    characters on both outer sides; the two outer tokens decide.
+
+    ``scope`` = (column of hay, column of needles): a needle counts where its scope is 'ALL' or equals the text's, and
+    everywhere where the text has none.  Needles shorter than ``min_len`` take no part."""
+    of, to = scope or (None, None)
+    n = needles.where(F.length(needle_col) >= max(min_len, 1)) \
+        .select(F.col(needle_col).alias("_t"), (F.col(to) if to else F.lit("ALL")).alias("_to"),
+                F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *keep).alias("_w")) \
+        .groupBy("_t", "_to").agg(F.min("_w").alias("_w"))
+    text = hay.select(*key, F.col(hay_col).alias("_x"), (F.col(of) if of else F.lit(None).cast("string")).alias("_of"))
+    found = _in_tokens(text, n.where(~F.col("_t").contains(" ")), key) \
+        .unionByName(_in_windows(text, n.where(F.col("_t").contains(" ")), key))
+    if scope:
+        found = found.where((F.col("_to") == "ALL") | F.col("_of").isNull() | (F.col("_to") == F.col("_of")))
+    return found.groupBy(*key).agg(F.min("_w").alias("_w")).select(*key, *[f"_w.{c}" for c in keep])
+
+
+def _in_tokens(text: DataFrame, n: DataFrame, key: list) -> DataFrame:
+    """Texts with the first needle (and scope) of each of their tokens; needles have no space."""
+    tokens = text.select(*key, "_of", F.explode(F.array_distinct(F.split("_x", " "))).alias("_tok")).where("_tok != ''")
+    vocabulary = tokens.select("_tok").distinct()
+    # short tokens go with each of their grams; a long one, such as a text without spaces, joins back
+    long = contains_pairs(vocabulary.where(F.length("_tok") > SHORT_TOKEN), "_tok", n, "_t").select("_tok", "_to", "_w")
+    pairs = _token_pairs_by_gram(vocabulary.where(F.length("_tok") <= SHORT_TOKEN), n).unionByName(long)
+    return tokens.join(pairs.groupBy("_tok", "_to").agg(F.min("_w").alias("_w")), "_tok").select(*key, "_of", "_to", "_w")
+
+
+def _token_pairs_by_gram(vocabulary: DataFrame, n: DataFrame) -> DataFrame:
+    """``(_tok, _to, _w)`` of the tokens and the needles in them.  A needle has one gram, its rarest one, or is itself one of
+    the token's 1- or 2-grams, so each pair comes up once."""
+    long_n, short_n = n.where(F.length("_t") >= GRAM), n.where(F.length("_t") < GRAM)
+    by_gram = long_n.join(_rarest_gram(long_n.select(F.col("_t").alias("_n")).distinct()).withColumnRenamed("_n", "_t"), "_t")
+    grams = vocabulary.select("_tok", F.explode(_distinct_grams(F.col("_tok"))).alias("_g"))
+    some = vocabulary.select("_tok", F.explode(F.array_union(_distinct_grams(F.col("_tok"), 1), _distinct_grams(F.col("_tok"), 2))).alias("_t"))
+    found = grams.join(by_gram, "_g").where((F.length("_t") <= F.length("_tok")) & F.contains("_tok", "_t"))
+    return found.select("_tok", "_to", "_w").unionByName(some.join(short_n, "_t").select("_tok", "_to", "_w"))
+
+
+def _in_windows(text: DataFrame, n: DataFrame, key: list) -> DataFrame:
+    """Texts with the needles that lie across their spaces."""
+    def ends(tokens: Column, j: Column, a: Column, b: Column, at: Column) -> Column:
+        """What a window of ``j + 1`` tokens is joined by: ``a`` last characters, the inner tokens, ``b`` first ones."""
+        return F.concat_ws(" ", F.right(F.get(tokens, at), a), F.slice(tokens, at + 2, j - 1), F.left(F.get(tokens, at + j), b))
+
+    parts = F.split("_t", " ")
+    n = n.withColumn("_p", parts).withColumn("_j", F.size("_p") - 1).withColumn("_head", F.get("_p", F.lit(0))) \
+        .withColumn("_tail", F.get("_p", F.col("_j"))).withColumn("_a", F.least(F.length("_head"), F.lit(BESIDE))) \
+        .withColumn("_b", F.least(F.length("_tail"), F.lit(BESIDE)))
+    n = n.withColumn("_k", ends(F.col("_p"), F.col("_j"), F.col("_a"), F.col("_b"), F.lit(0)))
+    # the shapes that occur: few, as they are numbers of spaces and of at most BESIDE characters
+    shapes = n.select(F.struct(F.col("_j").alias("j"), F.col("_a").alias("a"), F.col("_b").alias("b")).alias("s")).agg(F.collect_set("s")).scalar()
+
+    shaped = text.withColumn("_shapes", shapes)
+    # two tokens in a row: all pairs of neighbours at once, then what each shape takes of them
+    one = F.split("_x", " ")
+    pairs = shaped.where(F.exists("_shapes", lambda s: s["j"] == 1)) \
+        .select(*key, "_of", F.filter("_shapes", lambda s: s["j"] == 1).alias("_shapes"),
+                F.inline(F.arrays_zip(one.alias("_first"), F.slice(one, F.lit(2), F.size(one)).alias("_last")))) \
+        .where(F.col("_last").isNotNull()).select(*key, "_of", "_first", "_last", F.inline("_shapes")) \
+        .select(*key, "_of", F.col("j").alias("_j"), F.col("a").alias("_a"), F.col("b").alias("_b"),
+                F.concat_ws(" ", F.right("_first", F.col("a")), F.left("_last", F.col("b"))).alias("_k"), "_first", "_last")
+
+    def windows(tokens: Column, s: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(tokens) - 1 - s["j"])
+        return F.when(F.size(tokens) > s["j"], F.transform(at, lambda i: F.struct(
+            s["j"].alias("_j"), s["a"].alias("_a"), s["b"].alias("_b"), ends(tokens, s["j"], s["a"], s["b"], i).alias("_k"),
+            F.get(tokens, i).alias("_first"), F.get(tokens, i + s["j"]).alias("_last")))).otherwise(F.array())
+
+    # more tokens: they are bound to a variable, so they are made once per text
+    every = F.flatten(F.transform(F.array(F.split("_x", " ")), lambda t: windows(t, F.col("_s"))))
+    more = shaped.withColumn("_s", F.explode(F.filter("_shapes", lambda s: s["j"] > 1))).select(*key, "_of", F.inline(every))
+    w = pairs.unionByName(more)
+    return w.join(n, ["_j", "_a", "_b", "_k"]).where(F.endswith("_first", F.col("_head")) & F.startswith("_last", F.col("_tail"))) \
+        .select(*key, "_of", "_to", "_w")
+
+
+def _lone_characters(q: DataFrame, terms: DataFrame, key: list) -> DataFrame:
+    """Texts with the one-character terms whose first place in the text is not followed by a letter or digit."""
+    chars = q.select(*key, F.col("q").alias("_x"), F.explode(F.array_distinct(F.split("q", ""))).alias("term")).where("term != ''")
+    return chars.where(_single_char_ok(F.col("_x"), F.col("term"))).drop("_x").join(terms.where("tlen = 1"), "term")
+
+
 def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, key: str | None = None) -> DataFrame:
     """Pairs where a single-token needle occurs in the text as a whole word.
 
@@ -148,8 +246,12 @@ def word_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str
 
 def _best(pairs: DataFrame, order: list, keep: list, by: str = "q") -> DataFrame:
     """One winner per ``by``: ``min_by`` over the ordering struct."""
+    return _best_of(pairs, order, keep, [by])
+
+
+def _best_of(pairs: DataFrame, order: list, keep: list, by: list) -> DataFrame:
     w = F.min_by(F.struct(*[F.col(c) for c in keep]), F.struct(*order)).alias("_w")
-    return pairs.groupBy(by).agg(w).select(by, "_w.*")
+    return pairs.groupBy(*by).agg(w).select(*by, "_w.*")
 
 
 # ------------------------------------------------------------------ strategies
@@ -193,9 +295,10 @@ def _single_char_ok(text: Column, term: Column) -> Column:
 def sentence_scan(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     """M4: longest term contained in the text (one-character terms need a
     non-alphanumeric next character); winner = (-tlen, col_rank, row_ord)."""
-    p = contains_pairs(q, "q", terms, "term", key)
-    p = p.where(_single_char_ok(F.col("q"), F.col("term")))
-    return _best(p, [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"], key)
+    order, keep = [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"]
+    long = best_contained(q, "q", terms, "term", order, keep, [key], min_len=2)
+    lone = _best(_lone_characters(q, terms, [key]), order, keep, key)
+    return _best(long.unionByName(lone), order, keep, key)
 
 
 # Weight of the similarity of the sorted words against that of the text as it stands.
@@ -354,14 +457,14 @@ def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: Da
         .where(F.col("qt").isNotNull())
     if not key:
         q = q.distinct()
+    by = [key] if key else ["qt", "qs"]
     r = rules.select(F.lower(F.col(keyword_col)).alias("kw"), F.col(scope_col).alias("scope"),
                      F.col(rule_ord).alias("rule_ord")).where(F.length("kw") > 0).withColumn("klen", F.length("kw"))
     in_scope = (F.col("scope") == "ALL") | F.col("qs").isNull() | (F.col("scope") == F.col("qs"))
-    sub = contains_pairs(q, "qt", r.where(F.col("klen") >= 2), "kw", key)
-    word = word_pairs(q, "qt", r.where(F.col("klen") < 2), "kw", key)
-    p = sub.unionByName(word).where(in_scope)
-    w = F.min_by(F.col("rule_ord"), F.struct(-F.col("klen"), F.col("rule_ord"))).alias("rule_ord")
-    return p.groupBy(*([key] if key else ["qt", "qs"])).agg(w)
+    order = [-F.col("klen"), F.col("rule_ord")]
+    sub = best_contained(q, "qt", r, "kw", order, ["rule_ord", "klen"], by, ("qs", "scope"), min_len=2)
+    word = _best_of(word_pairs(q, "qt", r.where(F.col("klen") < 2), "kw", key).where(in_scope), order, ["rule_ord", "klen"], by)
+    return _best_of(sub.unionByName(word), order, ["rule_ord"], by)
 
 
 # ------------------------------------------------------------------ M12-M15
@@ -373,9 +476,8 @@ def override_hazard(titles: DataFrame, title_col: str, terms: DataFrame, boilerp
     distinct titles, or ``(key, row_ord)`` of every row (long texts)."""
     q = titles.select(*([key] if key else []), F.lower(strip_pattern(F.col(title_col), boilerplate)).alias("q")) \
         .where(F.col("q") != "")
-    t = terms.where(F.col("tlen") >= min_len)
-    p = contains_pairs(q if key else q.distinct(), "q", t, "term", key)
-    return _best(p, [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"], key or "q")
+    return best_contained(q if key else q.distinct(), "q", terms, "term", [-F.col("tlen"), F.col("row_ord")], ["row_ord", "tlen"],
+                          [key or "q"], min_len=min_len)
 
 
 def override_word(titles: DataFrame, title_col: str, terms: DataFrame, min_len: int = 4, key: str | None = None) -> DataFrame:
