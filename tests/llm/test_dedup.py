@@ -186,3 +186,16 @@ def test_pigeonhole_layouts_cover_every_difference():
         for num in (90, 80):
             most = max((s + t - 2 * i for t in range(s, 2 * s + 1) for i in range(s, -1, -1) if 100 * i >= num * (s + t - i)), default=0)
             assert most <= setjoin.difference(s, num, 100)
+
+
+def test_rows_without_an_id_link_and_bridge(docs):
+    words = ["w%d" % i for i in range(200)]
+    first, whole, last = " ".join(words[10:]), " ".join(words), " ".join(words[:-10])
+    alone = " ".join("v%d" % i for i in range(50))
+    rows = [(7, first), (4, last), (9, "a b c d"), (None, alone), (None, alone + " x")]
+    assert {r.doc_id: r.component_id for r in setjoin.join(docs(rows)).collect() if r.doc_id} == {7: 7, 4: 4, 9: 9}
+    got = sorted(((str(r.doc_id), r.component_id) for r in setjoin.join(docs(rows + [(None, whole), (None, whole)])).collect()), key=str)
+    assert got == sorted([("7", 4), ("4", 4), ("9", 9), ("None", 4), ("None", 4), ("None", None), ("None", None)], key=str)
+    # ids that repeat
+    got = {(r.doc_id, r.component_id) for r in setjoin.join(docs([(7, first), (4, last), (4, "q r s t"), (None, whole)])).collect()}
+    assert got == {(7, 4), (4, 4), (None, 4)}

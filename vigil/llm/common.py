@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -24,15 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
-#: Rows of texts that go to a Python worker at once.
-BATCH = 1000
+#: Rows of texts, and bytes of any rows, that go to a Python worker at once.
+BATCH, BATCH_BYTES = 1000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Prepare a session for these operators: batches of few rows, as texts can be long (unless the session sets
+    """Prepare a session for these operators: batches of few rows and bytes, as texts can be long (unless the session sets
     its own), and this package on the executors' Python workers, once per application."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -91,6 +96,23 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def lean(run, *caches):
+    """``run`` for ``mapInArrow``, whose worker gives its memory back when the task ends: Spark keeps workers for later
+    tasks, beside which what they hold counts."""
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # no glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text column holds at most ``limit`` bytes (one longer row alone)."""
     for b in batches:

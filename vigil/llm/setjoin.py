@@ -22,8 +22,9 @@ compared again, as they can't change it.
 
 Defined cases: null or empty text, or text without words: empty set, linked with nothing;
 fewer words than a shingle: the whole sequence is one shingle; documents with equal sets
-(also equal or null ids) are one class, so a component's id is the smallest id that is not
-null; extra columns are ignored; an empty table gives an empty result.
+(also equal or null ids) are one class, and a component's id is the smallest id that is not
+null; rows without an id link and bridge like others; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, cut, sweep
+from vigil.llm.common import chunks, cut, lean, sweep
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Words a worker remembers the hash of.
 MEMORY = 200_000
 #: Index entries that one segment of at most one element (two with deletions) is held to cost.
@@ -47,7 +48,7 @@ SMALL_SEGMENT = 8
 #: Bits of a parity sketch.
 SKETCH = 2048
 #: Index entries in a partition of the index.
-PART = 2_500_000
+PART = 1_000_000
 BAND = 1.25
 #: Edges in a partition of the component steps.
 EDGES = 200_000
@@ -173,7 +174,7 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
             names = [key(h) for h in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(h) for h in got], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64())], ["doc_id", "n", "k1", "k2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run, _WORDS), "doc_id long, n long, k1 long, k2 long")
 
 
 def _index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
@@ -202,7 +203,7 @@ def _index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["part", "names", "counts", "entries"])
 
     schema = "part long, names binary, counts binary, entries binary"
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run, _WORDS), schema)
 
 
 def _grouped(sig: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +247,7 @@ def buckets(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFram
             yield from out(lists)
 
     return (_index(docs, k, num, den, parts).repartition(parts, "part").sortWithinPartitions("part")
-            .mapInArrow(run, "bucket long, member long").distinct())
+            .mapInArrow(lean(run), "bucket long, member long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def _sketched(rows: DataFrame, k: int) -> DataFrame:
             made = [parity(shingles(t, k)) for t in _bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], ["member", "n", "text", "sketch"])
 
-    return rows.select("member", "n", "text").mapInArrow(run, "member long, n long, text string, sketch binary")
+    return rows.select("member", "n", "text").mapInArrow(lean(run, _WORDS), "member long, n long, text string, sketch binary")
 
 
 def _close(mixed: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -323,7 +324,7 @@ def _close(mixed: DataFrame, members: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     left, right = packed.where("some").select("bucket", F.col("block").alias("one")), packed.select("bucket", F.col("block").alias("other"))
-    return left.join(right, "bucket").select("one", "other").mapInArrow(run, "a long, b long").distinct()
+    return left.join(right, "bucket").select("one", "other").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -346,7 +347,7 @@ def _verified(pairs: DataFrame, members: DataFrame, k: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
     left, right = (members.select(F.col("member").alias(x), F.col("text").alias("t" + x)) for x in "ab")
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(lean(run, _WORDS), "a long, b long")
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -361,11 +362,13 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     sweep(spark)
 
     # texts and sketches of the classes that are in a bucket, once
-    wanted = found.select(F.col("member").alias("k1")).distinct().join(classes, "k1").where("rep is not null")
+    wanted = found.select(F.col("member").alias("k1")).distinct().join(classes, "k1")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     # equal ids may stand for other texts: the name of the text's set decides
     own = texts.join(wanted.select("rep", "k1", "n"), "rep")
-    members = cut(_sketched(own.select(F.col("k1").alias("member"), "n", "text"), k)) if _unique_ids(named) else cut(_sketched(_checked(own, k), k))
+    own = own.select(F.col("k1").alias("member"), "n", "text") if _unique_ids(named) else _checked(own, k)
+    # classes that stand in rows without an id alone
+    members = cut(_sketched(own.unionByName(_nameless(texts, wanted, k)), k))
 
     sweep(spark)
 
@@ -409,6 +412,13 @@ def _unique_ids(named: DataFrame) -> bool:
     return named.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
 
 
+def _nameless(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(member, n, text) of the classes without an id, found by the sets of the rows without one."""
+    rows = cut(texts.where("rep is null").select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    names = sets(rows, k).select("doc_id", "k1", "k2").join(wanted.where("rep is null").select("k1", "k2", "n"), ["k1", "k2"])
+    return rows.join(names, "doc_id").select(F.col("k1").alias("member"), "n", "text").dropDuplicates(["member"])
+
+
 def _checked(own: DataFrame, k: int) -> DataFrame:
     """Rows whose text has the set that its class is named after, one for each class."""
     got = own.withColumn("doc_id", F.monotonically_increasing_id())
