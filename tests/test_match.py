@@ -262,3 +262,79 @@ def test_one_character_terms_look_behind_their_first_place(spark):
     terms = MT.prepare_terms(spark.createDataFrame([("a", 0), ("납", 1), ("b", 2)], "n string, row_ord long"), ["n"])
     got = {r["q"]: r["row_ord"] for r in MT.sentence_scan(q, terms).collect()}
     assert got == {"xa a": 0, "a. ab": 0, "납 검출": 1, "b": 2}
+
+
+def test_keyword_match_agrees_with_brute_force(spark):
+    rnd = random.Random(5)
+    make = lambda n: {"".join(rnd.choice("ab é") for _ in range(rnd.randint(1, n))).strip() for _ in range(150)} - {""}
+    terms, texts = sorted(make(12)), sorted(make(7) | {"a", "b", "ab", "é"})
+    t = spark.createDataFrame([(x, i % 3, i) for i, x in enumerate(terms)], "term string, col_rank int, row_ord int").withColumn("tlen", F.length("term"))
+    q = spark.createDataFrame([(x,) for x in texts], "q string")
+    want = _first([(x, (i % 3, 0, i)) for x in texts for i, y in enumerate(terms) if x in y] + [(x, (i % 3, 1, i)) for x in texts for i, y in enumerate(terms) if y in x])
+    got = {r["q"]: (r["col_rank"], r["dir"], r["row_ord"]) for r in MT.keyword_match(q, t).collect()}
+    assert got == want
+    ids = spark.createDataFrame([(i, x) for i, x in enumerate(texts + texts)], "id long, q string")
+    got = {r["id"]: (r["col_rank"], r["dir"], r["row_ord"]) for r in MT.keyword_match(ids, t, key="id").collect()}
+    assert got == {i: want[x] for i, x in enumerate(texts + texts) if x in want}
+
+
+def _joined_rows(df):
+    """Most rows that any join of the plan gave out, after it has run."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_one_letter_text_meets_one_row(spark):
+    terms = spark.createDataFrame([(f"xa {i}", 0, i) for i in range(3000)], "term string, col_rank int, row_ord int").withColumn("tlen", F.length("term"))
+    q = spark.createDataFrame([("a",), ("xa",)], "q string")
+    df = MT.first_containing(q, "q", terms, "term", [F.col("col_rank"), F.col("row_ord")], ["row_ord"], ["q"])
+    assert _joined_rows(df) <= 10
+    assert sorted(map(tuple, df.collect())) == [("a", 0), ("xa", 0)]
+
+
+def test_token_in_every_name_makes_no_pairs_of_all(spark):
+    names = spark.createDataFrame([(f"frozen kind{i:04d}xyz",) for i in range(400)], "q string")
+    cats = spark.createDataFrame([(f"sort{i:04d}abc frozen", i) for i in range(400)] + [("kind0007xyz frozen", 500), ("kind0008xyy frozen", 501)], "term string, row_ord int")
+    df = MT._token_set_pairs(names, cats, 60.0, 95.0)
+    assert _joined_rows(df) < 4000  # 160,000 pairs share the token
+    assert sorted((r["q"], r["row_ord"], r["score"]) for r in df.collect()) == [("frozen kind0007xyz", 500, 100.0)]
+
+
+def test_token_sets_agree_with_brute_force(spark):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(["fish", "fishs", "frozen", "frozn", "tea", "teas", "red", "leaf", "leafs", "mix"])
+    make = lambda: " ".join(word() for _ in range(rnd.randint(1, 5)))
+    names, cats = sorted({make() for _ in range(80)}), sorted({make() for _ in range(60)})
+    near = lambda a, b: 100.0 * (1 - _edits(a, b) / max(len(a), len(b))) >= 80
+    want = {}
+    for x in names:
+        for i, y in enumerate(cats):
+            a, b = set(x.split()), set(y.split())
+            s = round(100.0 * min(sum(any(near(u, v) for v in b) for u in a), sum(any(near(u, v) for u in a) for v in b)) / max(len(a), len(b)), 2)
+            if s > 60:
+                want[x, i] = s
+    q = spark.createDataFrame([(x,) for x in names], "q string")
+    c = spark.createDataFrame([(y, i) for i, y in enumerate(cats)], "term string, row_ord int")
+    assert {(r["q"], r["row_ord"]): r["score"] for r in MT._token_set_pairs(q, c, 60.0, 80.0).collect()} == want
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]

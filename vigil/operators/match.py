@@ -269,11 +269,31 @@ def exact_match(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
 def keyword_match(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     """M3: per column, a term containing the text (direction 0) beats a term
     contained in the text (direction 1); winner = (col_rank, direction, row_ord)."""
-    fwd = contains_pairs(terms, "term", q, "q", dict_side="hay").withColumn("dir", F.lit(0))
-    rev = contains_pairs(q, "q", terms, "term", key).withColumn("dir", F.lit(1))
-    cols = list(dict.fromkeys([key, "q", "term", "col_rank", "row_ord", "dir"]))
-    p = fwd.select(*cols).unionByName(rev.select(*cols))
-    return _best(p, [F.col("col_rank"), F.col("dir"), F.col("row_ord")], ["row_ord", "col_rank", "dir"], key)
+    fwd = first_containing(q, "q", terms, "term", [F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank"], list(dict.fromkeys([key, "q"]))) \
+        .withColumn("dir", F.lit(0))
+    rev = best_contained(q, "q", terms, "term", [F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank"], [key]).withColumn("dir", F.lit(1))
+    return _best(fwd.select(key, "row_ord", "col_rank", "dir").unionByName(rev), [F.col("col_rank"), F.col("dir"), F.col("row_ord")], ["row_ord", "col_rank", "dir"], key)
+
+
+def first_containing(needles: DataFrame, needle_col: str, hay: DataFrame, hay_col: str, order: list, keep: list, key: list) -> DataFrame:
+    """``(key, keep)``: for each text of ``needles`` the first by ``order`` of the ``hay`` terms that contain it.
+
+    A text of up to ``GRAM`` characters is a gram, and each gram has its first term in a table made by one aggregation: a
+    one-letter text meets one row, however many terms have the letter.  A longer text without spaces lies inside one token, and
+    of the terms with a token only the first matters; what has a space is searched for in the distinct terms."""
+    first = hay.select(F.col(hay_col).alias("_x"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *keep).alias("_w")) \
+        .groupBy("_x").agg(F.min("_w").alias("_w"))
+    n = needles.select(*key, F.col(needle_col).alias("_n")).where(F.length("_n") > 0)
+    grams = F.flatten(F.array(*[_distinct_grams(F.col("_x"), k) for k in range(1, GRAM + 1)]))
+    table = first.select(F.explode(grams).alias("_n"), "_w").groupBy("_n").agg(F.min("_w").alias("_w"))
+    short = n.where(F.length("_n") <= GRAM).join(table, "_n")
+    tokens = first.select(F.explode(F.array_distinct(F.split("_x", " "))).alias("_x"), "_w").groupBy("_x").agg(F.min("_w").alias("_w"))
+    one = n.where((F.length("_n") > GRAM) & ~F.contains("_n", F.lit(" ")))
+    more = n.where((F.length("_n") > GRAM) & F.contains("_n", F.lit(" ")))
+    pairs = [contains_pairs(where, "_x", what.select(F.col("_n").alias("_t")).distinct(), "_t", dict_side="hay")
+             .groupBy(F.col("_t").alias("_n")).agg(F.min("_w").alias("_w")).join(what, "_n") for where, what in ((tokens, one), (first, more))]
+    found = short.select(*key, "_w").unionByName(pairs[0].select(*key, "_w")).unionByName(pairs[1].select(*key, "_w"))
+    return found.groupBy(*key).agg(F.min("_w").alias("_w")).select(*key, *[f"_w.{c}" for c in keep])
 
 
 def whole_word(text: Column, term: Column) -> Column:
@@ -509,18 +529,45 @@ def suggest_category(names: DataFrame, name_col: str, cats: DataFrame, cat_col:
     sub = _best(p.withColumn("d", F.abs(F.length("q") - F.col("tlen"))),
                 [F.col("d"), F.col("row_ord")], ["row_ord"]).withColumn("how", F.lit("substring"))
     rest = q.join(sub.select("q"), on="q", how="left_anti")
-    # tokens of both sides that are equal or nearly so, each name token matched once per category
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
-    qt = rest.select("q", F.size(words(F.col("q"))).alias("nq"), F.explode(words(F.col("q"))).alias("tok"))
-    ct = c.select("term", "row_ord", F.size(words(F.col("term"))).alias("nt"), F.explode(words(F.col("term"))).alias("ctok"))
-    close = _similar(qt.select("tok", F.col("tok").alias("s")).distinct(), ct.select(F.col("ctok").alias("term"), F.col("ctok").alias("n")), near, "tok")
-    pairs = qt.join(close.select("tok", F.col("term").alias("ctok")), "tok").join(ct, "ctok")
-    tp = pairs.groupBy("q", "term", "row_ord", "nq", "nt") \
-        .agg(F.least(F.count_distinct("tok"), F.count_distinct("ctok")).alias("shared")) \
-        .withColumn("score", F.round(100.0 * F.col("shared") / F.greatest("nq", "nt"), 2)) \
-        .where(F.col("score") > token_threshold)
-    tok = _best(tp, [-F.col("score"), F.col("row_ord")], ["row_ord"]).withColumn("how", F.lit("token"))
-    return sub.unionByName(tok)
+    tok = _best(_token_set_pairs(rest, c, token_threshold, near), [-F.col("score"), F.col("row_ord")], ["row_ord"])
+    return sub.unionByName(tok.withColumn("how", F.lit("token")))
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+
+
+def _token_set_pairs(q: DataFrame, c: DataFrame, threshold: float, near: float) -> DataFrame:
+    """``(q, term, row_ord, score)`` of all pairs whose token-set score is over ``threshold``: tokens that have a nearly equal one
+    on the other side, the fewer of both sides, over the larger set.
+
+    Set-similarity join: a score over ``threshold`` takes more than that share of each side's tokens.  So of a category's
+    ``n`` tokens, in a global order by how many categories have them, one of the rarest ``n`` less those needed plus one is
+    matched in every such pair, and only these are indexed: a token of all categories joins nothing but the categories that
+    have no other.  The sizes of both sets bound each other before a pair is made, and a pair is then scored in its own row."""
+    share = threshold / 100.0 + 1e-12
+    names = q.select("q", _words(F.col("q")).alias("_a")).withColumn("nq", F.size("_a")).where("nq > 0")
+    cats = c.select("term", "row_ord", _words(F.col("term")).alias("_b")).withColumn("nt", F.size("_b")).where("nt > 0")
+    each = cats.select("term", "row_ord", "nt", F.explode("_b").alias("_ct"))
+    often = each.groupBy("_ct").agg(F.count(F.lit(1)).alias("_df"))
+    by_rarity = each.join(often, "_ct").groupBy("term", "row_ord", "nt").agg(F.array_sort(F.collect_list(F.struct("_df", "_ct"))).alias("_b"))
+    needed = (F.floor(F.col("nt") * share) + 1).cast("int")
+    cats = by_rarity.withColumn("_b", F.transform("_b", lambda x: x["_ct"]))
+    index = cats.where(needed <= F.col("nt")).select("term", "row_ord", "nt", "_b", F.explode(F.slice("_b", F.lit(1), F.col("nt") - needed + 1)).alias("_ct"))
+    tokens = names.select("q", "nq", "_a", F.explode("_a").alias("tok"))
+    close = _similar(tokens.select("tok", F.col("tok").alias("s")).distinct(), index.select(F.col("_ct").alias("term"), F.col("_ct").alias("n")).distinct(), near, "tok") \
+        .select("tok", F.col("term").alias("_ct"))
+    candidates = tokens.join(close, "tok").join(index, "_ct").where(F.least("nq", "nt") > F.greatest("nq", "nt") * share) \
+        .dropDuplicates(["q", "term", "row_ord"])
+
+    def like(x: Column, y: Column) -> Column:
+        return 100.0 * (1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))) >= near - 1e-9
+
+    def met(x: str, y: str) -> Column:
+        return F.size(F.filter(x, lambda i: F.exists(y, lambda j: like(i, j))))
+
+    scored = candidates.withColumn("score", F.round(100.0 * F.least(met("_a", "_b"), met("_b", "_a")) / F.greatest("nq", "nt"), 2))
+    return scored.where(F.col("score") > threshold).select("q", "term", "row_ord", "score")
 
 
 def term_coverage(terms: DataFrame, term_col: str, names: DataFrame, name_col: str,
