@@ -154,3 +154,42 @@ def test_hub_append_restricted_to_the_batch_partitions(spark, tmp_dir):
     out = M.hub_append(batch.withColumn("day", F.col("registration_date")), spark.read.parquet(hub), partition_col="day")
     assert [r["source_detail"] for r in out.collect()] == ["new"]
     assert [r["source_detail"] for r in M.hub_append(batch, spark.read.parquet(hub)).collect()] == ["new"]
+
+
+def _ids(spark, root):
+    return sorted(r["id"] for r in IO.read_current(spark, root, "id long").collect())
+
+
+def test_pointer_swaps_only_whole_versions(spark, tmp_dir, monkeypatch):
+    root = os.path.join(tmp_dir, "master")
+    assert IO.current_version(spark, root) == (0, None) and _ids(spark, root) == []
+    assert IO.publish(spark.range(3), root) == 1 and _ids(spark, root) == [0, 1, 2]
+    # a crash after the data is written and before the swap
+    with monkeypatch.context() as m:
+        m.setattr(IO, "rewrite", lambda *a: (_ for _ in ()).throw(RuntimeError("executor lost")))
+        with pytest.raises(RuntimeError):
+            IO.publish(spark.range(9), root)
+    IO.rewrite(spark.range(9), f"{root}/data/orphan")
+    assert IO.current_version(spark, root)[0] == 1 and _ids(spark, root) == [0, 1, 2]
+    # a crash while the pointer is being written
+    open(f"{root}/versions/2", "w").close()
+    assert _ids(spark, root) == [0, 1, 2]
+    # the next state may be computed from the current one
+    assert IO.publish(IO.read_current(spark, root).where("id > 0"), root) == 3
+    assert _ids(spark, root) == [1, 2] and IO.current_version(spark, root)[0] == 3
+
+
+def test_second_of_two_writers_of_a_version_fails(spark, tmp_dir, monkeypatch):
+    root = os.path.join(tmp_dir, "master")
+    IO.publish(spark.range(1), root)
+    real = IO.rewrite
+
+    def slow(df, target, compression="snappy"):
+        real(df, target, compression)
+        monkeypatch.setattr(IO, "rewrite", real)
+        IO.publish(spark.range(5), root)  # another writer, begun from the same version, is faster
+
+    monkeypatch.setattr(IO, "rewrite", slow)
+    with pytest.raises(IO.LostRace):
+        IO.publish(spark.range(7), root)
+    assert _ids(spark, root) == [0, 1, 2, 3, 4]

@@ -147,3 +147,22 @@ def test_sequential_ids_with_ties_and_nulls(spark):
     got = sequential_ids(df, "k", partitions=3).orderBy("seq").collect()
     assert [r["seq"] for r in got] == list(range(1, 7)) and [r["k"] for r in got] == [None, None, "a", "b", "b", "c"]
     assert sequential_ids(df.where("k = 'z'"), "k").collect() == []
+
+
+def test_nearest_header_of_a_hot_day_is_spread_over_tasks(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = [("hot", 7, rnd.randrange(1000), i, rnd.random() < 0.01, None if rnd.random() < 0.3 else f"v{i}") for i in range(3000)]
+    rows += [(rnd.choice(["a", "b", None]), rnd.randrange(5), rnd.randrange(1000), 5000 + i, rnd.random() < 0.2, f"v{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, day int, t int, i int, h boolean, v string").withColumn("at", F.col("day") * 1000 + F.col("t")).repartition(4)
+    want, last = {}, {}
+    for k, day, t, i, h, v in sorted(rows, key=lambda r: (r[1] * 1000 + r[2], r[3])):
+        if h and v is not None:
+            last[k] = v
+        want[i] = last.get(k)
+    for slot in (None, F.floor(F.col("t") / 50)):
+        out = S.nearest_preceding(df, "k", "at", "i", F.col("h"), F.col("v"), F.col("day"), slot=slot)
+        assert {r["i"]: r["header_value"] for r in out.collect()} == want
+    held = out.where("k = 'hot'").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(held) > 1 and max(r["count"] for r in held) < 3000

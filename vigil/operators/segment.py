@@ -2,12 +2,14 @@
 
 Windows are always partitioned by document (a document is bounded), never
 global.  The nearest-preceding-header operator over an open-ended key (a user
-with a third of all events) is computed on a compact per-bucket table so no
-window partition ever holds a hot key's raw rows.
+with a third of all events) cuts the key's rows by place into pieces, whose last
+values are carried on through compact tables, so no window holds a hot key's rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +60,35 @@ def segment_blocks(lines: DataFrame, is_header: Column, is_code: Column, is_date
 
 
 def nearest_preceding(df: DataFrame, key: str, order_col: str, tie_col: str, is_header: Column,
-                      value: Column, bucket: Column, out_col: str = "header_value") -> DataFrame:
+                      value: Column, bucket: Column, out_col: str = "header_value", slot: Column | None = None) -> DataFrame:
     """For every row, ``value`` of the last header row at or before it
     (same ``key``, ordered by ``(order_col, tie_col)``).
 
-    Skew-safe as-of lookup: rows are bucketed (``bucket``, e.g. the day);
-    inside a (key, bucket) window the last header so far is found; rows with
-    none take the last header of earlier buckets from a compact per-(key,
-    bucket) table whose running value is a window over that small table."""
-    d = df.withColumn("_b", bucket).withColumn("_h", F.when(is_header, value)) \
-        .withColumn("_ho", F.when(is_header, F.struct(F.col(order_col), F.col(tie_col))))
-    w = Window.partitionBy(key, "_b").orderBy(order_col, tie_col) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_in", F.last("_h", ignorenulls=True).over(w))
-    per_bucket = d.where(F.col("_h").isNotNull()).groupBy(key, "_b") \
-        .agg(F.max_by(F.col("_h"), F.col("_ho")).alias("_last"))
-    wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(key, "_b", "_last").unionByName(
-        d.select(key, "_b").distinct().withColumn("_last", F.lit(None).cast(per_bucket.schema["_last"].dataType))) \
-        .groupBy(key, "_b").agg(F.max("_last").alias("_last")) \
-        .withColumn("_prev", F.last("_last", ignorenulls=True).over(wb)).select(key, "_b", "_prev")
-    out = d.join(carry, on=[key, "_b"], how="left")
-    return out.withColumn(out_col, F.coalesce(F.col("_in"), F.col("_prev"))).drop("_b", "_h", "_ho", "_in", "_prev")
+    Segmented scan: a key's rows are cut by place into buckets (``bucket``, e.g. the day) and these into slots (``slot``,
+    e.g. the quarter of an hour), both ascending with the order.  A piece is a (key, bucket, slot) and is the only thing a
+    window holds, so a key's busiest bucket is spread over as many tasks as it has slots.  Each piece's last header is carried
+    on to the slots behind it in its bucket, then each bucket's to the buckets behind it, through tables of one row a piece
+    and one row a bucket; a row takes the last header of its piece so far, else its bucket's before the piece, else
+    its key's before the bucket."""
+    d = df.withColumn("_b", bucket).withColumn("_s", slot if slot is not None else F.lit(0)) \
+        .withColumn("_h", F.when(is_header & value.isNotNull(), F.struct(value.alias("v"))))
+    so_far = Window.partitionBy(key, "_b", "_s").orderBy(order_col, tie_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_in", F.last("_h", ignorenulls=True).over(so_far))
+    before = Window.unboundedPreceding, -1
+    place = F.struct(F.col(order_col), F.col(tie_col))
+    pieces = d.groupBy(key, "_b", "_s").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), place)).alias("_last"))
+    buckets = pieces.groupBy(key, "_b").agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_s"))).alias("_last"))
+    of_bucket = F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_b").rowsBetween(*before))
+    of_piece = F.last("_last", ignorenulls=True).over(Window.partitionBy(key, "_b").orderBy("_s").rowsBetween(*before))
+
+    def same(left: str, right: str, *cols: str) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols])
+
+    carry = pieces.withColumn("_piece", of_piece).alias("p") \
+        .join(buckets.withColumn("_bucket", of_bucket).alias("q"), same("p", "q", key, "_b")) \
+        .select(f"p.{key}", "p._b", "p._s", F.coalesce("_piece", "_bucket").alias("_prev"))
+    out = d.alias("d").join(carry.alias("c"), same("d", "c", key, "_b", "_s"), "left").select("d.*", "c._prev")
+    return out.withColumn(out_col, F.coalesce("_in", "_prev")["v"]).drop("_b", "_s", "_h", "_in", "_prev")
 
 
 def line_neighbors(df: DataFrame, doc_col: str, text_col: str, is_anchor, sep: str = r"\r?\n",

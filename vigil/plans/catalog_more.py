@@ -12,7 +12,7 @@ from vigil.operators import match as MT
 from vigil.operators import merge as M
 from vigil.operators import metrics as Q
 from vigil.plans.catalog import T, _doc_notices, query
-from vigil.schema import DISPLAY_HEADERS, ensure_columns, enforce_schema, rename_columns, select_columns
+from vigil.schema import DISPLAY_HEADERS, empty_unified, ensure_columns, enforce_schema, rename_columns, select_columns
 from vigil.session import scratch_path
 from vigil.sources import html as H
 from vigil.sources import io as IO
@@ -108,6 +108,78 @@ def rules_load(spark, sf):
     return r.select("Alert_No", "keyword", X.to_bool(F.col("IsCollect")).alias("IsCollect"))
 
 
+@query
+def cp949_rules(spark, sf):
+    """IO6: a rules CSV in the Korean code page, written and read back, its flag as a boolean."""
+    path, charset = scratch_path(spark, "cp949"), "spark.sql.legacy.javaCharsets"
+    p = T(spark, sf, "part")
+    rows = p.select(F.concat(F.lit("수입-"), F.col("p_partkey")).alias("Alert_No"), F.concat(F.col("p_name"), F.lit(" 식품")).alias("keyword"),
+                    F.when(F.col("p_size") < 25, F.lit("true")).otherwise(F.lit("no")).alias("IsCollect"))
+    before = spark.conf.get(charset)
+    spark.conf.set(charset, "true")
+    try:
+        rows.write.option("header", True).option("encoding", "x-windows-949").csv(path)
+        r = MT.materialize(IO.read_csv_strings(spark, path, encoding="x-windows-949"))
+    finally:
+        spark.conf.set(charset, before)
+    return r.select("Alert_No", "keyword", X.to_bool(F.col("IsCollect")).alias("IsCollect"))
+
+
+@query
+def bom_export(spark, sf):
+    """IO16: a CSV export under Korean headers, a byte-order mark in front of every part, read back by its headers."""
+    path = scratch_path(spark, "export")
+    o = T(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("source_detail"), F.col("o_orderstatus").alias("product_type"),
+                                      F.col("o_orderpriority").alias("hazard_item"))
+    IO.export_csv_bom(rename_columns(o, DISPLAY_HEADERS), path)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    marked = raw.agg(F.min(F.hex(F.substring("content", 1, 3)) == "EFBBBF")).scalar()
+    back = IO.read_csv_strings(spark, path)
+    return rename_columns(back, {v: k for k, v in DISPLAY_HEADERS.items()}).withColumn("marked", marked)
+
+
+@query
+def empty_start(spark, sf):
+    """IO12: the first rows of a table that begins empty, under the unified schema."""
+    o = T(spark, sf, "orders")
+    raw = o.select(F.to_date("o_orderdate").alias("registration_date"), F.col("o_orderstatus").alias("data_source"),
+                   F.concat(F.lit("O-"), F.col("o_orderkey")).alias("source_detail"), F.col("o_orderpriority").alias("hazard_item"))
+    return empty_unified(spark).unionByName(enforce_schema(raw))
+
+
+@query
+def current_master(spark, sf):
+    """IO14 + J7: a master read through its pointer after it was rewritten twice, the second time from itself."""
+    root = scratch_path(spark, "master")
+    s = T(spark, sf, "supplier")
+    IO.publish(s.withColumn("IS_MANUAL_FIXED", F.col("s_acctbal") < 0), root)
+    new = s.select("s_suppkey", F.upper("s_name").alias("s_name"), "s_nationkey", (F.col("s_acctbal") + 1).alias("s_acctbal"), F.lit(False).alias("IS_MANUAL_FIXED"))
+    IO.publish(M.pinned_merge(new, IO.read_current(spark, root), "s_suppkey"), root)
+    return IO.read_current(spark, root).select("s_suppkey", "s_name", "s_acctbal", "IS_MANUAL_FIXED")
+
+
+@query
+def cleared_runs(spark, sf):
+    """IO18: a table of runs cleared by an empty next version and filled again; rows of what readers saw before, between and after."""
+    root = scratch_path(spark, "runs")
+    runs = T(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    seen = []
+    for step, state in (("filled", runs), ("cleared", runs.limit(0)), ("again", runs.where("o_orderstatus = 'F'"))):
+        IO.publish(state, root)
+        seen.append(IO.read_current(spark, root).agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderkey").alias("first_key")).withColumn("step", F.lit(step)))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
+@query
+def named_source(spark, sf):
+    """2.12a: a source registered by name and mapped by it."""
+    MP.register_source("ORDERS", lambda raw, refs=None: raw.select(
+        F.to_date("o_orderdate").alias("registration_date"), F.lit("ORDERS").alias("data_source"),
+        F.concat(F.lit("O-"), F.col("o_orderkey")).alias("source_detail"), F.col("o_orderpriority").alias("hazard_item"),
+        (F.col("o_totalprice") > 200000).alias("analyzable"), F.col("o_custkey").alias("not_a_column")))
+    return MP.map_source("ORDERS", T(spark, sf, "orders"))
+
+
 @query
 def work_list(spark, sf):
     """J8 + F11: alerts that need detail work: new or updated, and collectable; with their last date."""

@@ -36,7 +36,7 @@ def nearest_header(spark, sf):
     """Value of each user's latest signup at or before every event."""
     e = T(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
     out = S.nearest_preceding(e, "user_id", "ts", "event_id", F.col("event_type") == "signup", F.col("value"),
-                              F.to_date("ts"))
+                              F.to_date("ts"), slot=F.floor(F.expr("hour(ts) * 4 + minute(ts) / 15")))
     return out.select("event_id", "header_value")
 
 

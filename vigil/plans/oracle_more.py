@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import vigil.plans.oracle_sources  # noqa: F401  (map_fda)
-from vigil.plans.oracle import ORACLE, u15
+from vigil.plans.oracle import ORACLE, u15, ymd
 from vigil.plans.oracle_match import _WD
 from vigil.schema import DISPLAY_HEADERS, UNIFIED_COLUMNS
 from vigil.sources.reference_data import INDUSTRY_CODES, SEED_RULES
@@ -78,6 +78,25 @@ SELECT n_name AS en, '국가' || n_nationkey AS ko, CASE WHEN n_nationkey % 2 =
 ORACLE["rules_load"] = """
 SELECT CAST(p_partkey AS VARCHAR) AS Alert_No, p_name AS keyword, CASE WHEN p_size < 20 THEN true WHEN p_size < 40 THEN false END AS IsCollect FROM part
 """
+ORACLE["cp949_rules"] = "SELECT '수입-' || p_partkey AS Alert_No, p_name || ' 식품' AS keyword, p_size < 25 AS IsCollect FROM part"
+ORACLE["bom_export"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS source_detail, o_orderstatus AS product_type, o_orderpriority AS hazard_item, true AS marked FROM orders
+"""
+ORACLE["empty_start"] = f"""
+SELECT {u15(registration_date=ymd('o_orderdate'), data_source='o_orderstatus', source_detail="'O-' || o_orderkey", hazard_item='o_orderpriority')}
+FROM orders
+"""
+ORACLE["current_master"] = ORACLE["pinned_merge"]
+ORACLE["cleared_runs"] = """
+SELECT 'filled' AS step, count(*) AS n_rows, min(o_orderkey) AS first_key FROM orders
+UNION ALL SELECT 'cleared', 0, NULL
+UNION ALL SELECT 'again', count(*), min(o_orderkey) FROM orders WHERE o_orderstatus = 'F'
+"""
+ORACLE["named_source"] = f"""
+SELECT {u15(registration_date=ymd('o_orderdate'), data_source="'ORDERS'", source_detail="'O-' || o_orderkey", hazard_item='o_orderpriority',
+            analyzable='o_totalprice > 200000')}
+FROM orders
+"""
 ORACLE["work_list"] = """
 WITH c AS (
   SELECT o_orderkey, o_orderstatus, o_orderpriority,

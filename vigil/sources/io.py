@@ -104,6 +104,69 @@ def rewrite(df: DataFrame, target: str, compression: str = "snappy") -> str:
     return target
 
 
+class LostRace(RuntimeError):
+    """Another writer has published the version first."""
+
+
+def _files(spark: SparkSession, root: str):
+    """(file system, Hadoop path maker) of a table's folder."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def current_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """IO14: number and data path of the version that readers of the table ``root`` see (0, None before the first).
+
+    Each version has one small pointer file that names its data.  A pointer that is still empty is being
+    written or was left by a writer that died: the version before it stays current."""
+    fs, path = _files(spark, root)
+    pointers = path(root, "versions")
+    if not fs.exists(pointers):
+        return 0, None
+    for status in sorted(fs.listStatus(pointers), key=lambda f: -int(f.getPath().getName())):
+        stream = fs.open(status.getPath())
+        try:
+            name = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        if name:
+            return int(status.getPath().getName()), f"{root}/data/{name}"
+    return 0, None
+
+
+def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame:
+    """IO14: the table's current version; an empty table (with ``schema``) before the first."""
+    _, data = current_version(spark, root)
+    return load_parquet(spark, data or f"{root}/data/none", schema)
+
+
+def publish(df: DataFrame, root: str, compression: str = "snappy") -> int:
+    """IO14: write the table's next version, then swap the pointer to it; returns its number.
+
+    The data goes to a folder of its own first, so a crash before the swap leaves the current version as it was.
+    The pointer's number is the one after the version that was current when the call began, and its file is
+    created only if there is none: of two writers that began from one version the second gets
+    ``LostRace`` and may begin again from what is current then."""
+    spark = df.sparkSession
+    fs, path = _files(spark, root)
+    began, _ = current_version(spark, root)
+    name = uuid.uuid4().hex
+    rewrite(df, f"{root}/data/{name}", compression)
+    number = began + 1
+    while (pointer := path(root, f"versions/{number}")) and fs.exists(pointer) and fs.getFileStatus(pointer).getLen() == 0:
+        number += 1  # left by a writer that died; it never becomes current
+    try:
+        stream = fs.create(pointer, False)
+    except Exception as e:
+        if fs.exists(pointer):
+            raise LostRace(f"version {number} of {root} is there already") from e
+        raise
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    return number
+
+
 def clear_table(spark: SparkSession, target: str, schema: T.StructType = UNIFIED_SCHEMA) -> str:
     """IO18: the empty next state of a table."""
     return rewrite(spark.createDataFrame([], schema), target)
