@@ -193,3 +193,38 @@ def test_second_of_two_writers_of_a_version_fails(spark, tmp_dir, monkeypatch):
     with pytest.raises(IO.LostRace):
         IO.publish(spark.range(7), root)
     assert _ids(spark, root) == [0, 1, 2, 3, 4]
+
+
+def _buckets_read(df):
+    """Buckets whose files the rows come from: the filter is on the folders' column, so the others' aren't opened."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan or "PartitionFilters: [isnotnull(_bucket" in plan
+    files = df.select(F.input_file_name().alias("f")).distinct().collect()
+    return sorted({r["f"].split("_bucket=")[1].split("/")[0] for r in files})
+
+
+def test_one_changed_row_reads_one_bucket(spark, tmp_dir):
+    rows = [(i, f"n{i}" if i % 5 else None, None if i % 7 == 0 else "x") for i in range(500)]
+    old = spark.createDataFrame(rows, "k long, a string, b string")
+    paths = [os.path.join(tmp_dir, x) for x in ("old", "same", "one")]
+    M.write_snapshot(old, paths[0], "k", ["a", "b"], 16)
+    M.write_snapshot(old.orderBy(F.desc("k")).repartition(5), paths[1], "k", ["a", "b"], 16)
+    changed = old.withColumn("b", F.when(F.col("k") == 78, F.lit(None).cast("string")).otherwise(F.col("b"))) \
+        .withColumn("a", F.when(F.col("k") == 78, F.lit("x")).otherwise(F.col("a")))
+    M.write_snapshot(changed, paths[2], "k", ["a", "b"], 16)
+    same = M.snapshot_diff_stored(spark, paths[0], paths[1], "k", ["a", "b"])
+    assert same.collect() == [] and M.differing_buckets(*(spark.read.parquet(f"{p}/digests") for p in paths[:2])) == []
+    df = M.snapshot_diff_stored(spark, paths[0], paths[2], "k", ["a", "b"])
+    assert [(r["k"], r["side"], r["changed"]) for r in df.collect()] == [(78, "both", ["a", "b"])]
+    found = M.differing_buckets(spark.read.parquet(f"{paths[0]}/digests"), spark.read.parquet(f"{paths[2]}/digests"))
+    assert len(found) == 1 and _buckets_read(M._rows_of(spark, paths[0], found)) == [str(found[0])]
+    swapped = spark.createDataFrame([(1, None, "x")], "k long, a string, b string")
+    assert M.differing_buckets(M.bucket_digests(swapped, "k", ["a", "b"]), M.bucket_digests(swapped.select("k", F.col("b").alias("a"), F.col("a").alias("b")), "k", ["a", "b"]))
+
+
+def test_changes_since_a_stored_index(spark, tmp_dir):
+    old = spark.createDataFrame([(i, "2024-01-01", i % 2 == 0) for i in range(100)], "k long, d string, keep boolean")
+    path = M.write_snapshot(old, os.path.join(tmp_dir, "index"), "k", ["d"], 8)
+    new = spark.createDataFrame([(i, "2024-02-01" if i == 3 else "2024-01-01", True) for i in range(1, 101)], "k long, d string, keep boolean")
+    got = sorted((r["k"], r["status"], r["keep"]) for r in M.changes_since(new, path, "k", "d", ["keep"], 8, removed=True).collect())
+    assert got == [(0, "removed", True), (3, "updated", False), (100, "new", True)]

@@ -170,3 +170,30 @@ def test_nearest_header_of_a_hot_day_is_spread_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(held) > 1 and max(r["count"] for r in held) < 3000
+
+
+def test_segments_of_a_long_document_are_carried_over_its_pieces(spark):
+    rnd = random.Random(12)
+    rows = [(d, p, rnd.choice(["H1", "H2", "c7", "c8", "2024", "text", "more", "", None])) for d, n in (("long", 400), ("short", 9), (None, 60)) for p in range(n)]
+    df = spark.createDataFrame(rows, "doc string, pos int, line string").repartition(3)
+    flags = F.col("line").startswith("H"), F.col("line").startswith("c"), F.col("line") == "2024"
+    want = []
+    for d in ("long", "short", None):
+        header, open_, n = None, None, 0
+        for p, line in [(p, x) for e, p, x in rows if e == d and x]:
+            if line[0] in "Hc":
+                n += 1
+                if open_:
+                    want.append(open_)
+                header, open_ = (line, None) if line[0] == "H" else (header, [d, n + 0, header, line, None, []])
+                open_ = open_ if header else None
+            elif open_ and line == "2024":
+                open_[4] = p
+            elif open_:
+                open_[5].append(line)
+        if open_:
+            want.append(open_)
+    for piece in (7, 64, 4096):
+        out = S.segment_blocks(df, *flags, F.col("pos"), piece=piece)
+        got = [[r["doc"], r["block"], r["header"], r["opener"], r["date"], r["content"], r["n_lines"]] for r in out.collect()]
+        assert sorted(map(str, got)) == sorted(str([*w[:5], "\n".join(w[5]), len(w[5])]) for w in want)

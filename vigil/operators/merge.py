@@ -184,6 +184,60 @@ def snapshot_diff(a: DataFrame, b: DataFrame, key: str, cols: list) -> DataFrame
     return out.where((F.col("side") != "both") | (F.size("changed") > 0))
 
 
+# ------------------------------------------------------------------ J8, J16 by digests
+
+#: Key buckets of a stored snapshot.
+SNAPSHOT_BUCKETS = 256
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def bucket_digests(df: DataFrame, key: str, cols: list, buckets: int = SNAPSHOT_BUCKETS) -> DataFrame:
+    """One row ``(_bucket, n, one, two)`` per key bucket: rows and two sums of row hashes over ``key`` and ``cols``,
+    whatever the rows' order.  A null differs from every value."""
+    parts = [x for c in (key, *cols) for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)"))
+    return _bucketed(df, key, buckets).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), total(1).alias("one"), total(2).alias("two"))
+
+
+def write_snapshot(df: DataFrame, path: str, key: str, cols: list, buckets: int = SNAPSHOT_BUCKETS) -> str:
+    """Store a snapshot by key bucket, with its buckets' digests over ``cols`` beside it (written last)."""
+    _bucketed(df, key, buckets).repartition("_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(f"{path}/rows")
+    bucket_digests(df, key, cols, buckets).coalesce(1).write.mode("errorifexists").parquet(f"{path}/digests")
+    return path
+
+
+def differing_buckets(a: DataFrame, b: DataFrame) -> list[int]:
+    """Buckets whose digests differ (at most as many as there are buckets)."""
+    one, two = a.alias("a"), b.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("n", "one", "two")]
+    rows = one.join(two, "_bucket", "full").where(~(same[0] & same[1] & same[2])).select("_bucket").collect()
+    return sorted(r["_bucket"] for r in rows)
+
+
+def _rows_of(spark, path: str, buckets: list[int]) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").where(F.col("_bucket").isin(buckets)).drop("_bucket")
+
+
+def snapshot_diff_stored(spark, a: str, b: str, key: str, cols: list) -> DataFrame:
+    """J16 of two stored snapshots: digests first, then ``snapshot_diff`` of the differing buckets alone; the others
+    are not read."""
+    digests = [spark.read.parquet(f"{p}/digests") for p in (a, b)]
+    buckets = differing_buckets(*digests)
+    return snapshot_diff(_rows_of(spark, a, buckets), _rows_of(spark, b, buckets), key, cols)
+
+
+def changes_since(new: DataFrame, stored: str, key: str, date_col: str, keep_cols: list, buckets: int = SNAPSHOT_BUCKETS, **kw) -> DataFrame:
+    """J8 against a stored snapshot (digests over ``date_col``): ``change_detect`` of the rows that are new, updated
+    or, with ``removed=True``, gone.  Of the stored snapshot only buckets whose digests differ are read and joined."""
+    spark = new.sparkSession
+    found = differing_buckets(spark.read.parquet(f"{stored}/digests"), bucket_digests(new, key, [date_col], buckets))
+    fresh = _bucketed(new, key, buckets).where(F.col("_bucket").isin(found)).drop("_bucket")
+    return change_detect(fresh, _rows_of(spark, stored, found), key, date_col, keep_cols, **kw).where("status <> 'unchanged'")
+
+
 # ------------------------------------------------------------------ U1, U3
 
 def union_sources(frames: list) -> DataFrame:

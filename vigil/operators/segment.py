@@ -1,7 +1,7 @@
 """Ordered-text operators (W4-W6, A16): lines as rows ``(doc, pos, text)``.
 
-Windows are always partitioned by document (a document is bounded), never
-global.  The nearest-preceding-header operator over an open-ended key (a user
+Windows hold a piece of a document or key at most, never
+all rows.  The nearest-preceding-header operator over an open-ended key (a user
 with a third of all events) cuts the key's rows by place into pieces, whose last
 values are carried on through compact tables, so no window holds a hot key's rows.
 """
@@ -28,8 +28,12 @@ def ordered_join(values: Column, order: Column, sep: str = "\n") -> Column:
     return F.array_join(F.transform(s, lambda x: x["v"]), sep)
 
 
+# Lines of a document that one window holds.
+PIECE = 4096
+
+
 def segment_blocks(lines: DataFrame, is_header: Column, is_code: Column, is_date: Column,
-                   date_value: Column, doc: str = "doc", pos: str = "pos", text: str = "line") -> DataFrame:
+                   date_value: Column, doc: str = "doc", pos: str = "pos", text: str = "line", piece: int = PIECE) -> DataFrame:
     """Gaps-and-islands record segmentation.
 
     * a header line sets the current header (country) and closes any record;
@@ -39,14 +43,28 @@ def segment_blocks(lines: DataFrame, is_header: Column, is_code: Column, is_date
     * lines before the first code of a header section are dropped, and so is
       everything before the first header of a document.
 
+    A document's lines are cut into pieces of ``piece`` places, so no window holds more and a very long
+    document is spread over tasks; block numbers and headers are carried over the pieces through one row each.
+    Content is joined per block.
+
     Returns ``(doc, block, header, opener, date, content, n_lines)``."""
     t = lines.where(F.col(text).isNotNull() & (F.col(text) != ""))
     kind = (F.when(is_header, F.lit("header")).when(is_code, F.lit("code"))
             .when(is_date, F.lit("date")).otherwise(F.lit("content")))
     t = t.withColumn("_kind", kind)
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("block", F.sum(F.when(F.col("_kind").isin("header", "code"), 1).otherwise(0)).over(w)) \
-        .withColumn("header", F.last(F.when(F.col("_kind") == "header", F.col(text)), ignorenulls=True).over(w))
+    t = t.withColumn("_piece", F.floor(F.col(pos) / piece))
+    so_far = Window.partitionBy(doc, "_piece").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = F.when(F.col("_kind").isin("header", "code"), 1).otherwise(0)
+    header = F.when(F.col("_kind") == "header", F.col(text))
+    t = t.withColumn("_opened", F.sum(opens).over(so_far)).withColumn("_header", F.last(header, ignorenulls=True).over(so_far))
+    # a piece's state, what it opens and its last header, is put behind the states of the pieces before it
+    state = t.groupBy(doc, "_piece").agg(F.sum(opens).alias("_opens"), F.max_by(header, F.when(header.isNotNull(), F.col(pos))).alias("_last"))
+    before = Window.partitionBy(doc).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    state = state.select(doc, "_piece", F.coalesce(F.sum("_opens").over(before), F.lit(0)).alias("_before"),
+                         F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    t = t.alias("t").join(state.alias("s"), F.col(f"t.{doc}").eqNullSafe(F.col(f"s.{doc}")) & (F.col("t._piece") == F.col("s._piece"))) \
+        .select("t.*", "s._before", "s._carried")
+    t = t.withColumn("block", F.col("_before") + F.col("_opened")).withColumn("header", F.coalesce("_header", "_carried"))
     g = t.groupBy(doc, "block").agg(
         F.min_by(F.col("_kind"), F.col(pos)).alias("_open_kind"),
         F.min_by(F.col(text), F.col(pos)).alias("opener"),

@@ -11,7 +11,7 @@ from vigil.operators import lookup as L
 from vigil.operators import match as MT
 from vigil.operators import merge as M
 from vigil.operators import metrics as Q
-from vigil.plans.catalog import T, _doc_notices, query
+from vigil.plans.catalog import T, _customer_patch, _doc_notices, query
 from vigil.schema import DISPLAY_HEADERS, empty_unified, ensure_columns, enforce_schema, rename_columns, select_columns
 from vigil.session import scratch_path
 from vigil.sources import html as H
@@ -158,6 +158,27 @@ def current_master(spark, sf):
     return IO.read_current(spark, root).select("s_suppkey", "s_name", "s_acctbal", "IS_MANUAL_FIXED")
 
 
+@query
+def snapshot_buckets(spark, sf):
+    """J16 by digests: two stored copies, of which only buckets with other digests are compared."""
+    c, p = _customer_patch(spark, sf)
+    patched = M.patch_all(c, p, "c_custkey", ["c_acctbal", "c_name"], changed_col=None).where(F.col("c_mktsegment") != "FURNITURE")
+    cols = ["c_name", "c_acctbal", "c_mktsegment"]
+    a, b = (M.write_snapshot(x, scratch_path(spark, "snapshot"), "c_custkey", cols, 32) for x in (c, patched))
+    return M.snapshot_diff_stored(spark, a, b, "c_custkey", cols).select("c_custkey", "side", F.array_join("changed", ",").alias("changed"))
+
+
+@query
+def changed_alerts(spark, sf):
+    """J8 by digests: orders that are new or updated since the stored snapshot."""
+    o = T(spark, sf, "orders")
+    day = F.to_date("o_orderdate")
+    old = o.where(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select("o_orderkey", day.alias("pub_date"), (F.col("o_orderpriority") != "5-LOW").alias("IsCollect"))
+    new = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.date_add(day, 1)).otherwise(day).alias("pub_date"), F.lit(True).alias("IsCollect"))
+    stored = M.write_snapshot(old, scratch_path(spark, "index"), "o_orderkey", ["pub_date"], 32)
+    return M.changes_since(new, stored, "o_orderkey", "pub_date", ["IsCollect"], 32)
+
+
 @query
 def cleared_runs(spark, sf):
     """IO18: a table of runs cleared by an empty next version and filled again; rows of what readers saw before, between and after."""

@@ -87,6 +87,8 @@ SELECT {u15(registration_date=ymd('o_orderdate'), data_source='o_orderstatus', s
 FROM orders
 """
 ORACLE["current_master"] = ORACLE["pinned_merge"]
+ORACLE["snapshot_buckets"] = ORACLE["snapshot_diff"]
+ORACLE["changed_alerts"] = f"SELECT * FROM ({ORACLE['change_detect']}) WHERE status <> 'unchanged'"
 ORACLE["cleared_runs"] = """
 SELECT 'filled' AS step, count(*) AS n_rows, min(o_orderkey) AS first_key FROM orders
 UNION ALL SELECT 'cleared', 0, NULL
