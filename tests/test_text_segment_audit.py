@@ -197,3 +197,25 @@ def test_segments_of_a_long_document_are_carried_over_its_pieces(spark):
         out = S.segment_blocks(df, *flags, F.col("pos"), piece=piece)
         got = [[r["doc"], r["block"], r["header"], r["opener"], r["date"], r["content"], r["n_lines"]] for r in out.collect()]
         assert sorted(map(str, got)) == sorted(str([*w[:5], "\n".join(w[5]), len(w[5])]) for w in want)
+
+
+def test_facet_lists_read_the_table_once(spark):
+    from collections import Counter
+
+    from vigil.operators import metrics as Q
+
+    rows = [(["a", "b", None, ""][i % 4], i % 3 if i % 7 else None, f"v{i % 5}") for i in range(200)]
+    df = spark.createDataFrame(rows, "x string, y int, z string")
+    want = Counter()
+    for x, y, z in rows:
+        if x:
+            want[0, "x", x] += 1
+        if x in ("a", None, "") and x == "a":
+            if y is not None:
+                want[1, "y", str(y)] += 1
+            if y in (0, 2):
+                want[2, "z", z] += 1
+    out = Q.facet_lists(df, [("x", "a"), ("y", [0, 2]), ("z", Q.ALL)])
+    assert {(r["level"], r["facet"], r["value"]): r["n"] for r in out.collect()} == want
+    plan = Q.facet_lists(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), [("p_type", "SMALL"), ("p_size", [1]), ("p_brand", None)])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

@@ -79,6 +79,24 @@ def facet_filter(df: DataFrame, selections: list) -> DataFrame:
     return df
 
 
+def facet_lists(df: DataFrame, selections: list) -> DataFrame:
+    """F6 + A8: ``(level, facet, value, n)``, the value lists of all facets at once as a cascade shows them: a facet's
+    values are those of the rows that the selections of the facets before it leave.
+
+    One pass: a row gives its value to every facet that it reaches, and values are counted by (facet, value) before
+    the shuffle.  Null and empty values are in no list."""
+    reached, cells = F.lit(True), []
+    for level, (col, chosen) in enumerate(selections):
+        value = F.col(col).cast("string")
+        cells.append(F.struct(F.lit(level).alias("level"), F.lit(col).alias("facet"), value.alias("value"),
+                              (reached & F.coalesce(value != "", F.lit(False))).alias("shown")))
+        if not (chosen is None or chosen == ALL or (isinstance(chosen, (list, tuple)) and not chosen)):
+            among = F.col(col).isin(list(chosen)) if isinstance(chosen, (list, tuple)) else F.col(col) == chosen
+            reached = reached & F.coalesce(among, F.lit(False))
+    shown = df.select(F.inline(F.filter(F.array(*cells), lambda x: x["shown"])))
+    return shown.groupBy("level", "facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def rows_of(df: DataFrame, col: str, value, columns: list) -> DataFrame:
     """all rows of one chosen value, selected columns (pushed to the scan)."""
     return df.where(F.col(col) == F.lit(value)).select(*columns)

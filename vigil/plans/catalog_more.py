@@ -179,6 +179,12 @@ def changed_alerts(spark, sf):
     return M.changes_since(new, stored, "o_orderkey", "pub_date", ["IsCollect"], 32)
 
 
+@query
+def facet_cascade(spark, sf):
+    """F6 + F7 + A8: the value lists of three facets, each under the selections before it, in one scan."""
+    return Q.facet_lists(T(spark, sf, "part"), [("p_type", "SMALL"), ("p_size", list(range(1, 21))), ("p_brand", Q.ALL)])
+
+
 @query
 def cleared_runs(spark, sf):
     """IO18: a table of runs cleared by an empty next version and filled again; rows of what readers saw before, between and after."""

@@ -89,6 +89,11 @@ FROM orders
 ORACLE["current_master"] = ORACLE["pinned_merge"]
 ORACLE["snapshot_buckets"] = ORACLE["snapshot_diff"]
 ORACLE["changed_alerts"] = f"SELECT * FROM ({ORACLE['change_detect']}) WHERE status <> 'unchanged'"
+ORACLE["facet_cascade"] = """
+SELECT 0 AS level, 'p_type' AS facet, p_type AS value, count(*) AS n FROM part WHERE p_type <> '' GROUP BY p_type
+UNION ALL SELECT 1, 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part WHERE p_type = 'SMALL' AND p_size IS NOT NULL GROUP BY p_size
+UNION ALL SELECT 2, 'p_brand', p_brand, count(*) FROM part WHERE p_type = 'SMALL' AND p_size BETWEEN 1 AND 20 AND p_brand <> '' GROUP BY p_brand
+"""
 ORACLE["cleared_runs"] = """
 SELECT 'filled' AS step, count(*) AS n_rows, min(o_orderkey) AS first_key FROM orders
 UNION ALL SELECT 'cleared', 0, NULL

@@ -90,7 +90,9 @@ def page_meta(pages: DataFrame, id_col: str, html_col: str, fallback_len: int =
     and the product description, i.e. the first block with text after its h3
     header, whole; only where that header is missing, the text after the words
     themselves, which the rule cuts at ``fallback_len`` characters."""
-    h, text = F.col(html_col), plain_text(F.col(html_col))
+    # the lines are made once; every field reads them
+    pages = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("_html"), plain_text(F.col(html_col)).alias("_text"))
+    h, text = F.col("_html"), F.col("_text")
     after = F.regexp_extract(h, r"(?is)<h3\b[^>]*>[^<]*Product Description[^<]*</h3>(.*)", 1)
     blocks = F.regexp_extract_all(after, F.lit(rf"(?is)<(?:{_BLOCK})\b[^>]*>(.*?)</(?:{_BLOCK})>"), 1)
     stripped = F.transform(blocks, lambda b: strip_ws(decode_entities(F.regexp_replace(b, "<[^>]*>", ""))))
@@ -99,7 +101,7 @@ def page_meta(pages: DataFrame, id_col: str, html_col: str, fallback_len: int =
     loose = F.when(text.rlike(r"(?is)Product Description:"), F.substring(strip_ws(F.regexp_extract(text, DESCRIPTION_RE, 1)), 1, fallback_len))
     charge = F.nullif(strip_ws(F.regexp_extract(text, CHARGE_RE, 1)), F.lit(""))
     return pages.select(
-        F.col(id_col).alias("page_id"),
+        "page_id",
         F.coalesce(charge, F.lit(NOT_GIVEN)).alias("charge_code_line"),
         F.coalesce(F.when(has_header, headed).otherwise(loose), F.lit(NOT_GIVEN)).alias("product_description"),
         *[text.rlike(rf"(?i){color}\s*list").alias(f"has_{color}_list") for color in ("red", "yellow", "green")],
