@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 # numbering boundaries: their plans need a job, which the README lists.
 EAGER = {"append_all", "hub_load", "versioned_rewrite", "stream_append", "run_log", "capped_listing", "cascade_product",
          "cascade_hazard", "map_i2620", "map_i0490", "map_i2810", "map_impfood", "map_fda", "seq_codes", "country_master", "rules_load", "map_fda_dated", "cp949_rules", "bom_export",
-         "current_master", "cleared_runs", "snapshot_buckets", "changed_alerts"}
+         "current_master", "cleared_runs", "snapshot_buckets", "changed_alerts", "folded_audit", "folded_sources"}
 
 
 def _plan(df) -> str:

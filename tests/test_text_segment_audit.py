@@ -219,3 +219,17 @@ def test_facet_lists_read_the_table_once(spark):
     assert {(r["level"], r["facet"], r["value"]): r["n"] for r in out.collect()} == want
     plan = Q.facet_lists(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), [("p_type", "SMALL"), ("p_size", [1]), ("p_brand", None)])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_states_of_runs_add_up_to_the_whole_table(spark):
+    rows = [(f"s{i % 3}" if i % 11 else None, f"id{i % 700}", "" if i % 4 == 0 else "x", True if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "data_source string, source_detail string, product_type string, analyzable boolean").repartition(3)
+    runs = [df.where("product_type = ''"), df.where("product_type <> ''"), df.limit(0)]
+    states = [A.run_state(r, f"r{i}", distinct_cols=["source_detail"]) for i, r in enumerate(runs)]
+    states.append(A.run_state(runs[0], "r0", distinct_cols=["source_detail"]))  # written again by a retry
+    folded = A.fold_states(states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3]))
+    key = lambda r: str(tuple(r))
+    assert sorted(A.folded_missing(folded).collect(), key=key) == sorted(A.audit_missing(df).collect(), key=key)
+    assert sorted(map(tuple, A.folded_sources(folded).collect())) == sorted(map(tuple, A.audit_sources(df).collect()))
+    got = [r["n_distinct"] for r in folded.where("check = 'distinct'").collect()]
+    assert len(got) == 1 and abs(got[0] - 700) <= 0.05 * 700  # lgConfigK 12: about 1.6 % standard error

@@ -53,7 +53,11 @@ def audit_missing(df: DataFrame, columns: list | None = None, bool_cols: list |
     stack = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                       (F.col(f"m{i}") if c in df.columns else F.lit(None).cast("long")).alias("missing"))
              for i, c in enumerate(cols)]
-    rows = one.select("_total", F.explode(F.array(*stack)).alias("s")).select("_total", "s.*")
+    return _missing_report(one.select("_total", F.explode(F.array(*stack)).alias("s")).select("_total", "s.*"))
+
+
+def _missing_report(rows: DataFrame) -> DataFrame:
+    """Shares and status bands of ``(_total, column_name, position, missing)``."""
     pct = F.round(F.col("missing") * 100.0 / F.col("_total"), 2)
     pct = F.when(F.col("_total") > 0, pct).otherwise(F.lit(0.0))
     return rows.select(
@@ -105,6 +109,54 @@ def audit_sources(df: DataFrame, source_col: str = "data_source") -> DataFrame:
     return df.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# ------------------------------------------------------------------ states that add up (A9, A10, A13 with T1)
+
+def run_state(df: DataFrame, run_id: str, columns: list | None = None, bool_cols: list | None = None,
+              source_col: str = "data_source", distinct_cols: list | None = None) -> DataFrame:
+    """What the audits need to know of one run's rows: ``(run_id, check, name, value, sketch)``.
+
+    Rows, missing values per column, rows per source and, for ``distinct_cols``, sketches of the distinct values.
+    States of runs add up (``fold_states``), so the table is audited after each run without being read again."""
+    cols, bools = columns or UNIFIED_COLUMNS, set(bool_cols if bool_cols is not None else BOOL_COLUMNS)
+    there = [c for c in cols if c in df.columns]
+    missing = [F.count_if(F.col(c).isNull() if c in bools else F.col(c).isNull() | (F.col(c).cast("string") == "")).alias(f"m{i}") for i, c in enumerate(there)]
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string")).alias(f"s{i}") for i, c in enumerate(distinct_cols or [])]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *missing, *sketches)
+
+    def cell(check: str, name: str, value=None, sketch=None):
+        return F.struct(F.lit(check).alias("check"), F.lit(name).alias("name"), (value if value is not None else F.lit(None)).cast("long").alias("value"),
+                        (sketch if sketch is not None else F.lit(None)).cast("binary").alias("sketch"))
+
+    cells = [cell("rows", "", F.col("rows")), *[cell("missing", c, F.col(f"m{i}")) for i, c in enumerate(there)],
+             *[cell("distinct", c, None, F.col(f"s{i}")) for i, c in enumerate(distinct_cols or [])]]
+    state = one.select(F.inline(F.array(*cells)))
+    if source_col in df.columns:
+        sources = audit_sources(df, source_col).select(F.lit("source").alias("check"), F.col("source").alias("name"), F.col("n_rows").alias("value"), F.lit(None).cast("binary").alias("sketch"))
+        state = state.unionByName(sources)
+    return state.select(F.lit(run_id).alias("run_id"), "*")
+
+
+def fold_states(states: DataFrame) -> DataFrame:
+    """``(check, name, value, n_distinct)`` over all runs; a run that was written twice counts once."""
+    once = states.groupBy("run_id", "check", "name").agg(F.max("value").alias("value"), F.max("sketch").alias("sketch"))
+    out = once.groupBy("check", "name").agg(F.sum("value").alias("value"), F.hll_union_agg("sketch").alias("sketch"))
+    return out.select("check", "name", "value", F.when(F.col("check") == "distinct", F.hll_sketch_estimate("sketch")).alias("n_distinct"))
+
+
+def folded_missing(folded: DataFrame, columns: list | None = None) -> DataFrame:
+    """A10 from folded states: as ``audit_missing`` over all rows."""
+    cols = columns or UNIFIED_COLUMNS
+    counts = folded.agg(F.max(F.when(F.col("check") == "rows", F.col("value"))).alias("_total"),
+                        *[F.max(F.when((F.col("check") == "missing") & (F.col("name") == c), F.col("value"))).alias(f"m{i}") for i, c in enumerate(cols)])
+    stack = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(cols)]
+    return _missing_report(counts.select(F.coalesce("_total", F.lit(0).cast("long")).alias("_total"), F.explode(F.array(*stack)).alias("s")).select("_total", "s.*"))
+
+
+def folded_sources(folded: DataFrame) -> DataFrame:
+    """A13 from folded states: as ``audit_sources`` over all rows."""
+    return folded.where("check = 'source'").select(F.col("name").alias("source"), F.col("value").alias("n_rows"))
+
+
 def audit_schema(df: DataFrame, expected: list | None = None) -> DataFrame:
     """Schema conformance and use of every column in one pass over the
     rows: ``(column_name, kind, position, present)``.

@@ -179,6 +179,26 @@ def changed_alerts(spark, sf):
     return M.changes_since(new, stored, "o_orderkey", "pub_date", ["IsCollect"], 32)
 
 
+def _folded(spark, sf):
+    """States of two runs over the documents' notices, stored run by run, the second one twice."""
+    path, d = scratch_path(spark, "states"), _doc_notices(spark, sf)
+    for run, rows in (("r1", d.where("product_type = 'en'")), ("r2", d.where("product_type <> 'en'")), ("r2", d.where("product_type <> 'en'"))):
+        IO.append(A.run_state(rows, run), path, ["run_id"])
+    return A.fold_states(spark.read.parquet(path))
+
+
+@query
+def folded_audit(spark, sf):
+    """A10 after each run: missing values per column from the runs' states, the table not read again."""
+    return A.folded_missing(_folded(spark, sf))
+
+
+@query
+def folded_sources(spark, sf):
+    """A13 after each run: rows of every source from the runs' states."""
+    return A.folded_sources(_folded(spark, sf))
+
+
 @query
 def facet_cascade(spark, sf):
     """F6 + F7 + A8: the value lists of three facets, each under the selections before it, in one scan."""

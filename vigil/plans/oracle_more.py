@@ -89,6 +89,8 @@ FROM orders
 ORACLE["current_master"] = ORACLE["pinned_merge"]
 ORACLE["snapshot_buckets"] = ORACLE["snapshot_diff"]
 ORACLE["changed_alerts"] = f"SELECT * FROM ({ORACLE['change_detect']}) WHERE status <> 'unchanged'"
+ORACLE["folded_audit"] = ORACLE["audit_missing"]
+ORACLE["folded_sources"] = ORACLE["audit_sources"]
 ORACLE["facet_cascade"] = """
 SELECT 0 AS level, 'p_type' AS facet, p_type AS value, count(*) AS n FROM part WHERE p_type <> '' GROUP BY p_type
 UNION ALL SELECT 1, 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part WHERE p_type = 'SMALL' AND p_size IS NOT NULL GROUP BY p_size
