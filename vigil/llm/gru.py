@@ -76,9 +76,9 @@ class Network:
                 weights["kind_bias"][self.classes] = logs[words]
         self.w = weights
 
-    def run(self, start: np.ndarray, given: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each step (steps, lanes, STATE) and what the backward pass needs.  ``keep`` is 0 where a document
-        starts, else 1."""
+    def run(self, start: np.ndarray, given: np.ndarray, keep: np.ndarray, back: bool = True) -> tuple[np.ndarray, list]:
+        """States after each step (steps, lanes, STATE) and, with ``back``, what the backward pass needs.  ``keep`` is 0
+        where a document starts, else 1."""
         w, h, out, kept = self.w, start, np.empty((*given.shape, STATE), "f4"), []
         # a gate is 0.5 + 0.5 tanh of half its sum
         bias = 0.5 * (w["into_bias"] + w["state_bias"])[:2 * STATE]
@@ -100,7 +100,8 @@ class Network:
             new = r * s
             new += x_new[t]
             np.tanh(new, out=new)
-            kept.append((h, z, r, new, s))
+            if back:
+                kept.append((h, z, r, new, s))
             h = np.subtract(h, new, out=out[t])
             h *= z
             h += new
@@ -250,7 +251,7 @@ def score(network: Network, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Each document's natural log-likelihood (words outside the network: that of their class)."""
     out, state = np.zeros(len(lengths)), np.zeros((min(2 * LANES, len(lengths)), STATE), "f4")
     for p, d, first, valid in windows(lengths, 2 * LANES, 2 * WINDOW):
-        states, _ = network.run(state[:p.shape[1]], _inputs(network, ids, p, first), (~first).astype("f4"))
+        states, _ = network.run(state[:p.shape[1]], _inputs(network, ids, p, first), (~first).astype("f4"), back=False)
         state = states[-1]
         logs = network.log_probs(states.reshape(-1, STATE), ids[p.reshape(-1)])
         out += np.bincount(d.reshape(-1), np.where(valid.reshape(-1), logs, 0), len(lengths))
@@ -325,7 +326,7 @@ def _chunk_rows(batches):
     docs, sequences, words, size = [], [], _Numbers(), 0
     for b in chunks(batches, "text", CHUNK):
         found = (t.encode().lower().split() for t in texts(b.column("text")))  # bytes: only A-Z change, only \x20 and \x09-\x0D split
-        seqs = [np.array([*map(words.__getitem__, ws), words[END]], "i4") for ws in found]
+        seqs = [np.fromiter(map(words.__getitem__, (*ws, END)), "i4", len(ws) + 1) for ws in found]
         docs.append(b.select(["doc_id", "held_out"])), sequences.append(seqs)
         size += b.column("text").nbytes
         if size >= CHUNK:
