@@ -142,3 +142,11 @@ def test_every_token_stands_in_one_window_once():
         assert ((p >= starts[d]) & (p < starts[d + 1]))[valid].all() and (first == (p == starts[d])).all()
     assert seen == Counter(range(25))
     assert list(gru.windows(np.array([], int), 3, 4)) == []
+
+
+def test_numbers_in_few_bytes():
+    for n in (1, 1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 1):
+        numbers = np.array([0, n - 1, n // 2], "i4")
+        raw = gru._packed(numbers, n)
+        assert len(raw) == 3 * gru._width(n) and gru._unpacked(raw, n).tolist() == numbers.tolist()
+    assert len(gru._unpacked(b"", 5)) == 0

@@ -291,6 +291,23 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return raw["h1"].copy(), raw["h2"].copy()
 
 
+def _width(n: int) -> int:
+    """Bytes of a number below ``n``."""
+    return 2 if n <= 1 << 16 else 3 if n <= 1 << 24 else 4
+
+
+def _packed(numbers: np.ndarray, n: int) -> bytes:
+    """Numbers below ``n`` in as few bytes as each takes."""
+    return np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4)[:, :_width(n)]).tobytes()
+
+
+def _unpacked(raw, n: int) -> np.ndarray:
+    narrow = np.frombuffer(raw, "u1").reshape(-1, _width(n))
+    wide = np.zeros((len(narrow), 4), "u1")
+    wide[:, :narrow.shape[1]] = narrow
+    return wide.view("<u4").ravel()
+
+
 class _Numbers(dict):
     """Numbers of words in the order of their first occurrence."""
 
@@ -311,12 +328,11 @@ def _chunk_rows(batches):
         n = len(words)
         teaching = [seq for b, seqs in zip(docs, sequences) for seq, held in zip(seqs, b.column("held_out").to_pylist()) if held is False]
         taught = np.bincount(np.concatenate([np.empty(0, "i4"), *teaching]), minlength=n)
-        kind = "<u2" if n <= 1 << 16 else "<u4"
         for b, seqs in zip(docs, sequences):
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(k, key)), b.column("doc_id"), b.column("held_out"), pa.array([len(s) for s in seqs], pa.int64()),
-                 pa.array([s.astype(kind).tobytes() for s in seqs], pa.binary()),
+                 pa.array([_packed(s, n) for s in seqs], pa.binary()),
                  *[pa.nulls(k, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64())]], names)
         h1, h2 = _hashes(list(words))
         yield pa.RecordBatch.from_arrays(
@@ -345,10 +361,9 @@ def _placed(total: int, distinct: int, rest: float, network_words: int):
         number[at] = words["number"].to_numpy()
         base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
         other = np.where(number == network_words, np.log10((count + 0.5) / rest), 0.0)
-        kind = "<u2" if len(at) <= 1 << 16 else "<u4"
         known, base_score, other_score, ids = [], [], [], []
         for raw in docs["numbers"]:
-            seq = np.frombuffer(raw.as_buffer(), kind)
+            seq = _unpacked(raw.as_buffer(), len(at))
             known.append(int(np.count_nonzero(count[seq])))
             base_score.append(float(base[seq].sum()))
             other_score.append(float(other[seq].sum()))
