@@ -39,6 +39,37 @@ def test_near_duplicates_of_odd_rows(shipped, docs):
     assert got == sorted([(1, text), (3, None), (4, ""), (None, "alone here")], key=str)
 
 
+def test_one_id_with_several_texts_and_rows_without_id(shipped, docs):
+    one, other, third = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = docs([(0, one), (1, other), (1, one + " z"), (7, third), (7, third + " z"), (7, third), (None, third.upper()),
+                 (None, other + " y"), (None, "only without an id here"), (None, "only without an id here"), (9, ""), (9, "")])
+    got = sorted(((r.doc_id, r.text) for r in STAGE["near_duplicates"](shipped, rows, SF).collect()), key=str)
+    seventh = [(7, t) for t in (third, third + " z") if (7, t) in got]
+    assert len(seventh) == 1
+    assert got == sorted([(0, one), (1, other), *seventh, (None, "only without an id here"), (9, ""), (9, "")], key=str)
+
+
+CLASHES = """score predicted held_out features lang_pred n_languages _text row doc key kept kept_text marks lo hi stays
+    copies digest _id _digest _copies _row k1 k2 n rep comp member bucket n_bytes n_removed n_spans piece start length ids sequence_id offset _part"""
+
+
+def test_clashing_extra_columns_pass_every_stage_unchanged(shipped, docs):
+    rng = random.Random(3)
+    said = [" ".join(rng.choice(["the", "and", "with", "from", "house", "river"]) for _ in range(40)) for _ in range(30)]
+    rows = [*enumerate(said), (40, said[3]), (41, said[4] + " end")]
+    plain, clashing = docs(rows), docs(rows, CLASHES)
+    clashing = clashing.withColumn("odd name.with, signs", clashing["n"])
+    for name in STAGE:
+        a, b = STAGE[name](shipped, plain, SF), STAGE[name](shipped, clashing, SF)
+        if name == "packing":
+            key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            assert sorted(map(tuple, a.select(key).collect())) == sorted(map(tuple, b.select(key).collect()))
+            continue
+        assert b.columns == clashing.columns
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*plain.columns).collect()))
+        assert all(set(r[len(plain.columns):]) == {"x"} for r in b.collect())
+
+
 def test_language_stage_drops_what_has_none(shipped, docs):
     rng = random.Random(1)
     rows = docs([(i, " ".join(rng.choice(["the", "and", "with", "from"]) for _ in range(20)), "en") for i in range(30)] + [(50, None, "en"), (51, "12 34", "en")])

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 import vigil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from vigil.session import checkpoint_dir, scratch_path
 
@@ -96,6 +97,27 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def with_text(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str, StructType]:
+    """``keep`` columns of ``docs`` and its text, once; the name of the column that holds the text; the schema of ``keep``.
+
+    ``keep`` must not name a column that the operator adds; ``packed`` puts any columns out of the way."""
+    own = "text" in keep and docs.schema["text"].dataType == StringType()
+    df = docs.select(*keep) if own else docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    return df, "text" if own else "_text", StructType(df.schema.fields[:len(keep)])
+
+
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """doc_id, text, the columns that an operator ``read``s and all but the text as one struct ``row``, so that no name
+    clashes with what an operator adds."""
+    rest = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *read, F.struct("doc_id", *rest).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """``columns`` of a frame that comes from ``packed``; those in ``new`` are taken from its expressions."""
+    return df.select(*(new[c].alias(c) if c in new else F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns))
+
+
 def lean(run, *caches):
     """``run`` for ``mapInArrow``, whose worker gives its memory back when the task ends: Spark keeps workers for later
     tasks, beside which what they hold counts."""

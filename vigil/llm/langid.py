@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, fold, texts
+from vigil.llm.common import chunks, fold, texts, with_text
 
 BUCKETS = 1 << 15
 CHUNK = 2 << 20
@@ -130,8 +130,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str
 
     def run(batches):
         names, p = sent.value
-        for b in chunks(batches, "_text", CHUNK):
-            share, has = infer(p, texts(b.column("_text")))
+        for b in chunks(batches, source, CHUNK):
+            share, has = infer(p, texts(b.column(source)))
             best = share.argmax(1) if p.shape[1] else np.zeros(len(has), int)
             score = share.max(1) if p.shape[1] else np.zeros(len(has))
             known = has & (score > 0)
@@ -140,9 +140,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str
                 [*(b.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(np.where(known, np.minimum(score, 1.0), 0.0)), pa.array((share > 1e-6).sum(1).astype(np.int32))],
                 [*keep, "lang_pred", "score", "n_languages"])
 
-    df = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double, n_languages int")
+    df, source, schema = with_text(docs, keep)
+    return df.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("n_languages", "integer"))
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import chunks, cut, lean, sweep
@@ -166,15 +166,18 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, k1, k2): size and name of every document's set; text of the driver table unread further."""
+def sets(docs: DataFrame, k: int, digest: Column | None = None) -> DataFrame:
+    """(doc_id, n, k1, k2): size and name of every document's set; ``digest``, if given, travels along under that name."""
     def run(batches):
         for b in chunks(batches, "text", CHUNK):
             got = [shingles(t, k) for t in _bytes(b.column("text"))]
             names = [key(h) for h in got]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(h) for h in got], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64())], ["doc_id", "n", "k1", "k2"])
+            own = [b.column("doc_id"), pa.array([len(h) for h in got], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *b.columns[2:]], ["doc_id", "n", "k1", "k2", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run, _WORDS), "doc_id long, n long, k1 long, k2 long")
+    more = [] if digest is None else [digest.alias("digest")]
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+            .mapInArrow(lean(run, _WORDS), "doc_id long, n long, k1 long, k2 long" + (", digest binary" if more else "")))
 
 
 def _index(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
@@ -353,8 +356,43 @@ def _verified(pairs: DataFrame, members: DataFrame, k: int, num: int, den: int)
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when
     den * intersection >= num * union of their k-word shingle sets."""
+    named, of = linked(docs, cut(sets(docs, k)), k, num, den)
+    least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    final = of.join(least, "comp").select("k1", "k2", "component_id")
+    return (named.join(final, ["k1", "k2"], "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` (any columns but ``_id``, ``_digest`` and ``_copies``) without near copies: of each component
+    of linked rows one stays, that of the smallest id that is not null, at equal ids that of the smallest digest of its text; rows
+    without words all stay.
+
+    A row is told by its id and its text, so rows of one id with different texts are judged each by its own text,
+    and of rows with equal id and text one stays."""
+    text = F.col("text").cast("string")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    named = cut(sets(docs, k, digest))
+    _, of = linked(docs, named, k, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    rows = named.where("n > 0").join(of.select("k1", "k2", "comp"), ["k1", "k2"])
+    stays = rows.groupBy("comp").agg(first.alias("s")).select("s.doc_id", "s.digest", F.lit(True).alias("stays"))
+    copies = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    same = copies["doc_id"].eqNullSafe(stays["doc_id"]) & (copies["digest"] == stays["digest"])
+    told = cut(copies.join(stays, same, "left").where("stays is null or copies > 1")
+               .select(copies["doc_id"].alias("_id"), copies["digest"].alias("_digest"), F.when(F.col("stays"), F.col("copies")).alias("_copies")))
+    keyed = docs.withColumn("_row", digest)
+    here = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_row"] == F.col("_digest"))
+    kept = keyed.join(told, here, "left_anti").select(*docs.columns)
+    again = told.where("_copies > 1")  # rows that stay and are there several times
+    if again.limit(1).count() == 0:  # nothing to add, and no second reading of the texts
+        return kept
+    return kept.unionByName(keyed.join(again, here, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*docs.columns))
+
+
+def linked(docs: DataFrame, named: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``named`` (the ``sets`` of ``docs``), and (k1, k2, rep, comp): component and smallest id of every class."""
     spark: SparkSession = docs.sparkSession
-    named = cut(sets(docs, k))
     total = named.agg(F.sum("n")).first()[0] or 0
     classes = named.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     parts = max(1, math.ceil(2.5 * total * (den - num) / num / PART), math.ceil(2.5 * named.count() / PART))
@@ -400,12 +438,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     comp = cut(components(links.union(more)))
     sweep(spark)
 
-    # classes to documents
-    of = classes.join(comp.withColumnRenamed("node", "k1"), "k1", "left").select("k1", "k2", "rep", F.coalesce("comp", "k1").alias("comp"))
-    least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = of.join(least, "comp").select("k1", "k2", "component_id")
-    return (named.join(final, ["k1", "k2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    # components of the classes
+    return named, classes.join(comp.withColumnRenamed("node", "k1"), "k1", "left").select("k1", "k2", "rep", F.coalesce("comp", "k1").alias("comp"))
 
 
 def _unique_ids(named: DataFrame) -> bool:

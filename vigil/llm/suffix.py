@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vigil.llm.common import chunks, sweep, written
 
@@ -550,5 +551,7 @@ def removed(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = None)
                 [*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())],
                 [*keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    schema = StructType([f for f in rows.schema if f.name in keep])
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary"), ("kept_text", "string")):
+        schema = schema.add(name, kind)
+    return joined.mapInArrow(run, schema)

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from vigil.llm.common import chunks, fold, texts
+from vigil.llm.common import chunks, fold, texts, with_text
 
 FIT_ROWS = 20_000
 WINDOW = 6
@@ -270,14 +271,13 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFra
 
     def run(batches):
         memory = _Chunks(Lexicon(*sent.value))
-        for b in chunks(batches, "_text", CHUNK):
-            f = np.array([features(t, memory) for t in texts(b.column("_text"))])
+        for b in chunks(batches, source, CHUNK):
+            f = np.array([features(t, memory) for t in texts(b.column(source))])
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1]), pa.int32()), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), values], [*keep, "features"])
 
-    df = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
-    return df.mapInArrow(run, f"{schema}, features array<double>")
+    df, source, schema = with_text(docs, keep)
+    return df.mapInArrow(run, schema.add("features", ArrayType(DoubleType())))
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
