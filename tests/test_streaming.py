@@ -18,9 +18,9 @@ def _notices(df):
                                     F.col("ref").alias("source_detail")))
 
 
-def _run(spark, landing, hub, ckpt):
+def _run(spark, landing, hub, ckpt, filters=None):
     src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(landing)
-    start_hub_stream(spark, src, _notices, hub, ckpt).awaitTermination()
+    start_hub_stream(spark, src, _notices, hub, ckpt, filter_path=filters).awaitTermination()
     return IO.load_parquet(spark, hub, UNIFIED_SCHEMA)
 
 
@@ -52,3 +52,15 @@ def test_replay_with_empty_and_unparsable_dates(spark, tmp_dir):
     for ck in ("ck1", "ck1", "ck2", "ck3"):
         got = _run(spark, landing, hub, os.path.join(tmp_dir, ck)).select("source_detail", "registration_date").collect()
         assert sorted(map(tuple, got)) == [("A-1", ""), ("A-7", ""), ("B", "")]
+
+
+def test_stream_with_key_filters(spark, tmp_dir):
+    landing, hub = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "hub")
+    os.makedirs(landing)
+    for i, rows in enumerate([[("2024-01-01", "A-1"), ("", "A-1"), ("2024-01-01", "A-1")], [("2024-01-01", "A-2"), ("", "A-1")]]):
+        with open(os.path.join(landing, f"f{i}.json"), "w") as f:
+            for d, r in rows:
+                f.write(f'{{"day": "{d}", "src": "FDA", "ref": "{r}"}}\n')
+    for ck in ("ck1", "ck2"):
+        got = _run(spark, landing, hub, os.path.join(tmp_dir, ck), os.path.join(tmp_dir, "filters")).select("source_detail", "registration_date").collect()
+        assert sorted(map(tuple, got)) == [("A-1", ""), ("A-1", "2024-01-01"), ("A-2", "2024-01-01")]

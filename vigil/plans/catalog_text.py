@@ -183,6 +183,22 @@ def stream_append(spark, sf):
     return IO.load_parquet(spark, hub, UNIFIED_SCHEMA).select("data_source", "source_detail", "registration_date")
 
 
+@query
+def filtered_append(spark, sf):
+    """J1 + T1 with key filters: the events of the first half of users are the hub, all events arrive as a batch
+    (every day is there already, half of the keys are), and once more as a replay that adds nothing."""
+    from vigil.operators import key_filter
+    from vigil.operators.match import materialize
+    base = scratch_path(spark, "filtered")
+    keys = ["event_type", "user_id", "day"]
+    e = T(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("user_id"), F.to_date("ts").cast("string").alias("day"))
+    known = e.where("xxhash64(user_id) >= 0").distinct()
+    known.write.partitionBy("day").parquet(base + "/hub")
+    batch = materialize(e)
+    first, again = (key_filter.append_unseen(batch, base + "/hub", e.schema, base + "/filters", keys, "day") for _ in range(2))
+    return IO.load_parquet(spark, base + "/hub", e.schema).select(*keys).withColumn("added_again", F.lit(again))
+
+
 @query
 def run_log(spark, sf):
     """IO13 + IO17: row counts returned by two appends (observed while

@@ -152,6 +152,11 @@ SELECT DISTINCT event_type AS data_source, 'U-' || user_id AS source_detail,
 FROM events
 """
 
+ORACLE["filtered_append"] = """
+SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(0 AS INTEGER) AS added_again
+FROM events
+"""
+
 ORACLE["map_rasff"] = """
 WITH r AS (
   SELECT CASE WHEN o_orderstatus = 'P' THEN 'not a date' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS date,

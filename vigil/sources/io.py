@@ -95,12 +95,12 @@ def append(df: DataFrame, path: str, partition_by: list | None = None) -> int:
     return int(obs.get.get("n", 0))
 
 
-def rewrite(df: DataFrame, target: str, compression: str = "snappy") -> str:
+def rewrite(df: DataFrame, target: str, compression: str = "snappy", partition_by: list | None = None) -> str:
     """IO14: write a table's next state to ``target``, a path of the caller's
     choice that must not exist yet, so what is being read is never overwritten
     and of two writers of one target the second fails.  Which path is current
     is the caller's (or a catalogue table's) business."""
-    df.write.mode("errorifexists").option("compression", compression).parquet(target)
+    df.write.mode("errorifexists").option("compression", compression).partitionBy(*partition_by or []).parquet(target)
     return target
 
 
@@ -141,7 +141,7 @@ def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame:
     return load_parquet(spark, data or f"{root}/data/none", schema)
 
 
-def publish(df: DataFrame, root: str, compression: str = "snappy") -> int:
+def publish(df: DataFrame, root: str, compression: str = "snappy", partition_by: list | None = None) -> int:
     """IO14: write the table's next version, then swap the pointer to it; returns its number.
 
     The data goes to a folder of its own first, so a crash before the swap leaves the current version as it was.
@@ -152,7 +152,7 @@ def publish(df: DataFrame, root: str, compression: str = "snappy") -> int:
     fs, path = _files(spark, root)
     began, _ = current_version(spark, root)
     name = uuid.uuid4().hex
-    rewrite(df, f"{root}/data/{name}", compression)
+    rewrite(df, f"{root}/data/{name}", compression, partition_by)
     number = began + 1
     while (pointer := path(root, f"versions/{number}")) and fs.exists(pointer) and fs.getFileStatus(pointer).getLen() == 0:
         number += 1  # left by a writer that died; it never becomes current

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators.key_filter import append_unseen
 from vigil.operators.match import materialize
 from vigil.operators.merge import HUB_KEYS, hub_append
 from vigil.schema import UNIFIED_SCHEMA
@@ -35,7 +36,7 @@ def registration_day(c: str = "registration_date") -> Column:
 
 def start_hub_stream(spark: SparkSession, stream: DataFrame, to_notices: Callable[[DataFrame], DataFrame],
                      hub_path: str, checkpoint_path: str, keys: list | None = None, dedup_batch: bool = True,
-                     available_now: bool = True, processing_time: str | None = None):
+                     available_now: bool = True, processing_time: str | None = None, filter_path: str | None = None):
     """Start the streaming append; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything landed so far and stops (batch-like
@@ -44,12 +45,17 @@ def start_hub_stream(spark: SparkSession, stream: DataFrame, to_notices: Callabl
 
     The hub is stored by ``registration_day``.  A micro-batch is mapped once
     (checkpointed into the shared folder), then its days restrict the hub
-    partitions that the anti-join reads."""
+    partitions that the anti-join reads.  With ``filter_path`` key filters are
+    kept there, and only partitions that can hold a key of the batch are read;
+    all appends to the hub must then be made with it."""
     k = keys or HUB_KEYS
     hub_schema = T.StructType([*UNIFIED_SCHEMA.fields, T.StructField(PARTITION, T.StringType())])
 
     def upsert(batch: DataFrame, _batch_id: int) -> None:
         notices = materialize(to_notices(batch).na.fill("", k).withColumn(PARTITION, registration_day()))
+        if filter_path:
+            append_unseen(notices, hub_path, hub_schema, filter_path, k, PARTITION, dedup_batch)
+            return
         current = IO.load_parquet(batch.sparkSession, hub_path, hub_schema).na.fill("", k)
         IO.append(hub_append(notices, current, k, dedup_batch, PARTITION), hub_path, [PARTITION])
 
