@@ -25,7 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.text import normalize, strip_pattern, strip_ws
+from vigil.functions.text import normalize, starts_alnum, strip_pattern, strip_ws
+from vigil.operators.windows import term_windows
 
 # The reference's default thresholds.
 SIMILARITY_THRESHOLD = 80
@@ -126,13 +127,14 @@ def best_contained(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col:
                    scope: tuple | None = None, min_len: int = 1) -> DataFrame:
     """``(key, keep)``: for each text of ``hay`` the first by ``order`` of the ``needles`` that it contains.
 
-    No pair of a text and a needle is made unless the needle has a place in the text of its own, and most are not
-    made at all.  Cut at single spaces, a text is a list of tokens, and a needle without a space lies
-    inside one token.  So the distinct tokens of all texts are searched, once each, with ``contains_pairs``, only the first
-    needle of each token is kept, and a text takes the first of its tokens' needles: a join of one row per
-    distinct token.  A needle with ``j`` spaces lies in ``j + 1`` tokens in a row: its inner tokens are whole, its first part
-    ends a token and its last part starts one.  Windows of the text meet it by the inner tokens and up to ``BESIDE``
-    characters on both outer sides; the two outer tokens decide.
+    No pair of a text and a needle is made unless the needle has a place in the text.  A text's windows that may be needles
+    (``term_windows``) meet them in an equi-join; one pass over a text, and what comes out of it is about a row for each needle
+    in it.  Needles too many for that pass are met by the texts' tokens.  Cut at single spaces, a text is a list of tokens, and
+    a needle without a space lies inside one token.  So the distinct tokens of all texts are searched, once each, with
+    ``contains_pairs``, only the first needle of each token is kept, and a text takes the first of its tokens' needles: a join
+    of one row per distinct token.  A needle with ``j`` spaces lies in ``j + 1`` tokens in a row: its inner tokens are whole,
+    its first part ends a token and its last part starts one.  Windows of the text meet it by the inner tokens and up to
+    ``BESIDE`` characters on both outer sides; the two outer tokens decide.
 
     ``scope`` = (column of hay, column of needles): a needle counts where its scope is 'ALL' or equals the text's, and
     everywhere where the text has none.  Needles shorter than ``min_len`` take no part."""
@@ -142,8 +144,12 @@ def best_contained(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col:
                 F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *keep).alias("_w")) \
         .groupBy("_t", "_to").agg(F.min("_w").alias("_w"))
     text = hay.select(*key, F.col(hay_col).alias("_x"), (F.col(of) if of else F.lit(None).cast("string")).alias("_of"))
-    found = _in_tokens(text, n.where(~F.col("_t").contains(" ")), key) \
-        .unionByName(_in_windows(text, n.where(F.col("_t").contains(" ")), key))
+    windows = term_windows(text, n.select("_t"))
+    if windows is None:
+        found = _in_tokens(text, n.where(~F.col("_t").contains(" ")), key) \
+            .unionByName(_in_windows(text, n.where(F.col("_t").contains(" ")), key))
+    else:
+        found = windows.join(n.withColumn("_t", F.col("_t").cast("binary")), "_t").select(*key, "_of", "_to", "_w")
     if scope:
         found = found.where((F.col("_to") == "ALL") | F.col("_of").isNull() | (F.col("_to") == F.col("_of")))
     return found.groupBy(*key).agg(F.min("_w").alias("_w")).select(*key, *[f"_w.{c}" for c in keep])
@@ -316,9 +322,15 @@ def sentence_scan(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     """M4: longest term contained in the text (one-character terms need a
     non-alphanumeric next character); winner = (-tlen, col_rank, row_ord)."""
     order, keep = [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"]
-    long = best_contained(q, "q", terms, "term", order, keep, [key], min_len=2)
-    lone = _best(_lone_characters(q, terms, [key]), order, keep, key)
-    return _best(long.unionByName(lone), order, keep, key)
+    windows = term_windows(q.select(key, F.col("q").alias("_x")), terms.select(F.col("term").alias("_t")), after=True)
+    if windows is None:
+        long = best_contained(q, "q", terms, "term", order, keep, [key], min_len=2)
+        lone = _best(_lone_characters(q, terms, [key]), order, keep, key)
+        return _best(long.unionByName(lone), order, keep, key)
+    own = terms.select(F.col("term").cast("binary").alias("_t"), *keep)
+    after = F.col("_after").cast("string")
+    found = windows.join(own, "_t").where((F.col("tlen") > 1) | (after == "") | ~starts_alnum(after))
+    return _best(found, order, keep, key)
 
 
 # Weight of the similarity of the sorted words against that of the text as it stands.
@@ -379,8 +391,11 @@ def fuzzy_match(q: DataFrame, terms: DataFrame, threshold: float = SIMILARITY_TH
         raise ValueError("the threshold must be over 0")
     scored = _similar(q.select(key, F.col("q").alias("s")), terms.select("term", F.col("term").alias("n")), t, key)
     if t <= 100.0 * TOKEN_WEIGHT:
-        words = _similar(q.select(key, sorted_words(F.col("q")).alias("s")), terms.select("term", sorted_words(F.col("term")).alias("n")),
-                         t / TOKEN_WEIGHT - 1e-9, key)
+        of_words = t / TOKEN_WEIGHT - 1e-9
+        # no text's words are sorted if those at its start alone are longer than any name's band
+        longest = (F.lit(100.0 / of_words) * terms.agg(F.max(F.length("term"))).scalar() + 1).cast("int")
+        near = q.where(F.length(F.regexp_replace(F.left("q", longest * 4 + 64), r"\s+", "")) <= longest)
+        words = _similar(near.select(key, sorted_words(F.col("q")).alias("s")), terms.select("term", sorted_words(F.col("term")).alias("n")), of_words, key)
         scored = scored.unionByName(words.withColumn("score", TOKEN_WEIGHT * F.col("score")))
     best = scored.where(F.col("score") >= F.lit(t)).groupBy(key, "term").agg(F.max("score").alias("score"))
     return _best(best.join(terms, on="term"), [-F.col("score"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "score"], key)
@@ -461,6 +476,10 @@ def hazard_extract(q: DataFrame, terms: DataFrame, enable_fuzzy: bool = True,
 
 # ------------------------------------------------------------------ rules (M6)
 
+# Words, and other characters that stand as whole words (``whole_word``).
+LONE_CHARACTER = r"(?s)[\p{L}\p{N}_]+|(?<![\p{L}\p{N}_]).(?![\p{L}\p{N}_])"
+
+
 def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: DataFrame,
               keyword_col: str = "keyword", scope_col: str = "source", rule_ord: str = "rule_ord",
               key: str | None = None) -> DataFrame:
@@ -483,7 +502,10 @@ def rule_scan(texts: DataFrame, text_col: str, source_col: str | None, rules: Da
     in_scope = (F.col("scope") == "ALL") | F.col("qs").isNull() | (F.col("scope") == F.col("qs"))
     order = [-F.col("klen"), F.col("rule_ord")]
     sub = best_contained(q, "qt", r, "kw", order, ["rule_ord", "klen"], by, ("qs", "scope"), min_len=2)
-    word = _best_of(word_pairs(q, "qt", r.where(F.col("klen") < 2), "kw", key).where(in_scope), order, ["rule_ord", "klen"], by)
+    letters = r.where(F.col("klen") < 2)
+    alone = F.explode(F.array_distinct(F.regexp_extract_all("qt", F.lit(LONE_CHARACTER), 0)))
+    lone = q.where(letters.agg(F.count(F.lit(1))).scalar() > 0).select(*dict.fromkeys([*by, "qs"]), alone.alias("kw"))
+    word = _best_of(lone.join(letters, "kw").where(in_scope), order, ["rule_ord", "klen"], by)
     return _best_of(sub.unionByName(word), order, ["rule_ord"], by)
 
 
