@@ -187,7 +187,7 @@ def map_i2620(raw: DataFrame, refs: References, order_col: str | None = None) ->
         F.col("TEST_ITMNM").alias("hazard_item"),
         _order(raw, order_col),
     ).withColumns({"rule_class_m": F.lit(None).cast("string"), "rule_class_l": F.lit(None).cast("string")})
-    d = first_per_key(d, ["source_detail"], "_ord")
+    d = MT.materialize(first_per_key(d, ["source_detail"], "_ord"))  # the types, the items and the rows are read from it
     return enforce_schema(_classes(product_lookup(d, "product_type", refs), refs))
 
 
