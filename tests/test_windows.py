@@ -47,14 +47,12 @@ def test_a_text_meets_a_term_in_one_row(spark):
     assert _joined_rows(out) <= 3 * 8
 
 
-def test_terms_over_the_bound_take_the_tokens(spark, monkeypatch):
-    hay = spark.createDataFrame([(1, "a found e. coli o157 here"), (2, "colin x"), (3, "납 검출"), (4, "납검출")], "id long, q string")
-    terms = MT.prepare_terms(spark.createDataFrame([("e. coli", 0), ("coli", 1), ("납", 2)], "n string, row_ord long"), ["n"])
-    run = lambda: {r["id"]: r["row_ord"] for r in MT.sentence_scan(hay, terms, key="id").collect()}
-    want = {1: 0, 2: 1, 3: 2}
-    assert run() == want
-    monkeypatch.setattr(W, "MOST", 1)
-    assert run() == want
+def test_both_ways_agree(spark):
+    hay = spark.createDataFrame([(1, "a found e. coli o157 here"), (2, "colin x"), (3, "납 검출"), (4, "")], "id long, q string")
+    n = spark.createDataFrame([("e. coli", 0), ("coli", 1), ("납", 2)], "term string, o int")
+    for by_tokens in (False, True):
+        out = MT.best_contained(hay, "q", n, "term", [-F.length("term")], ["o"], ["id"], by_tokens=by_tokens)
+        assert {r["id"]: r["o"] for r in out.collect()} == {1: 0, 2: 1, 3: 2}
 
 
 def test_one_character_rules_stand_alone(spark):

@@ -124,12 +124,12 @@ BESIDE = 2
 
 
 def best_contained(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, order: list, keep: list, key: list,
-                   scope: tuple | None = None, min_len: int = 1) -> DataFrame:
+                   scope: tuple | None = None, min_len: int = 1, by_tokens: bool = False) -> DataFrame:
     """``(key, keep)``: for each text of ``hay`` the first by ``order`` of the ``needles`` that it contains.
 
     No pair of a text and a needle is made unless the needle has a place in the text.  A text's windows that may be needles
     (``term_windows``) meet them in an equi-join; one pass over a text, and what comes out of it is about a row for each needle
-    in it.  Needles too many for that pass are met by the texts' tokens.  Cut at single spaces, a text is a list of tokens, and
+    in it.  With ``by_tokens``, for many millions of needles, the texts' tokens meet them.  Cut at single spaces, a text is a list of tokens, and
     a needle without a space lies inside one token.  So the distinct tokens of all texts are searched, once each, with
     ``contains_pairs``, only the first needle of each token is kept, and a text takes the first of its tokens' needles: a join
     of one row per distinct token.  A needle with ``j`` spaces lies in ``j + 1`` tokens in a row: its inner tokens are whole,
@@ -144,12 +144,11 @@ def best_contained(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col:
                 F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *keep).alias("_w")) \
         .groupBy("_t", "_to").agg(F.min("_w").alias("_w"))
     text = hay.select(*key, F.col(hay_col).alias("_x"), (F.col(of) if of else F.lit(None).cast("string")).alias("_of"))
-    windows = term_windows(text, n.select("_t"))
-    if windows is None:
+    if by_tokens:
         found = _in_tokens(text, n.where(~F.col("_t").contains(" ")), key) \
             .unionByName(_in_windows(text, n.where(F.col("_t").contains(" ")), key))
     else:
-        found = windows.join(n.withColumn("_t", F.col("_t").cast("binary")), "_t").select(*key, "_of", "_to", "_w")
+        found = term_windows(text, n.select("_t")).join(n.withColumn("_t", F.col("_t").cast("binary")), "_t").select(*key, "_of", "_to", "_w")
     if scope:
         found = found.where((F.col("_to") == "ALL") | F.col("_of").isNull() | (F.col("_to") == F.col("_of")))
     return found.groupBy(*key).agg(F.min("_w").alias("_w")).select(*key, *[f"_w.{c}" for c in keep])
@@ -214,12 +213,6 @@ def _in_windows(text: DataFrame, n: DataFrame, key: list) -> DataFrame:
         .select(*key, "_of", "_to", "_w")
 
 
-def _lone_characters(q: DataFrame, terms: DataFrame, key: list) -> DataFrame:
-    """Texts with the one-character terms whose first place in the text is not followed by a letter or digit."""
-    chars = q.select(*key, F.col("q").alias("_x"), F.explode(F.array_distinct(F.split("q", ""))).alias("term")).where("term != ''")
-    return chars.where(_single_char_ok(F.col("_x"), F.col("term"))).drop("_x").join(terms.where("tlen = 1"), "term")
-
-
 def token_pairs(hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, key: str | None = None) -> DataFrame:
     """Pairs where a single-token needle occurs in the text as a whole word.
 
@@ -310,23 +303,11 @@ def whole_word(text: Column, term: Column) -> Column:
     return F.regexp(text, pat)
 
 
-def _single_char_ok(text: Column, term: Column) -> Column:
-    """One-character terms must not be followed by a letter/digit at their
-    first occurrence."""
-    pos = F.instr(text, term)
-    nxt = F.substring(text, pos + 1, 1)
-    return (F.length(term) > 1) | (nxt == "") | ~nxt.rlike(r"^[\p{L}\p{N}]")
-
-
 def sentence_scan(q: DataFrame, terms: DataFrame, key: str = "q") -> DataFrame:
     """M4: longest term contained in the text (one-character terms need a
     non-alphanumeric next character); winner = (-tlen, col_rank, row_ord)."""
     order, keep = [-F.col("tlen"), F.col("col_rank"), F.col("row_ord")], ["row_ord", "col_rank", "tlen"]
     windows = term_windows(q.select(key, F.col("q").alias("_x")), terms.select(F.col("term").alias("_t")), after=True)
-    if windows is None:
-        long = best_contained(q, "q", terms, "term", order, keep, [key], min_len=2)
-        lone = _best(_lone_characters(q, terms, [key]), order, keep, key)
-        return _best(long.unionByName(lone), order, keep, key)
     own = terms.select(F.col("term").cast("binary").alias("_t"), *keep)
     after = F.col("_after").cast("string")
     found = windows.join(own, "_t").where((F.col("tlen") > 1) | (after == "") | ~starts_alnum(after))

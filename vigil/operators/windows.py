@@ -5,7 +5,8 @@ of one length with a few numpy operations, and a bitmap, made by Spark from the
 them.  What is left are the windows that may be terms, once or a few times a text; an equi-join with the terms decides.  So
 what meets the dictionary is about one row for each term of a text, whatever its tokens, and no text is shuffled.
 
-The bitmap is all that is collected: 2 ** ``BITS`` bits at most, whatever the dictionary, for up to ``MOST`` terms."""
+The bitmap has 2 ** ``BITS`` bits, whatever the dictionary: a scalar subquery of the plan, which the first row of each task
+carries.  Up to some two million terms it rules out most windows; beyond, more of them reach the join."""
 
 from __future__ import annotations
 
@@ -17,8 +18,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from vigil.llm.common import lean, ship
 
-#: The most terms and the bits of the largest bitmap, at least 8 for a term's two hashes.
-MOST, BITS = 1 << 21, 25
+#: Bits of the bitmap as it is made, in logarithm to base 2; a task folds it to what its terms need.
+BITS = 25
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 15
 #: An odd number and its inverse modulo 2 ** 64; odd factors that spread the hashes of prefixes and of whole windows.
@@ -133,14 +134,30 @@ def _char_bytes(lead: np.ndarray) -> np.ndarray:
     return 1 + (lead >= 0xC0).astype("i8") + (lead >= 0xE0) + (lead >= 0xF0)
 
 
-def _windows(lengths: list[int], packed: bytes, bits: int, after: bool):
+def _bitmap(words: list[dict], count: int) -> tuple[np.ndarray, int]:
+    """The bitmap of its words, folded to 64 places a term, and the logarithm of its places."""
+    packed = np.zeros((1 << BITS) // 8, "u1")
+    for w in words:
+        at = w["word"] * (_WORD // 8)
+        packed[at:at + _WORD // 8] = np.frombuffer(w["set"], "u1")
+    bits = min(BITS, max(16, (64 * count).bit_length()))
+    return np.unpackbits(packed, bitorder="little").reshape(1 << bits, -1).any(axis=1), bits
+
+
+def _windows(after: bool):
     def run(batches):
-        bitmap, classes = np.unpackbits(np.frombuffer(packed, "u1"), bitorder="little").view(bool), _classes(lengths)
+        bitmap, bits, classes = None, 0, {}
         for b in batches:
+            if b.num_rows == 0:
+                continue
+            if bitmap is None:
+                terms = b.column("_terms")[0].as_py()
+                bitmap, bits = _bitmap(terms["words"], terms["count"])
+                classes = _classes(sorted(terms["lengths"]))
             offsets, data = _binary(b.column("_x"))
             ends = offsets[1:]
-            places, texts, sizes = [], [], []
-            for n, (at, of) in _hits(data, ends, classes, bitmap, bits).items():
+            places, texts, sizes = [np.empty(0, "i8")], [np.empty(0, "i8")], [np.empty(0, "i8")]
+            for n, (at, of) in (_hits(data, ends, classes, bitmap, bits) if classes else {}).items():
                 at, of = _once(data, at, of, n)
                 places.append(at), texts.append(of), sizes.append(np.full(len(at), n))
             at, of, size = np.concatenate(places), np.concatenate(texts), np.concatenate(sizes)
@@ -150,35 +167,31 @@ def _windows(lengths: list[int], packed: bytes, bits: int, after: bool):
             if after:  # the next character, of windows that are a character
                 end = at + size
                 inside = (end < ends[of]) & (_char_bytes(data[at]) == size)
-                fields.append(_taken(data, end, np.where(inside, _char_bytes(data[np.minimum(end, len(data) - 1)]), 0)))
+                following = _char_bytes(data[np.minimum(end, len(data) - 1)]) if len(end) else end
+                fields.append(_taken(data, end, np.where(inside, following, 0)))
             rows = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b.num_rows))]).astype("i4")
             found = pa.ListArray.from_arrays(pa.array(rows), pa.StructArray.from_arrays(fields, ["_t", "_after"][:len(fields)]))
-            keep = [i for i, c in enumerate(b.schema.names) if c != "_x"]
+            keep = [i for i, c in enumerate(b.schema.names) if c not in ("_x", "_terms")]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], found], [*[b.schema.names[i] for i in keep], "_found"])
 
     return run
 
 
-def term_windows(text: DataFrame, terms: DataFrame, after: bool = False) -> DataFrame | None:
+def term_windows(text: DataFrame, terms: DataFrame, after: bool = False) -> DataFrame:
     """The rows of ``text``, without its text ``_x``, with ``_t``: the windows that may be one of the ``terms`` (column ``_t``),
     both as bytes; all terms in the text are among them.  With ``after``, a window of one character comes from its first place
-    in the text, and ``_after`` is the character that follows there, '' at the text's end.  None if there are over ``MOST`` terms."""
+    in the text, and ``_after`` is the character that follows there, '' at the text's end."""
     ship(text.sparkSession)
     terms = terms.select(F.col("_t").cast("binary").alias("_t")).where(F.octet_length("_t") > 0).distinct()
-    sizes = terms.groupBy(F.octet_length("_t").alias("n")).count().collect()  # a row for each length
-    count = sum(r["count"] for r in sizes)
-    if count > MOST:
-        return None
-    found = [StructField("_t", BinaryType())] + ([StructField("_after", BinaryType())] if after else [])
+    words = terms.mapInArrow(_term_slots(BITS), "slot long").groupBy((F.col("slot") / _WORD).cast("int").alias("word")) \
+        .agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(_WORD))).alias("set")).agg(F.collect_list(F.struct("word", "set"))).scalar()
+    by_length = terms.groupBy(F.octet_length("_t").alias("n")).agg(F.count(F.lit(1)).alias("k"))
+    lengths, count = by_length.agg(F.collect_list("n")).scalar(), by_length.agg(F.coalesce(F.sum("k"), F.lit(0))).scalar()
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of a task's rows
     kept = [f for f in text.schema.fields if f.name != "_x"]
-    if not count:
-        return text.sparkSession.createDataFrame([], StructType(kept + found))
-    bits = min(BITS, max(16, (64 * count).bit_length()))
-    slots = terms.mapInArrow(_term_slots(bits), "slot long").groupBy((F.col("slot") / _WORD).cast("long").alias("word")) \
-        .agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(_WORD))).alias("set")).collect()
-    words = {r["word"]: bytes(r["set"]) for r in slots}
-    packed = b"".join(words.get(i, bytes(_WORD // 8)) for i in range((1 << bits) // _WORD))
-    rows = text.where("_x is not null").withColumn("_x", F.col("_x").cast("binary"))
-    schema = StructType([*kept, StructField("_found", ArrayType(StructType(found)))])
     names = [f"`{f.name}`" for f in kept]
-    return rows.mapInArrow(lean(_windows(sorted(r["n"] for r in sizes), packed, bits, after)), schema).select(*names, F.inline("_found"))
+    rows = text.where("_x is not null").select(*names, F.col("_x").cast("binary").alias("_x"), F.when(
+        first, F.struct(words.alias("words"), lengths.alias("lengths"), count.alias("count"))).alias("_terms"))
+    found = [StructField("_t", BinaryType())] + ([StructField("_after", BinaryType())] if after else [])
+    schema = StructType([*kept, StructField("_found", ArrayType(StructType(found)))])
+    return rows.mapInArrow(lean(_windows(after)), schema).select(*names, F.inline("_found"))
