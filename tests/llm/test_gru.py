@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vigil.llm import gru
@@ -150,3 +151,29 @@ def test_numbers_in_few_bytes():
         raw = gru._packed(numbers, n)
         assert len(raw) == 3 * gru._width(n) and gru._unpacked(raw, n).tolist() == numbers.tolist()
     assert len(gru._unpacked(b"", 5)) == 0
+
+
+def test_texts_are_numbered_at_once():
+    rng = random.Random(6)
+    signs = [*map(chr, range(40)), *"abAB", "\x85", "\u3000", "\xa0", "\xc9", "\u0130", *[" "] * 20]
+    texts = [*ODD, "Z", " Z\t", *["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(2000)]]
+    for some in (texts, texts[:1], [None], ["a"], texts[5:9]):
+        numbers, lengths, words = gru._numbered(pa.array(some, pa.string()))
+        assert len(set(words)) == len(words)
+        cuts = np.split(numbers, np.cumsum(lengths)[:-1])
+        assert [[words[n].decode() for n in c] for c in cuts] == [words_of(t) for t in some]
+
+
+def test_sums_by_word():
+    rng = np.random.default_rng(8)
+    for at in (rng.zipf(1.3, 900) % 70, np.zeros(500), np.arange(40), np.repeat(np.arange(9), gru.OFTEN - 1), [5]):
+        at = np.asarray(at).astype("u2")
+        rows = rng.normal(size=(len(at), 12))
+        words, sums = gru._word_sums(rows, at, np.ones(len(at)))
+        assert sorted(words) == sorted(set(at.tolist()))
+        for w, s in zip(words, sums):
+            assert s == pytest.approx(rows[at == w].sum(0))
+
+
+def test_a_round_has_fewer_tasks_than_partitions_but_uses_all_cores():
+    assert [gru._tasks(*x) for x in ((0, 6), (1, 6), (5, 6), (21, 6), (24, 4), (1260, 12))] == [1, 1, 5, 6, 6, 315]

@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import chunks, fold, sweep, texts, written
+from vigil.llm.common import chunks, fold, sweep, written
 
 #: Bytes of text of a chunk, whose words are numbered together.
 CHUNK = 16 << 20
@@ -47,6 +48,8 @@ WORDS = 2048
 PER_CLASS = 64
 STATE, INPUT = 32, 24
 LANES, WINDOW = 256, 16
+#: Places from which on a word's rows of a window are summed by a product.
+OFTEN = 24
 ROUNDS = 4
 RATE = 0.01
 END = b""
@@ -76,15 +79,25 @@ class Network:
                 weights["kind_bias"][self.classes] = logs[words]
         self.w = weights
 
-    def run(self, start: np.ndarray, given: np.ndarray, keep: np.ndarray, back: bool = True) -> tuple[np.ndarray, list]:
+    def sums(self, numbers=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """What the given words add to half the gates' sums and to the new state's sum."""
+        w = self.w
+        given = w["embed"][numbers]
+        bias = 0.5 * (w["into_bias"] + w["state_bias"])[:2 * STATE]
+        return given @ (0.5 * w["into"][:, :2 * STATE]) + bias, given @ w["into"][:, 2 * STATE:] + w["into_bias"][2 * STATE:]
+
+    def run(self, start: np.ndarray, given: np.ndarray, keep: np.ndarray, back: bool = True, sums: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list]:
         """States after each step (steps, lanes, STATE) and, with ``back``, what the backward pass needs.  ``keep`` is 0
-        where a document starts, else 1."""
+        where a document starts, else 1; ``sums`` are those of all words, where they are at hand."""
         w, h, out, kept = self.w, start, np.empty((*given.shape, STATE), "f4"), []
+        if sums is None:  # of the window's words only
+            here = np.zeros(len(w["embed"]), bool)
+            here[given] = True
+            sums, given = self.sums(np.flatnonzero(here)), (np.cumsum(here) - 1)[given]
         # a gate is 0.5 + 0.5 tanh of half its sum
-        bias = 0.5 * (w["into_bias"] + w["state_bias"])[:2 * STATE]
-        x_gates = (w["embed"] @ (0.5 * w["into"][:, :2 * STATE]) + bias).take(given, axis=0)
-        x_new = (w["embed"] @ w["into"][:, 2 * STATE:] + w["into_bias"][2 * STATE:]).take(given, axis=0)
+        x_gates, x_new = (x.take(given, axis=0) for x in sums)
         by_gates, by_new = 0.5 * w["state"][:, :2 * STATE], np.ascontiguousarray(w["state"][:, 2 * STATE:])
+        new_bias = w["state_bias"][2 * STATE:]
         anew = keep.min(1) < 1
         for t in range(len(given)):
             if anew[t]:
@@ -96,7 +109,7 @@ class Network:
             gates += 0.5
             z, r = np.ascontiguousarray(gates[:, :STATE]), np.ascontiguousarray(gates[:, STATE:])
             s = h @ by_new
-            s += w["state_bias"][2 * STATE:]
+            s += new_bias
             new = r * s
             new += x_new[t]
             np.tanh(new, out=new)
@@ -107,21 +120,29 @@ class Network:
             h += new
         return out, kept
 
-    def _groups(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Each target's class, and the rows of each of the network's classes."""
+    def _groups(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Each target's class; the rows of the network's own words, class by class; each such class with its part of these rows."""
         kind = np.minimum(target // PER_CLASS, self.classes).astype("u2")
         kind[target >= self.words] = self.classes
-        order = np.argsort(kind, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=self.classes + 1))])
-        return kind, [(c, order[a:b]) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:-1])) if b > a]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=self.classes + 1))]).tolist()
+        own = np.argsort(kind, kind="stable")[:bounds[self.classes]]
+        return kind, own, [(c, a, b) for c, (a, b) in enumerate(zip(bounds[:-2], bounds[1:-1])) if b > a]
+
+    def _word_logits(self, h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits within their class for rows that stand class by class, all in one array."""
+        word, bias = self.w["word"], self.w["word_bias"]
+        out = np.empty((len(h), PER_CLASS), np.result_type(h, word))
+        for c, a, b in spans:
+            part = np.matmul(h[a:b], word[c], out=out[a:b])
+            part += bias[c]
+        return out
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each target's class and, within the network's classes, of the word."""
-        w = self.w
-        kind, groups = self._groups(target)
-        out = _log_softmax(states @ w["kind"] + w["kind_bias"], kind)
-        for c, rows in groups:
-            out[rows] += _log_softmax(states[rows] @ w["word"][c] + w["word_bias"][c], target[rows] - c * PER_CLASS)
+        kind, own, spans = self._groups(target)
+        out = _log_softmax(_plus(states @ self.w["kind"], self.w["kind_bias"]), kind)
+        if len(own):
+            out[own] += _log_softmax(self._word_logits(states.take(own, axis=0), spans), target[own] % PER_CLASS)
         return out
 
     def gradients(self, states: np.ndarray, kept: list, given: np.ndarray, target: np.ndarray, keep: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
@@ -132,60 +153,95 @@ class Network:
             rows = np.flatnonzero(valid)
             flat, wanted = flat[rows], wanted[rows]
         n = max(len(wanted), 1)
-        kind, groups = self._groups(wanted)
-        d = _softmax_gradient(flat @ w["kind"] + w["kind_bias"], kind, n)
-        g = {"kind": flat.T @ d, "kind_bias": d.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        kind, own, spans = self._groups(wanted)
+        d = _softmax_gradient(_plus(flat @ w["kind"], w["kind_bias"]), kind, n)
+        one = np.ones(steps * lanes, d.dtype)
+        g = {"kind": flat.T @ d, "kind_bias": one[:len(d)] @ d, "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
         back = d @ w["kind"].T
-        for c, own in groups:
-            h = flat[own]
-            d = _softmax_gradient(h @ w["word"][c] + w["word_bias"][c], wanted[own] - c * PER_CLASS, n)
-            g["word"][c], g["word_bias"][c] = h.T @ d, d.sum(0)
-            back[own] += d @ w["word"][c].T
+        if len(own):
+            h = flat.take(own, axis=0)
+            d = _softmax_gradient(self._word_logits(h, spans), wanted[own] % PER_CLASS, n)
+            through = np.empty((len(own), STATE), d.dtype)
+            for c, a, b in spans:
+                part = d[a:b]
+                np.matmul(h[a:b].T, part, out=g["word"][c])
+                np.matmul(one[:b - a], part, out=g["word_bias"][c])
+                np.matmul(part, w["word"][c].T, out=through[a:b])
+            through += back.take(own, axis=0)
+            back[own] = through
         if rows is not None:
             whole = np.zeros((steps * lanes, STATE), back.dtype)
             whole[rows] = back
             back = whole
         back = back.reshape(steps, lanes, STATE)
-        dx, ds = np.empty((steps, lanes, 3 * STATE), back.dtype), np.empty((steps, lanes, 3 * STATE), back.dtype)
+        # by the sums of the new state (state's part), the gates and the new state (input's part): the state's are the
+        # first 3 * STATE columns, the input's the last
+        every = np.empty((steps, lanes, 4 * STATE), back.dtype)
         dh = np.zeros((lanes, STATE), back.dtype)
-        turned = np.ascontiguousarray(w["state"].T)
+        turned = np.ascontiguousarray(np.roll(w["state"], STATE, axis=1).T)
         anew = keep.min(1) < 1
         for t in reversed(range(steps)):
             h, z, r, new, s = kept[t]
+            d_state, d_z, d_r, d_new = (every[t, :, k:k + STATE] for k in range(0, 4 * STATE, STATE))
             dh += back[t]
             left = dh * z  # what goes to the state before by itself
             dnew = dh - left
             dz = h - new
             dz *= left
-            dz -= dz * z
-            dnew -= dnew * new * new
-            dr = dnew * r
-            ds[t, :, 2 * STATE:] = dr
-            dr *= s
-            dr *= 1 - r
-            dx[t, :, :STATE], dx[t, :, STATE:2 * STATE], dx[t, :, 2 * STATE:] = dz, dr, dnew
-            ds[t, :, :2 * STATE] = dx[t, :, :2 * STATE]
-            dh = ds[t] @ turned
+            z = 1 - z
+            np.multiply(dz, z, out=d_z)
+            np.multiply(new, new, out=z)
+            z *= dnew
+            dnew -= z
+            d_new[:] = dnew
+            dnew *= r
+            d_state[:] = dnew
+            dnew *= s
+            np.multiply(dnew, 1 - r, out=d_r)
+            dh = every[t, :, :3 * STATE] @ turned
             dh += left
             if anew[t]:
                 dh *= keep[t][:, None]
-        dx, ds = dx.reshape(-1, 3 * STATE), ds.reshape(-1, 3 * STATE)
-        g["state"], g["state_bias"] = np.concatenate([k[0] for k in kept]).T @ ds, ds.sum(0)
-        at = given.reshape(-1).astype("u2")
-        g["into"], g["into_bias"] = w["embed"][at].T @ dx, dx.sum(0)
-        # words of the window, each with the sum over its places
-        order = np.argsort(at, kind="stable")
-        ordered = at[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        every = every.reshape(-1, 4 * STATE)
+        g["state"] = np.roll(np.concatenate([k[0] for k in kept]).T @ every[:, :3 * STATE], -STATE, axis=1)
+        numbers, by_word = _word_sums(every, given.reshape(-1).astype("u2"), one)
+        by_word = by_word[:, STATE:]
+        g["into"], g["into_bias"] = w["embed"][numbers].T @ by_word, by_word.sum(0)
+        g["state_bias"] = np.concatenate([g["into_bias"][:2 * STATE], one @ every[:, :STATE]])
         g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][ordered[first]] = np.add.reduceat((dx @ w["into"].T)[order], first)
+        g["embed"][numbers] = by_word @ w["into"].T
         return g
 
 
+def _word_sums(rows: np.ndarray, at: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a window, the most frequent first, each with the sum of the rows at its places: of a frequent word by a
+    product with ``one``, of the others by their first places, their second ones and so on."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(first, append=len(at))
+    by = np.argsort(-sizes, kind="stable")
+    first, sizes = first[by], sizes[by]
+    often = int(np.count_nonzero(sizes >= OFTEN))
+    out = rows.take(order[first], axis=0)
+    for k in range(often):
+        np.matmul(one[:sizes[k]], rows.take(order[first[k]:first[k] + sizes[k]], axis=0), out=out[k])
+    places = np.arange(1, sizes[often] if often < len(sizes) else 1)
+    for n, with_more in zip(places.tolist(), np.searchsorted(-sizes, -places, side="left").tolist()):
+        out[often:with_more] += rows.take(order[first[often:with_more] + n], axis=0)
+    return ordered[first], out
+
+
+def _plus(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logits += bias
+    return logits
+
+
 def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     """exp(logits - top), its row sums and ``top``: one for all rows or, where a row would vanish, each row's own."""
     top = logits.max()
-    e = np.exp(logits - top)
+    e = logits - top
+    np.exp(e, out=e)
     sums = e @ np.ones(e.shape[1], e.dtype)
     if sums.min() < 1e-30:
         top = logits.max(1, keepdims=True)
@@ -194,16 +250,21 @@ def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray |
     return e, sums, top
 
 
+def _places(array: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of each row's ``at``-th value in the flat array."""
+    return np.arange(0, array.size, array.shape[1]) + at
+
+
 def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     _, sums, top = _exponents(logits)
-    return logits[np.arange(len(at)), at] - top - np.log(sums)
+    return logits.reshape(-1).take(_places(logits, at)) - top - np.log(sums)
 
 
 def _softmax_gradient(logits: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Gradient of the ``n``-th part of the rows' log losses by their logits."""
     e, sums, _ = _exponents(logits)
     e *= (1 / (n * sums))[:, None]
-    e[np.arange(len(at)), at] -= 1 / n
+    e.reshape(-1)[_places(e, at)] -= 1 / n
     return e
 
 
@@ -249,9 +310,10 @@ def _inputs(network: Network, ids: np.ndarray, p: np.ndarray, first: np.ndarray)
 
 def score(network: Network, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Each document's natural log-likelihood (words outside the network: that of their class)."""
-    out, state = np.zeros(len(lengths)), np.zeros((min(2 * LANES, len(lengths)), STATE), "f4")
-    for p, d, first, valid in windows(lengths, 2 * LANES, 2 * WINDOW):
-        states, _ = network.run(state[:p.shape[1]], _inputs(network, ids, p, first), (~first).astype("f4"), back=False)
+    out, state = np.zeros(len(lengths)), np.zeros((min(LANES, len(lengths)), STATE), "f4")
+    sums = network.sums()
+    for p, d, first, valid in windows(lengths, LANES, 4 * WINDOW):
+        states, _ = network.run(state[:p.shape[1]], _inputs(network, ids, p, first), (~first).astype("f4"), back=False, sums=sums)
         state = states[-1]
         logs = network.log_probs(states.reshape(-1, STATE), ids[p.reshape(-1)])
         out += np.bincount(d.reshape(-1), np.where(valid.reshape(-1), logs, 0), len(lengths))
@@ -308,12 +370,21 @@ def _unpacked(raw, n: int) -> np.ndarray:
     return wide.view("<u4").ravel()
 
 
-class _Numbers(dict):
-    """Numbers of words in the order of their first occurrence."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _numbered(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All texts' words and ends, one after the other, as numbers of the distinct ones; each text's tokens; the distinct ones."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))  # only A-Z change, only \x20 and \x09-\x0D split
+    found = parts.flatten().cast(pa.binary()).dictionary_encode()
+    words, numbers = found.dictionary.to_pylist(), found.indices.to_numpy()
+    of = np.repeat(np.arange(len(parts), dtype="i4"), pc.list_value_length(parts).to_numpy())
+    if END not in words:
+        words.append(END)
+    end = words.index(END)
+    inside = numbers != end  # there are empty strings beside white space at a text's start and end
+    lengths = np.bincount(of[inside], minlength=len(parts)) + 1
+    out, last = np.full(int(lengths.sum()), end, "i4"), np.zeros(int(lengths.sum()), bool)
+    last[np.cumsum(lengths) - 1] = True
+    out[~last] = numbers[inside]
+    return out, lengths, words
 
 
 def _chunk_rows(batches):
@@ -321,35 +392,38 @@ def _chunk_rows(batches):
     task, number = TaskContext.get().partitionId(), 0
     names = ["chunk", "doc_id", *[f.split()[0] for f in f"{_DOC}, {_WORD}".split(", ")]]
 
-    def rows(docs, words):
+    def rows(docs):
         nonlocal number
-        key, id_type = task << 32 | number, docs[0].column("doc_id").type
+        key = task << 32 | number
         number += 1
-        n = len(words)
-        teaching = [seq for b, seqs in zip(docs, sequences) for seq, held in zip(seqs, b.column("held_out").to_pylist()) if held is False]
-        taught = np.bincount(np.concatenate([np.empty(0, "i4"), *teaching]), minlength=n)
-        for b, seqs in zip(docs, sequences):
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, key)), b.column("doc_id"), b.column("held_out"), pa.array([len(s) for s in seqs], pa.int64()),
-                 pa.array([_packed(s, n) for s in seqs], pa.binary()),
-                 *[pa.nulls(k, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64())]], names)
-        h1, h2 = _hashes(list(words))
+        doc_id, held_out, text = (pa.concat_arrays([b.column(c) for b in docs]) for c in ("doc_id", "held_out", "text"))
+        numbers, lengths, words = _numbered(text)
+        k, n = len(lengths), len(words)
+        teaches = np.repeat(pc.fill_null(pc.invert(held_out), False).to_numpy(zero_copy_only=False), lengths)
+        taught = np.bincount(numbers[teaches], minlength=n)
+        ends = np.concatenate([[0], np.cumsum(lengths)]) * _width(n)
+        raw = pa.Array.from_buffers(pa.large_binary(), k, [None, pa.py_buffer(ends.astype("i8")), pa.py_buffer(_packed(numbers, n))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(k, key)), doc_id, held_out, pa.array(lengths, pa.int64()), raw,
+             *[pa.nulls(k, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64())]], names)
+        h1, h2 = _hashes(words)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, key)), pa.nulls(n, id_type), *[pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.binary())],
+            [pa.array(np.full(n, key)), pa.nulls(n, doc_id.type), *[pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.binary())],
              pa.array(np.arange(n, dtype="i4")), pa.array(h1), pa.array(h2), pa.array(taught)], names)
 
-    docs, sequences, words, size = [], [], _Numbers(), 0
+    docs, size = [], 0
     for b in chunks(batches, "text", CHUNK):
-        found = (t.encode().lower().split() for t in texts(b.column("text")))  # bytes: only A-Z change, only \x20 and \x09-\x0D split
-        seqs = [np.fromiter(map(words.__getitem__, (*ws, END)), "i4", len(ws) + 1) for ws in found]
-        docs.append(b.select(["doc_id", "held_out"])), sequences.append(seqs)
-        size += b.column("text").nbytes
+        own = b.column("text").nbytes
+        if docs and size + own >= 2 * CHUNK:  # one long text is a chunk of its own
+            yield from rows(docs)
+            docs, size = [], 0
+        docs.append(b)
+        size += own
         if size >= CHUNK:
-            yield from rows(docs, words)
-            docs, sequences, words, size = [], [], _Numbers(), 0
+            yield from rows(docs)
+            docs, size = [], 0
     if docs:
-        yield from rows(docs, words)
+        yield from rows(docs)
 
 
 def _placed(total: int, distinct: int, rest: float, network_words: int):
@@ -393,9 +467,16 @@ def _streams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), "<u2").astype("i4"), np.array([r.size // 2 for r in raw], "i8")
 
 
+def _tasks(partitions: int, cores: int) -> int:
+    """Tasks of a round, which takes a part of each partition's rows: with several partitions to a task, while there is a
+    task for each core, fewer of its windows are those in which only the longest documents' lanes still run."""
+    return max(1, -(-partitions // ROUNDS), min(partitions, cores))
+
+
 def train(rows: DataFrame, network: Network) -> Network:
     """The network after ``ROUNDS`` rounds over ``rows`` (chunk, doc_id, ids), each round over another part of them."""
     shapes = {k: v.shape for k, v in network.w.items()}
+    tasks = _tasks(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
     for n in range(ROUNDS):
         start = {k: v.copy() for k, v in network.w.items()}
         rate = RATE * (1 - n / ROUNDS)
@@ -413,7 +494,7 @@ def train(rows: DataFrame, network: Network) -> Network:
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([float(tokens)] * len(parts)),
                                                   pa.array([flat[p:p + 4096] for p in parts], pa.list_(pa.float32()))], ["part", "tokens", "weights"])
 
-        part = rows.where(F.pmod(F.xxhash64("chunk", "doc_id", "n_tokens"), F.lit(ROUNDS)) == n).select("ids")
+        part = rows.where(F.pmod(F.xxhash64("chunk", "doc_id", "n_tokens"), F.lit(ROUNDS)) == n).select("ids").coalesce(tasks)
         ends = part.mapInArrow(step, "part int, tokens double, weights array<float>")
         sums = ends.select("part", "tokens", F.posexplode("weights").alias("at", "weight")) \
             .groupBy("part", "at").agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("weight")).toPandas()
