@@ -152,7 +152,7 @@ def publish(df: DataFrame, root: str, compression: str = "snappy", partition_by:
     fs, path = _files(spark, root)
     began, _ = current_version(spark, root)
     name = uuid.uuid4().hex
-    rewrite(df, f"{root}/data/{name}", compression, partition_by)
+    rewrite(df, f"{root}/data/{name}", compression, **({"partition_by": partition_by} if partition_by else {}))
     number = began + 1
     while (pointer := path(root, f"versions/{number}")) and fs.exists(pointer) and fs.getFileStatus(pointer).getLen() == 0:
         number += 1  # left by a writer that died; it never becomes current
